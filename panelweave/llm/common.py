@@ -98,13 +98,32 @@ def word_starts(words: list[bytes]) -> np.ndarray:
     return out
 
 
-def gram_hashes(joined: bytes, starts: np.ndarray, k: int) -> np.ndarray:
-    """A hash of every run of ``k`` words, from prefix sums over the bytes of the joined text."""
-    n = len(starts) - 1 - k + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    raw = np.frombuffer(joined, dtype=np.uint8).astype(np.uint64) + np.uint64(1)
-    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(raw * _power_table("up", len(raw)), out=sums[1:])
-    lo, hi = starts[:n], starts[k : k + n] - 1
-    return mix((sums[hi] - sums[lo]) * _power_table("down", len(raw) + 1)[lo])
+class Grams:
+    """Hashes of runs of words of one text, from prefix sums over the bytes of its joined words.
+
+    Equal runs have equal hashes everywhere; unequal runs may collide, so callers that need an
+    exact answer compare the words themselves.
+    """
+
+    def __init__(self, words: list[bytes]):
+        self.joined, self.starts = b" ".join(words), word_starts(words)
+        raw = np.frombuffer(self.joined, dtype=np.uint8).astype(np.uint64)
+        raw += np.uint64(1)
+        raw *= _power_table("up", len(raw))
+        self.sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(raw, out=self.sums[1:])
+        self.down = _power_table("down", len(raw) + 1)
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def of(self, k: int) -> np.ndarray:
+        n = len(self) - k + 1
+        if n <= 0:
+            return np.zeros(0, dtype=np.uint64)
+        lo, hi = self.starts[:n], self.starts[k : k + n] - 1
+        return mix((self.sums[hi] - self.sums[lo]) * self.down[lo])
+
+    def text(self, start: int, stop: int) -> bytes:
+        """Words ``start`` to ``stop``, joined by one space."""
+        return self.joined[self.starts[start] : self.starts[stop] - 1]
