@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from panelweave.llm.bpe import op5_bpe_roundtrip
+from panelweave.llm.quality import op9_quality_ratio
 from panelweave.llm.sharding import op10_shard_rows
 from panelweave.llm.simhash import op7_simhash_components
+from panelweave.llm.toxicity import op8_toxicity
 from panelweave.llm.warc_audit import OP1_SQL, op1_warc_audit
 
 QUERIES = {
     "op1_warc_audit": op1_warc_audit,
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
     "op7_simhash_components": op7_simhash_components,
+    "op8_toxicity": op8_toxicity,
+    "op9_quality_ratio": op9_quality_ratio,
     "op10_shard_rows": op10_shard_rows,
 }
 
