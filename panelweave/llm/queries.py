@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from panelweave.llm.bpe import op5_bpe_roundtrip
+from panelweave.llm.decontaminate import OP4_SQL, op4_decontaminate
 from panelweave.llm.quality import op9_quality_ratio
 from panelweave.llm.sharding import op10_shard_rows
 from panelweave.llm.simhash import op7_simhash_components
@@ -11,6 +12,7 @@ from panelweave.llm.warc_audit import OP1_SQL, op1_warc_audit
 
 QUERIES = {
     "op1_warc_audit": op1_warc_audit,
+    "op4_decontaminate": op4_decontaminate,
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
     "op7_simhash_components": op7_simhash_components,
     "op8_toxicity": op8_toxicity,
@@ -20,4 +22,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_warc_audit": OP1_SQL,
+    "op4_decontaminate": OP4_SQL,
 }
