@@ -7,11 +7,13 @@ from panelweave.llm.decontaminate import OP4_SQL, op4_decontaminate
 from panelweave.llm.quality import op9_quality_ratio
 from panelweave.llm.sharding import op10_shard_rows
 from panelweave.llm.simhash import op7_simhash_components
+from panelweave.llm.suffix_dedup import OP3_SQL, op3_substring_dedup
 from panelweave.llm.toxicity import op8_toxicity
 from panelweave.llm.warc_audit import OP1_SQL, op1_warc_audit
 
 QUERIES = {
     "op1_warc_audit": op1_warc_audit,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
     "op7_simhash_components": op7_simhash_components,
@@ -22,5 +24,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_warc_audit": OP1_SQL,
+    "op3_substring_dedup": OP3_SQL,
     "op4_decontaminate": OP4_SQL,
 }
