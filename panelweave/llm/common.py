@@ -55,6 +55,15 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
 
 
+#: Names of the columns of ``row_key``.
+ROW_KEY = ["k1", "k2"]
+
+
+def row_key(doc_id: Column, text: Column) -> list[Column]:
+    """``k1, k2``: never null, and equal for rows of equal id and text only."""
+    return [F.coalesce(doc_id.cast("long"), F.lit(0)).alias("k1"), F.xxhash64(F.coalesce(text, F.lit("")), text.isNull(), doc_id.isNull()).alias("k2")]
+
+
 def partitions_for(rows: int, per_task: int, least: int = 12) -> int:
     return int(max(least, -(-rows // per_task)))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from panelweave.llm.backoff_lm import op6_stupid_backoff
 from panelweave.llm.bpe import op5_bpe_roundtrip
+from panelweave.llm.chat_tree import OP2_SQL, op2_chat_tree
 from panelweave.llm.decontaminate import OP4_SQL, op4_decontaminate
 from panelweave.llm.quality import op9_quality_ratio
 from panelweave.llm.sharding import op10_shard_rows
@@ -13,9 +15,11 @@ from panelweave.llm.warc_audit import OP1_SQL, op1_warc_audit
 
 QUERIES = {
     "op1_warc_audit": op1_warc_audit,
+    "op2_chat_tree": op2_chat_tree,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
+    "op6_stupid_backoff": op6_stupid_backoff,
     "op7_simhash_components": op7_simhash_components,
     "op8_toxicity": op8_toxicity,
     "op9_quality_ratio": op9_quality_ratio,
@@ -24,6 +28,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_warc_audit": OP1_SQL,
+    "op2_chat_tree": OP2_SQL,
     "op3_substring_dedup": OP3_SQL,
     "op4_decontaminate": OP4_SQL,
 }

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import saved, small_batches, table, words_of
+from panelweave.llm.common import ROW_KEY, row_key, saved, small_batches, table, words_of
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
 FANOUT = 16
@@ -53,13 +53,14 @@ def fingerprint(text: bytes | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = np.fromiter(map(fingerprint, b["text"].cast(pa.binary()).to_pylist()), dtype=np.uint64, count=b.num_rows)
-        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b["doc_id"], *(b[k] for k in ROW_KEY), pa.array(fps.view(np.int64))], ["doc_id", *ROW_KEY, "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long) of every row of ``docs``; null texts count as empty."""
+    """``doc_id``, the row's key and ``fp`` (the 64 bits as a signed long) of every row of ``docs``; null texts count as empty."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(F.col("doc_id"), F.col("text")), "text")
+    return own.mapInArrow(_fingerprints, "doc_id long, k1 long, k2 long, fp long")
 
 
 # The index of one group. ------------------------------------------------------------------
@@ -195,9 +196,9 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp, component_id`` for every row of ``docs`` (``doc_id, text``); other columns are ignored.
+    """``doc_id, k1, k2, fp, component_id, root`` for every row of ``docs`` (``doc_id, text``); other columns are ignored.
 
-    ``component_id`` is the least doc_id reachable by links of at most three bits. Texts without
+    ``root`` tells components apart, ``component_id`` is the least doc_id reachable by links of at most three bits. Texts without
     words (null, empty, white space) have fingerprint 0 and are linked like any other. Repeated
     rows are kept; null ids are carried but never name a component unless it has no other.
     """
@@ -206,7 +207,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = connected(links(distinct.select("fp"), distinct.count()))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return marked.join(rooted.join(named, "root").select("fp", "component_id", "root"), "fp").select("doc_id", *ROW_KEY, "fp", "component_id", "root")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of ``docs``, all columns, of each component.
+
+    The row of the least id stays, of several of that id the one of the least key; a row without
+    id stays only where no row of its component has one. Of equal rows one stays.
+    """
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), *ROW_KEY)
+    best = near_duplicates(docs).groupBy("root").agg(F.min(rank).alias("best")).select("best.k1", "best.k2").distinct()
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(F.col("doc_id"), F.col("text")))
+    kept = own.join(best, ROW_KEY, "left_semi").dropDuplicates(ROW_KEY)
+    return kept.select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

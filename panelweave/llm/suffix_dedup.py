@@ -25,23 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import Grams, partitions_for, saved, small_batches, table, words_of
+from panelweave.llm.common import ROW_KEY, Grams, partitions_for, row_key, saved, small_batches, table, words_of
 
 WINDOW, PREFIX = 50, 8
 #: Prefix places in a window, so also the most words a window has to the left of one, plus one.
 PLACES = WINDOW - PREFIX + 1
 #: Suffixes aimed at in one group, and in one prefix before it is lengthened.
 GROUP, HOT = 20_000, 50_000
-KEY = ["k1", "k2"]
+KEY = ROW_KEY
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a key that is never null; rows of equal id and text share it."""
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text",
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k1"),
-        F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull(), F.col("doc_id").isNull()).alias("k2"),
-    )
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row_key(F.col("doc_id"), F.col("text")))
 
 
 def chosen(h: np.ndarray) -> np.ndarray:
@@ -242,8 +237,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs)
     spans = saved(repeated_spans(keyed))
     rest = [c for c in columns if c != "text"]
-    own = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
-    own = own.withColumn("k1", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(0))).withColumn("k2", F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull(), F.col("row.doc_id").isNull()))
+    own = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), *row_key(F.col("doc_id"), F.col("text")))
     full = _with_spans(own, spans).select("row", "text", "spans")
     kind = full.schema["row"].dataType.simpleString()
     out = full.mapInArrow(_edit, f"row {kind}, kept_text string, n_words long, n_removed long, kept_sha256 string")

@@ -95,6 +95,11 @@ def test_simhash_components(spark):
         least[c] = min(x for x in (i, least.get(c)) if x is not None) if (i, least.get(c)) != (None, None) else None
     assert all(r["component_id"] == least[comp[r["fp"] % 2**64]] for r in got)
     assert simhash.near_duplicates(empty(spark)).count() == 0
+    kept = simhash.representatives(docs(spark, rows)).collect()
+    by = {}
+    for i, t in rows:
+        by.setdefault(comp[simhash_expected(t)], []).append((i is None, i or 0))
+    assert Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == Counter(min(v) for v in by.values())
 
 
 @pytest.mark.parametrize("n", [1, 2, 40, 700])
