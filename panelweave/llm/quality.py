@@ -108,7 +108,8 @@ def log_ratio(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     small_batches(docs.sparkSession)
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     raw = bucket_counts(docs)
-    target = bucket_counts(docs.select("doc_id", "text").join(good, "doc_id", "left_semi"))
+    # Labels grow with the corpus, so this is a shuffle join at any size.
+    target = bucket_counts(docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi"))
     if not target.sum():
         return np.zeros(BUCKETS)
     p_raw = (raw + SMOOTHING) / (raw.sum() + SMOOTHING * BUCKETS)
