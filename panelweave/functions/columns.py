@@ -71,7 +71,7 @@ def student_p(t: Column, df: Column) -> Column:
     """
     theta = F.atan(F.abs(t) / F.sqrt(df))
     cos2 = F.pow(F.cos(theta), 2)
-    steps = lambda start: F.when(df > start + 1, F.sequence(F.lit(start + 2), df - 2 + F.lit(0), F.lit(2)))
+    steps = lambda start: F.when(df >= start + 4, F.sequence(F.lit(start + 2).cast("long"), F.greatest(df.cast("long") - 2, F.lit(start + 2).cast("long")), F.lit(2).cast("long")))
 
     def series(start: int) -> Column:
         """1 + sum of products of k-1/k cos^2 for k = start+2, start+4, ... below df."""
