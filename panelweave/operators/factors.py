@@ -109,23 +109,36 @@ def _corr(a: str, b: str, n: int) -> Column:
     return F.when(F.count(c(a) + c(b)).over(trailing(n)) == n, correlation(c(a), c(b), trailing(n)))
 
 
-cl, v = c("close"), c("volume")
-_top, _bottom = lambda n: windowed(c("high"), n, F.max("high")), lambda n: windowed(c("low"), n, F.min("low"))
+def _top(n: int) -> Column:
+    return windowed(c("high"), n, F.max("high"))
+
+
+def _bottom(n: int) -> Column:
+    return windowed(c("low"), n, F.min("low"))
+
+
+def _close() -> Column:
+    return c("close")
+
+
+def _volume() -> Column:
+    return c("volume")
+
 
 #: Windowed factors by family, in the order of their columns.
 ROLLING: dict[str, Callable[[int], Column]] = {
     "ROC": lambda n: lagged("close", n, "close"),
-    "MA": lambda n: safe_divide(_mean(cl, n), cl),
-    "STD": lambda n: safe_divide(windowed(cl, n, F.stddev_samp(cl)), cl),
-    "BETA": lambda n: safe_divide(slope(cl, n), cl),
-    "RSQR": lambda n: r_square(cl, n),
-    "RESI": lambda n: safe_divide(residual(cl, n), cl),
-    "MAX": lambda n: safe_divide(_top(n), cl),
-    "MIN": lambda n: safe_divide(_bottom(n), cl),
-    "QTLU": lambda n: safe_divide(windowed(cl, n, F.percentile(cl, 0.8)), cl),
-    "QTLD": lambda n: safe_divide(windowed(cl, n, F.percentile(cl, 0.2)), cl),
-    "RANK": lambda n: rank_in_window(cl, n),
-    "RSV": lambda n: safe_divide(cl - _bottom(n), _top(n) - _bottom(n)),
+    "MA": lambda n: safe_divide(_mean(_close(), n), _close()),
+    "STD": lambda n: safe_divide(windowed(_close(), n, F.stddev_samp(_close())), _close()),
+    "BETA": lambda n: safe_divide(slope(_close(), n), _close()),
+    "RSQR": lambda n: r_square(_close(), n),
+    "RESI": lambda n: safe_divide(residual(_close(), n), _close()),
+    "MAX": lambda n: safe_divide(_top(n), _close()),
+    "MIN": lambda n: safe_divide(_bottom(n), _close()),
+    "QTLU": lambda n: safe_divide(windowed(_close(), n, F.percentile(_close(), 0.8)), _close()),
+    "QTLD": lambda n: safe_divide(windowed(_close(), n, F.percentile(_close(), 0.2)), _close()),
+    "RANK": lambda n: rank_in_window(_close(), n),
+    "RSV": lambda n: safe_divide(_close() - _bottom(n), _top(n) - _bottom(n)),
     "IMAX": lambda n: safe_divide(first_max(c("high"), n), F.lit(float(n))),
     "IMIN": lambda n: safe_divide(first_min(c("low"), n), F.lit(float(n))),
     "IMXD": lambda n: safe_divide(first_max(c("high"), n) - first_min(c("low"), n), F.lit(float(n))),
@@ -137,8 +150,8 @@ ROLLING: dict[str, Callable[[int], Column]] = {
     "SUMP": lambda n: _share("_dc", 1, n),
     "SUMN": lambda n: _share("_dc", -1, n),
     "SUMD": lambda n: _share("_dc", 0, n),
-    "VMA": lambda n: safe_divide(_mean(v, n), v),
-    "VSTD": lambda n: safe_divide(windowed(v, n, F.stddev_samp(v)), v),
+    "VMA": lambda n: safe_divide(_mean(_volume(), n), _volume()),
+    "VSTD": lambda n: safe_divide(windowed(_volume(), n, F.stddev_samp(_volume())), _volume()),
     "WVMA": lambda n: safe_divide(windowed(c("_moved"), n, F.stddev_samp("_moved")), windowed(c("_moved"), n, F.avg("_moved"))),
     "VSUMP": lambda n: _share("_dv", 1, n),
     "VSUMN": lambda n: _share("_dv", -1, n),
