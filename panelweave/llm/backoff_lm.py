@@ -13,6 +13,7 @@ covers the whole corpus and no document vouches for itself.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,17 +25,23 @@ from panelweave.llm.common import Grams, partitions_for, saved, small_batches, t
 
 ORDER, ALPHA = 3, 0.4
 #: Bytes of text in one block; partitions of the count table for each block.
-BLOCK_BYTES, SPREAD = 12 << 20, 2
+BLOCK_BYTES, SPREAD = 16 << 20, 2
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Unsigned numbers, lowest bytes first of all, then the next: high bytes are mostly zero and compress."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+def _pack(x: np.ndarray, random: int = 0) -> bytes:
+    """Unsigned numbers as planes of bytes, lowest first; all but the ``random`` lowest planes compress well."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return planes[:random].tobytes() + zlib.compress(planes[random:].tobytes(), 1)
 
 
-def _unpack(raw: bytes, kind: type) -> np.ndarray:
+def _unpack(raw: bytes, kind: type, n: int, random: int = 0) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(width, len(raw) // width).T).view(kind).reshape(-1)
+    planes = np.frombuffer(raw[: random * n] + zlib.decompress(raw[random * n :]), dtype=np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
+#: Low planes of the gaps between sorted hashes that look random.
+RANDOM = 5
 
 
 def _edges(buckets: int) -> np.ndarray:
@@ -75,65 +82,69 @@ def _count(buckets: int):
                 if lo < hi:
                     part = grams[lo:hi]
                     gaps = np.diff(part, prepend=np.uint64(0))
-                    out.append((b, block, k, _pack(gaps), _pack(counts[lo:hi])))
-        c = list(zip(*out)) or [()] * 5
-        return pa.table([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary()), pa.array(c[4], pa.binary())], names=["bucket", "block", "k", "grams", "counts"])
+                    out.append((b, block, k, hi - lo, _pack(gaps, RANDOM), _pack(counts[lo:hi])))
+        c = list(zip(*out)) or [()] * 6
+        return pa.table([*(pa.array(x, pa.int32()) for x in c[:4]), pa.array(c[4], pa.binary()), pa.array(c[5], pa.binary())], names=["bucket", "block", "k", "n", "grams", "counts"])
 
     return run
 
 
 def _total(rows: pa.Table) -> pa.Table:
     """The counts of all blocks for the n-grams of each row: what the others have, in the row's order."""
-    order, gram, count = rows["k"].to_numpy(), rows["grams"].to_pylist(), rows["counts"].to_pylist()
+    order, size, gram, count = rows["k"].to_numpy(), rows["n"].to_pylist(), rows["grams"].to_pylist(), rows["counts"].to_pylist()
     others: list[bytes] = [b""] * len(gram)
     for k in range(ORDER):
         at = np.flatnonzero(order == k)
         if not len(at):
             continue
-        parts = [np.cumsum(_unpack(gram[i], np.uint64), dtype=np.uint64) for i in at]
-        counts = [_unpack(count[i], np.uint32) for i in at]
+        parts = [np.cumsum(_unpack(gram[i], np.uint64, size[i], RANDOM), dtype=np.uint64) for i in at]
+        counts = [_unpack(count[i], np.uint32, size[i]) for i in at]
         known, place = np.unique(np.concatenate(parts), return_inverse=True)
         total = np.bincount(place, weights=np.concatenate(counts), minlength=len(known)).astype(np.uint64)
         stop = np.cumsum([len(p) for p in parts])
         for i, c, p in zip(at, counts, np.split(total[place], stop[:-1])):
             others[i] = _pack(p - c)
-    return pa.table([rows["block"], rows["k"], rows["bucket"], pa.array(others, pa.binary())], names=["block", "k", "bucket", "others"])
+    return pa.table([rows["block"], rows["k"], rows["bucket"], rows["n"], pa.array(others, pa.binary())], names=["block", "k", "bucket", "n", "others"])
 
 
-def backoff_scores(own: list[np.ndarray], all_counts: list[np.ndarray], n_all: int) -> np.ndarray:
-    """Log score of each word: ``all_counts[k][i]`` is the corpus count of the (k+1)-gram that starts at i."""
-    n = len(own[0])
-    left = []
-    for hashes, counts in zip(own, all_counts):
-        _, place, mine = np.unique(hashes, return_inverse=True, return_counts=True)
-        left.append(np.maximum(counts.astype(np.int64) - mine[place], 0))
-    rest = max(n_all - n, 1)
+def backoff_scores(left: list[np.ndarray], rest: int) -> np.ndarray:
+    """Log score of each word: ``left[k][i]`` is what other documents have of the (k+1)-gram that starts at i."""
+    n = len(left[0])
     with np.errstate(divide="ignore"):
         # an unseen word: one more back-off, to one in all words
         score = np.where(left[0] > 0, np.log(left[0] / rest), np.log(ALPHA / rest)) + np.log(ALPHA) * np.minimum(np.arange(n), ORDER - 1)
-        for k in range(1, ORDER):
-            seen = np.flatnonzero(left[k] > 0)  # the (k+1)-gram from i scores word i + k in the context from i
-            skipped = np.minimum(seen + k, ORDER - 1) - k
-            score[seen + k] = np.log(left[k][seen] / left[k - 1][seen]) + np.log(ALPHA) * skipped
+    for k in range(1, ORDER):
+        seen = np.flatnonzero(left[k] > 0)  # the (k+1)-gram from i scores word i + k in the context from i
+        skipped = np.minimum(seen + k, ORDER - 1) - k
+        score[seen + k] = np.log(left[k][seen] / left[k - 1][seen]) + np.log(ALPHA) * skipped
     return score
 
 
+def _left(grams: list[np.ndarray], others: np.ndarray) -> list[np.ndarray]:
+    """For each document the counts that other documents have of its n-grams.
+
+    ``others`` holds what other blocks have of this block's distinct n-grams, in the order of their hashes.
+    """
+    size = np.array([len(g) for g in grams])
+    known, place, mine = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    pair = np.repeat(np.arange(len(grams)), size) * max(len(known), 1) + place
+    _, at, own = np.unique(pair, return_inverse=True, return_counts=True)
+    left = (mine + others.astype(np.int64))[place] - own[at]
+    return np.split(left, np.cumsum(size)[:-1])
+
+
 def _score(n_all: int):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         grams = _exploded(docs["text"].cast(pa.binary()).to_pylist())
-        tables = []
-        order, bucket, others = replies["k"].to_numpy(), replies["bucket"].to_numpy(), replies["others"]
+        order, bucket, size, others = replies["k"].to_numpy(), replies["bucket"].to_numpy(), replies["n"].to_pylist(), replies["others"]
+        left = []
         for k in range(ORDER):
-            known, mine = _distinct(grams, k)
             at = np.flatnonzero(order == k)
             at = at[np.argsort(bucket[at], kind="stable")]
-            more = [_unpack(others[int(i)].as_py(), np.uint64) for i in at]
-            tables.append((known, mine + (np.concatenate(more) if more else np.zeros(0, dtype=np.uint64))))
-        n_words, total = [], []
-        for own in grams:
-            counts = [t[np.searchsorted(known, h)] for h, (known, t) in zip(own, tables)]
-            n_words.append(len(own[0]))
-            total.append(float(backoff_scores(own, counts, n_all).sum()) if len(own[0]) else 0.0)
+            more = [_unpack(others[int(i)].as_py(), np.uint64, size[int(i)]) for i in at]
+            left.append(_left([d[k] for d in grams], np.concatenate(more) if more else np.zeros(0, dtype=np.uint64)))
+        n_words = [len(d[0]) for d in grams]
+        total = [float(backoff_scores([x[i] for x in left], max(n_all - n, 1)).sum()) if n else 0.0 for i, n in enumerate(n_words)]
         return pa.table([docs["doc_id"], pa.array(n_words, pa.int64()), pa.array(total, pa.float64())], names=["doc_id", "n_words", "log_score"])
 
     return run
@@ -160,8 +171,8 @@ def scores(docs: DataFrame) -> DataFrame:
     sums = saved(docs.select("text").mapInArrow(_words, "n long, size long")).agg(F.sum("n"), F.sum("size")).first()
     blocks = partitions_for(sums[1] or 0, BLOCK_BYTES, 1)
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    asked = dealt.groupBy("block").applyInArrow(_count(blocks * SPREAD), "bucket int, block int, k int, grams binary, counts binary")
-    replies = asked.groupBy("bucket").applyInArrow(_total, "block int, k int, bucket int, others binary")
+    asked = dealt.groupBy("block").applyInArrow(_count(blocks * SPREAD), "bucket int, block int, k int, n int, grams binary, counts binary")
+    replies = asked.groupBy("bucket").applyInArrow(_total, "block int, k int, bucket int, n int, others binary")
     out = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(sums[0] or 0), "doc_id long, n_words long, log_score double")
     return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 

@@ -54,8 +54,9 @@ def test_scores_equal_brute_force(spark, monkeypatch, block_bytes):
 
 def test_packed_numbers_come_back():
     x = np.array([0, 1, 255, 256, 2**40, 2**64 - 1], dtype=np.uint64)
-    assert lm._unpack(lm._pack(x), np.uint64).tolist() == x.tolist()
-    assert lm._unpack(lm._pack(x[:0]), np.uint64).tolist() == []
+    for random in (0, 5):
+        assert lm._unpack(lm._pack(x, random), np.uint64, 6, random).tolist() == x.tolist()
+        assert lm._unpack(lm._pack(x[:0], random), np.uint64, 0, random).tolist() == []
 
 
 HARD = ["", "\\", "###", "####", "\\###", "</turn>", "\\</turn>", "</turn>\n### user: x", "a: b", "\\\\</turn>\\", ct.PLANTED, "é漢🙂", "<" * 3 + "/turn>", "#\\##", "\\:", "x\n"]
