@@ -49,11 +49,11 @@ def _edges(buckets: int) -> np.ndarray:
     return np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
 
 
-def _exploded(texts: list[bytes | None]) -> list[list[np.ndarray]]:
-    """Hashes of the n-grams of every order of each text."""
+def _exploded(texts: list[bytes]) -> list[list[np.ndarray]]:
+    """Hashes of the n-grams of every order of each compressed text."""
     out = []
     for t in texts:
-        words = words_of(t)
+        words = words_of(zlib.decompress(t))
         g = Grams(words) if words else None
         out.append([g.of(k) if g else np.zeros(0, dtype=np.uint64) for k in range(1, ORDER + 1)])
     return out
@@ -73,7 +73,7 @@ def _count(buckets: int):
 
     def run(rows: pa.Table) -> pa.Table:
         block = rows["block"][0].as_py()
-        docs = _exploded(rows["text"].cast(pa.binary()).to_pylist())
+        docs = _exploded(rows["text"].to_pylist())
         out: list[tuple] = []
         for k in range(ORDER):
             grams, counts = _distinct(docs, k)
@@ -135,7 +135,7 @@ def _left(grams: list[np.ndarray], others: np.ndarray) -> list[np.ndarray]:
 
 def _score(n_all: int):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        grams = _exploded(docs["text"].cast(pa.binary()).to_pylist())
+        grams = _exploded(docs["text"].to_pylist())
         order, bucket, size, others = replies["k"].to_numpy(), replies["bucket"].to_numpy(), replies["n"].to_pylist(), replies["others"]
         left = []
         for k in range(ORDER):
@@ -150,6 +150,13 @@ def _score(n_all: int):
     return run
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed bytes: they are exchanged once and held by their block."""
+    for b in batches:
+        texts = [zlib.compress(t or b"", 1) for t in b["text"].cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["block"], pa.array(texts, pa.binary())], ["doc_id", "block", "text"])
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = size = 0
     for b in batches:
@@ -170,7 +177,7 @@ def scores(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sums = saved(docs.select("text").mapInArrow(_words, "n long, size long")).agg(F.sum("n"), F.sum("size")).first()
     blocks = partitions_for(sums[1] or 0, BLOCK_BYTES, 1)
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")).mapInArrow(_squeeze, "doc_id long, block int, text binary")
     asked = dealt.groupBy("block").applyInArrow(_count(blocks * SPREAD), "bucket int, block int, k int, n int, grams binary, counts binary")
     replies = asked.groupBy("bucket").applyInArrow(_total, "block int, k int, bucket int, n int, others binary")
     out = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(sums[0] or 0), "doc_id long, n_words long, log_score double")
