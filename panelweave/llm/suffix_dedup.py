@@ -22,7 +22,7 @@ from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import ROW_KEY, Grams, partitions_for, row_key, saved, small_batches, table, words_of
@@ -73,15 +73,15 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each marked prefix of a text the words around it that its windows can reach."""
-    names = ["anchor", "doc_id", *KEY, "at", "left", "body"]
+    names = ["g", "doc_id", *KEY, "at", "left", "body"]
     for b in batches:
         doc_id, k1, k2 = (b[c].to_pylist() for c in ("doc_id", *KEY))
         out: list[tuple] = []
         for i, (text, marks) in enumerate(zip(b["text"].cast(pa.binary()).to_pylist(), b["marks"].to_pylist())):
             words = words_of(text)
-            for at, anchor in {(m["at"], m["anchor"]) for m in marks}:
+            for at, g in {(m["at"], m["g"]) for m in marks}:
                 lo, hi = max(0, at - PLACES + 1), min(len(words), at + WINDOW)
-                out.append((anchor, doc_id[i], k1[i], k2[i], at, at - lo, b" ".join(words[lo:hi])))
+                out.append((g, doc_id[i], k1[i], k2[i], at, at - lo, b" ".join(words[lo:hi])))
             if len(out) >= 5000 or (out and i == b.num_rows - 1):
                 c = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:4]), pa.array(c[4], pa.int32()), pa.array(c[5], pa.int32()), pa.array(c[6], pa.binary()).cast(pa.string())], names)
@@ -160,19 +160,23 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     known = docs.where(F.col("doc_id").isNotNull())
     anchors = saved(known.mapInArrow(_anchors, "doc_id long, k1 long, k2 long, at int, anchor long"))
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
+    # Prefixes are packed into groups by running sums of their suffixes, in slices of the hash range.
     shared = saved(shared.where("lo < hi").select("anchor", "n"))
+    slices = partitions_for(shared.agg(F.sum("n")).first()[0] or 0, 50 * GROUP)
+    within = Window.partitionBy("slice").orderBy("anchor")
+    before = F.sum(F.when(F.col("n") <= HOT, F.col("n")).otherwise(0)).over(within)
+    packed = shared.withColumn("slice", F.pmod(F.xxhash64("anchor"), F.lit(slices))).withColumn("g", F.shiftleft("slice", 32) + F.floor(before / GROUP))
     size = shared.agg(F.sum(F.when(F.col("n") <= HOT, F.col("n"))), F.sum(F.when(F.col("n") > HOT, F.col("n")))).first()
-    contexts = "anchor long, doc_id long, k1 long, k2 long, at int, left int, body string"
+    contexts = "g long, doc_id long, k1 long, k2 long, at int, left int, body string"
 
     def around(which: DataFrame) -> DataFrame:
-        marks = anchors.join(which.select("anchor").hint("merge"), "anchor").groupBy(*KEY).agg(F.collect_list(F.struct("at", "anchor")).alias("marks"))
+        marks = anchors.join(which.select("anchor", "g").hint("merge"), "anchor").groupBy(*KEY).agg(F.collect_list(F.struct("at", "g")).alias("marks"))
         return docs.join(marks.hint("merge"), KEY).select("doc_id", *KEY, "text", "marks").mapInArrow(_contexts, contexts)
 
-    groups = partitions_for(size[0] or 0, GROUP)
-    cold = around(shared.where(F.col("n") <= HOT)).groupBy(F.pmod(F.xxhash64("anchor"), F.lit(groups)).alias("g")).applyInArrow(_tree, "k1 long, k2 long, start int, stop int")
+    cold = around(packed.where(F.col("n") <= HOT)).groupBy("g").applyInArrow(_tree, "k1 long, k2 long, start int, stop int")
     if not size[1]:
         return cold
-    whole = around(shared.where(F.col("n") > HOT)).mapInArrow(_windows, "digest binary, doc_id long, k1 long, k2 long, start int").distinct()
+    whole = around(packed.where(F.col("n") > HOT)).mapInArrow(_windows, "digest binary, doc_id long, k1 long, k2 long, start int").distinct()
     least = whole.groupBy("digest").agg(F.min("doc_id").alias("least"))
     hot = whole.join(least, "digest").where("least < doc_id").select(*KEY, "start", (F.col("start") + WINDOW).cast("int").alias("stop"))
     return cold.unionByName(hot)
