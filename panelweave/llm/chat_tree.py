@@ -2,11 +2,16 @@
 
 A turn is written as ``### role: text</turn>`` and a line end. The control strings ``###`` and
 ``</turn>`` and the backslash get a backslash before them inside texts, so every text can be read
-back as it was. Conversations that begin with the same turns are packed together: each distinct
-turn sequence is a node of a tree, its turn is written once, depth-first, and a node carries the
-position of its first character in the conversation and the intervals of the packed text that it
+back as it was. Each distinct beginning of a conversation is a node of one tree over all of them;
+its turn is written once, depth-first, however many share it, and a node carries the position of
+its first character in the conversation and the intervals of the whole written text that it
 attends to, its ancestors and itself. Characters are the units; a tokenizer applied to each
 segment keeps all of this, as no segment is ever split between nodes.
+
+Conversations are sorted by the digests of their turns, so those through a node follow each other
+and a conversation adds the turns in which it leaves the path of the one before. Each task writes
+a stretch of the order on its own; where a stretch goes on along the path on which the one before
+it ends, the repeated beginning is cut off again and refers to where it was written first.
 """
 
 from __future__ import annotations
@@ -19,13 +24,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.pandas.types import from_arrow_schema
+
 from panelweave.llm.common import saved, small_batches, table
 
 OPEN, CLOSE = "###", "</turn>"
-#: Conversations in a pack, and turns by which a pack's common beginning is sought.
-PACK, DEPTH = 64, 8
-NODE = "struct<start:int,stop:int,position:int,parent:int,loss_start:int,loss_stop:int>"
-PACKED = f"pack string, text string, nodes array<{NODE}>, attends array<array<struct<start:int,stop:int>>>, leaves array<struct<whole:string,node:int>>"
+#: Conversations in a row of the packed text. It bounds rows only: a row refers to what earlier ones have written.
+PACK = 64
+#: Limits nothing: beginnings are shared at any depth. Kept as a name that callers set.
+DEPTH = 8
+#: Hexadecimal digits of a turn's digest in a path.
+DIGITS = 32
+#: Offsets are those of the whole written text; the parent is named by its start, -1 is none.
+NODE = pa.struct([(n, pa.int64()) for n in ("start", "stop", "position", "parent", "loss_start", "loss_stop")])
+#: A node on the path of a stretch's first or last conversation, and the row that it is written in.
+OPEN_NODE = pa.struct([("digest", pa.string()), ("pack", pa.int32()), ("node", NODE)])
+SCHEMA = pa.schema([("stretch", pa.int32()), ("pack", pa.int32()), ("start", pa.int64()), ("text", pa.string()), ("nodes", pa.list_(NODE)), ("attends", pa.list_(pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))), ("leaves", pa.list_(pa.struct([("whole", pa.string()), ("node", pa.int32())])))])
+WRITTEN = SCHEMA.append(pa.field("first", pa.list_(OPEN_NODE))).append(pa.field("last", pa.list_(OPEN_NODE)))
 
 _ESCAPED = re.compile(r"\\(\\|:|###|</turn>)")
 
@@ -68,51 +83,74 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
+class _Writer:
+    """Writes conversations that come in the order of their paths; ``open`` is the path of the newest."""
+
+    def __init__(self):
+        self.open: list[dict] = []
+        self.at = self.pack = 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.start, self.parts, self.nodes, self.attends, self.leaves = self.at, [], [], [], []
+
+    def add(self, whole: str, path: list, turns: list[tuple[str, str]]) -> None:
+        same = 0
+        while same < min(len(self.open), len(path)) and self.open[same]["digest"] == path[same]:
+            same += 1
+        del self.open[same:]
+        for digest, (role, text) in zip(path[same:], turns[same:]):
+            written, lo, hi = segment(role, text)
+            at, stop, up = self.at, self.at + len(written), self.open[-1] if self.open else None
+            node = {"start": at, "stop": stop, "position": up["node"]["position"] + up["node"]["stop"] - up["node"]["start"] if up else 0, "parent": up["node"]["start"] if up else -1, "loss_start": at + lo, "loss_stop": at + hi}
+            attends = joined([*(up["attends"] if up else []), {"start": at, "stop": stop}])
+            self.open.append({"digest": digest, "pack": self.pack, "node": node, "attends": attends})
+            self.parts.append(written)
+            self.nodes.append(node)
+            self.attends.append(attends)
+            self.at = stop
+        self.leaves.append({"whole": whole, "node": len(self.nodes) - 1})  # it differs from the one before, so its last turn is new
+
+
+def joined(spans: list[dict]) -> list[dict]:
+    """Spans of which the last may follow the one before it without a gap."""
+    if len(spans) > 1 and spans[-2]["stop"] == spans[-1]["start"]:  # an only or first child follows its parent
+        return [*spans[:-2], {"start": spans[-2]["start"], "stop": spans[-1]["stop"]}]
+    return spans
+
+
 def grow(conversations: list[tuple[str, list[tuple[str, str]]]]) -> tuple[str, list[dict], list[list[dict]], list[dict]]:
-    """The pack of the given (name, turns): its text, nodes, intervals attended to, and leaves."""
-    root: dict = {"next": {}, "ends": []}
-    for whole, turns in conversations:
-        node = root
-        for turn in turns:
-            node = node["next"].setdefault(turn, {"next": {}, "ends": []})
-        node["ends"].append(whole)
-    parts, nodes, attends, leaves, at = [], [], [], [{"whole": w, "node": -1} for w in root["ends"]], 0
-    stack = [(turn, node, -1) for turn, node in reversed(root["next"].items())]
-    while stack:
-        (role, text), node, parent = stack.pop()
-        written, lo, hi = segment(role, text)
-        me, up = len(nodes), nodes[parent] if parent >= 0 else None
-        nodes.append({"start": at, "stop": at + len(written), "position": up["position"] + up["stop"] - up["start"] if up else 0, "parent": parent, "loss_start": at + lo, "loss_stop": at + hi})
-        before = attends[parent] if up else []
-        if before and before[-1]["stop"] == at:  # an only or first child follows its parent
-            attends.append([*before[:-1], {"start": before[-1]["start"], "stop": at + len(written)}])
-        else:
-            attends.append([*before, {"start": at, "stop": at + len(written)}])
-        parts.append(written)
-        at += len(written)
-        leaves += [{"whole": w, "node": me} for w in node["ends"]]
-        stack += [(t, n, me) for t, n in reversed(node["next"].items())]
-    return "".join(parts), nodes, attends, leaves
-
-
-def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by pack; one pack is held at a time."""
-    schema = pa.schema([("pack", pa.string()), ("text", pa.string()), ("nodes", pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "stop", "position", "parent", "loss_start", "loss_stop")]))), ("attends", pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))), ("leaves", pa.list_(pa.struct([("whole", pa.string()), ("node", pa.int32())])))])
-
-    def done(pack: str, held: list) -> pa.RecordBatch:
-        text, nodes, attends, leaves = grow(held)
-        return pa.RecordBatch.from_pylist([{"pack": pack, "text": text, "nodes": nodes, "attends": attends, "leaves": leaves}], schema)
-
-    name, held = None, []
-    for b in batches:
-        for pack, whole, turns in zip(b["pack"].to_pylist(), b["whole"].to_pylist(), b["turns"].to_pylist()):
-            if held and pack != name:
-                yield done(name, held)
-                held = []
-            name = pack
-            held.append((whole, [(t["role"], t["text"]) for t in turns]))
-    if held:
-        yield done(name, held)
+    """The tree of the given distinct (name, turns): its text, nodes with their parents' numbers, intervals attended to, and leaves."""
+    tree = _Writer()
+    for whole, turns in sorted(conversations, key=lambda x: x[1]):
+        tree.add(whole, turns, turns)
+    number = {n["start"]: i for i, n in enumerate(tree.nodes)}
+    return "".join(tree.parts), [n | {"parent": number.get(n["parent"], -1)} for n in tree.nodes], tree.attends, tree.leaves
+
+
+def _write(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The stretch of one task, in offsets of its own; one row is held at a time."""
+        tree, first, stretch = _Writer(), None, None
+
+        def done() -> pa.RecordBatch:
+            last = [{k: x[k] for k in ("digest", "pack", "node")} for x in tree.open]
+            row = {"stretch": stretch, "pack": tree.pack, "start": tree.start, "text": "".join(tree.parts), "nodes": tree.nodes, "attends": tree.attends, "leaves": tree.leaves, "first": first if tree.pack == 0 else None, "last": last}
+            return pa.RecordBatch.from_pylist([row], WRITTEN)
+
+        for b in batches:
+            for stretch, path, whole, turns in zip(b["stretch"].to_pylist(), b["path"].to_pylist(), b["whole"].to_pylist(), b["turns"].to_pylist()):
+                if len(tree.leaves) == size:
+                    yield done()
+                    tree.pack += 1
+                    tree.clear()
+                tree.add(whole, [path[i : i + DIGITS] for i in range(0, len(path), DIGITS)], [(t["role"], t["text"]) for t in turns])
+                if first is None:
+                    first = [{k: x[k] for k in ("digest", "pack", "node")} for x in tree.open]
+        if tree.leaves:
+            yield done()
+
+    return run
 
 
 def whole_conversations(rows: DataFrame) -> DataFrame:
@@ -123,40 +161,100 @@ def whole_conversations(rows: DataFrame) -> DataFrame:
     return each.withColumn("whole", F.sha2(F.to_json("turns"), 256))
 
 
-def with_packs(distinct: DataFrame) -> DataFrame:
-    """``distinct`` (whole, turns) plus ``pack``: the shortest common beginning of at most PACK conversations.
+def _moved(node: dict, at) -> dict:
+    shift = at(node["start"]) - node["start"]
+    return {k: node[k] + shift for k in ("start", "stop", "loss_start", "loss_stop")} | {"position": node["position"], "parent": at(node["parent"]) if node["parent"] >= 0 else -1}
+
+
+def _places(ends: list) -> tuple[dict, list]:
+    """How stretches fit together, from the paths at their ends.
 
-    Where even DEPTH common turns are shared by more, those conversations are spread evenly over
-    packs of about that size.
+    For each stretch: the length of the beginning that the one before has written, what its own
+    offsets grow by, and (start, stop, start in the whole text) of the nodes cut off. And the
+    nodes cut off, as rows (stretch, level, the node, and stretch, pack and offset where it is).
     """
-    begin = F.transform(F.sequence(F.lit(1), F.least(F.size("turns"), F.lit(DEPTH))), lambda d: F.struct(d.alias("d"), F.sha2(F.to_json(F.slice("turns", 1, d)), 256).alias("prefix")))
-    steps = distinct.select("whole", F.explode(begin).alias("b")).select("whole", "b.d", "b.prefix")
-    steps = saved(steps)
-    sizes = steps.groupBy("prefix").agg(F.count("*").alias("n"))
-    options = steps.join(sizes, "prefix").select(
-        "whole",
-        F.when(F.col("n") <= PACK, F.struct(F.col("d").alias("rank"), F.col("prefix").alias("pack"))).otherwise(
-            F.struct((2 * DEPTH - F.col("d")).alias("rank"), F.concat_ws("-", "prefix", F.pmod(F.xxhash64("whole"), F.ceil(F.col("n") / PACK)).cast("string")).alias("pack"))
-        ).alias("option"),
+    places, entries, before, base = {}, [], [], 0
+    for row in sorted(ends, key=lambda r: r["stretch"]):
+        first, last = (row[x] for x in ("first", "last"))
+        same = 0
+        while same < min(len(before), len(first)) and before[same]["digest"] == first[same]["digest"]:
+            same += 1
+        cut = first[same - 1]["node"]["stop"] if same else 0
+        shift = base - cut
+        places[row["stretch"]] = cut, shift, [(f["node"]["start"], f["node"]["stop"], b["node"]["start"]) for f, b in zip(first[:same], before)]
+        entries += [(row["stretch"], level, x["node"], x["stretch"], x["pack"], x["own"]) for level, x in enumerate(before[:same])]
+        at = _offsets(places[row["stretch"]])
+        now = []
+        for level, x in enumerate(last):
+            kept = level < same and x["node"]["start"] < cut
+            now.append(before[level] if kept else {"digest": x["digest"], "node": _moved(x["node"].asDict(), at), "stretch": row["stretch"], "pack": x["pack"], "own": x["node"]["start"]})
+        before, base = now, base + row["size"] - cut
+    return places, entries
+
+
+def _offsets(place: tuple):
+    cut, shift, gone = place
+    elsewhere = {start: whole for start, _, whole in gone}
+    return lambda x: x + shift if x >= cut else elsewhere[x]
+
+
+def _place(places: dict):
+    def spans(attends: list[dict], place: tuple) -> list[dict]:
+        cut, shift, gone = place
+        out: list[dict] = []
+        for s in attends:
+            for start, stop, whole in gone if s["start"] < cut else ():
+                if s["start"] <= start and stop <= s["stop"]:
+                    out = joined([*out, {"start": whole, "stop": whole + stop - start}])
+            if s["stop"] > cut:
+                out = joined([*out, {"start": max(s["start"], cut) + shift, "stop": s["stop"] + shift}])
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.to_pylist()
+            for r in rows:
+                place = places[r["stretch"]]
+                cut, shift, at = place[0], place[1], _offsets(place)
+                lost = sum(n["start"] < cut for n in r["nodes"])
+                if lost:
+                    r |= {"text": r["text"][cut:], "start": cut, "nodes": r["nodes"][lost:], "attends": r["attends"][lost:], "leaves": [x | {"node": x["node"] - lost} for x in r["leaves"]]}
+                r |= {"start": r["start"] + shift, "nodes": [_moved(n, at) for n in r["nodes"]], "attends": [spans(a, place) for a in r["attends"]]}
+            yield pa.RecordBatch.from_pylist(rows, SCHEMA)
+
+    return run
+
+
+def _written(conversations: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The packed text; the rows that a stretch begins with, copies of nodes of earlier ones; the number of stretches."""
+    spark = conversations.sparkSession
+    small_batches(spark)
+    path = F.array_join(F.transform("turns", lambda t: F.substring(F.sha2(F.to_json(t), 256), 1, DIGITS)), "")
+    distinct = conversations.select("whole", "turns").dropDuplicates(["whole"]).withColumn("path", path)
+    ordered = distinct.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").sortWithinPartitions("path").select(F.spark_partition_id().alias("stretch"), "path", "whole", "turns")
+    own = saved(ordered.mapInArrow(_write(PACK), from_arrow_schema(WRITTEN)))
+    ends = own.groupBy("stretch").agg(F.min_by("first", "pack").alias("first"), F.max_by("last", "pack").alias("last"), F.max(F.col("start") + F.length("text")).alias("size")).collect()
+    places, entries = _places(ends)  # two paths for each task
+    schema = from_arrow_schema(SCHEMA)
+    node = schema["nodes"].dataType.elementType.simpleString()
+    wanted = spark.createDataFrame(entries, f"to int, level int, node {node}, stretch int, pack int, own long")
+    text = F.expr("substring(text, cast(own - start as int) + 1, cast(node.stop - node.start as int))")
+    begin = own.select("stretch", "pack", "start", "text").join(F.broadcast(wanted), ["stretch", "pack"]).select(
+        F.col("to").alias("stretch"), F.lit(-1).alias("pack"), F.col("node.start").alias("start"), text.alias("text"), F.array("node").alias("nodes"),
+        F.array().cast(schema["attends"].dataType).alias("attends"), F.array().cast(schema["leaves"].dataType).alias("leaves"), "level",
     )
-    return distinct.join(options.groupBy("whole").agg(F.min("option")["pack"].alias("pack")), "whole")
+    return own.drop("first", "last").mapInArrow(_place(places), schema), begin, max(places, default=0) + 1
 
 
 def packed(conversations: DataFrame) -> DataFrame:
-    """Packs of the distinct conversations (``whole, turns``): text, nodes, attention intervals, leaves."""
-    small_batches(conversations.sparkSession)
-    distinct = conversations.select("whole", "turns").dropDuplicates(["whole"])
-    return with_packs(distinct).repartition("pack").sortWithinPartitions("pack", "whole").select("pack", "whole", "turns").mapInArrow(_grow, PACKED)
-
-
-def read_back(text: str, nodes: list[dict], attends: list[dict], leaf: int) -> dict:
-    """What the packed text says about the conversation that ends at node ``leaf``."""
-    formatted = "".join(text[s["start"] : s["stop"]] for s in attends)
-    path = []
-    while leaf >= 0:
-        path.append(nodes[leaf])
-        leaf = nodes[leaf]["parent"]
-    loss = "".join(unescape(text[n["loss_start"] : n["loss_stop"]]) for n in reversed(path))
+    """The tree of the distinct conversations (``whole, turns``) in rows of at most PACK of them: text, nodes, attended intervals, leaves.
+
+    In the order of (stretch, pack), the texts make the whole text; ``start`` is a row's place in it.
+    """
+    return _written(conversations)[0]
+
+
+def read_back(formatted: str, loss: str) -> dict:
     turns = parse(formatted)
     digest = sha256()
     for role, t in turns:
@@ -165,10 +263,28 @@ def read_back(text: str, nodes: list[dict], attends: list[dict], leaf: int) -> d
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come in the order of the whole text, one stretch after another; the path of the newest node is held."""
     schema = pa.schema([("whole", pa.string()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+    stretch, path = None, []
     for b in batches:
-        rows = b.to_pylist()
-        out = [{"whole": x["whole"], **read_back(r["text"], r["nodes"], r["attends"][x["node"]], x["node"])} for r in rows for x in r["leaves"]]
+        out = []
+        for r in b.to_pylist():
+            if r["stretch"] != stretch:
+                stretch, path = r["stretch"], []
+            ends = {x["node"]: x["whole"] for x in r["leaves"]}
+            for i, n in enumerate(r["nodes"]):
+                while path and path[-1][0]["start"] != n["parent"]:
+                    path.pop()
+                if n["parent"] >= 0 and not path:
+                    raise ValueError(f"stretch {stretch} lacks the node at {n['parent']}")
+                path.append((n, r["text"][n["start"] - r["start"] : n["stop"] - r["start"]]))
+                if i in ends:
+                    spans = r["attends"][i]
+                    text = "".join(t for s in spans for m, t in path if s["start"] <= m["start"] and m["stop"] <= s["stop"])
+                    if len(text) != sum(s["stop"] - s["start"] for s in spans):
+                        raise ValueError(f"what the node at {n['start']} attends to is not its path")
+                    loss = "".join(unescape(t[m["loss_start"] - m["start"] : m["loss_stop"] - m["start"]]) for m, t in path)
+                    out.append({"whole": ends[i], **read_back(text, loss)})
         yield pa.RecordBatch.from_pylist(out, schema)
 
 
@@ -180,7 +296,9 @@ def formatted(rows: DataFrame) -> DataFrame:
     One conversation is one training sequence and is formatted in one task.
     """
     named = saved(whole_conversations(rows))
-    digests = packed(named).mapInArrow(_read_back, "whole string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    text, begin, stretches = _written(named)
+    rows = text.withColumn("level", F.lit(0)).unionByName(begin).repartitionById(stretches, F.col("stretch")).sortWithinPartitions("stretch", "pack", "level")
+    digests = rows.mapInArrow(_read_back, "whole string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     return named.select("conv_id", "whole").join(digests, "whole").drop("whole")
 
 

@@ -115,5 +115,30 @@ def test_formatted_equals_brute_force(spark, monkeypatch, pack, depth):
     assert all(len(p["leaves"]) <= max(pack * 3, 4) for p in packs)
 
 
+@pytest.mark.parametrize("pack", [64, 5])
+def test_each_beginning_is_written_once_whatever_its_frequency(spark, monkeypatch, pack):
+    monkeypatch.setattr(ct, "PACK", pack)
+    rows = []
+    for conv in range(300):  # one system prompt, and twelve common turns for half of them
+        common = ["prompt"] + [f"common {i}" for i in range(12)] * (conv % 2)
+        rows += [(conv, k, "system" if k == 0 else "assistant", t) for k, t in enumerate([*common, f"own {conv}", "é" * (conv % 7)])]
+    rows += [(1000, 0, "system", "prompt"), (1001, 0, "user", "alone"), (1002, 0, "user", "alone"), (1002, 1, "assistant", "x")]
+    d = spark.createDataFrame([(*r, "w", 1) for r in rows], ROWS)
+    by = {}
+    for conv, k, role, text in sorted(rows):
+        by.setdefault(conv, []).append((role, text))
+    beginnings = {tuple(t[: i + 1]) for t in by.values() for i in range(len(t))}
+    packs = sorted(ct.packed(ct.whole_conversations(d)).collect(), key=lambda p: (p["stretch"], p["pack"]))
+    text, seen = "".join(p["text"] for p in packs), []
+    assert len({p["stretch"] for p in packs}) > 1  # the prompt is shared by several tasks
+    assert len(text) == sum(len(ct.segment(*b[-1])[0]) for b in beginnings) and sum(len(p["nodes"]) for p in packs) == len(beginnings)
+    for p in packs:
+        assert len(p["leaves"]) <= pack and text[p["start"] : p["start"] + len(p["text"])] == p["text"]
+        seen += ["".join(text[s["start"] : s["stop"]] for s in p["attends"][x["node"]]) for x in p["leaves"]]
+    assert Counter(seen) == Counter("".join(ct.segment(*t)[0] for t in turns) for turns in by.values())
+    got = ct.formatted(d).collect()
+    assert Counter((r["conv_id"], r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"], r["formatted_chars"]) for r in got) == chat_expected(rows)
+
+
 def test_no_conversations(spark):
     assert ct.formatted(spark.createDataFrame([], ROWS)).count() == 0
