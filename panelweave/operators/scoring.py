@@ -220,7 +220,10 @@ def bullish_trend(ind: DataFrame, buffer: float = 0.03) -> Column:
 
 
 def volume_cross_buys(ind: DataFrame) -> DataFrame:
-    """Bars in a rising trend whose short volume average crossed the long one within three bars."""
+    """Bars in a rising trend whose short volume average crossed the long one within three bars.
+
+    A reduced rule; ``trend_2560_buys`` is the whole one.
+    """
     w = Window.partitionBy(KEY).orderBy(TIME).rowsBetween(-3, 0)
     recent = F.max(c("volume_cross").cast("int")).over(w) == 1
     rows = ind.withColumns({"_trend": bullish_trend(ind), "_recent": recent})
@@ -228,9 +231,42 @@ def volume_cross_buys(ind: DataFrame) -> DataFrame:
 
 
 def high_volume_sells(bars: DataFrame) -> DataFrame:
-    """Falling bars at a high on high volume, with the number of highs that they are at."""
+    """Falling bars at a high on high volume, with the number of highs that they are at.
+
+    A reduced rule; ``high_volume_bearish_sells`` is the whole one.
+    """
     cl, o, v = c("close"), c("open"), c("volume")
     highs = {n: c("high") >= F.max("high").over(trailing(n)) * 0.98 for n in (20, 60)}
     loud = (v >= 1.8 * windowed(v, 20, F.avg(v))) | (v >= F.max("volume").over(trailing(20)))
     rows = bars.withColumns({**{f"_h{n}": x.cast("int") for n, x in highs.items()}, "_loud": F.coalesce(loud, F.lit(False))})
     return rows.where((cl < o) & c("_loud") & (c("_h20") + c("_h60") > 0)).select(KEY, TIME, "close", (5 + c("_h20") + c("_h60")).alias("strength"))
+
+
+def trend_2560_buys(ind: DataFrame) -> DataFrame:
+    """Bars above a rising MA25 over MA60 with volume that crosses up now or within three bars, or stays strong.
+
+    ``ind`` has windowed and recurrent indicators. Gates on RSI, distance to the high and volume
+    pass where their value is missing. With the terms of the trade: stop, horizon, trailing stop,
+    and the bars held before a sell signal counts.
+    """
+    no, yes, own = F.lit(False), F.lit(True), Window.partitionBy(KEY).orderBy(TIME)
+    rows = ind.withColumns({"_recent": F.max(c("volume_cross").cast("int")).over(own.rowsBetween(-3, 0)) == 1, "_before": F.lag("close").over(own)})
+    sustained = F.coalesce(c("volume_ma5") >= c("volume_ma60") * 1.05, no)
+    quality = F.coalesce(c("distance_high_20") >= -0.06, no) | F.coalesce(c("close") >= c("_before"), no)
+    gates = F.coalesce(c("rsi") >= 52, yes) & F.coalesce(c("distance_high_20") >= -0.12, yes) & F.coalesce(c("volume_ratio_10") >= 0.95, yes)
+    rule = bullish_trend(ind, 0.0) & (c("close") > c("ma25")) & c("volume_ma5").isNotNull() & c("volume_ma60").isNotNull() & gates & (c("_recent") | sustained) & quality
+    return rows.where(rule).select(
+        KEY, TIME, "close", F.when(c("volume_cross"), "cross").when(c("_recent"), "recent").otherwise("sustained").alias("mode"), F.when(c("volume_cross"), 8).otherwise(7).alias("strength"),
+        F.coalesce(c("close") - 2 * c("atr14"), c("close") * 0.92).alias("stop_loss_price"), F.lit(60).alias("holding_horizon"), F.lit(0.945).alias("trailing_stop_pct"),
+        F.lit(0.07).alias("trailing_activation_gain"), F.lit(4).alias("min_holding_bars"),
+    )
+
+
+def high_volume_bearish_sells(ind: DataFrame) -> DataFrame:
+    """Falling bars at any of four highs on either kind of high volume; strength 5, and 1 more for each of three signs."""
+    has = lambda rule: F.coalesce(rule, F.lit(False))
+    falls = has(c("close") < c("open")) | has(c("intraday_return") < 0)
+    high = has(c("distance_high_20") >= -0.03) | has(c("distance_high_60") >= -0.05) | has(c("bb_position") >= 0.78) | has(c("return_60") >= 0.18)
+    loud = has(c("volume_ratio_10") >= 1.35) | has(c("volume_spike") >= 1.6)
+    signs = (has(c("upper_shadow") >= 0.28), has(c("volume_ratio_10") >= 1.8), has(c("distance_high_20") >= -0.01) | has(c("bb_position") >= 0.92))
+    return ind.where(falls & high & loud).select(KEY, TIME, "close", (F.lit(5) + sum(x.cast("int") for x in signs)).alias("strength"))

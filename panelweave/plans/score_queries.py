@@ -71,6 +71,10 @@ def scorecard(s, d):
     return sc.scorecard(va.summarize_ic(vq._ic(s, d)), va.summarize_long_short(va.long_short(buckets)), va.summarize_turnover(va.turnover_by_date(vq._members(s, d))))
 
 
+def trend_2560(s, d):
+    return sc.trend_2560_buys(ti.windowed_indicators(bars(s, d)).join(ti.recurrences(bars(s, d)), [KEY, TIME]))
+
+
 def asof(s, d):
     wanted = bars(s, d).select(KEY).distinct().withColumn(TIME, F.explode(F.sequence(F.lit("1993-01-01").cast("date"), F.lit("1998-01-01").cast("date"), F.expr("interval 3 months"))))
     return sc.price_asof(bars(s, d), wanted)
@@ -93,6 +97,8 @@ QUERIES = {
     "to_price_asof": asof,
     "st_volume_cross": lambda s, d: sc.volume_cross_buys(ti.windowed_indicators(bars(s, d))),
     "st_high_volume_sell": lambda s, d: sc.high_volume_sells(bars(s, d)),
+    "st_trend_2560": lambda s, d: rounded(trend_2560(s, d)),
+    "st_high_volume_bearish": lambda s, d: sc.high_volume_bearish_sells(ti.windowed_indicators(bars(s, d))),
     "wt_ridge": lambda s, d: rounded(ridge(s, d)),
     "wt_scorecard": lambda s, d: rounded(scorecard(s, d), 4),
 }
@@ -157,4 +163,6 @@ SQL = {
       WHERE recent = 1 AND ma25 > ma60 AND ma25_slope > 0 AND close >= ma25 * 0.97""",
     "st_high_volume_sell": with_bars() + f""" SELECT stock_code, trade_date, close AS "close", 5 + h20 + h60 AS strength FROM (SELECT *, CASE WHEN high >= max(high) OVER w20 * 0.98 THEN 1 ELSE 0 END AS h20, CASE WHEN high >= max(high) OVER w60 * 0.98 THEN 1 ELSE 0 END AS h60,
       coalesce(volume >= 1.8 * CASE WHEN count(volume) OVER w20 = 20 THEN avg(volume) OVER w20 END OR volume >= max(volume) OVER w20, false) AS loud FROM bars WINDOW {NAMED}) WHERE close < open AND loud AND h20 + h60 > 0""",
+    "st_high_volume_bearish": INDICATORS + """ SELECT stock_code, trade_date, close AS "close", 5 + CASE WHEN upper_shadow >= 0.28 THEN 1 ELSE 0 END + CASE WHEN volume_ratio_10 >= 1.8 THEN 1 ELSE 0 END + CASE WHEN distance_high_20 >= -0.01 OR bb_position >= 0.92 THEN 1 ELSE 0 END AS strength FROM i3
+      WHERE (close < open OR intraday_return < 0) AND (distance_high_20 >= -0.03 OR distance_high_60 >= -0.05 OR bb_position >= 0.78 OR return_60 >= 0.18) AND (volume_ratio_10 >= 1.35 OR volume_spike >= 1.6)""",
 }

@@ -2,12 +2,13 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import student_p
-from panelweave.operators import cleaning as cl, factors, scoring as sc, setups as sg, validation as va
+from panelweave.operators import cleaning as cl, factors, indicators as ti, scoring as sc, setups as sg, validation as va
 from panelweave.sources import store
 
 BAR = "stock_code string, trade_date date, open double, high double, low double, close double, volume double"
@@ -146,3 +147,37 @@ def test_pick_weights_sum_to_one(spark):
     picks = spark.createDataFrame([("a", dt.date(2025, 1, 1), 3.0), ("b", dt.date(2025, 1, 1), -1.0), ("c", dt.date(2025, 1, 2), None)], "stock_code string, trade_date date, x double")
     got = {(r["stock_code"]): r["weight"] for r in sc.pick_weights(picks, "x").collect()}
     assert got == {"a": 1.0, "b": 0.0, "c": 1.0}
+
+
+def walk(spark, n=160, codes="abcd"):
+    """Securities that drift up with bursts of volume."""
+    rng, rows = random.Random(5), []
+    for code in codes:
+        price = 20.0
+        for i in range(n):
+            o, price = price * rng.uniform(0.99, 1.012), price * rng.uniform(0.97, 1.036)
+            rows.append((code, dt.date(2024, 1, 1) + dt.timedelta(days=i), o, max(o, price) * rng.uniform(1, 1.02), min(o, price) * rng.uniform(0.98, 1), price, rng.uniform(5e5, 1e6) * rng.choice([1, 1, 1, 2.5])))
+    return spark.createDataFrame(rows, BAR)
+
+
+def test_buy_and_sell_rules_row_by_row(spark):
+    ind = ti.windowed_indicators(walk(spark)).join(ti.recurrences(walk(spark)), ["stock_code", "trade_date"]).cache()
+    rows = sorted(ind.collect(), key=lambda r: (r["stock_code"], r["trade_date"]))
+    ge = lambda x, y: x is not None and x >= y
+    buys, sells, lost = {}, {}, 0
+    for i, r in enumerate(rows):
+        at = r["stock_code"], r["trade_date"]
+        highs = [ge(r["distance_high_20"], -0.03), ge(r["distance_high_60"], -0.05), ge(r["bb_position"], 0.78), ge(r["return_60"], 0.18)]
+        if r["close"] < r["open"] and any(highs) and (ge(r["volume_ratio_10"], 1.35) or ge(r["volume_spike"], 1.6)):
+            lost += not (highs[0] or highs[1])
+            sells[at] = 5 + ge(r["upper_shadow"], 0.28) + ge(r["volume_ratio_10"], 1.8) + (ge(r["distance_high_20"], -0.01) or ge(r["bb_position"], 0.92))
+        if r["ma60"] is None or r["ma25_slope"] is None or r["ma25"] <= r["ma60"] or r["ma25_slope"] <= 0 or r["close"] <= r["ma25"]:
+            continue
+        if r["rsi"] < 52 or r["distance_high_20"] < -0.12 or r["volume_ratio_10"] < 0.95:
+            continue
+        recent = any(x["volume_cross"] for x in rows[i - 3 : i + 1])
+        if (recent or r["volume_ma5"] >= r["volume_ma60"] * 1.05) and (r["distance_high_20"] >= -0.06 or r["close"] >= rows[i - 1]["close"]):
+            buys[at] = ("cross" if r["volume_cross"] else "recent" if recent else "sustained", 8 if r["volume_cross"] else 7, round(r["close"] - 2 * r["atr14"], 9))
+    got = {(r["stock_code"], r["trade_date"]): (r["mode"], r["strength"], round(r["stop_loss_price"], 9)) for r in sc.trend_2560_buys(ind).collect()}
+    assert got == buys and {x[0] for x in buys.values()} == {"cross", "recent", "sustained"}
+    assert {(r["stock_code"], r["trade_date"]): r["strength"] for r in sc.high_volume_bearish_sells(ind).collect()} == sells and sells and lost
