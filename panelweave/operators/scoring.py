@@ -158,22 +158,32 @@ def price_asof(bars: DataFrame, wanted: DataFrame) -> DataFrame:
     return both.withColumn("price", F.last("close", True).over(w)).where("_asked = 1").select(KEY, TIME, "price")
 
 
-def trade_outcomes(bars: DataFrame, entries: DataFrame, stop: float = 0.08, trail: float = 0.9, gain: float = 0.05, horizon: int = 20) -> DataFrame:
+#: Optional columns of entries: the terms of each trade.
+TERMS = ("stop_loss_price", "holding_horizon", "trailing_stop_pct", "trailing_activation_gain", "min_holding_bars")
+
+
+def trade_outcomes(bars: DataFrame, entries: DataFrame, stop: float = 0.08, trail: float = 0.9, gain: float = 0.05, horizon: int = 20, sells: DataFrame | None = None) -> DataFrame:
     """What becomes of each signal: bought at the next open, sold at the open after the first exit rule holds.
 
     In order: close at or below the stop, close at or below ``trail`` of the peak close after a gain
-    of ``gain``, ``horizon`` bars held. The last bar of a security triggers nothing, so a position
-    without an exit before it stays open (``exit_reason`` held, valued at the last close).
+    of ``gain``, ``horizon`` bars held, a sell signal of ``sells`` once the signal's minimum of bars
+    is held. Columns of ``entries`` named in TERMS go before the arguments where they have a value.
+    The last bar of a security triggers nothing, so a position without an exit before it stays open
+    (``exit_reason`` held, valued at the last close).
     """
     nth = bars.withColumn("_nth", F.row_number().over(Window.partitionBy(KEY).orderBy(TIME))).withColumn("_last", F.max("_nth").over(Window.partitionBy(KEY)))
-    at = nth.select(KEY, TIME, "_nth").join(entries.select(KEY, TIME), [KEY, TIME]).withColumnRenamed(TIME, "signal_date")
-    path = at.select(KEY, "signal_date", c("_nth").alias("_signal"), F.explode(F.sequence(c("_nth") + 1, c("_nth") + horizon + 1)).alias("_nth"))
+    own = lambda n, other: F.coalesce(c(n), F.lit(other)) if n in entries.columns else F.lit(other)
+    terms = [own(n, x).alias(f"_{n}") for n, x in zip(TERMS, (None, horizon, trail, gain, 0))]
+    at = nth.select(KEY, TIME, "_nth").join(entries.select(KEY, TIME, *terms), [KEY, TIME]).withColumnRenamed(TIME, "signal_date")
+    path = at.select(KEY, "signal_date", c("_nth").alias("_signal"), *[f"_{n}" for n in TERMS], F.explode(F.sequence(c("_nth") + 1, c("_nth") + c("_holding_horizon").cast("int") + 1)).alias("_nth"))
     path = path.join(nth.select(KEY, "_nth", "_last", TIME, "open", "close"), [KEY, "_nth"])
+    path = path.withColumn("_sell", F.lit(False)) if sells is None else path.join(sells.select(KEY, TIME, F.lit(True).alias("_sell")).distinct(), [KEY, TIME], "left")
     w = Window.partitionBy(KEY, "signal_date").orderBy("_nth")
     path = path.withColumns({"entry": F.first("open").over(w), "peak": F.max("close").over(w), "next_open": F.lead("open").over(w), "next_date": F.lead(TIME).over(w), "held": c("_nth") - c("_signal")})
     reason = (
-        F.when(c("close") <= c("entry") * (1 - stop), "stop").when((c("close") <= c("peak") * trail) & (c("close") > c("entry") * (1 + gain)), "trailing")
-        .when(c("held") >= horizon, "time")
+        F.when(c("close") <= F.coalesce(c("_stop_loss_price").cast("double"), c("entry") * (1 - stop)), "stop")
+        .when((c("close") <= c("peak") * c("_trailing_stop_pct")) & (c("close") > c("entry") * (1 + c("_trailing_activation_gain"))), "trailing")
+        .when(c("held") >= c("_holding_horizon"), "time").when(c("_sell") & (c("held") >= c("_min_holding_bars")), "strategy_sell")
     )
     path = path.withColumn("reason", F.when((c("_nth") < c("_last")) & c("next_open").isNotNull(), reason))
     first = F.min(F.when(c("reason").isNotNull(), F.struct(c("_nth"), "reason", "next_open", "next_date")))
@@ -189,11 +199,11 @@ def net_return(gross: Column, slippage: float = 0.001, commission: float = 0.000
     return (1 + gross) * (1 - slippage) * (1 - commission) / ((1 + slippage) * (1 + commission)) - 1
 
 
-def trade_summary(trades: DataFrame) -> DataFrame:
+def trade_summary(trades: DataFrame, reasons: Iterable[str] = ("stop", "trailing", "time", "held")) -> DataFrame:
     r = c("net_return")
     return trades.groupBy(KEY).agg(
         F.count("*").alias("trades"), F.sum(F.when(r > 0, 1).otherwise(0)).alias("wins"), F.avg(r).alias("mean_return"), (F.exp(F.sum(F.ln(1 + r))) - 1).alias("compounded"),
-        *[F.sum(F.when(c("exit_reason") == x, 1).otherwise(0)).alias(f"n_{x}") for x in ("stop", "trailing", "time", "held")],
+        *[F.sum(F.when(c("exit_reason") == x, 1).otherwise(0)).alias(f"n_{x}") for x in reasons],
     )
 
 

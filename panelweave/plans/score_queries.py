@@ -33,8 +33,22 @@ def entries(s, d):
     return sg.merge_zones(sg.setup_events(sq.scored(s, d)).where("recipe = 'range_breakout'"), 20, "first")
 
 
-def trades(s, d):
-    out = sc.trade_outcomes(bars(s, d), entries(s, d))
+#: Ways out of a trade where there are sell signals.
+REASONS = ("stop", "trailing", "time", "strategy_sell", "held")
+
+
+def sells(s, d):
+    return sc.high_volume_bearish_sells(ti.windowed_indicators(bars(s, d)))
+
+
+def strategy_trades(s, d):
+    """Each buy of the trend strategy on its own terms, until its sell rule or another exit."""
+    out = sc.trade_outcomes(bars(s, d), trend_2560(s, d), sells=sells(s, d))
+    return out.withColumn("net_return", sc.net_return(c("trade_return")))
+
+
+def trades(s, d, sells=None):
+    out = sc.trade_outcomes(bars(s, d), entries(s, d), sells=sells)
     return out.withColumn("net_return", sc.net_return(c("trade_return")))
 
 
@@ -93,7 +107,9 @@ QUERIES = {
     "pf_curve": lambda s, d: rounded(curve(s, d).select(TIME, "equity"), 2),
     "to_trades": lambda s, d: rounded(sc.trade_outcomes(bars(s, d), entries(s, d)).select(KEY, "signal_date", "exit_date", "exit_reason", "trade_return")),
     "to_trade_summary": lambda s, d: rounded(sc.trade_summary(trades(s, d)), 5),
-    "to_non_overlapping": lambda s, d: rounded(sc.trade_summary(sc.non_overlapping(trades(s, d))), 5),
+    "to_non_overlapping": lambda s, d: rounded(sc.trade_summary(sc.non_overlapping(trades(s, d, sells(s, d))), REASONS), 5),
+    "to_strategy_trades": lambda s, d: rounded(strategy_trades(s, d).drop("net_return")),
+    "to_strategy_summary": lambda s, d: rounded(sc.trade_summary(sc.non_overlapping(strategy_trades(s, d)), REASONS), 5),
     "to_price_asof": asof,
     "st_volume_cross": lambda s, d: sc.volume_cross_buys(ti.windowed_indicators(bars(s, d))),
     "st_high_volume_sell": lambda s, d: sc.high_volume_sells(bars(s, d)),

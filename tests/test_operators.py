@@ -181,3 +181,21 @@ def test_buy_and_sell_rules_row_by_row(spark):
     got = {(r["stock_code"], r["trade_date"]): (r["mode"], r["strength"], round(r["stop_loss_price"], 9)) for r in sc.trend_2560_buys(ind).collect()}
     assert got == buys and {x[0] for x in buys.values()} == {"cross", "recent", "sustained"}
     assert {(r["stock_code"], r["trade_date"]): r["strength"] for r in sc.high_volume_bearish_sells(ind).collect()} == sells and sells and lost
+
+
+def test_sell_signals_and_terms_of_entries_end_trades(spark):
+    day = lambda i: dt.date(2025, 1, 1) + dt.timedelta(days=i)
+    bars = spark.createDataFrame([("a", day(i), 10.0 + i, 10.5 + i, 9.5 + i, 10.0 + i, 1.0) for i in range(8)], BAR)
+    buy = "'a' AS stock_code, DATE '2025-01-01' AS trade_date"
+    sells = spark.createDataFrame([("a", day(1)), ("a", day(1)), ("a", day(4)), ("b", day(2))], "stock_code string, trade_date date")
+
+    def outcome(terms="", **kw):
+        r = sc.trade_outcomes(bars, spark.sql(f"SELECT {buy}{terms}"), **kw).first()
+        return r["entry"], r["exit"], r["exit_reason"], r["exit_date"]
+
+    assert outcome(sells=sells) == (11.0, 12.0, "strategy_sell", day(2))
+    assert outcome(", 2 AS min_holding_bars", sells=sells) == (11.0, 15.0, "strategy_sell", day(5))
+    assert outcome(", 3 AS holding_horizon, 2 AS min_holding_bars", sells=sells) == (11.0, 14.0, "time", day(4))
+    assert outcome(", 11.0D AS stop_loss_price", sells=sells) == (11.0, 12.0, "stop", day(2))  # before the sell signal of that day
+    assert outcome(", 1.0D AS trailing_stop_pct, 0.3D AS trailing_activation_gain") == (11.0, 16.0, "trailing", day(6))
+    assert outcome(", CAST(NULL AS DOUBLE) AS stop_loss_price, CAST(NULL AS INT) AS holding_horizon") == outcome() == (11.0, 17.0, "held", day(7))
