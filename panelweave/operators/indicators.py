@@ -84,13 +84,26 @@ def windowed_indicators(bars: DataFrame) -> DataFrame:
 
 
 def range_scores(ind: DataFrame) -> DataFrame:
-    """Composite 0..100 scores of windowed indicators: reversion in the range, VWAP stretch, stability."""
-    z = with_zscores(ind, {"_revert": c("mean_reversion_5"), "_stretch": F.abs("price_vs_vwap"), "_steady": c("turnover_stability"), "_width": c("bb_width")})
+    """Composite 0..100 scores: reversion in the range, VWAP stretch, stability, width of the band.
+
+    Where ``ind`` has the recurrent ``atr10`` too, also the compression of band and ATR and the
+    composite of all of them.
+    """
+    whole = "atr10" in ind.columns
+    z = with_zscores(ind, {"_revert": c("mean_reversion_5"), "_stretch": F.abs("price_vs_vwap"), "_steady": c("turnover_stability"), "_width": c("bb_width"), **({"_atr": c("atr10")} if whole else {})})
     reversion = (1 - c("range_position_20")) * 40 + (1 - clamp(c("bb_position"), 0, 1)) * 30 + score(c("_revert")) * 0.3
-    return z.withColumn("_reversion", reversion).select(
+    out = z.withColumn("_reversion", reversion)
+    if whole:
+        out = out.withColumn("_compression", score(c("_width"), 10.0, False) * 0.55 + score(c("_atr"), 10.0, False) * 0.45)
+    out = out.select(
         KEY, TIME, clamp(c("_reversion"), 0, 100).alias("range_reversion"), score(c("_stretch"), 14.0, False).alias("vwap_stretch"),
         score(c("_steady"), 10.0, False).alias("range_stability"), score(c("_width"), 10.0, False).alias("band_compression"),
+        *([clamp(c("_compression"), 0, 100).alias("volatility_compression")] if whole else []),
     )
+    if not whole:
+        return out
+    blend = c("range_reversion") * 0.40 + c("volatility_compression") * 0.24 + c("vwap_stretch") * 0.18 + c("range_stability") * 0.18
+    return out.withColumn("range_long_composite", clamp(blend, 0, 100))
 
 
 def smoothed(x: np.ndarray, n: int, weight: float) -> np.ndarray:
@@ -154,9 +167,16 @@ MATRIX = {
 }
 
 
+def stoch_cross() -> Column:
+    """Stochastic RSI in its lower half, above its average since this bar or the one before; false where a value is missing."""
+    k, d = ([F.lag(n, i).over(security()) for i in range(3)] for n in ("stoch_k", "stoch_d"))
+    fresh = (k[1] <= d[1] + 3) | ((k[1] > d[1]) & (k[2] <= d[2] + 3))
+    return F.coalesce(k[0].between(15, 55) & d[0].between(0, 55) & (k[0] > d[0]) & fresh, F.lit(False))
+
+
 def full(bars: DataFrame) -> DataFrame:
     """All indicators: windowed, recurrent, and the scores made of both."""
-    both = windowed_indicators(bars).join(recurrences(bars), [KEY, TIME])
+    both = windowed_indicators(bars).join(recurrences(bars), [KEY, TIME]).withColumn("stoch_cross", stoch_cross())
     z = with_zscores(both, {f"_z_{n}": c(n) for n in MATRIX})
     parts = [c(f"_z_{n}") * w for n, w in MATRIX.items()]
     have = sum(F.when(p.isNotNull(), 1).otherwise(0) for p in parts)
@@ -173,6 +193,7 @@ def full(bars: DataFrame) -> DataFrame:
         + flag("close > ma25 AND distance_ma25 BETWEEN 0 AND 0.08 AND volume_spike >= 2 AND return_20 > -0.02 AND ma25_slope > -0.005 AND ma10 >= ma25 * 0.995 AND distance_high_20 >= -0.08", 10)
         + flag("close > ma25 AND distance_ma25 BETWEEN 0 AND 0.10 AND volume_spike >= 1.8 AND return_20 > -0.05 AND ma25_slope > -0.015 AND ma10 >= ma25 * 0.985 AND distance_high_20 >= -0.12", 4)
         + flag("distance_high_20 >= -0.03 AND volume_ratio_10 BETWEEN 1.1 AND 2.4 AND rsi BETWEEN 52 AND 68", 8)
+        + flag("stoch_cross", 8)
         - flag("rsi < 40 AND distance_ma20 < -0.03 AND return_20 < 0", 12)
         - flag("rsi > 74 OR distance_ma20 > 0.12 OR return_60 > 0.45", 8)
     )

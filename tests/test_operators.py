@@ -199,3 +199,38 @@ def test_sell_signals_and_terms_of_entries_end_trades(spark):
     assert outcome(", 11.0D AS stop_loss_price", sells=sells) == (11.0, 12.0, "stop", day(2))  # before the sell signal of that day
     assert outcome(", 1.0D AS trailing_stop_pct, 0.3D AS trailing_activation_gain") == (11.0, 16.0, "trailing", day(6))
     assert outcome(", CAST(NULL AS DOUBLE) AS stop_loss_price, CAST(NULL AS INT) AS holding_horizon") == outcome() == (11.0, 17.0, "held", day(7))
+
+
+def test_range_composite_and_stochastic_cross(spark, monkeypatch):
+    rows = {(r["stock_code"], r["trade_date"]): r for r in ti.full(walk(spark)).collect()}
+    by = {code: [rows[x] for x in sorted(rows) if x[0] == code] for code in "abcd"}
+    want = set()
+    for series in by.values():
+        for two, one, r in zip(series, series[1:], series[2:]):
+            if two["stoch_d"] is not None and 15 <= r["stoch_k"] <= 55 and 0 <= r["stoch_d"] <= 55 and r["stoch_k"] > r["stoch_d"]:
+                if one["stoch_k"] <= one["stoch_d"] + 3 or (one["stoch_k"] > one["stoch_d"] and two["stoch_k"] <= two["stoch_d"] + 3):
+                    want.add((r["stock_code"], r["trade_date"]))
+    assert want and want == {x for x, r in rows.items() if r["stoch_cross"]}
+    monkeypatch.setattr(ti, "stoch_cross", lambda: F.lit(False))
+    bare = {(r["stock_code"], r["trade_date"]): r["expected_3m_score"] for r in ti.full(walk(spark)).collect()}
+    scored = {x for x in rows if bare[x] is not None}
+    assert scored & want
+    for x in scored:
+        assert rows[x]["expected_3m_score"] == pytest.approx(min(bare[x] + 8, 100) if x in want and bare[x] > 0 else bare[x]) or (x in want and bare[x] == 0)
+
+    ind = ti.windowed_indicators(walk(spark)).join(ti.recurrences(walk(spark)), ["stock_code", "trade_date"])
+    got = {(r["stock_code"], r["trade_date"]): r for r in ti.range_scores(ind).collect()}
+    seen = 0
+    for series in by.values():
+        for i, r in enumerate(series):
+            g, have = got[r["stock_code"], r["trade_date"]], [x["atr10"] for x in series[max(0, i - 59) : i + 1] if x["atr10"] is not None]
+            if g["band_compression"] is None or len(have) < 20:
+                assert g["volatility_compression"] is None
+                continue
+            mean = sum(have) / len(have)
+            z = (have[-1] - mean) / math.sqrt(sum((x - mean) ** 2 for x in have) / (len(have) - 1))
+            assert g["volatility_compression"] == pytest.approx(g["band_compression"] * 0.55 + (50 - max(-3, min(3, z)) * 10) * 0.45)
+            if g["range_reversion"] is not None and g["range_stability"] is not None:
+                seen += 1
+                assert g["range_long_composite"] == pytest.approx(g["range_reversion"] * 0.4 + g["volatility_compression"] * 0.24 + g["vwap_stretch"] * 0.18 + g["range_stability"] * 0.18)
+    assert seen > 100
