@@ -1,4 +1,4 @@
-"""Datasets of the panel: reading with filters, appending, upserting, compacting, reports on coverage.
+"""Datasets of the panel: reading with filters, appending, upserting, reports on coverage.
 
 A dataset is a folder of Parquet partitioned by ``market`` and ``year``. Writers that replace a
 dataset write beside it first, since a folder that is being read can't be overwritten.
