@@ -13,6 +13,10 @@ the maximal repeats: a window with o words left of its prefix is in the same pla
 for equal windows. A prefix of more suffixes than a task should hold is lengthened to all of the
 window, for each place the window can have; such a subtree is a single node, and its least
 document is found by a grouped minimum.
+
+One prefix or passage may be a third of all rows. What is known of a key is joined to its rows by
+a shuffle only where the key has few rows; keys with a fixed share of all rows and more are so few
+that they are broadcast, and their rows are spread over all tasks.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ WINDOW, PREFIX = 50, 8
 PLACES = WINDOW - PREFIX + 1
 #: Suffixes aimed at in one group, and in one prefix before it is lengthened.
 GROUP, HOT = 20_000, 50_000
+#: A key of more than one of so many parts of all rows is broadcast, so at most this many are.
+SHARES = 10_000
 KEY = ROW_KEY
 
 
@@ -152,6 +158,21 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out = []
 
 
+def _looked_up(rows: DataFrame, key: str, known: DataFrame, total: int) -> DataFrame:
+    """``rows`` with what ``known`` has of their key; ``n`` in it is the number of the key's rows, of at most ``total``.
+
+    Keys of over ``total / SHARES`` rows, SHARES at most, are broadcast; no other key's rows are more than that.
+    """
+    names = [c for c in known.columns if c not in (key, "n")]
+    heavy = known.where(F.col("n") > total / SHARES).select(key, *[F.col(c).alias(f"heavy_{c}") for c in names], F.lit(True).alias("heavy"))
+    light = known.where(F.col("n") <= total / SHARES).select(F.col(key).alias("at_key"), *names, F.lit(True).alias("light"))
+    out = rows.join(F.broadcast(heavy), key, "left")
+    spread = F.xxhash64(*KEY, *[c for c in rows.columns if c in ("at", "start")])  # rows that are done go anywhere
+    spread = F.when(F.col("heavy"), spread.cast(rows.schema[key].dataType) if key == "anchor" else F.unhex(F.hex(spread))).otherwise(F.col(key))
+    out = out.withColumn("at_key", spread).join(light.hint("merge"), "at_key", "left").where("heavy OR light")
+    return out.select(*rows.columns, *[F.coalesce(f"heavy_{c}", F.when(F.col("heavy").isNull(), F.col(c))).alias(c) for c in names])
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``k1, k2, start, stop``: spans of words that repeated windows cover; ``docs`` is keyed.
 
@@ -170,15 +191,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     contexts = "g long, doc_id long, k1 long, k2 long, at int, left int, body string"
 
     def around(which: DataFrame) -> DataFrame:
-        marks = anchors.join(which.select("anchor", "g").hint("merge"), "anchor").groupBy(*KEY).agg(F.collect_list(F.struct("at", "g")).alias("marks"))
+        found = _looked_up(anchors, "anchor", which.select("anchor", "g", "n"), sum(x or 0 for x in size))
+        marks = found.groupBy(*KEY).agg(F.collect_list(F.struct("at", "g")).alias("marks"))
         return docs.join(marks.hint("merge"), KEY).select("doc_id", *KEY, "text", "marks").mapInArrow(_contexts, contexts)
 
     cold = around(packed.where(F.col("n") <= HOT)).groupBy("g").applyInArrow(_tree, "k1 long, k2 long, start int, stop int")
     if not size[1]:
         return cold
     whole = around(packed.where(F.col("n") > HOT)).mapInArrow(_windows, "digest binary, doc_id long, k1 long, k2 long, start int").distinct()
-    least = whole.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    hot = whole.join(least, "digest").where("least < doc_id").select(*KEY, "start", (F.col("start") + WINDOW).cast("int").alias("stop"))
+    least = whole.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    hot = _looked_up(whole, "digest", least, PLACES * size[1]).where("least < doc_id").select(*KEY, "start", (F.col("start") + WINDOW).cast("int").alias("stop"))
     return cold.unionByName(hot)
 
 
