@@ -25,11 +25,13 @@ def small_batches(spark: SparkSession) -> None:
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that all executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; a local one is made only where
-    the setting is absent, as in tests.
+    The cluster names that folder in ``spark.checkpoint.dir``; a local one is made only where the
+    setting is absent and all tasks run on this machine, as in tests.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
