@@ -8,6 +8,7 @@ import pytest
 
 from panelweave.llm import backoff_lm as lm
 from panelweave.llm import chat_tree as ct
+from panelweave.llm.common import Grams
 
 DOCS = "doc_id long, text string, block int, k int, n_words string"
 ROWS = "conv_id long, turn long, role string, text string, whole string, pack int"
@@ -35,9 +36,10 @@ def scores_expected(texts):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 30, 400])
-def test_scores_equal_brute_force(spark, monkeypatch, block_bytes):
+@pytest.mark.parametrize("block_bytes,at_once", [(1 << 30, 1 << 20), (400, 50), (900, 7)])
+def test_scores_equal_brute_force(spark, monkeypatch, block_bytes, at_once):
     monkeypatch.setattr(lm, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(lm, "AT_ONCE", at_once)
     rng = random.Random(1)
     vocab = ["the", "a", "é", "x", "漢"] + [f"w{i}" for i in range(40)]
     texts = [None, "", " \n", "the", "unique words only here", "the the the the"]
@@ -52,6 +54,19 @@ def test_scores_equal_brute_force(spark, monkeypatch, block_bytes):
     assert lm.scores(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_count_table_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 300)
+    rng = random.Random(4)
+    texts = [None, "", "one"] + [" ".join(rng.choice("abcdé") for _ in range(rng.randint(1, 60))) for _ in range(40)]
+    got = {r["gram"] & (2**64 - 1): r["n"] for r in lm.count_table(spark.createDataFrame([(i, t, 1, 2, "x") for i, t in enumerate(texts)], DOCS)).collect()}
+    want = Counter()
+    for t in texts:
+        w = (t or "").encode().split()
+        want.update(b" ".join(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    assert got == {int(Grams(g.split()).of(len(g.split()))[0]): n for g, n in want.items()}
+    assert lm.count_table(spark.createDataFrame([], DOCS)).count() == 0
+
+
 def test_packed_numbers_come_back():
     x = np.array([0, 1, 255, 256, 2**40, 2**64 - 1], dtype=np.uint64)
     for random in (0, 5):
