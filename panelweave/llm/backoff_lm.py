@@ -31,11 +31,11 @@ from panelweave.llm.common import Grams, partitions_for, saved, small_batches, t
 
 ORDER, ALPHA = 3, 0.4
 #: Bytes of text in one block, and blocks for one partition of the count table; both bound a task's memory.
-BLOCK_BYTES, BLOCKS_PER_PART = 16 << 20, 2
+BLOCK_BYTES, BLOCKS_PER_PART = 10 << 20, 2
 #: Least number of blocks, so that small inputs keep many tasks busy.
 LEAST_BLOCKS = 12
 #: n-grams of one partition that are added up at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
 
 
 def _pack(x: np.ndarray, random: int = 0) -> bytes:
@@ -69,21 +69,14 @@ def _exploded(texts: list[bytes]) -> list[list[np.ndarray]]:
     return out
 
 
-def _distinct(docs: list[list[np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
-    every = np.concatenate([d[k] for d in docs])
+def _distinct(docs: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of all orders of a block, sorted, and their counts."""
+    every = np.concatenate([g for d in docs for g in d])
     every.sort()
     if not len(every):
         return every, np.zeros(0, dtype=np.uint32)
     start = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-    return every[start], np.diff(np.append(start, len(every))).astype(np.uint32)
-
-
-def _merged(docs: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of all orders of a block, sorted, and their counts."""
-    each = [_distinct(docs, k) for k in range(ORDER)]
-    grams, counts = np.concatenate([g for g, _ in each]), np.concatenate([n for _, n in each])
-    order = np.argsort(grams, kind="stable")
-    return grams[order], counts[order]
+    return every[start], np.diff(start, append=len(every)).astype(np.uint32)
 
 
 def _count(parts: int):
@@ -91,7 +84,7 @@ def _count(parts: int):
 
     def run(rows: pa.Table) -> pa.Table:
         block = rows["block"][0].as_py()
-        grams, counts = _merged(_exploded(rows["text"].to_pylist()))
+        grams, counts = _distinct(_exploded(rows["text"].to_pylist()))
         at = [0, *np.searchsorted(grams, edges).tolist(), len(grams)]
         out = [(p, block, hi - lo, _pack(np.diff(grams[lo:hi], prepend=np.uint64(0)), RANDOM), _pack(counts[lo:hi])) for p, (lo, hi) in enumerate(zip(at, at[1:])) if lo < hi]
         c = list(zip(*out)) or [()] * 5
@@ -164,7 +157,7 @@ def _score(n_all: int):
         size, packed = replies["n"].to_pylist(), replies["others"]
         parts = np.argsort(replies["part"].to_numpy(), kind="stable").tolist()
         others = np.concatenate([_unpack(packed[i].as_py(), np.uint64, size[i]) for i in parts] or [np.zeros(0, dtype=np.uint64)])
-        known, left = _merged(grams)[0], []
+        known, left = _distinct(grams)[0], []
         for k in range(ORDER):
             left.append(_left([d[k] for d in grams], known, others))
         n_words = [len(d[0]) for d in grams]
