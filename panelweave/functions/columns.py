@@ -25,6 +25,12 @@ def leading(first: int, last: int) -> Window:
     return security().rowsBetween(first, last)
 
 
+def padded(x: Column, n: int = 5) -> Column:
+    """``x`` as text with zeros before it up to ``n`` characters; longer ones stay whole, as ``lpad`` alone would cut them."""
+    text = x.cast("string")
+    return F.when(F.length(text) >= n, text).otherwise(F.lpad(text, n, "0"))
+
+
 def safe_divide(a: Column, b: Column) -> Column:
     """``a / (b + EPSILON)``; NULL for the one divisor that this makes zero."""
     return F.try_divide(a, b + F.lit(EPSILON))
@@ -45,6 +51,18 @@ def windowed(x: Column, n: int, aggregate: Column, least: int | None = None) ->
     return F.when(F.count(x).over(w) >= (least or n), aggregate.over(w))
 
 
+def quantile(x: Column, q: float, over: Window) -> Column:
+    """The exact quantile of a frame of bounded length, between neighbours by share as ``percentile`` does, from the frame's values sorted once."""
+    values = F.sort_array(F.collect_list(x).over(over))
+
+    def of(a: Column) -> Column:
+        at = (F.size(a) - 1) * q
+        lo, hi = F.floor(at).cast("int"), F.ceil(at).cast("int")
+        return F.when(F.size(a) > 0, F.when(lo == hi, F.get(a, lo)).otherwise(F.get(a, lo) * (hi - at) + F.get(a, hi) * (at - lo)))
+
+    return F.transform(F.array(values), of)[0]
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     """``x`` between the bounds; NULL stays NULL."""
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high))))

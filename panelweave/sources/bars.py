@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelweave.functions.columns import padded
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,7 +17,7 @@ def daily_bars(lineitem: DataFrame) -> DataFrame:
     price = F.col("l_extendedprice") / F.col("l_quantity")
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     trades = lineitem.select(
-        F.lpad(F.col("l_suppkey").cast("string"), 5, "0").alias("stock_code"),
+        padded(F.col("l_suppkey")).alias("stock_code"),
         F.to_date("l_shipdate").alias("trade_date"),
         price.alias("price"), order.alias("nth"), F.col("l_quantity").cast("double").alias("quantity"),
     )
@@ -34,12 +36,16 @@ def registry(supplier: DataFrame, nation: DataFrame, region: DataFrame) -> DataF
     """``stock_code, stock_name, exchange, market``: suppliers, their nation and region."""
     places = nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", F.col("n_name").alias("exchange"), F.col("r_name").alias("market"))
     return supplier.join(F.broadcast(places), supplier.s_nationkey == places.n_nationkey).select(
-        F.lpad(F.col("s_suppkey").cast("string"), 5, "0").alias("stock_code"), F.col("s_name").alias("stock_name"), "exchange", "market"
+        padded(F.col("s_suppkey")).alias("stock_code"), F.col("s_name").alias("stock_name"), "exchange", "market"
     )
 
 
-BARS_SQL = """bars AS (
-  SELECT lpad(CAST(l_suppkey AS VARCHAR), 5, '0') AS stock_code, CAST(l_shipdate AS DATE) AS trade_date,
+def pad_sql(x: str, n: int = 5) -> str:
+    return f"lpad(CAST({x} AS VARCHAR), CAST(greatest({n}, len(CAST({x} AS VARCHAR))) AS INT), '0')"
+
+
+BARS_SQL = f"""bars AS (
+  SELECT {pad_sql('l_suppkey')} AS stock_code, CAST(l_shipdate AS DATE) AS trade_date,
          arg_min(px, row(l_orderkey, l_linenumber, l_partkey, l_extendedprice)) AS open, max(px) AS high, min(px) AS low,
          arg_max(px, row(l_orderkey, l_linenumber, l_partkey, l_extendedprice)) AS "close", CAST(sum(l_quantity) AS DOUBLE) AS volume
   FROM (SELECT *, l_extendedprice / l_quantity AS px FROM lineitem) GROUP BY ALL)"""

@@ -37,9 +37,16 @@ def read_dataset(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def write(df: DataFrame, path: str, mode: str = "overwrite", by: tuple[str, ...] = ("year",)) -> None:
-    """Rows without a date are dropped; ``year`` is added; each partition is written by its own tasks."""
+    """Rows without a date are dropped; ``year`` is added. Large partitions are split over tasks, small ones share them.
+
+    ``by=("market", "year")`` needs a column ``market``. Mode "dynamic" replaces the partitions that ``df`` has rows of.
+    """
     out = df.where(c(TIME).isNotNull()).withColumn("year", F.year(TIME))
-    out.repartition(*by).write.mode(mode).partitionBy(*by).parquet(path)
+    writer = out.hint("rebalance", *by).write.partitionBy(*by)
+    if mode == "dynamic":
+        writer.option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    else:
+        writer.mode(mode).parquet(path)
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -49,15 +56,84 @@ def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Old and new rows, the newer of each key; rows of ``new`` win ties."""
+    """Old and new rows, the last of each key by ``order``; rows of ``new`` win ties, no order comes first."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    return keep_last(both, keys, [F.desc("_new"), F.desc(order)]).drop("_new")
+    return keep_last(both, keys, [F.desc(order), F.desc("_new")]).drop("_new")
+
+
+def _replace(spark: SparkSession, path: str, rows: DataFrame, staging: str, by: tuple[str, ...]) -> None:
+    """Write ``rows`` beside the dataset, then put them in place of the partitions that they are of."""
+    write(rows, staging, by=by)
+    spark.read.parquet(staging).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], order: str, staging: str, by: tuple[str, ...] = ("year",)) -> None:
+    """Merge ``new`` into a dataset; only partitions that it has rows of are read and replaced. ``keys`` have the date."""
+    new = new.where(c(TIME).isNotNull()).withColumn("year", F.year(TIME))
+    touched = new.select(*by).distinct()  # a row for each partition
+    old = spark.read.parquet(path).join(F.broadcast(touched), list(by), "left_semi")
+    _replace(spark, path, upserted(old.drop("year"), new.drop("year"), keys, order), staging, by)
+
+
+def compacted(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row for each key, the last by ``order``, ties by the other columns."""
+    rest = [F.desc(x) for x in df.columns if x not in (*keys, *order)]
+    return keep_last(df, keys, [*(F.desc(x) for x in order), *rest])
+
+
+def compact(spark: SparkSession, path: str, keys: list[str], order: list[str], staging: str, by: tuple[str, ...] = ("year",)) -> None:
+    """Rewrite a dataset with one row for each key; ``keys`` have the date."""
+    _replace(spark, path, compacted(spark.read.parquet(path).drop("year"), keys, order), staging, by)
+
+
+def scalar(df: DataFrame, expression: str, filters: dict | None = None) -> DataFrame:
+    """One aggregate of the rows that pass the filters."""
+    return filtered(df, filters).agg(F.expr(expression).alias("value"))
+
+
+def update_log(log: DataFrame, limit: int, filters: dict | None = None) -> DataFrame:
+    """The newest ``limit`` rows of a log (``log_id, logged_at``)."""
+    return filtered(log, filters).orderBy(F.desc("logged_at"), F.desc("log_id")).limit(limit)
+
+
+def log_row(counts: DataFrame, operation: str, as_of: Column) -> DataFrame:
+    """What an upsert did, as a row to append to the log."""
+    return counts.select(F.lit(operation).alias("operation"), as_of.alias("logged_at"), "inserted", "updated", (c("inserted") + c("updated")).alias("affected"))
+
+
+#: Days that a fetch goes back before the latest bar, by frequency. Fixed values.
+OVERLAP_DAYS = {"daily": 7, "1min": 5, "5min": 10, "15min": 10, "30min": 10, "60min": 15}
+
+
+def incremental_plans(universe: DataFrame, bars: DataFrame, plans: dict[str, tuple[str, str]], skip_fresh: bool = True) -> DataFrame:
+    """For each security and frequency the latest bar, where to fetch from, whether it is fresh, and whether to fetch.
+
+    ``bars`` has ``frequency`` and ``ts``; ``plans`` has the first and last time wanted of each frequency.
+    """
+    newest = bars.groupBy(KEY, "frequency").agg(F.max("ts").alias("latest"))
+    days = F.create_map(*[F.lit(x) for kv in OVERLAP_DAYS.items() for x in kv])
+    each = [F.struct(F.lit(f).alias("frequency"), F.lit(a).cast("timestamp").alias("start_ts"), F.lit(z).cast("timestamp").alias("end_ts")) for f, (a, z) in plans.items()]
+    wanted = universe.select(KEY).distinct().select(KEY, F.inline(F.array(*each)))
+    out = wanted.join(newest, [KEY, "frequency"], "left").withColumn("_days", F.coalesce(F.try_element_at(days, c("frequency")), F.lit(7)))
+    start = F.greatest("start_ts", F.expr("latest - make_dt_interval(_days)"))
+    start = F.when(c("frequency") == "daily", F.date_trunc("day", start)).otherwise(start)
+    out = out.withColumns({"fetch_from": F.when(c("latest").isNull(), c("start_ts")).otherwise(start), "fresh": F.coalesce(c("latest") >= c("end_ts"), F.lit(False))})
+    return out.withColumn("should_fetch", ~(F.lit(skip_fresh) & c("fresh"))).drop("_days")
+
+
+def frequency_coverage(universe: DataFrame, bars: DataFrame, frequencies: Iterable[str]) -> DataFrame:
+    """Rows, securities with rows and without, for each frequency."""
+    wanted = universe.select(KEY).distinct().withColumn("frequency", F.explode(F.array(*map(F.lit, frequencies))))
+    have = bars.groupBy(KEY, "frequency").agg(F.count("*").alias("n"))
+    return wanted.join(have, [KEY, "frequency"], "left").groupBy("frequency").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n_rows"), F.count("n").alias("with_rows"), F.sum(F.when(c("n").isNull(), 1).otherwise(0)).alias("missing"))
 
 
-def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], order: str, staging: str) -> None:
-    old = spark.read.parquet(path).drop("year")
-    write(upserted(old, new, keys, order), staging)
-    spark.read.parquet(staging).write.mode("overwrite").partitionBy("year").parquet(path)
+def partial_securities(universe: DataFrame, bars: DataFrame, frequencies: Iterable[str]) -> DataFrame:
+    """Securities that have some frequencies and lack others, with those that they lack."""
+    wanted = universe.select(KEY).distinct().withColumn("frequency", F.explode(F.array(*map(F.lit, frequencies))))
+    have = bars.select(KEY, "frequency").distinct().withColumn("_have", F.lit(1))
+    out = wanted.join(have, [KEY, "frequency"], "left").groupBy(KEY).agg(F.count("_have").alias("n_have"), F.array_join(F.array_sort(F.collect_set(F.when(c("_have").isNull(), c("frequency")))), ",").alias("lacking"))
+    return out.where((c("n_have") > 0) & (c("lacking") != ""))
 
 
 def change_counts(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

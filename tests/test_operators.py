@@ -85,7 +85,7 @@ def test_quality_counts(spark):
     got = {r["stock_code"]: r for r in cl.quality(spark.createDataFrame(clean + dirty, BAR + ", arrival int"), "arrival").collect()}
     assert got["c"]["passed"] and got["c"]["errors"] == 0
     x = got["x"]
-    assert (x["missing_required_values"], x["duplicate_trade_date"], x["non_monotonic_trade_date"], x["non_positive_price"], x["negative_volume"], x["zero_volume_flat_bar"], x["zero_volume_nonflat_bar"]) == (1, 1, 1, 1, 1, 2, 1)
+    assert (x["missing_required_values"], x["duplicate_trade_date"], x["non_monotonic_trade_date"], x["non_positive_price"], x["negative_volume"], x["zero_volume_flat_bar"], x["zero_volume_nonflat_bar"]) == (1, 1, 1, 1, 1, 2, 2)  # a negative volume counts here too
     assert not x["passed"]
 
 
@@ -234,3 +234,68 @@ def test_range_composite_and_stochastic_cross(spark, monkeypatch):
                 seen += 1
                 assert g["range_long_composite"] == pytest.approx(g["range_reversion"] * 0.4 + g["volatility_compression"] * 0.24 + g["vwap_stretch"] * 0.18 + g["range_stability"] * 0.18)
     assert seen > 100
+
+
+def test_codes_longer_than_the_padding_stay_whole(spark):
+    from panelweave.sources.bars import daily_bars
+
+    rows = [(1, 1, 1, k, 10.0, 100.0, dt.datetime(2024, 1, 2)) for k in (7, 123456, 123457)]
+    line = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate timestamp")
+    assert sorted(r[0] for r in daily_bars(line).select("stock_code").collect()) == ["00007", "123456", "123457"]
+    codes = ["sz000001", "600000.SH", "300001bj", "000001", "100001", "12345", "7", "430001", "abc", None]
+    got = spark.createDataFrame([(x,) for x in codes], "x string").select(cl.stock_code(F.col("x"), "CN").alias("c"), cl.exchange_of(F.col("x"), "CN").alias("e"), cl.stock_code(F.col("x"), "HK").alias("h")).collect()
+    assert [r["c"] for r in got] == ["000001.SZ", "600000.SH", "300001.BJ", "000001.SZ", "100001", "12345", "7", "430001.BJ", "ABC", ""]
+    assert [r["e"] for r in got] == ["SZSE", "SSE", "SZSE", "SZSE", "CN", "CN", "CN", "BSE", "CN", "CN"]
+    assert [r["h"] for r in got][:7] == ["000001", "600000", "300001", "000001", "100001", "12345", "00007"]
+
+
+def test_names_and_missing_names(spark):
+    x = spark.createDataFrame([(" BFQ ",), ("no_adjust",), (None,), ("nope",)], "x string")
+    assert [r[0] for r in x.select(cl.mapped(F.col("x"), cl.ADJUST, missing=cl.NO_ADJUST)).collect()] == ["raw", "raw", "qfq", None]
+    with pytest.raises(Exception, match="unknown name: nope"):
+        x.select(cl.mapped(F.col("x"), cl.ADJUST, strict=True, missing=cl.NO_ADJUST)).collect()
+    with pytest.raises(Exception, match="unknown name: NULL"):
+        x.where("x IS NULL").select(cl.mapped(F.col("x"), cl.ACTIONS, strict=True)).collect()
+
+
+def test_an_older_row_does_not_replace_a_newer_one(spark, tmp_path):
+    kind = "stock_code string, trade_date date, close double, stamp int"
+    day = [dt.date(2023, 5, 1), dt.date(2024, 5, 1)]
+    old = spark.createDataFrame([("a", day[0], 1.0, 9), ("a", day[1], 1.0, 3), ("b", day[0], 1.0, 5)], kind)
+    new = spark.createDataFrame([("a", day[0], 2.0, 3), ("a", day[1], 2.0, 3), ("c", day[1], 2.0, None)], kind)
+    got = {(r["stock_code"], r["trade_date"]): r["close"] for r in store.upserted(old, new, ["stock_code", "trade_date"], "stamp").collect()}
+    assert got == {("a", day[0]): 1.0, ("a", day[1]): 2.0, ("b", day[0]): 1.0, ("c", day[1]): 2.0}
+    path = str(tmp_path / "d")
+    store.write(old, path)
+    import os
+
+    untouched = {f for f in os.listdir(f"{path}/year=2023") if f.endswith("parquet")}
+    store.upsert(spark, path, new.where("year(trade_date) = 2024"), ["stock_code", "trade_date"], "stamp", str(tmp_path / "s1"))
+    assert {f for f in os.listdir(f"{path}/year=2023") if f.endswith("parquet")} == untouched  # a year without new rows isn't rewritten
+    assert {(r["stock_code"], r["trade_date"]): r["close"] for r in spark.read.parquet(path).collect()} == {("a", day[0]): 1.0, ("a", day[1]): 2.0, ("b", day[0]): 1.0, ("c", day[1]): 2.0}
+    store.write(old, path, "append")
+    store.compact(spark, path, ["stock_code", "trade_date"], ["stamp"], str(tmp_path / "s2"))
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_a_total_loss_leaves_nothing(spark):
+    days = spark.createDataFrame([(dt.date(2024, 1, i), r) for i, r in ((1, 0.1), (2, -1.0), (3, 0.5))], "trade_date date, r double")
+    assert [x["equity"] for x in sc.compounded(days, "r", 100.0).orderBy("trade_date").collect()] == pytest.approx([110.0, 0.0, 0.0])
+
+
+def test_distribution_plans(spark):
+    texts = ["每股派末期息派0.5港元", "每10股派3元", "股息0.2", "每10股送3股派1元", "每10股转增5股", "每2股供1股，供股价为3.5元", "不派息", "取消派息", "", None, "每0股派3"]
+    rows = spark.createDataFrame([(str(i), dt.date(2024, 1, 1), t) for i, t in enumerate(texts)], "stock_code string, trade_date date, plan string")
+    got = sorted((r["stock_code"], r["action"], r["cash"] if r["cash"] is not None else r["ratio"], r["price"]) for r in cl.distribution_actions(rows).collect())
+    assert got == [("0", "cash_dividend", 0.5, None), ("1", "cash_dividend", 0.3, None), ("2", "cash_dividend", 0.2, None), ("3", "bonus_issue", 0.3, None), ("3", "cash_dividend", 0.1, None), ("4", "bonus_issue", 0.5, None), ("5", "rights_issue", 0.5, 3.5)]
+
+
+def test_disorder_across_a_gap_and_off_hours(spark):
+    d = dt.date
+    rows = [("a", d(2024, 1, 3), 1), ("a", d(2024, 1, 5), 2), ("a", d(2024, 1, 4), 3), ("b", d(2024, 1, 3), 1), ("b", None, 2), ("c", d(2024, 1, 3), 1), ("c", d(2024, 1, 4), 2)]
+    full = spark.createDataFrame([(k, x, 1.0, 1.0, 1.0, 1.0, 1.0, i) for k, x, i in rows], BAR + ", arrival int")
+    assert {r["stock_code"]: r["non_monotonic_trade_date"] for r in cl.quality(full, "arrival").collect()} == {"a": 1, "b": 1, "c": 0}
+    ts = lambda h, m, s=0, u=0: dt.datetime(2026, 4, 24, h, m, s, u)
+    ticks = [("a", ts(9, 29), 1, 9.0, 1.0), ("a", ts(11, 59), 2, 10.0, 1.0), ("a", ts(12, 0), 3, 11.0, 1.0), ("a", ts(12, 0, 0, 5), 4, 99.0, 1.0), ("a", ts(13, 0), 5, 12.0, 0.0), ("a", ts(13, 30), 6, 13.0, 2.0)]
+    got = {r["end_ts"]: (r["open"], r["close"], r["volume"]) for r in cl.resample(spark.createDataFrame(ticks, "stock_code string, ts timestamp, seq int, price double, qty double"), (60,)).collect()}
+    assert got == {ts(12, 0): (10.0, 11.0, 2.0), ts(14, 0): (13.0, 13.0, 2.0)}
