@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.functions.columns import EPSILON, KEY, TIME, correlation, safe_divide, security, trailing, windowed
+from panelweave.functions.columns import EPSILON, KEY, TIME, correlation, safe_divide, security, trailing
 
 WINDOWS = (5, 10, 20, 30, 60)
 PRICES = ("open", "high", "low", "close", "vwap")
@@ -46,7 +46,9 @@ def with_inputs(bars: DataFrame) -> DataFrame:
         "_lvstep": F.when(c("_volume1").isNotNull(), F.ln(F.greatest(safe_divide(c("volume"), c("_volume1")) + 1, F.lit(EPSILON)))),
         "_moved": F.abs(step - 1) * c("volume"),
     })
-    return out.withColumns({"_up": F.coalesce(c("_dc") > 0, F.lit(False)).cast("double"), "_fell": F.coalesce(c("_dc") < 0, F.lit(False)).cast("double")})
+    out = out.withColumns({"_up": F.coalesce(c("_dc") > 0, F.lit(False)).cast("double"), "_fell": F.coalesce(c("_dc") < 0, F.lit(False)).cast("double"), "_atclose": c("_at") * c("close")})
+    lists = {f"_{n}s": F.collect_list(n).over(trailing(max(WINDOWS))) for n in ("close", "high", "low")}
+    return out.withColumns(lists)
 
 
 def candle() -> dict[str, Column]:
@@ -63,46 +65,64 @@ def lagged(field: str, n: int, base: str) -> Column:
     return safe_divide(x, c(base))
 
 
-def _mean(x: Column, n: int) -> Column:
-    return windowed(x, n, F.avg(x))
+def _full(aggregate: Column, n: int, lost: int = 0) -> Column:
+    """``aggregate`` over the last ``n`` bars once they are there; inputs have values from bar ``lost`` + 1 of a security on."""
+    return F.when(c("_at") >= n + lost, aggregate.over(trailing(n)))
+
+
+def _mean(x: str, n: int, lost: int = 0) -> Column:
+    return _full(F.avg(x), n, lost)
 
 
 def _share(part: str, sign: int, n: int) -> Column:
     """Gains (sign 1), losses (-1) or their difference (0) of a change column as a share of all movement."""
-    d = c(part)
-    moved = F.sum(F.abs(d)).over(trailing(n))
-    what = d if sign == 0 else F.greatest(d * sign, F.lit(0.0))
-    return F.when(F.count(d).over(trailing(n)) == n, safe_divide(F.sum(what).over(trailing(n)), moved))
+    moved, gained = F.sum(F.abs(part)).over(trailing(n)), F.sum(F.greatest(c(part), F.lit(0.0))).over(trailing(n))
+    what = {1: gained, -1: moved - gained, 0: gained + gained - moved}[sign]
+    return F.when(c("_at") > n, safe_divide(what, moved))
+
 
+def _last(field: str, n: int) -> Column:
+    """The window's values of a field, oldest first; the list of the longest window is made once for all."""
+    return F.slice(c(f"_{field}s"), -n, n)
 
-def _listed(x: Column, n: int) -> Column:
-    """The window's values in order, NULL while it is not full."""
-    return F.when(F.count(x).over(trailing(n)) == n, F.collect_list(x).over(trailing(n)))
 
+def rank_in_window(n: int) -> Column:
+    """Average rank of the newest close among the window's, as a share of the window."""
+    values = _last("close", n)
+    below = F.array_position(F.sort_array(values), c("close")) - 1
+    equal = n - F.size(F.array_remove(values, c("close")))
+    return F.when(c("_at") >= n, (below + (equal + 1) / 2) / n)
 
-def rank_in_window(x: Column, n: int) -> Column:
-    """Average rank of the newest value among the window's, as a share of the window."""
-    return F.transform(F.array(_listed(x, n)), lambda a: (F.size(F.filter(a, lambda v: v < F.element_at(a, -1))) + (F.size(F.filter(a, lambda v: v == F.element_at(a, -1))) + 1) / 2) / n)[0]
 
+def first_max(field: str, n: int) -> Column:
+    return F.when(c("_at") >= n, F.array_position(_last(field, n), F.array_max(_last(field, n))).cast("double"))
 
-def first_max(x: Column, n: int) -> Column:
-    return F.transform(F.array(_listed(x, n)), lambda a: F.array_position(a, F.array_max(a)))[0].cast("double")
 
+def first_min(field: str, n: int) -> Column:
+    return F.when(c("_at") >= n, F.array_position(_last(field, n), F.array_min(_last(field, n))).cast("double"))
 
-def first_min(x: Column, n: int) -> Column:
-    return F.transform(F.array(_listed(x, n)), lambda a: F.array_position(a, F.array_min(a)))[0].cast("double")
 
+def window_quantile(q: float, n: int) -> Column:
+    """Between neighbours by share, as ``percentile`` does."""
+    lo, part = divmod(round(q * (n - 1), 9), 1)
+    values = F.sort_array(_last("close", n))
+    at = lambda k: F.get(values, F.lit(int(k)))
+    return F.when(c("_at") >= n, at(lo) * (1 - part) + at(lo + 1) * part if part else at(lo))
 
-def slope(x: Column, n: int) -> Column:
-    return windowed(x, n, F.regr_slope(x, c("_at")))
 
+def slope(n: int) -> Column:
+    """Least-squares slope of the closes on their bar numbers, from two sums."""
+    middle = c("_at") - (n - 1) / 2
+    return _full(F.sum("_atclose"), n) / (n * (n * n - 1) / 12) - middle * _full(F.sum("close"), n) / (n * (n * n - 1) / 12)
 
-def r_square(x: Column, n: int) -> Column:
-    return F.when(windowed(x, n, F.var_pop(x)) * n > EPSILON, F.regr_r2(x, c("_at")).over(trailing(n)))
 
+def r_square(n: int) -> Column:
+    around = _full(F.var_pop("close"), n)
+    return F.when(around * n > EPSILON, slope(n) * slope(n) * ((n * n - 1) / 12) / around)
 
-def residual(x: Column, n: int) -> Column:
-    return x - windowed(x, n, F.regr_intercept(x, c("_at"))) - slope(x, n) * c("_at")
+
+def residual(n: int) -> Column:
+    return c("close") - _mean("close", n) - slope(n) * ((n - 1) / 2)
 
 
 def _corr(a: str, b: str, n: int) -> Column:
@@ -110,11 +130,11 @@ def _corr(a: str, b: str, n: int) -> Column:
 
 
 def _top(n: int) -> Column:
-    return windowed(c("high"), n, F.max("high"))
+    return _full(F.max("high"), n)
 
 
 def _bottom(n: int) -> Column:
-    return windowed(c("low"), n, F.min("low"))
+    return _full(F.min("low"), n)
 
 
 def _close() -> Column:
@@ -128,44 +148,48 @@ def _volume() -> Column:
 #: Windowed factors by family, in the order of their columns.
 ROLLING: dict[str, Callable[[int], Column]] = {
     "ROC": lambda n: lagged("close", n, "close"),
-    "MA": lambda n: safe_divide(_mean(_close(), n), _close()),
-    "STD": lambda n: safe_divide(windowed(_close(), n, F.stddev_samp(_close())), _close()),
-    "BETA": lambda n: safe_divide(slope(_close(), n), _close()),
-    "RSQR": lambda n: r_square(_close(), n),
-    "RESI": lambda n: safe_divide(residual(_close(), n), _close()),
+    "MA": lambda n: safe_divide(_mean("close", n), _close()),
+    "STD": lambda n: safe_divide(_full(F.stddev_samp("close"), n), _close()),
+    "BETA": lambda n: safe_divide(slope(n), _close()),
+    "RSQR": lambda n: r_square(n),
+    "RESI": lambda n: safe_divide(residual(n), _close()),
     "MAX": lambda n: safe_divide(_top(n), _close()),
     "MIN": lambda n: safe_divide(_bottom(n), _close()),
-    "QTLU": lambda n: safe_divide(windowed(_close(), n, F.percentile(_close(), 0.8)), _close()),
-    "QTLD": lambda n: safe_divide(windowed(_close(), n, F.percentile(_close(), 0.2)), _close()),
-    "RANK": lambda n: rank_in_window(_close(), n),
+    "QTLU": lambda n: safe_divide(window_quantile(0.8, n), _close()),
+    "QTLD": lambda n: safe_divide(window_quantile(0.2, n), _close()),
+    "RANK": lambda n: rank_in_window(n),
     "RSV": lambda n: safe_divide(_close() - _bottom(n), _top(n) - _bottom(n)),
-    "IMAX": lambda n: safe_divide(first_max(c("high"), n), F.lit(float(n))),
-    "IMIN": lambda n: safe_divide(first_min(c("low"), n), F.lit(float(n))),
-    "IMXD": lambda n: safe_divide(first_max(c("high"), n) - first_min(c("low"), n), F.lit(float(n))),
+    "IMAX": lambda n: safe_divide(first_max("high", n), F.lit(float(n))),
+    "IMIN": lambda n: safe_divide(first_min("low", n), F.lit(float(n))),
+    "IMXD": lambda n: safe_divide(first_max("high", n) - first_min("low", n), F.lit(float(n))),
     "CORR": lambda n: _corr("close", "_lv", n),
     "CORD": lambda n: _corr("_step", "_lvstep", n),
-    "CNTP": lambda n: _mean(c("_up"), n),
-    "CNTN": lambda n: _mean(c("_fell"), n),
-    "CNTD": lambda n: _mean(c("_up"), n) - _mean(c("_fell"), n),
+    "CNTP": lambda n: _mean("_up", n),
+    "CNTN": lambda n: _mean("_fell", n),
+    "CNTD": lambda n: _mean("_up", n) - _mean("_fell", n),
     "SUMP": lambda n: _share("_dc", 1, n),
     "SUMN": lambda n: _share("_dc", -1, n),
     "SUMD": lambda n: _share("_dc", 0, n),
-    "VMA": lambda n: safe_divide(_mean(_volume(), n), _volume()),
-    "VSTD": lambda n: safe_divide(windowed(_volume(), n, F.stddev_samp(_volume())), _volume()),
-    "WVMA": lambda n: safe_divide(windowed(c("_moved"), n, F.stddev_samp("_moved")), windowed(c("_moved"), n, F.avg("_moved"))),
+    "VMA": lambda n: safe_divide(_mean("volume", n), _volume()),
+    "VSTD": lambda n: safe_divide(_full(F.stddev_samp("volume"), n), _volume()),
+    "WVMA": lambda n: safe_divide(_full(F.stddev_samp("_moved"), n, 1), _mean("_moved", n, 1)),
     "VSUMP": lambda n: _share("_dv", 1, n),
     "VSUMN": lambda n: _share("_dv", -1, n),
     "VSUMD": lambda n: _share("_dv", 0, n),
 }
 
 
+#: Families that read the lists of the last bars.
+LISTED = ("QTLU", "QTLD", "RANK", "IMAX", "IMIN", "IMXD")
+
+
 def factor_names(windows: Iterable[int] = WINDOWS, families: Iterable[str] | None = None) -> list[str]:
     """Column order of the set: candle, prices, then each family's windows."""
     return [*candle(), *(f"{p.upper()}0" for p in ("open", "high", "low", "vwap")), *(f"{f}{n}" for f in families or ROLLING for n in windows)]
 
 
-def compute(bars: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
-    """The 158-column set, or only the factors named; keyed by security and date."""
+def compute(bars: DataFrame, names: Iterable[str] | None = None, keep: Iterable[str] = ()) -> DataFrame:
+    """The 158-column set, or only the factors named, keyed by security and date; and the prepared columns in ``keep``."""
     wanted = list(names) if names is not None else factor_names()
     shapes = candle()
     made: dict[str, Column] = {}
@@ -178,10 +202,12 @@ def compute(bars: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
         elif family == "VOLUME":
             made[name] = lagged("volume", int(n), "volume")
         elif family in ROLLING and n:
+            if family in LISTED and int(n) > max(WINDOWS):
+                raise ValueError(f"{name!r}: lists hold {max(WINDOWS)} bars")
             made[name] = ROLLING[family](int(n))
         else:
             raise ValueError(f"unknown factor {name!r}")
-    return with_inputs(prepare(bars)).select(KEY, TIME, *[x.alias(n) for n, x in made.items()])
+    return with_inputs(prepare(bars)).select(KEY, TIME, *keep, *[x.alias(n) for n, x in made.items()])
 
 
 def lag_panel(bars: DataFrame, lags: int = 60) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.functions.columns import EPSILON, KEY, TIME, clamp, trailing, windowed
+from panelweave.functions.columns import EPSILON, KEY, TIME, clamp, quantile, trailing, windowed
 from panelweave.operators.indicators import score, with_zscores
 from panelweave.operators.validation import average_rank
 
@@ -70,7 +70,7 @@ def freshness(day: Column, as_of: Column) -> Column:
 def signals(scored: DataFrame) -> DataFrame:
     """Actionable bars: composite, quality and risk each reach their trailing quantile, or fixed floors before there is one."""
     limits = {"composite": (0.80, 70.0), "quality": (0.65, 55.0), "risk": (0.45, 55.0)}
-    out = scored.withColumns({f"{n}_limit": F.coalesce(windowed(c(n), 60, F.percentile(n, q), 20), F.lit(floor)) for n, (q, floor) in limits.items()})
+    out = scored.withColumns({f"{n}_limit": F.coalesce(F.when(F.count(n).over(trailing(60)) >= 20, quantile(c(n), q, trailing(60))), F.lit(floor)) for n, (q, floor) in limits.items()})
     rule = F.lit(True)
     for n in limits:
         rule = rule & F.coalesce(F.round(n, 9) >= F.round(f"{n}_limit", 9), F.lit(False))  # a value is often its own limit
@@ -107,17 +107,21 @@ def tiered(candidates: DataFrame, tiers: Iterable[Column], n: int, order: Iterab
     rank = F.coalesce(*[F.when(t, F.lit(i)) for i, t in enumerate(tiers)], F.lit(99))
     tagged = candidates.withColumn("tier_rank", rank)
     best = tagged.agg(F.min("tier_rank").alias("tier_rank"))
-    return tagged.join(F.broadcast(best), "tier_rank").withColumn("place", F.row_number().over(Window.orderBy(*order))).where(c("place") <= n)
+    first = tagged.join(F.broadcast(best), "tier_rank").orderBy(*order).limit(n)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
 def compounded(daily: DataFrame, x: str, capital: float) -> DataFrame:
-    """Equity after each date of a table of one row for each date."""
+    """Equity after each date of a table of one row for each date; a total loss leaves nothing."""
     w = Window.orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0)
-    return daily.withColumn("equity", capital * F.exp(F.sum(F.ln(1 + c(x))).over(w)))
+    return daily.withColumn("equity", capital * F.product(1 + c(x)).over(w))
 
 
-def scorecard(ic: DataFrame, spread: DataFrame, turnover: DataFrame) -> DataFrame:
-    """One row for each feature: means over horizons, a score from them and the feature's share of all scores."""
+def scorecard(ic: DataFrame, spread: DataFrame, turnover: DataFrame, components: dict[str, str] | None = None) -> DataFrame:
+    """One row for each feature: means over horizons, a score from them and the feature's share of the scores of its component.
+
+    ``components`` names the component of each feature; without it all are in one.
+    """
     a = ic.groupBy("feature_name").agg(*[F.avg(n).alias(n) for n in ("ic_mean", "rank_ic_mean", "ic_positive", "rank_ic_positive")])
     b = spread.groupBy("feature_name").agg(F.avg("spread_mean").alias("spread_mean"))
     t = turnover.groupBy("feature_name").agg(F.avg("mean").alias("turnover"))
@@ -127,15 +131,34 @@ def scorecard(ic: DataFrame, spread: DataFrame, turnover: DataFrame) -> DataFram
         zero(F.abs("rank_ic_mean")) * 35 + zero(F.abs("ic_mean")) * 20 + F.greatest(zero(c("spread_mean")), F.lit(0.0)) * 2000
         + zero(c("rank_ic_positive")) * 15 + zero(c("ic_positive")) * 5 + F.greatest(1 - F.coalesce("turnover", F.lit(1.0)), F.lit(0.0)) * 5
     )
-    out = out.withColumn("score", total).withColumn("_all", F.sum(F.greatest("score", F.lit(0.0))).over(Window.partitionBy(F.lit(1))))
+    names = F.create_map(*[F.lit(x) for kv in components.items() for x in kv])[c("feature_name")] if components else F.lit("all")
+    out = out.withColumn("score", total).withColumn("component", names)
+    out = out.withColumn("_all", F.sum(F.greatest("score", F.lit(0.0))).over(Window.partitionBy("component")))
     return out.withColumn("recommended_weight", F.when(c("_all") > 0, F.greatest("score", F.lit(0.0)) / c("_all"))).drop("_all")
 
 
+def _gram(names: list[str]):
+    """Sums of products of each two columns, and of each with the target, of a task's rows: one row for each sum."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        p = len(names)
+        gram, cross = np.zeros((p, p)), np.zeros(p)
+        for b in batches:
+            x, y = b[names].to_numpy(dtype=float), b["_y"].to_numpy(dtype=float)
+            gram += x.T @ x
+            cross += x.T @ y
+        yield pd.DataFrame({"place": np.arange(p * p + p, dtype="int32"), "total": np.concatenate([gram.ravel(), cross])})
+
+    return run
+
+
 def ridge(wide: DataFrame, names: list[str], target: str, alpha: float = 1.0, least: int = 5) -> DataFrame:
     """Coefficients of a pooled ridge regression on features standardised within their dates.
 
-    Gram matrix and cross products are one aggregation; the driver solves a system of as many
-    unknowns as there are names.
+    Each task sums the products of its rows, so what moves is a matrix for each task; the driver
+    solves a system of as many unknowns as there are names.
     """
     import numpy as np
 
@@ -144,10 +167,14 @@ def ridge(wide: DataFrame, names: list[str], target: str, alpha: float = 1.0, le
     ready = ready.withColumn("_n", F.count("*").over(day)).where(c("_n") >= least)
     std = {n: F.stddev_samp(n).over(day) for n in names}
     x = ready.select((c(target) - F.avg(target).over(day)).alias("_y"), *[F.when(std[n] > EPSILON, (c(n) - F.avg(n).over(day)) / std[n]).otherwise(0.0).alias(n) for n in names])
-    sums = x.agg(*[F.sum(c(a) * c(b)).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j], *[F.sum(c(n) * c("_y")).alias(f"y_{i}") for i, n in enumerate(names)]).first()
-    p = len(names)
-    gram = np.array([[sums[f"{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(p)] for i in range(p)])
-    beta = np.linalg.solve(gram + alpha * np.eye(p), np.array([sums[f"y_{i}"] or 0.0 for i in range(p)]))
+    gram, cross = np.zeros((len(names), len(names))), np.zeros(len(names))
+    for part in x.select(*names, "_y").mapInPandas(_gram(names), "place int, total double").groupBy("place").agg(F.sum("total").alias("total")).collect():
+        at = part["place"]  # p * (p + 1) sums, whatever the rows
+        if at < len(names) ** 2:
+            gram[divmod(at, len(names))] = part["total"]
+        else:
+            cross[at - len(names) ** 2] = part["total"]
+    beta = np.linalg.solve(gram + alpha * np.eye(len(names)), cross)
     return wide.sparkSession.createDataFrame([(n, float(b)) for n, b in zip(names, beta)], "feature_name string, coefficient double")
 
 
@@ -187,22 +214,24 @@ def trade_outcomes(bars: DataFrame, entries: DataFrame, stop: float = 0.08, trai
     )
     path = path.withColumn("reason", F.when((c("_nth") < c("_last")) & c("next_open").isNotNull(), reason))
     first = F.min(F.when(c("reason").isNotNull(), F.struct(c("_nth"), "reason", "next_open", "next_date")))
-    out = path.groupBy(KEY, "signal_date").agg(F.first("entry").alias("entry"), first.alias("x"), F.max_by("close", "_nth").alias("_close"), F.max_by(TIME, "_nth").alias("_date"))
+    out = path.groupBy(KEY, "signal_date").agg(F.first("entry").alias("entry"), F.min(TIME).alias("entry_date"), first.alias("x"), F.max_by("close", "_nth").alias("_close"), F.max_by(TIME, "_nth").alias("_date"))
     return out.select(
-        KEY, "signal_date", "entry", F.coalesce("x.next_date", "_date").alias("exit_date"), F.coalesce("x.next_open", "_close").alias("exit"), F.coalesce("x.reason", F.lit("held")).alias("exit_reason"),
+        KEY, "signal_date", "entry_date", "entry", F.coalesce("x.next_date", "_date").alias("exit_date"), F.coalesce("x.next_open", "_close").alias("exit"), F.coalesce("x.reason", F.lit("held")).alias("exit_reason"),
         (F.coalesce("x.next_open", "_close") / c("entry") - 1).alias("trade_return"),
     )
 
 
-def net_return(gross: Column, slippage: float = 0.001, commission: float = 0.0003) -> Column:
-    """Return after slippage and commission on both sides."""
-    return (1 + gross) * (1 - slippage) * (1 - commission) / ((1 + slippage) * (1 + commission)) - 1
+def net_return(gross: Column, slippage: float = 0.001, commission: float = 0.0003, least: float = 0.0, notional: float = 100_000.0) -> Column:
+    """Return after slippage and commission on both sides; a side of ``notional`` pays ``least`` at least."""
+    out = notional * (1 + gross) * (1 - slippage) / (1 + slippage)
+    fee = lambda amount: F.greatest(amount * commission, F.lit(least)) if least else amount * commission
+    return (out - fee(out)) / (notional + fee(F.lit(notional))) - 1
 
 
 def trade_summary(trades: DataFrame, reasons: Iterable[str] = ("stop", "trailing", "time", "held")) -> DataFrame:
     r = c("net_return")
     return trades.groupBy(KEY).agg(
-        F.count("*").alias("trades"), F.sum(F.when(r > 0, 1).otherwise(0)).alias("wins"), F.avg(r).alias("mean_return"), (F.exp(F.sum(F.ln(1 + r))) - 1).alias("compounded"),
+        F.count("*").alias("trades"), F.sum(F.when(r > 0, 1).otherwise(0)).alias("wins"), F.avg(r).alias("mean_return"), (F.product(1 + r) - 1).alias("compounded"),
         *[F.sum(F.when(c("exit_reason") == x, 1).otherwise(0)).alias(f"n_{x}") for x in reasons],
     )
 

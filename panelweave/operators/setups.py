@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.functions.columns import KEY, TIME, change, leading, ratio, security, trailing, windowed
+from panelweave.functions.columns import KEY, TIME, change, leading, quantile, ratio, security, trailing, windowed
 
 c = F.col
 
@@ -96,14 +96,14 @@ def setup_features(bars: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     base = bars.select(KEY, TIME, "high", "low", "close", F.coalesce("volume", F.lit(0.0)).alias("volume")).where("close IS NOT NULL")
     base = base.withColumns({"turnover": cl * v, "daily": change(cl, 1), "nth": F.row_number().over(security())})
     out = base.withColumns({
-        "median_turnover20": over(F.percentile("turnover", 0.5), 20),
+        "median_turnover20": quantile(c("turnover"), 0.5, trailing(20)),
         "return5": change(cl, 5), "return20": change(cl, 20), "return60": change(cl, 60),
         "high20": over(F.max(cl), 20), "low20": over(F.min(cl), 20), "high60": over(F.max(cl), 60), "low60": over(F.min(cl), 60),
         "previous_high20": over(F.max(cl), 20, 1), "ma10": over(F.avg(cl), 10), "ma20": over(F.avg(cl), 20),
         "volume_ma20": over(F.avg(v), 20), "previous_volume_ma20": over(F.avg(v), 20, 1),
         "vol20": windowed(c("daily"), 20, F.stddev_samp("daily"), 5), "vol60": windowed(c("daily"), 60, F.stddev_samp("daily"), 10),
         "box_top": over(F.max(cl), 40, 20), "box_bottom": over(F.min(cl), 40, 20), "breakout_peak": over(F.max(cl), 15, 5),
-        "pullback_low": over(F.min(cl), 5), "breakout_volume": over(F.percentile("volume", 0.5), 15, 5),
+        "pullback_low": over(F.min(cl), 5), "breakout_volume": quantile(c("volume"), 0.5, trailing(15, 5)),
     })
     out = out.withColumns({
         "distance_to_high20": ratio(cl, c("high20")) - 1, "distance_from_low60": ratio(cl, c("low60")) - 1,
@@ -191,6 +191,9 @@ def latest(df: DataFrame) -> DataFrame:
 
 
 def ranked(df: DataFrame, *order: Column, limit: int | None = None) -> DataFrame:
-    """``df`` with ``rank_position``; for tables of one row per security or date, as it is one sort."""
-    out = df.withColumn("rank_position", F.row_number().over(Window.orderBy(*order)))
-    return out.where(c("rank_position") <= limit) if limit else out
+    """``df`` with ``rank_position``; with ``limit`` only the first rows, which no task sorts but those.
+
+    Without it one task numbers all rows: for tables of one row for each security or date.
+    """
+    rows = df.orderBy(*order).limit(limit) if limit else df
+    return rows.withColumn("rank_position", F.row_number().over(Window.orderBy(*order)))

@@ -31,9 +31,19 @@ def validation_frame(features: DataFrame, returns: DataFrame) -> DataFrame:
     return features.join(returns, [KEY, TIME]).where(ok)
 
 
+def frame_of(wide: DataFrame, names: Iterable[str], horizons: Iterable[int]) -> DataFrame:
+    """The validation frame from one table of features and closes, one row for each security and date: no join, one partitioning."""
+    ahead = [F.struct(F.lit(h).alias("horizon"), (ratio(F.lead("close", h).over(security()), c("close")) - 1).alias("forward_return")) for h in horizons]
+    own = wide.select(KEY, TIME, *names, F.array(*ahead).alias("_ahead"))
+    values = F.array(*[F.struct(F.lit(n).alias("feature_name"), c(n).cast("double").alias("feature_value")) for n in names])
+    long = own.select(KEY, TIME, "_ahead", F.inline(values)).where(F.abs("feature_value") <= LARGEST)
+    return long.select(KEY, TIME, "feature_name", "feature_value", F.inline("_ahead")).where(F.abs("forward_return") <= LARGEST)
+
+
 def average_rank(x: str, keys: list[str]) -> Column:
-    ties = F.count("*").over(Window.partitionBy(*keys, x))
-    return F.rank().over(Window.partitionBy(*keys).orderBy(x)) + (ties - 1) / 2
+    """The rank of ``x`` within ``keys``, ties with their mean; rank and ties come from one sort."""
+    w = Window.partitionBy(*keys).orderBy(x)
+    return F.rank().over(w) + (F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
 
 
 def t_value(r: Column, n: Column) -> Column:
@@ -121,17 +131,18 @@ def summarize_long_short(spread: DataFrame) -> DataFrame:
 
 
 def turnover_by_date(members: DataFrame) -> DataFrame:
-    """Of each bucket and date: securities kept from the date before, entered and left, and the turnover."""
-    dates = members.select("feature_name", TIME).distinct()
-    before = dates.withColumn("_before", F.lag(TIME).over(Window.partitionBy("feature_name").orderBy(TIME))).where("_before IS NOT NULL")
-    own = members.select("feature_name", "bucket", TIME, KEY)
-    size = own.groupBy("feature_name", "bucket", TIME).agg(F.count("*").alias("size"))
-    now = own.join(before, ["feature_name", TIME])
-    then = own.select("feature_name", "bucket", c(TIME).alias("_before"), KEY)
-    kept = now.join(then, ["feature_name", "bucket", "_before", KEY]).groupBy("feature_name", "bucket", TIME).agg(F.count("*").alias("retained"))
-    out = size.join(before, ["feature_name", TIME]).join(size.select("feature_name", "bucket", c(TIME).alias("_before"), c("size").alias("previous")), ["feature_name", "bucket", "_before"])
-    out = out.join(kept, ["feature_name", "bucket", TIME], "left").withColumn("retained", F.coalesce("retained", F.lit(0)))
-    return out.select(
+    """Of each bucket and date: securities kept from the date before, entered and left, and the turnover.
+
+    A security is kept if it was in the bucket on the feature's date before; its own last row says so.
+    """
+    dates = members.select("feature_name", TIME).distinct().withColumn("_nth", F.row_number().over(Window.partitionBy("feature_name").orderBy(TIME)))
+    own = members.select("feature_name", "bucket", TIME, KEY).join(dates, ["feature_name", TIME])
+    w = Window.partitionBy("feature_name", KEY).orderBy("_nth")
+    kept = (F.lag("_nth").over(w) == c("_nth") - 1) & (F.lag("bucket").over(w) == c("bucket"))
+    size = own.withColumn("_kept", F.coalesce(kept, F.lit(False)).cast("int")).groupBy("feature_name", "bucket", TIME, "_nth").agg(F.count("*").alias("size"), F.sum("_kept").alias("retained"))
+    then = Window.partitionBy("feature_name", "bucket").orderBy("_nth")  # a row for each date
+    size = size.withColumn("previous", F.when(F.lag("_nth").over(then) == c("_nth") - 1, F.lag("size").over(then))).where("previous IS NOT NULL")
+    return size.select(
         "feature_name", "bucket", TIME, "size", "previous", "retained", (c("size") - c("retained")).alias("entered"), (c("previous") - c("retained")).alias("exited"),
         (1 - c("retained") / F.greatest("size", "previous")).alias("turnover"),
     )
@@ -148,13 +159,49 @@ def decay(summary: DataFrame, metric: str) -> DataFrame:
     return summary.select("feature_name", "horizon", c(metric).alias("metric"), ratio(F.abs(metric), base).alias("decay"))
 
 
+def _pair_sums(names: list[str]):
+    """Sums over a task's rows for each two columns, where both have values: counts, sums, squares and products; one row for each pair."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        p = len(names)
+        n, x, xx, xy = (np.zeros((p, p)) for _ in range(4))
+        for b in batches:
+            v = b[names].to_numpy(dtype=float)
+            there = ~np.isnan(v)
+            v, there = np.where(there, v, 0.0), there.astype(float)
+            n += there.T @ there
+            x += v.T @ there
+            xx += (v * v).T @ there
+            xy += v.T @ v
+        i, j = np.triu_indices(p, 1)
+        yield pd.DataFrame({"i": i, "j": j, "n": n[i, j], "x": x[i, j], "y": x[j, i], "xx": xx[i, j], "yy": xx[j, i], "xy": xy[i, j]})
+
+    return run
+
+
 def factor_correlation(features: DataFrame) -> DataFrame:
-    """Pooled correlation of each pair of features over the rows where both have values."""
-    names = ["feature_name", "feature_value"]
-    a = features.select(KEY, TIME, *[c(n).alias(f"a_{n}") for n in names])
-    b = features.select(KEY, TIME, *[c(n).alias(f"b_{n}") for n in names])
-    pairs = a.join(b, [KEY, TIME]).where("a_feature_name < b_feature_name")
-    return pairs.groupBy(c("a_feature_name").alias("feature_a"), c("b_feature_name").alias("feature_b")).agg(correlation(c("a_feature_value"), c("b_feature_value")).alias("correlation"), F.count("*").alias("n"))
+    """Pooled correlation of each pair of features over the rows where both have values; NULL where either hardly varies.
+
+    Rows of a security and date are laid side by side, and each task sums its products of columns:
+    what moves is a row for each pair and task, not for each pair and bar. Values count from their
+    feature's mean, which keeps the sums precise.
+    """
+    names = sorted(r[0] for r in features.select("feature_name").distinct().collect())  # a few hundred
+    if len(names) < 2:
+        return features.select(c("feature_name").alias("feature_a"), c("feature_name").alias("feature_b"), c("feature_value").alias("correlation"), F.lit(0).cast("long").alias("n")).limit(0)
+    means = features.groupBy("feature_name").agg(F.avg("feature_value").alias("_mean"))
+    centred = features.join(F.broadcast(means), "feature_name").withColumn("feature_value", c("feature_value") - c("_mean"))
+    wide = centred.groupBy(KEY, TIME).pivot("feature_name", names).agg(F.first("feature_value"))
+    columns = [f"v{k}" for k in range(len(names))]
+    sums = wide.select(*[c(f"`{n}`").alias(k) for n, k in zip(names, columns)]).mapInPandas(_pair_sums(columns), "i int, j int, n double, x double, y double, xx double, yy double, xy double")
+    total = sums.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in ("n", "x", "y", "xx", "yy", "xy")]).where("n > 0")
+    var = lambda s, ss: c(ss) / c("n") - (c(s) / c("n")) * (c(s) / c("n"))
+    vx, vy = var("x", "xx"), var("y", "yy")
+    r = F.when((vx > EPSILON) & (vy > EPSILON), (c("xy") / c("n") - c("x") / c("n") * c("y") / c("n")) / F.sqrt(vx * vy))
+    name = F.array(*map(F.lit, names))
+    return total.select(F.get(name, "i").alias("feature_a"), F.get(name, "j").alias("feature_b"), r.alias("correlation"), c("n").cast("long").alias("n"))
 
 
 def rank_autocorrelation(features: DataFrame, period: int = 1, least: int = 5) -> DataFrame:

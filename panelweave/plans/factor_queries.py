@@ -15,8 +15,6 @@ FAMILIES = {
     "al_counts": ("CNTP", "CNTN", "CNTD", "SUMP", "SUMN", "SUMD"),
     "al_volume": ("VMA", "VSTD", "WVMA", "VSUMP", "VSUMN", "VSUMD"),
 }
-WINDOWS = {"al_position": (5, 10, 20), "al_quantile": (5, 20, 60), "al_correlation": (10, 30, 60), "al_regression": (5, 20, 60)}
-
 E = "1e-12"
 
 
@@ -94,12 +92,12 @@ def _sql_factor(f: str, n: int) -> str:
 
 
 def _family(name: str):
-    names = [f"{f}{n}" for f in FAMILIES[name] for n in WINDOWS.get(name, factors.WINDOWS)]
+    names = [f"{f}{n}" for f in FAMILIES[name] for n in factors.WINDOWS]
     return lambda spark, sf_dir: rounded(factors.compute(bars(spark, sf_dir), names))
 
 
 def _family_sql(name: str) -> str:
-    windows = WINDOWS.get(name, factors.WINDOWS)
+    windows = factors.WINDOWS
     cols = ", ".join(f"round({_sql_factor(f, n)}, 6) + 0.0 AS {f}{n}" for f in FAMILIES[name] for n in windows)
     return f"{_sql_inputs()} SELECT stock_code, trade_date, {cols} FROM p WINDOW s AS (PARTITION BY stock_code ORDER BY trade_date), {', '.join(f'w{n} AS {over(n)}' for n in windows)}"
 
@@ -146,5 +144,14 @@ FACTOR_LONG_SQL = _sql_inputs() + f""", f AS (SELECT stock_code, trade_date, {_d
   SELECT stock_code, trade_date, feature_name, round(feature_value, 6) + 0.0 AS feature_value
   FROM (UNPIVOT f ON "KMID", "MA5", "ROC10", "VMA20" INTO NAME feature_name VALUE feature_value)"""
 
-QUERIES = {"al_candle": al_candle, "al_lag_panel": al_lag_panel, "factor_long": factor_long, **{n: _family(n) for n in FAMILIES}}
+def al_set(spark, sf_dir):
+    """The whole set of 158 columns, in long form and summed up by feature."""
+    from pyspark.sql import functions as F
+
+    long = factors.to_long(factors.compute(bars(spark, sf_dir)))
+    x = F.col("feature_value")
+    return rounded(long.groupBy("feature_name").agg(F.count("*").alias("n"), F.avg(F.when(F.abs(x) < 1e6, x)).alias("mean")), 4)
+
+
+QUERIES = {"al_set": al_set, "al_candle": al_candle, "al_lag_panel": al_lag_panel, "factor_long": factor_long, **{n: _family(n) for n in FAMILIES}}
 SQL = {"al_candle": AL_CANDLE_SQL, "al_lag_panel": AL_LAG_PANEL_SQL, "factor_long": FACTOR_LONG_SQL, **{n: _family_sql(n) for n in FAMILIES}}

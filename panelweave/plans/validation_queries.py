@@ -17,7 +17,7 @@ def features(spark, sf_dir) -> DataFrame:
 
 
 def frame(spark, sf_dir) -> DataFrame:
-    return va.validation_frame(features(spark, sf_dir), va.forward_returns(bars(spark, sf_dir), HORIZONS))
+    return va.frame_of(factors.compute(bars(spark, sf_dir), NAMES, keep=("close",)), NAMES, HORIZONS)
 
 
 def _ic(spark, sf_dir) -> DataFrame:
@@ -32,10 +32,16 @@ def _buckets(spark, sf_dir) -> DataFrame:
     return va.quantile_returns(_members(spark, sf_dir), va.forward_returns(bars(spark, sf_dir), HORIZONS))
 
 
+def joined(spark, sf_dir) -> DataFrame:
+    """The frame from stored features and returns, which have to be joined."""
+    return va.validation_frame(features(spark, sf_dir), va.forward_returns(bars(spark, sf_dir), HORIZONS))
+
+
 QUERIES = {
     "va_forward_returns": lambda s, d: rounded(va.forward_returns(bars(s, d), HORIZONS)),
+    "va_frame": lambda s, d: rounded(joined(s, d)),
     "va_ic_by_date": lambda s, d: rounded(_ic(s, d)),
-    "va_ic_p_values": lambda s, d: rounded(va.with_p_values(_ic(s, d)).where("horizon = 5").drop("ic_t", "rank_ic_t")),
+    "va_ic_p_values": lambda s, d: rounded(va.with_p_values(_ic(s, d)).drop("ic_t", "rank_ic_t")),
     "va_ic_t_values": lambda s, d: rounded(va.with_p_values(_ic(s, d)).select("feature_name", TIME, "horizon", "n", "ic_t", "rank_ic_t"), 5),
     "va_ic_summary": lambda s, d: rounded(va.summarize_ic(_ic(s, d))),
     "va_ic_min_rank": lambda s, d: rounded(va.summarize_ic(va.ic_by_date(frame(s, d), rank_method="min"))),
@@ -105,6 +111,7 @@ T = lambda r, n: f"CASE WHEN {n} > 2 AND abs({r}) < 1 THEN {r} * sqrt(({n} - 2)
 
 SQL = {
     "va_forward_returns": BASE + " SELECT stock_code, trade_date, horizon, round(forward_return, 6) + 0.0 AS forward_return FROM rets",
+    "va_frame": BASE + " SELECT stock_code, trade_date, feature_name, round(feature_value, 6) + 0.0 AS feature_value, horizon, round(forward_return, 6) + 0.0 AS forward_return FROM frame",
     "va_ic_by_date": _ic_sql() + " SELECT feature_name, trade_date, horizon, n, round(ic, 6) + 0.0 AS ic, round(rank_ic, 6) + 0.0 AS rank_ic FROM ic",
     "va_ic_t_values": _ic_sql() + f" SELECT feature_name, trade_date, horizon, n, round({T('ic', 'n')}, 5) + 0.0 AS ic_t, round({T('rank_ic', 'n')}, 5) + 0.0 AS rank_ic_t FROM ic",
     "va_ic_summary": _ic_sql() + " " + SUMMARY,
