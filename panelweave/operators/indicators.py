@@ -174,6 +174,37 @@ def stoch_cross() -> Column:
     return F.coalesce(k[0].between(15, 55) & d[0].between(0, 55) & (k[0] > d[0]) & fresh, F.lit(False))
 
 
+def cycle_stack(ind: DataFrame) -> DataFrame:
+    """Adds whether the cost lines of 5, 13 and 34 bars lie one above the other, the gaps between them, and the rise of the slowest."""
+    fast, mid, slow = c("ema5"), c("ema13"), c("ema34")
+    return ind.withColumns({
+        "cyc_stack": F.coalesce((fast > mid) & (mid > slow), F.lit(False)), "cyc_spread_34": ratio(fast - slow, slow), "cyc_spread_13": ratio(fast - mid, mid), "cyc34_slope": change(slow, 5),
+    })
+
+
+def divergence(look_back: int = 20) -> Column:
+    """Whether MACD holds while the price tests a low: the lowest low of the bars before, of those at most 3 % above this one's, the first of equals.
+
+    This low is at most 1 % above it, MACD is higher than then, and the stochastic is oversold. False before there are
+    ``look_back`` bars.
+    """
+    before = F.collect_list(F.struct("low", F.datediff(TIME, F.lit("1970-01-01")).alias("day"), "macd")).over(security().rowsBetween(-look_back, -1))
+    rule = lambda low, macd, k, past: F.transform(F.array(F.array_min(F.filter(past, lambda x: x["low"] <= low * 1.03))), lambda x: (low <= x["low"] * 1.01) & (macd > x["macd"] + 0.01) & (k <= 35))[0]
+    return F.coalesce((F.size(before) >= look_back) & rule(c("low"), c("macd"), c("stoch_k"), before), F.lit(False))
+
+
+def complete(bars: DataFrame) -> DataFrame:
+    """What rule strategies read: all indicators, the range scores, the cost lines and divergences."""
+    ind = cycle_stack(full(bars))
+    ranges = range_scores(ind).select(KEY, TIME, "range_reversion", "vwap_stretch", "range_stability", "volatility_compression", "range_long_composite")
+    return with_volatility(ind.withColumn("divergence", divergence())).join(ranges, [KEY, TIME])
+
+
+def with_volatility(ind: DataFrame) -> DataFrame:
+    """Adds the volatilities, which are average true ranges of 20, 5 and 10 bars, the gap of MACD to its signal, and the quality of the trend."""
+    return ind.withColumns({"volatility": c("atr20"), "volatility_5": c("atr5"), "volatility_10": c("atr10"), "macd_gap": c("macd_hist"), "trend_quality": c("distance_high_20")})
+
+
 def full(bars: DataFrame) -> DataFrame:
     """All indicators: windowed, recurrent, and the scores made of both."""
     both = windowed_indicators(bars).join(recurrences(bars), [KEY, TIME]).withColumn("stoch_cross", stoch_cross())

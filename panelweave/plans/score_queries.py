@@ -12,6 +12,7 @@ from panelweave.plans.indicator_queries import CTE as INDICATORS, WINDOWS as NAM
 
 FACTORS = {"MA5": False, "ROC10": False, "VMA20": True, "KMID": True}
 COMPONENTS = {"trend": {"MA5": 0.6, "ROC10": 0.4}, "quality": {"VMA20": 1.0}, "risk": {"KMID": 1.0}, "validated": {}}
+FACTOR_COMPONENT = {f: n for n, w in COMPONENTS.items() for f in w}
 SHARES = {"trend": 0.5, "quality": 0.3, "risk": 0.2, "validated": 0.15}
 c = F.col
 
@@ -57,13 +58,6 @@ def picks(s, d):
     return sc.pick_weights(sc.daily_top(signals(s, d).where("actionable"), 5, order), "composite")
 
 
-def curve(s, d):
-    """Equity of the daily picks, each held for a day."""
-    ahead = va.forward_returns(bars(s, d), [1])
-    daily = picks(s, d).select(KEY, TIME, "weight").join(ahead, [KEY, TIME]).groupBy(TIME).agg(F.sum(c("weight") * c("forward_return") * 0.01).alias("r"))
-    return sc.compounded(daily, "r", 100_000.0)
-
-
 def tiers(s, d):
     now = sg.latest(composite(s, d)).where("composite IS NOT NULL")
     return sc.tiered(now, [c("composite") >= 90, c("composite") >= 60, F.lit(True)], 10, [F.desc("composite"), F.asc(KEY)]).select(KEY, TIME, "composite", "tier_rank", "place")
@@ -82,7 +76,7 @@ def ridge(s, d):
 
 def scorecard(s, d):
     buckets = vq._buckets(s, d)
-    return sc.scorecard(va.summarize_ic(vq._ic(s, d)), va.summarize_long_short(va.long_short(buckets)), va.summarize_turnover(va.turnover_by_date(vq._members(s, d))))
+    return sc.scorecard(va.summarize_ic(vq._ic(s, d)), va.summarize_long_short(va.long_short(buckets)), va.summarize_turnover(va.turnover_by_date(vq._members(s, d))), FACTOR_COMPONENT)
 
 
 def trend_2560(s, d):
@@ -104,7 +98,6 @@ QUERIES = {
     "sc_snapshot": lambda s, d: rounded(sg.latest(bars(s, d).withColumn("change_30", F.try_divide(c("close"), F.lag("close", 30).over(sg.security())) - 1)).select(KEY, TIME, "change_30", sc.freshness(c(TIME), F.lit("1998-12-01").cast("date")).alias("freshness"))),
     "pf_daily_picks": lambda s, d: rounded(picks(s, d).select(KEY, TIME, "place", "candidates", "weight"), 5),
     "pf_tiers": lambda s, d: rounded(tiers(s, d), 4),
-    "pf_curve": lambda s, d: rounded(curve(s, d).select(TIME, "equity"), 2),
     "to_trades": lambda s, d: rounded(sc.trade_outcomes(bars(s, d), entries(s, d)).select(KEY, "signal_date", "exit_date", "exit_reason", "trade_return")),
     "to_trade_summary": lambda s, d: rounded(sc.trade_summary(trades(s, d)), 5),
     "to_non_overlapping": lambda s, d: rounded(sc.trade_summary(sc.non_overlapping(trades(s, d, sells(s, d))), REASONS), 5),
@@ -168,10 +161,8 @@ SQL = {
     "pf_daily_picks": PICKS + " SELECT stock_code, trade_date, CAST(place AS INT) AS place, candidates, round(weight, 5) + 0.0 AS weight FROM pw",
     "pf_tiers": SCORES + """, n AS (SELECT *, CASE WHEN composite >= 90 THEN 0 WHEN composite >= 60 THEN 1 ELSE 2 END AS tier_rank FROM (SELECT * FROM cm QUALIFY row_number() OVER (PARTITION BY stock_code ORDER BY trade_date DESC) = 1) WHERE composite IS NOT NULL)
       SELECT stock_code, trade_date, round(composite, 4) + 0.0 AS composite, tier_rank, CAST(row_number() OVER (ORDER BY composite DESC, stock_code) AS INT) AS place FROM n WHERE tier_rank = (SELECT min(tier_rank) FROM n) QUALIFY row_number() OVER (ORDER BY composite DESC, stock_code) <= 10""",
-    "pf_curve": PICKS + """, dl AS (SELECT trade_date, sum(weight * forward_return * 0.01) AS r FROM pw JOIN rets USING (stock_code, trade_date) WHERE horizon = 1 GROUP BY 1)
-      SELECT trade_date, round(100000 * exp(sum(ln(1 + r)) OVER (ORDER BY trade_date)), 2) AS equity FROM dl""",
     "to_trades": TRADES + " SELECT stock_code, signal_date, exit_date, exit_reason, round(trade_return, 6) + 0.0 AS trade_return FROM tn",
-    "to_trade_summary": TRADES + """ SELECT stock_code, count(*) AS trades, count(*) FILTER (net_return > 0) AS wins, round(avg(net_return), 5) + 0.0 AS mean_return, round(exp(sum(ln(1 + net_return))) - 1, 5) + 0.0 AS compounded,
+    "to_trade_summary": TRADES + """ SELECT stock_code, count(*) AS trades, count(*) FILTER (net_return > 0) AS wins, round(avg(net_return), 5) + 0.0 AS mean_return, round(product(1 + net_return) - 1, 5) + 0.0 AS compounded,
       count(*) FILTER (exit_reason = 'stop') AS n_stop, count(*) FILTER (exit_reason = 'trailing') AS n_trailing, count(*) FILTER (exit_reason = 'time') AS n_time, count(*) FILTER (exit_reason = 'held') AS n_held FROM tn GROUP BY 1""",
     "to_price_asof": with_bars() + """ SELECT w.stock_code, w.trade_date, b.close AS price FROM (SELECT stock_code, CAST(unnest(generate_series(DATE '1993-01-01', DATE '1998-01-01', INTERVAL 3 MONTH)) AS DATE) AS trade_date FROM (SELECT DISTINCT stock_code FROM bars)) w
       ASOF LEFT JOIN bars b ON w.stock_code = b.stock_code AND w.trade_date >= b.trade_date""",
