@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -22,12 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import ROW_KEY, row_key, saved, small_batches, table, words_of
+from panelweave.llm.common import ROW_KEY, partitions_for, row_key, saved, small_batches, table, words_of
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
 FANOUT = 16
 #: Distinct fingerprints aimed at in one group, and node pairs compared at once.
 GROUP, AT_ONCE = 4096, 1 << 16
+#: A group of more is grouped again by these numbers of blocks, with all bits of those that are chosen.
+HEAVY, FINER = 4 * GROUP, ((8, 40), (16, 52))
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -149,28 +152,62 @@ def components_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fps, label
 
 
-def _stars(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    fps, label = components_of(rows["fp"].to_numpy().view(np.uint64))
-    own = label != np.arange(len(fps))
-    return pd.DataFrame({"u": fps[own].view(np.int64), "v": fps[label[own]].view(np.int64)})
+def _stars(rows: pd.DataFrame) -> pd.DataFrame:
+    """The stars of all groups (``c, value``) among the rows; a group of one has none."""
+    rows = rows.sort_values(["c", "value"], kind="stable")
+    fps, c, value = rows["fp"].to_numpy().view(np.uint64), rows["c"].to_numpy(), rows["value"].to_numpy()
+    start = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (value[1:] != value[:-1])]))
+    size = np.diff(start, append=len(fps))
+    a, b = fps[start[size == 2]], fps[start[size == 2] + 1]
+    near = np.bitwise_count(a ^ b) <= DISTANCE
+    us, vs = [np.maximum(a, b)[near]], [np.minimum(a, b)[near]]
+    for lo, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
+        own, label = components_of(fps[lo : lo + n])
+        linked = label != np.arange(len(own))
+        us.append(own[linked])
+        vs.append(own[label[linked]])
+    return pd.DataFrame({"u": np.concatenate(us).view(np.int64), "v": np.concatenate(vs).view(np.int64)})
+
+
+def _masks(blocks: int, bits: int) -> list[int]:
+    """A mask, as a signed long, for each choice of all but DISTANCE blocks: the first ``bits`` bits of these."""
+    edges, out = [round(64 * b / blocks) for b in range(blocks + 1)], []
+    for chosen in combinations(range(blocks), blocks - DISTANCE):
+        places = [p for b in chosen for p in range(edges[b], edges[b + 1])][:bits]
+        mask = sum(1 << (63 - p) for p in places)
+        out.append(mask - (1 << 64) if mask >> 63 else mask)
+    return out
+
+
+def _keyed(distinct: DataFrame, blocks: int, bits: int) -> DataFrame:
+    """``fp, c, value``: a row for each mask ``c``, with the bits that it leaves."""
+    masks = F.array(*[F.lit(m).cast("long") for m in _masks(blocks, bits)])
+    return distinct.select("fp", F.posexplode(masks).alias("c", "mask")).select("fp", "c", F.col("fp").bitwiseAND(F.col("mask")).alias("value"))
 
 
 def links(distinct: DataFrame, n: int) -> DataFrame:
-    """Stars ``u, v`` that connect what is linked within each group of the ``n`` fingerprints ``fp``."""
+    """Stars ``u, v`` that connect what is linked within each group of the ``n`` fingerprints ``fp``.
+
+    Fingerprints within DISTANCE bits agree in all but DISTANCE blocks, whatever the blocks, so they
+    meet in some group. What is in a group of over HEAVY is grouped again by more and smaller blocks;
+    sixteen blocks leave 2 ** 12 fingerprints to a group at most.
+    """
     blocks = 4 if n <= 1 << 22 else 5 if n <= 1 << 30 else 6
-    edges = [round(64 * b / blocks) for b in range(blocks + 1)]
-    bits = max(0, int(n // GROUP).bit_length())
-    keys = []
-    for c, chosen in enumerate(combinations(range(blocks), blocks - DISTANCE)):
-        value, left = F.lit(0).cast("long"), bits
-        for b in chosen:
-            width = edges[b + 1] - edges[b]
-            take = min(width, left)
-            part = F.shiftrightunsigned("fp", 64 - edges[b] - take).bitwiseAND(F.lit((1 << take) - 1)) if take else F.lit(0).cast("long")
-            value, left = F.shiftleft(value, take) + part, left - take
-        keys.append(F.struct(F.lit(c).alias("c"), value.cast("long").alias("value")))
-    spread = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.c", "k.value")
-    return spread.groupBy("c", "value").applyInPandas(_stars, "u long, v long")
+    stars, rest = None, distinct
+    for count, bits in ((blocks, max(0, int(n // GROUP).bit_length())), *FINER):
+        spread = _keyed(rest, count, bits)
+        last = (count, bits) == FINER[-1]
+        heavy = None if last else saved(spread.groupBy("c", "value").count().where(F.col("count") > HEAVY).select("c", "value"))
+        heavy = heavy if heavy is not None and not heavy.isEmpty() else None
+        light = spread if heavy is None else spread.join(heavy, ["c", "value"], "left_anti")
+        buckets = partitions_for(n * comb(count, DISTANCE), 4 * HEAVY)  # many groups to a call, each whole
+        found = light.withColumn("bucket", F.pmod(F.xxhash64("c", "value"), F.lit(buckets))).groupBy("bucket").applyInPandas(_stars, "u long, v long")
+        stars = found if stars is None else stars.union(found)
+        if heavy is None:
+            break
+        rest = saved(spread.join(heavy, ["c", "value"], "left_semi").select("fp").distinct())
+        n = rest.count()
+    return stars
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -133,6 +133,23 @@ def test_linked_fingerprints_meet_for_every_block_plan(spark, n):
         assert x == y or roots.get(int(x), int(x)) == roots.get(int(y), int(y))
 
 
+@pytest.mark.parametrize("heavy", [8, 60])
+def test_large_groups_are_grouped_again(spark, monkeypatch, heavy):
+    monkeypatch.setattr(simhash, "HEAVY", heavy)
+    rng = np.random.default_rng(3)
+    family = np.full(400, 0x0F0F0F0F12345678, dtype=np.uint64)  # around one fingerprint, so that all first groups are large
+    for _ in range(4):
+        family ^= np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)
+    fps = np.unique(np.concatenate([family, rng.integers(0, 2**64, 50, dtype=np.uint64)]))
+    got = {r["node"]: r["root"] for r in simhash.connected(simhash.links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), len(fps))).collect()}
+    want = components_expected({int(x) for x in fps})
+    groups, others = {}, {}
+    for x in fps:
+        groups.setdefault(got.get(int(x.view(np.int64)), int(x.view(np.int64))), []).append(int(x))
+        others.setdefault(want[int(x)], []).append(int(x))
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, others.values()))
+
+
 def test_connected_long_chain(spark):
     edges = spark.range(60).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     got = simhash.connected(edges.union(spark.createDataFrame([(100, 99), (100, 100)], "u long, v long"))).collect()
