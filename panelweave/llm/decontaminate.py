@@ -3,8 +3,8 @@
 A window is 13 consecutive words. From each window the minimum of the hashes of its K-word grams
 is kept: equal windows keep equal hashes, so a passage of 13 words or more that a document shares
 with a benchmark item cannot go unseen. The hashes a document keeps are joined with those of the
-benchmark; only documents with a common hash are read again, where each window is compared word
-for word with the benchmark windows of the same hash. Items of fewer than 13 words are looked up
+benchmark; only documents with a common hash are read again, where each place of such a hash is
+extended to its window and compared word for word with the benchmark windows of the same hash. Items of fewer than 13 words are looked up
 by the hash of their first words at every position of a document.
 """
 
@@ -60,9 +60,9 @@ def _span(start: Column, n: Column | int) -> Column:
     return F.array_join(F.slice("words", start + 1, n), " ")
 
 
-def _spans(hashes: Column, n: int) -> Column:
-    """For each hash its position and the ``n`` words that start there."""
-    return F.transform(hashes, lambda h, i: F.struct(h.alias("hash"), i.alias("at"), F.lit(n).alias("n"), _span(i, n).alias("span")))
+def _places(hashes: Column, n: int) -> Column:
+    """For each hash its position, and ``n``."""
+    return F.transform(hashes, lambda h, i: F.struct(h.alias("hash"), i.alias("at"), F.lit(n).alias("n")))
 
 
 def items(benchmark: DataFrame) -> DataFrame:
@@ -100,14 +100,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     again = counted.where("found = 1").select(F.col("doc_id").alias("d"), F.col("tkey").alias("t"))
     near = worded.join(_small(again, again.count()), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("t")), "left_semi")
-    near = _with_hashes(near.dropDuplicates(KEY))
-    # Each position with its hash and the words of the window that starts there, for long windows and for each short length.
-    spans = _spans(F.col("low"), WINDOW)
+    near = near.dropDuplicates(KEY)
+    # Places where a window of the benchmark may start, by hash: for long windows and for each short length.
+    places = _places(F.col("low"), WINDOW)
     for n in sorted(x for x in lengths if x < WINDOW):
         k = max(k for k in SIZES if k <= n)
-        whole = F.slice(f"g{k}", 1, F.greatest(F.size("words") - n + 1, F.lit(0)))
-        spans = F.concat(spans, _spans(whole, n))
-    at = near.select(*KEY, F.explode(spans).alias("s")).select(*KEY, "s.hash", "s.at", "s.n", "s.span")
+        places = F.concat(places, _places(F.slice(f"g{k}", 1, F.greatest(F.size("words") - n + 1, F.lit(0))), n))
+    seen = _with_hashes(near).select(F.col("doc_id").alias("d"), F.col("tkey").alias("t"), F.explode(places).alias("p")).select("d", "t", "p.*").join(hashes, "hash")
+    seen = seen.groupBy("d", "t").agg(F.collect_list(F.struct("hash", "at", "n")).alias("places"))
+    # Each is extended to its whole window and compared with those of the benchmark word for word.
+    spread = near.join(seen, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("t")))
+    whole = F.transform("places", lambda p: F.struct(p["hash"].alias("hash"), p["at"].alias("at"), p["n"].alias("n"), _span(p["at"], p["n"]).alias("span")))
+    at = spread.select(*KEY, F.explode(whole).alias("s")).select(*KEY, "s.*")
     hit = at.join(_small(windows, size), ["hash", "span"]).select(*KEY, "at", "n", "item_id")
     hit = saved(hit)
 
