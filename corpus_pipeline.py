@@ -56,4 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir))
+        spark._jvm.System.gc()  # the stage before is written: Spark drops its shuffles and broadcasts once they are collected
     return docs
