@@ -112,9 +112,9 @@ def smoothed(x: np.ndarray, n: int, weight: float) -> np.ndarray:
     first = int(np.argmax(~np.isnan(x))) if len(x) and not np.isnan(x).all() else len(x)
     if first + n > len(x):
         return out
-    value = out[first + n - 1] = x[first : first + n].mean()
-    for i in range(first + n, len(x)):
-        value = out[i] = value + weight * (x[i] - value)
+    rest = x[first + n - 1 :].copy()
+    rest[0] = x[first : first + n].mean()
+    out[first + n - 1 :] = pd.Series(rest).ewm(alpha=weight, adjust=False).mean()
     return out
 
 
@@ -144,8 +144,7 @@ def _recurrences(key: tuple, bars: pd.DataFrame) -> pd.DataFrame:
         low14, high14 = rsi.rolling(14).min(), rsi.rolling(14).max()
         out["stoch_k"] = np.where(high14 > low14, 100 * (rsi - low14) / (high14 - low14), np.where(high14.isna(), np.nan, 0.0))
     out["stoch_d"] = pd.Series(out["stoch_k"]).rolling(3).mean().to_numpy()
-    frame = pd.DataFrame({KEY: key[0], TIME: bars[TIME].to_numpy(), **out})
-    return frame.astype({n: object for n in RECURRENT}).where(frame.notna(), None)
+    return pd.DataFrame({KEY: key[0], TIME: bars[TIME].to_numpy(), **out})
 
 
 def recurrences(bars: DataFrame) -> DataFrame:
@@ -155,7 +154,8 @@ def recurrences(bars: DataFrame) -> DataFrame:
     A flat RSI is 50, a flat stochastic 0.
     """
     day = bars.schema[TIME].dataType.simpleString()
-    return bars.select(KEY, TIME, "high", "low", "close").groupBy(KEY).applyInPandas(_recurrences, f"{KEY} string, {TIME} {day}, " + ", ".join(f"{n} double" for n in RECURRENT))
+    made = bars.select(KEY, TIME, "high", "low", "close").groupBy(KEY).applyInPandas(_recurrences, f"{KEY} string, {TIME} {day}, " + ", ".join(f"{n} double" for n in RECURRENT))
+    return made.select(KEY, TIME, *[F.when(~F.isnan(n), c(n)).alias(n) for n in RECURRENT])
 
 
 #: Weights of the matrix score.

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import KEY, TIME
+from panelweave.operators.layers import export
 from panelweave.operators.setups import latest
 
 c = F.col
@@ -106,6 +107,12 @@ def strategy_rankings(trades: dict[str, DataFrame], n: int = 5) -> DataFrame:
     return total.withColumn("place", F.row_number().over(w)).where(c("place") <= n)
 
 
+def write_tables(tables: dict[str, DataFrame], path: str, form: str = "csv") -> None:
+    """Each table of a report in a folder of its own name."""
+    for name, df in tables.items():
+        export(df, f"{path}/{name}", form)
+
+
 def analysis_window(bars: DataFrame, n: int, least: int = 60) -> DataFrame:
     """The last ``n`` bars of each security that has ``least``; indicators are made before, so that they are warm."""
     own = Window.partitionBy(KEY)

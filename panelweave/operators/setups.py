@@ -133,8 +133,10 @@ def best_recipe(scored: DataFrame) -> DataFrame:
     return scored.withColumn("_best", F.array_max(options)).select(*scored.columns, c("_best.recipe").alias("recipe"), c("_best.setup_type").alias("setup_type"), c("_best.score").alias("setup_score"), scores.alias("recipe_scores"))
 
 
-def setup_events(scored: DataFrame, history: int = 60) -> DataFrame:
-    """A row for each bar and recipe that has a setup, once a security has ``history`` bars."""
+def setup_events(scored: DataFrame, history: int = 60, last: int | None = None) -> DataFrame:
+    """A row for each bar and recipe that has a setup, once a security has ``history`` bars; of the ``last`` bars of each only, if given."""
+    if last is not None:
+        scored = scored.withColumn("_age", F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc(TIME)))).where(c("_age") <= last)
     made = F.array(*[F.struct(F.lit(n).alias("recipe"), c(f"{n}_type").alias("setup_type"), c(f"{n}_score").alias("setup_score")) for n in LABELS])
     return scored.where(c("nth") >= history).select(KEY, TIME, F.explode(made).alias("e")).select(KEY, TIME, "e.*").where(~c("setup_type").isin(*NEUTRAL))
 
@@ -184,6 +186,13 @@ def summarize_events(events: DataFrame, metrics: DataFrame, h: int = 20) -> Data
     return out.join(top, keys).withColumn("top5_share", c("_top") / c("_all")).drop("_top", "_all")
 
 
+def signal_report(scored: DataFrame, bars: DataFrame, last: int | None = None, cooldown: int = 20, policy: str = "best_score") -> dict[str, DataFrame]:
+    """Tables of a setup report: events of the last bars, what followed each, zones of events, and their summary."""
+    events = setup_events(scored, last=last)
+    metrics = forward_metrics(bars, truncate=True)
+    return {"events": events.join(metrics, [KEY, TIME], "left"), "zones": merge_zones(events, cooldown, policy), "summary": summarize_events(events, metrics)}
+
+
 def latest(df: DataFrame) -> DataFrame:
     """The newest row of each security."""
     w = Window.partitionBy(KEY).orderBy(F.desc(TIME))

@@ -37,6 +37,7 @@ QUERIES = {
     "sg_box_pullback": lambda s, d: rounded(scored(s, d).select(KEY, TIME, "box_pullback", "box_sideways", "box_pullback_type", "box_pullback_score")),
     "sg_best_recipe": lambda s, d: rounded(sg.best_recipe(scored(s, d)).select(KEY, TIME, "recipe", "setup_type", "setup_score")),
     "sg_events": lambda s, d: rounded(_events(s, d)),
+    "sg_recent_events": lambda s, d: rounded(sg.signal_report(scored(s, d), bars(s, d), last=250)["events"].select(KEY, TIME, "recipe", "setup_type", "setup_score", "forward_return_20")),
     "sg_forward_metrics": lambda s, d: rounded(sg.forward_metrics(bars(s, d))),
     "sg_forward_truncated": lambda s, d: rounded(sg.forward_metrics(bars(s, d), truncate=True)),
     "sg_zones_best": lambda s, d: rounded(sg.merge_zones(_events(s, d))),
@@ -98,6 +99,7 @@ SQL = {
       CASE WHEN low_price_setup_score >= greatest(range_breakout_score, box_pullback_score) THEN low_price_setup_type WHEN range_breakout_score >= box_pullback_score THEN range_breakout_type ELSE box_pullback_type END AS setup_type,
       greatest(low_price_setup_score, range_breakout_score, box_pullback_score) AS setup_score FROM b6""",
     "sg_events": CTE + " SELECT * FROM ev",
+    "sg_recent_events": CTE + f""", m AS ({_forward(True)}) SELECT stock_code, trade_date, recipe, setup_type, setup_score, forward_return_20 FROM ev JOIN m USING (stock_code, trade_date) JOIN (SELECT stock_code, trade_date FROM bars QUALIFY row_number() OVER (PARTITION BY stock_code ORDER BY trade_date DESC) <= 250) USING (stock_code, trade_date)""",
     "sg_forward_metrics": with_bars() + " " + _forward(False),
     "sg_forward_truncated": with_bars() + " " + _forward(True),
     "sg_zones_best": _zones(20, "setup_score DESC, trade_date"),
