@@ -154,3 +154,11 @@ SQL = {
     "st_return_matrix": pq.TRADES + " SELECT stock_code, round(product(1 + net_return) - 1, 5) + 0.0 AS breakouts, round(product(1 + net_return) FILTER (signal_date >= DATE '1996-01-01') - 1, 5) + 0.0 AS recent FROM tn GROUP BY 1",
     "st_rankings": pq.TRADES + f" SELECT strategy, stock_code, round(total, 5) + 0.0 AS total_return, trades, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY round(total, 9) DESC, stock_code) AS place FROM (SELECT strategy, stock_code, product(1 + net_return) - 1 AS total, count(*) AS trades FROM ({_both}) GROUP BY ALL)) WHERE place <= 5",
 }
+CARD = vq._ic_sql() + ", " + vq.SPREAD.removeprefix(vq.BASE + ", ") + ", " + vq.TURN.removeprefix(vq.MEMBERS + ", ") + """,
+  ca AS (SELECT feature_name, avg(i) AS ic_mean, avg(r) AS rank_ic_mean, avg(ip) AS ic_positive, avg(rp) AS rank_ic_positive FROM (SELECT feature_name, horizon, avg(ic) AS i, avg(rank_ic) AS r, sum(CASE WHEN ic > 1e-12 THEN 1 ELSE 0 END) / count(*) AS ip, sum(CASE WHEN rank_ic > 1e-12 THEN 1 ELSE 0 END) / count(*) AS rp FROM ic GROUP BY ALL) GROUP BY 1),
+  cb AS (SELECT feature_name, avg(s) AS spread_mean FROM (SELECT feature_name, horizon, avg(spread) AS s FROM spread GROUP BY ALL) GROUP BY 1),
+  ct AS (SELECT feature_name, avg(m) AS turnover FROM (SELECT feature_name, bucket, avg(turnover) AS m FROM turn GROUP BY ALL) GROUP BY 1),
+  cs AS (SELECT *, coalesce(abs(rank_ic_mean), 0) * 35 + coalesce(abs(ic_mean), 0) * 20 + greatest(coalesce(spread_mean, 0), 0) * 2000 + coalesce(rank_ic_positive, 0) * 15 + coalesce(ic_positive, 0) * 5 + greatest(1 - coalesce(turnover, 1), 0) * 5 AS score,
+    CASE feature_name WHEN 'VMA20' THEN 'quality' WHEN 'KMID' THEN 'risk' ELSE 'trend' END AS component FROM ca FULL JOIN cb USING (feature_name) FULL JOIN ct USING (feature_name))"""
+SQL["wt_scorecard"] = CARD + " SELECT feature_name, component, " + ", ".join(f"round({x}, 4) + 0.0 AS {x}" for x in ("ic_mean", "rank_ic_mean", "ic_positive", "rank_ic_positive", "spread_mean", "turnover", "score")) + """,
+  round(CASE WHEN sum(greatest(score, 0)) OVER (PARTITION BY component) > 0 THEN greatest(score, 0) / sum(greatest(score, 0)) OVER (PARTITION BY component) END, 4) AS recommended_weight FROM cs"""
