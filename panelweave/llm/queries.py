@@ -5,6 +5,8 @@ from __future__ import annotations
 from panelweave.llm.backoff_lm import op6_stupid_backoff
 from panelweave.llm.bpe import op5_bpe_roundtrip
 from panelweave.llm.chat_tree import OP2_SQL, op2_chat_tree
+from panelweave.llm.content_sort import OP12_SQL, op12_exact_dedup
+from panelweave.llm.dataset_manifest import OP13_SQL, op13_dataset_manifest
 from panelweave.llm.decontaminate import OP4_SQL, op4_decontaminate
 from panelweave.llm.quality import op9_quality_ratio
 from panelweave.llm.sharding import op10_shard_rows
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_ratio": op9_quality_ratio,
     "op10_shard_rows": op10_shard_rows,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_dataset_manifest": op13_dataset_manifest,
 }
 
 ORACLE_SQL = {
@@ -31,4 +35,6 @@ ORACLE_SQL = {
     "op2_chat_tree": OP2_SQL,
     "op3_substring_dedup": OP3_SQL,
     "op4_decontaminate": OP4_SQL,
+    "op12_exact_dedup": OP12_SQL,
+    "op13_dataset_manifest": OP13_SQL,
 }
