@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from panelweave.llm.alignment import op11_token_alignment
 from panelweave.llm.backoff_lm import op6_stupid_backoff
 from panelweave.llm.bpe import op5_bpe_roundtrip
 from panelweave.llm.chat_tree import OP2_SQL, op2_chat_tree
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_ratio": op9_quality_ratio,
     "op10_shard_rows": op10_shard_rows,
+    "op11_token_alignment": op11_token_alignment,
     "op12_exact_dedup": op12_exact_dedup,
     "op13_dataset_manifest": op13_dataset_manifest,
 }
