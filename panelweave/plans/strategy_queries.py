@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from panelweave.functions.columns import KEY, TIME
-from panelweave.operators import indicators as ti, scoring as sc, strategies as st
+from panelweave.operators import indicators as ti, ordered_modes as om, scoring as sc, strategies as st
 from panelweave.plans import score_queries as pq
 from panelweave.plans.common import bars, rounded
 
 MODES, MODE_ZONE = ("recent",), "volume_zone"
+#: Securities that stand for those of the modes made for single ones.
+GROUPS = {"support": ("00007",), "bottom": ("00003",)}
 
 
 def complete(s, d):
@@ -24,6 +26,8 @@ QUERIES = {
     "st_pullback": lambda s, d: rounded(st.pullback_buys(complete(s, d))),
     "st_bottom_volume": lambda s, d: rounded(st.bottom_volume_buys(complete(s, d))),
     "st_range_band": lambda s, d: rounded(st.range_band_buys(complete(s, d))),
+    "st_ordered_modes": lambda s, d: rounded(om.mode_buys(complete(s, d), groups=GROUPS).drop("reasons")),
+    "st_group_modes": lambda s, d: rounded(om.mode_buys(complete(s, d), *om.group_modes("support", "00007")).drop("reasons")),
     "st_sell_overbought": lambda s, d: rounded(st.overbought_sells(complete(s, d))),
     "st_sell_upper_band": lambda s, d: rounded(st.upper_band_sells(complete(s, d))),
     "st_zones": lambda s, d: st.strongest_of_zone(pq.sells(s, d)),
