@@ -1,18 +1,18 @@
 """Technical indicators of daily bars.
 
-Windowed indicators are column expressions over one partitioning. Recurrences (exponential and
-Wilder averages) depend on their own last value, which no window frame expresses; they run per
-security in one grouped pass over its bars.
+All are column expressions over one partitioning. Recurrences (exponential and Wilder averages)
+depend on their own last value; ``functions.scans`` makes running sums of them, so that the bars are
+read and dealt once for every indicator.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelweave.functions import scans
 from panelweave.functions.columns import EPSILON, KEY, TIME, change, clamp, leading, ratio, security, trailing, windowed
+from panelweave.functions.scans import ema, wilder
 
 c = F.col
 MOVING, VOLUME_MOVING = (5, 10, 20, 25, 30, 60), (5, 10, 20, 60)
@@ -83,8 +83,11 @@ def windowed_indicators(bars: DataFrame) -> DataFrame:
     }).drop("_bb", "_pv", "_vwap", "_high10", "_low10", "_max50", "_min50", "_high14", "_low14")
 
 
-def range_scores(ind: DataFrame) -> DataFrame:
-    """Composite 0..100 scores: reversion in the range, VWAP stretch, stability, width of the band.
+RANGE_SCORES = ("range_reversion", "vwap_stretch", "range_stability", "band_compression", "volatility_compression", "range_long_composite")
+
+
+def with_range_scores(ind: DataFrame) -> DataFrame:
+    """Adds composite 0..100 scores: reversion in the range, VWAP stretch, stability, width of the band.
 
     Where ``ind`` has the recurrent ``atr10`` too, also the compression of band and ATR and the
     composite of all of them.
@@ -95,67 +98,54 @@ def range_scores(ind: DataFrame) -> DataFrame:
     out = z.withColumn("_reversion", reversion)
     if whole:
         out = out.withColumn("_compression", score(c("_width"), 10.0, False) * 0.55 + score(c("_atr"), 10.0, False) * 0.45)
-    out = out.select(
-        KEY, TIME, clamp(c("_reversion"), 0, 100).alias("range_reversion"), score(c("_stretch"), 14.0, False).alias("vwap_stretch"),
-        score(c("_steady"), 10.0, False).alias("range_stability"), score(c("_width"), 10.0, False).alias("band_compression"),
-        *([clamp(c("_compression"), 0, 100).alias("volatility_compression")] if whole else []),
-    )
+    out = out.withColumns({
+        "range_reversion": clamp(c("_reversion"), 0, 100), "vwap_stretch": score(c("_stretch"), 14.0, False), "range_stability": score(c("_steady"), 10.0, False), "band_compression": score(c("_width"), 10.0, False),
+        **({"volatility_compression": clamp(c("_compression"), 0, 100)} if whole else {}),
+    }).drop("_revert", "_stretch", "_steady", "_width", "_atr", "_reversion", "_compression")
     if not whole:
         return out
     blend = c("range_reversion") * 0.40 + c("volatility_compression") * 0.24 + c("vwap_stretch") * 0.18 + c("range_stability") * 0.18
     return out.withColumn("range_long_composite", clamp(blend, 0, 100))
 
 
-def smoothed(x: np.ndarray, n: int, weight: float) -> np.ndarray:
-    """Exponential average that starts at the mean of the first ``n`` values; missing before that."""
-    out = np.full(len(x), np.nan)
-    first = int(np.argmax(~np.isnan(x))) if len(x) and not np.isnan(x).all() else len(x)
-    if first + n > len(x):
-        return out
-    rest = x[first + n - 1 :].copy()
-    rest[0] = x[first : first + n].mean()
-    out[first + n - 1 :] = pd.Series(rest).ewm(alpha=weight, adjust=False).mean()
-    return out
-
-
-def ema(x: np.ndarray, n: int) -> np.ndarray:
-    return smoothed(x, n, 2.0 / (n + 1))
+def range_scores(ind: DataFrame) -> DataFrame:
+    """The scores of ``with_range_scores`` alone."""
+    out = with_range_scores(ind)
+    return out.select(KEY, TIME, *[n for n in RANGE_SCORES if n in out.columns])
 
 
 RECURRENT = ("ema5", "ema12", "ema13", "ema26", "ema34", "macd", "macd_signal", "macd_hist", "rsi", "atr5", "atr10", "atr14", "atr20", "stoch_k", "stoch_d")
+EMA, ATR, RSI, SIGNAL, STOCHASTIC, SMOOTH = (5, 12, 13, 26, 34), (5, 10, 14, 20), 14, 9, 14, 3
 
 
-def _recurrences(key: tuple, bars: pd.DataFrame) -> pd.DataFrame:
-    bars = bars.sort_values(TIME)
-    close, high, low = (bars[x].to_numpy(dtype=float) for x in ("close", "high", "low"))
-    out = {f"ema{n}": ema(close, n) for n in (5, 12, 13, 26, 34)}
-    out["macd"] = out["ema12"] - out["ema26"]
-    out["macd_signal"] = ema(out["macd"], 9)
-    out["macd_hist"] = out["macd"] - out["macd_signal"]
-    step = np.diff(close, prepend=np.nan)
-    up, down = smoothed(np.maximum(step, 0), 14, 1 / 14), smoothed(np.maximum(-step, 0), 14, 1 / 14)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        out["rsi"] = np.where(up + down > 0, 100 * up / (up + down), np.where(np.isnan(up), np.nan, 50.0))
-        before = np.concatenate([[np.nan], close[:-1]])
-        true_range = np.where(np.isnan(before), np.nan, np.maximum(high - low, np.maximum(np.abs(high - before), np.abs(low - before))))
-        for n in (5, 10, 14, 20):
-            out[f"atr{n}"] = smoothed(true_range, n, 1 / n)
-        rsi = pd.Series(out["rsi"])
-        low14, high14 = rsi.rolling(14).min(), rsi.rolling(14).max()
-        out["stoch_k"] = np.where(high14 > low14, 100 * (rsi - low14) / (high14 - low14), np.where(high14.isna(), np.nan, 0.0))
-    out["stoch_d"] = pd.Series(out["stoch_k"]).rolling(3).mean().to_numpy()
-    return pd.DataFrame({KEY: key[0], TIME: bars[TIME].to_numpy(), **out})
-
-
-def recurrences(bars: DataFrame) -> DataFrame:
-    """Exponential averages, MACD(12, 26, 9), Wilder RSI(14) and ATR, stochastic RSI(14, 14, 3).
+def with_recurrences(bars: DataFrame) -> DataFrame:
+    """``bars`` plus exponential averages, MACD(12, 26, 9), Wilder RSI(14) and ATR, stochastic RSI(14, 14, 3).
 
     Averages are NULL until they have seen their length of values and start at the mean of those.
-    A flat RSI is 50, a flat stochastic 0.
+    A flat RSI is 50, a flat stochastic 0. Bars without a high, low or close are passed over and have no values.
     """
-    day = bars.schema[TIME].dataType.simpleString()
-    made = bars.select(KEY, TIME, "high", "low", "close").groupBy(KEY).applyInPandas(_recurrences, f"{KEY} string, {TIME} {day}, " + ", ".join(f"{n} double" for n in RECURRENT))
-    return made.select(KEY, TIME, *[F.when(~F.isnan(n), c(n)).alias(n) for n in RECURRENT])
+    own = Window.partitionBy(KEY, "_there").orderBy("_nth")
+    out = scans.numbered(bars, c("high").isNotNull() & c("low").isNotNull() & c("close").isNotNull()).withColumn("_was", F.lag("close").over(own))
+    step = c("close") - c("_was")
+    out = out.withColumns({
+        "_up": F.greatest(step, F.lit(0.0)), "_down": F.greatest(-step, F.lit(0.0)),
+        "_range": F.when(c("_was").isNotNull(), F.greatest(c("high") - c("low"), F.abs(c("high") - c("_was")), F.abs(c("low") - c("_was")))),
+    })
+    out = scans.averages(out, {**{f"ema{n}": ema("close", n) for n in EMA}, **{f"atr{n}": wilder("_range", n, 2) for n in ATR}, "_gain": wilder("_up", RSI, 2), "_loss": wilder("_down", RSI, 2)})
+    both = c("_gain") + c("_loss")
+    out = out.withColumns({"macd": c("ema12") - c("ema26"), "rsi": F.when(both > 0, 100 * c("_gain") / both).when(both.isNotNull(), 50.0)})
+    out = scans.averages(out, {"macd_signal": ema("macd", SIGNAL, 26)})
+    last = lambda n: own.rowsBetween(1 - n, 0)
+    low, high = F.min("rsi").over(last(STOCHASTIC)), F.max("rsi").over(last(STOCHASTIC))
+    full = c("_nth") >= 1 + RSI + STOCHASTIC - 1
+    out = out.withColumns({"macd_hist": c("macd") - c("macd_signal"), "_lo": low, "_hi": high})
+    out = out.withColumn("stoch_k", F.when(full & c("rsi").isNotNull(), F.when(c("_hi") > c("_lo"), 100 * (c("rsi") - c("_lo")) / (c("_hi") - c("_lo"))).otherwise(0.0)))
+    out = out.withColumn("stoch_d", F.when(F.count("stoch_k").over(last(SMOOTH)) == SMOOTH, F.avg("stoch_k").over(last(SMOOTH))))
+    return out.drop("_there", "_nth", "_was", "_up", "_down", "_range", "_gain", "_loss", "_lo", "_hi")
+
+
+def recurrences(bars: DataFrame) -> DataFrame:
+    return with_recurrences(bars.select(KEY, TIME, "high", "low", "close")).select(KEY, TIME, *RECURRENT)
 
 
 #: Weights of the matrix score.
@@ -195,9 +185,7 @@ def divergence(look_back: int = 20) -> Column:
 
 def complete(bars: DataFrame) -> DataFrame:
     """What rule strategies read: all indicators, the range scores, the cost lines and divergences."""
-    ind = cycle_stack(full(bars))
-    ranges = range_scores(ind).select(KEY, TIME, "range_reversion", "vwap_stretch", "range_stability", "volatility_compression", "range_long_composite")
-    return with_volatility(ind.withColumn("divergence", divergence())).join(ranges, [KEY, TIME])
+    return with_volatility(with_range_scores(cycle_stack(full(bars))).drop("band_compression").withColumn("divergence", divergence()))
 
 
 def with_volatility(ind: DataFrame) -> DataFrame:
@@ -207,13 +195,14 @@ def with_volatility(ind: DataFrame) -> DataFrame:
 
 def full(bars: DataFrame) -> DataFrame:
     """All indicators: windowed, recurrent, and the scores made of both."""
-    both = windowed_indicators(bars).join(recurrences(bars), [KEY, TIME]).withColumn("stoch_cross", stoch_cross())
+    both = with_recurrences(windowed_indicators(bars)).withColumn("stoch_cross", stoch_cross())
     z = with_zscores(both, {f"_z_{n}": c(n) for n in MATRIX})
     parts = [c(f"_z_{n}") * w for n, w in MATRIX.items()]
     have = sum(F.when(p.isNotNull(), 1).otherwise(0) for p in parts)
     z = z.withColumn("matrix_raw", F.when(have >= 10, sum(F.coalesce(p, F.lit(0.0)) for p in parts)))
     z = with_zscores(z, {"matrix_z": c("matrix_raw")}).withColumn("matrix_score", clamp(50 + c("matrix_z") * 12, 0, 100))
     part = lambda n, scale, w: F.coalesce(50 + clamp(c(f"_z_{n}"), -2, 2) * scale, F.lit(50.0)) * w
+    # Shares of the blend, then what single conditions add or take.
     blend = (
         c("matrix_score") * 0.20 + part("return_20", 12, 0.16) + part("return_60", 12, 0.16) + part("ma20_slope", 12, 0.14) + part("ma60_slope", 10, 0.12)
         + part("distance_high_20", 10, 0.10) + part("volume_trend", 8, 0.06) + c("trend_regime") * 0.06

@@ -301,11 +301,16 @@ def trend_2560_buys(ind: DataFrame) -> DataFrame:
     )
 
 
-def high_volume_bearish_sells(ind: DataFrame) -> DataFrame:
-    """Falling bars at any of four highs on either kind of high volume; strength 5, and 1 more for each of three signs."""
+def bearish_strength() -> Column:
+    """5 for a falling bar at any of four highs on either kind of high volume, and 1 more for each of three signs; NULL for other bars."""
     has = lambda rule: F.coalesce(rule, F.lit(False))
     falls = has(c("close") < c("open")) | has(c("intraday_return") < 0)
     high = has(c("distance_high_20") >= -0.03) | has(c("distance_high_60") >= -0.05) | has(c("bb_position") >= 0.78) | has(c("return_60") >= 0.18)
     loud = has(c("volume_ratio_10") >= 1.35) | has(c("volume_spike") >= 1.6)
     signs = (has(c("upper_shadow") >= 0.28), has(c("volume_ratio_10") >= 1.8), has(c("distance_high_20") >= -0.01) | has(c("bb_position") >= 0.92))
-    return ind.where(falls & high & loud).select(KEY, TIME, "close", (F.lit(5) + sum(x.cast("int") for x in signs)).alias("strength"))
+    return F.when(falls & high & loud, F.lit(5) + sum(x.cast("int") for x in signs))
+
+
+def high_volume_bearish_sells(ind: DataFrame) -> DataFrame:
+    """Bars that have a ``bearish_strength``."""
+    return ind.select(KEY, TIME, "close", bearish_strength().alias("strength")).where("strength IS NOT NULL")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import KEY, TIME, security
-from panelweave.operators.scoring import high_volume_bearish_sells
+from panelweave.operators.scoring import bearish_strength
 
 c = F.col
 
@@ -147,10 +147,10 @@ def range_band_buys(ind: DataFrame) -> DataFrame:
 
 
 def _or_bearish(ind: DataFrame, rule: str, kind: str, strength: int) -> DataFrame:
-    own = ind.where(rule).select(KEY, TIME, "close", F.lit(strength).alias("strength"), F.lit(kind).alias("signal_type"))
-    both = high_volume_bearish_sells(ind).withColumn("signal_type", F.lit("high_volume_bearish")).unionByName(own)
-    w = Window.partitionBy(KEY, TIME).orderBy(F.desc("strength"), (c("signal_type") == kind).cast("int"))
-    return both.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+    """Bars that fulfil ``rule`` or fall at a high on high volume, with the stronger of the two; the latter of equals."""
+    rows = ind.select(KEY, TIME, "close", F.when(F.expr(rule), F.lit(strength)).alias("_own"), bearish_strength().alias("_bear")).where("_own IS NOT NULL OR _bear IS NOT NULL")
+    own = c("_bear").isNull() | (c("_own") > c("_bear"))
+    return rows.select(KEY, TIME, "close", F.greatest("_own", "_bear").alias("strength"), F.when(own, kind).otherwise("high_volume_bearish").alias("signal_type"))
 
 
 def overbought_sells(ind: DataFrame) -> DataFrame:

@@ -27,8 +27,8 @@ GROUPS = {
 QUERIES = {
     **{n: _part(*cols) for n, cols in GROUPS.items()},
     "ti_range_scores": lambda s, d: rounded(ti.range_scores(ti.windowed_indicators(bars(s, d))), 4),
-    "ti_range_composite": lambda s, d: rounded(ti.range_scores(ti.windowed_indicators(bars(s, d)).join(ti.recurrences(bars(s, d)), [KEY, TIME])), 4),
-    "ti_recurrences": lambda s, d: rounded(ti.recurrences(bars(s, d))),
+    "ti_range_composite": lambda s, d: rounded(ti.range_scores(ti.with_recurrences(ti.windowed_indicators(bars(s, d)))), 4),
+    "ti_recurrences": lambda s, d: rounded(ti.recurrences(bars(s, d)), 3),
     "ti_ema": lambda s, d: rounded(ti.recurrences(bars(s, d)).select(KEY, TIME, "ema12", "ema26", "macd"), 4),
     "ti_expected_score": lambda s, d: rounded(ti.full(bars(s, d)).select(KEY, TIME, "matrix_raw", "matrix_score", "expected_3m_score")),
 }
@@ -68,7 +68,25 @@ def _select(cols: list[str]) -> str:
 
 _EMA = lambda n: f"""e{n} AS (SELECT stock_code, nth, avg(close) OVER (PARTITION BY stock_code ORDER BY nth ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS v FROM q QUALIFY nth = {n}
   UNION ALL SELECT q.stock_code, q.nth, e.v + {2 / (n + 1)!r} * (q.close - e.v) FROM e{n} e JOIN q ON q.stock_code = e.stock_code AND q.nth = e.nth + 1)"""
+# All states of a security side by side: each starts at the mean of its first values and moves by its weight.
+_STATES = {f"ema{n}": ("close", n, 2 / (n + 1), 1) for n in ti.EMA} | {f"atr{n}": ("tr", n, 1 / n, 2) for n in ti.ATR} | {"gain": ("up", ti.RSI, 1 / ti.RSI, 2), "loss": ("down", ti.RSI, 1 / ti.RSI, 2)}
+_begun = lambda x, n, k: f"CASE WHEN nth = {n + k - 1} THEN avg({x}) OVER (PARTITION BY stock_code ORDER BY nth ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END"
+_moved = lambda s, x, w, at: f"CASE WHEN q.nth = {at} THEN q.{s}_0 WHEN q.nth > {at} THEN r.{s} + {w!r} * (q.{x} - r.{s}) END"
+RECURSIVE = "WITH RECURSIVE " + with_bars().removeprefix("WITH ") + f""",
+  q0 AS (SELECT *, row_number() OVER s AS nth, lag(close) OVER s AS was FROM bars WINDOW s AS (PARTITION BY stock_code ORDER BY trade_date)),
+  q1 AS (SELECT *, greatest(close - was, 0) AS up, greatest(was - close, 0) AS down, CASE WHEN was IS NOT NULL THEN greatest(high - low, abs(high - was), abs(low - was)) END AS tr FROM q0),
+  q AS MATERIALIZED (SELECT stock_code, trade_date, nth, close, up, down, tr, {", ".join(f"{_begun(x, n, k)} AS {s}_0" for s, (x, n, _, k) in _STATES.items())} FROM q1),
+  r AS (SELECT stock_code, nth, {", ".join(f"CAST(NULL AS DOUBLE) AS {s}" for s in _STATES)} FROM q WHERE nth = 1
+    UNION ALL SELECT q.stock_code, q.nth, {", ".join(_moved(s, x, w, n + k - 1) for s, (x, n, w, k) in _STATES.items())} FROM r JOIN q ON q.stock_code = r.stock_code AND q.nth = r.nth + 1),
+  m0 AS MATERIALIZED (SELECT *, ema12 - ema26 AS macd, CASE WHEN gain + loss > 0 THEN 100 * gain / (gain + loss) WHEN gain + loss IS NOT NULL THEN 50 END AS rsi FROM r),
+  m AS MATERIALIZED (SELECT *, {_begun("macd", ti.SIGNAL, 26)} AS signal_0 FROM m0),
+  g AS (SELECT stock_code, nth, CAST(NULL AS DOUBLE) AS signal FROM m WHERE nth = 1 UNION ALL SELECT q.stock_code, q.nth, {_moved("signal", "macd", 2 / (ti.SIGNAL + 1), 25 + ti.SIGNAL)} FROM g r JOIN m q ON q.stock_code = r.stock_code AND q.nth = r.nth + 1),
+  k0 AS (SELECT *, count(rsi) OVER k AS kn, min(rsi) OVER k AS lo, max(rsi) OVER k AS hi FROM m JOIN g USING (stock_code, nth) JOIN (SELECT stock_code, nth, trade_date FROM q) USING (stock_code, nth)
+    WINDOW k AS (PARTITION BY stock_code ORDER BY nth ROWS BETWEEN {ti.STOCHASTIC - 1} PRECEDING AND CURRENT ROW)),
+  k1 AS (SELECT *, macd - signal AS macd_hist, signal AS macd_signal, CASE WHEN kn = {ti.STOCHASTIC} THEN CASE WHEN hi > lo THEN 100 * (rsi - lo) / (hi - lo) ELSE 0 END END AS stoch_k FROM k0),
+  k2 AS (SELECT *, CASE WHEN count(stoch_k) OVER d = 3 THEN avg(stoch_k) OVER d END AS stoch_d FROM k1 WINDOW d AS (PARTITION BY stock_code ORDER BY nth ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))"""
 SQL = {
+    "ti_recurrences": RECURSIVE + " SELECT stock_code, trade_date, " + ", ".join(f"round({n}, 3) + 0.0 AS {n}" for n in ti.RECURRENT) + " FROM k2",
     **{n: _select(cols) for n, cols in GROUPS.items()},
     "ti_range_scores": CTE + f""", r AS (SELECT *, abs(price_vs_vwap) AS stretch FROM i3) SELECT stock_code, trade_date,
       round(CASE WHEN range_position_20 + bb_position + {_score('mean_reversion_5', 12)} IS NOT NULL THEN least(greatest((1 - range_position_20) * 40 + (1 - least(greatest(bb_position, 0), 1)) * 30 + {_score('mean_reversion_5', 12)} * 0.3, 0), 100) END, 4) + 0.0 AS range_reversion,

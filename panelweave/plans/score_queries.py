@@ -80,7 +80,7 @@ def scorecard(s, d):
 
 
 def trend_2560(s, d):
-    return sc.trend_2560_buys(ti.windowed_indicators(bars(s, d)).join(ti.recurrences(bars(s, d)), [KEY, TIME]))
+    return sc.trend_2560_buys(ti.with_recurrences(ti.windowed_indicators(bars(s, d))))
 
 
 def asof(s, d):
