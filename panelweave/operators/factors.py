@@ -1,8 +1,8 @@
 """Rolling factor sets over daily bars: candle shapes, price lags and windowed statistics.
 
-Every column is one expression over the same partitioning, so a whole set costs one shuffle and
-one sort, however many windows it has. A factor is a name and a function from the window length to
-a column; sets are assembled from these, and asking for fewer factors plans fewer windows.
+A family of factors is a function from the window length to a column over statistics of that window, and the list of
+these statistics. A set collects what its factors need and computes it in one pass over the bars in their order, dealt
+once by security. Asking for fewer factors computes fewer statistics.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.functions.columns import EPSILON, KEY, TIME, correlation, safe_divide, security, trailing
+from panelweave.functions.columns import EPSILON, KEY, TIME, safe_divide, security
+from panelweave.functions.rolling import full_windows, named, needed
 
 WINDOWS = (5, 10, 20, 30, 60)
 PRICES = ("open", "high", "low", "close", "vwap")
@@ -46,9 +47,11 @@ def with_inputs(bars: DataFrame) -> DataFrame:
         "_lvstep": F.when(c("_volume1").isNotNull(), F.ln(F.greatest(safe_divide(c("volume"), c("_volume1")) + 1, F.lit(EPSILON)))),
         "_moved": F.abs(step - 1) * c("volume"),
     })
-    out = out.withColumns({"_up": F.coalesce(c("_dc") > 0, F.lit(False)).cast("double"), "_fell": F.coalesce(c("_dc") < 0, F.lit(False)).cast("double"), "_atclose": c("_at") * c("close")})
-    lists = {f"_{n}s": F.collect_list(n).over(trailing(max(WINDOWS))) for n in ("close", "high", "low")}
-    return out.withColumns(lists)
+    gain = lambda x: F.greatest(c(x), F.lit(0.0))
+    return out.withColumns({
+        "_up": F.coalesce(c("_dc") > 0, F.lit(False)).cast("double"), "_fell": F.coalesce(c("_dc") < 0, F.lit(False)).cast("double"),
+        **{f"_{k}{x}": F.when(c(f"_{x}").isNotNull(), f(f"_{x}")) for x in ("dc", "dv") for k, f in (("gained", gain), ("size", F.abs))},
+    })
 
 
 def candle() -> dict[str, Column]:
@@ -65,60 +68,33 @@ def lagged(field: str, n: int, base: str) -> Column:
     return safe_divide(x, c(base))
 
 
-def _full(aggregate: Column, n: int, lost: int = 0) -> Column:
-    """``aggregate`` over the last ``n`` bars once they are there; inputs have values from bar ``lost`` + 1 of a security on."""
-    return F.when(c("_at") >= n + lost, aggregate.over(trailing(n)))
-
-
-def _mean(x: str, n: int, lost: int = 0) -> Column:
-    return _full(F.avg(x), n, lost)
-
-
-def _share(part: str, sign: int, n: int) -> Column:
-    """Gains (sign 1), losses (-1) or their difference (0) of a change column as a share of all movement."""
-    moved, gained = F.sum(F.abs(part)).over(trailing(n)), F.sum(F.greatest(c(part), F.lit(0.0))).over(trailing(n))
-    what = {1: gained, -1: moved - gained, 0: gained + gained - moved}[sign]
-    return F.when(c("_at") > n, safe_divide(what, moved))
-
-
-def _last(field: str, n: int) -> Column:
-    """The window's values of a field, oldest first; the list of the longest window is made once for all."""
-    return F.slice(c(f"_{field}s"), -n, n)
-
+def _full(*stat: str, n: int) -> Column:
+    """A statistic of the last ``n`` bars; NULL until all have a value."""
+    return c(named(stat, n))
 
-def rank_in_window(n: int) -> Column:
-    """Average rank of the newest close among the window's, as a share of the window."""
-    values = _last("close", n)
-    below = F.array_position(F.sort_array(values), c("close")) - 1
-    equal = n - F.size(F.array_remove(values, c("close")))
-    return F.when(c("_at") >= n, (below + (equal + 1) / 2) / n)
 
+def _mean(x: str, n: int) -> Column:
+    return _full("sum", x, n=n) / n
 
-def first_max(field: str, n: int) -> Column:
-    return F.when(c("_at") >= n, F.array_position(_last(field, n), F.array_max(_last(field, n))).cast("double"))
 
+def _deviation(x: str, n: int) -> Column:
+    return F.sqrt(_full("m2", x, n=n) / (n - 1))
 
-def first_min(field: str, n: int) -> Column:
-    return F.when(c("_at") >= n, F.array_position(_last(field, n), F.array_min(_last(field, n))).cast("double"))
 
-
-def window_quantile(q: float, n: int) -> Column:
-    """Between neighbours by share, as ``percentile`` does."""
-    lo, part = divmod(round(q * (n - 1), 9), 1)
-    values = F.sort_array(_last("close", n))
-    at = lambda k: F.get(values, F.lit(int(k)))
-    return F.when(c("_at") >= n, at(lo) * (1 - part) + at(lo + 1) * part if part else at(lo))
+def _share(part: str, sign: int, n: int) -> Column:
+    """Gains (sign 1), losses (-1) or their difference (0) of a change column as a share of all movement; the first bar has no change."""
+    moved, gained = (_full("sum", f"_{k}{part}", n=n) for k in ("size", "gained"))
+    return safe_divide({1: gained, -1: moved - gained, 0: gained + gained - moved}[sign], moved)
 
 
 def slope(n: int) -> Column:
-    """Least-squares slope of the closes on their bar numbers, from two sums."""
-    middle = c("_at") - (n - 1) / 2
-    return _full(F.sum("_atclose"), n) / (n * (n * n - 1) / 12) - middle * _full(F.sum("close"), n) / (n * (n * n - 1) / 12)
+    """Least-squares slope of the closes on their bar numbers."""
+    return _full("co", "_at", "close", n=n) / (n * (n * n - 1) / 12)
 
 
 def r_square(n: int) -> Column:
-    around = _full(F.var_pop("close"), n)
-    return F.when(around * n > EPSILON, slope(n) * slope(n) * ((n * n - 1) / 12) / around)
+    around = _full("m2", "close", n=n)
+    return F.when(around > EPSILON, slope(n) * slope(n) * (n * (n * n - 1) / 12) / around)
 
 
 def residual(n: int) -> Column:
@@ -126,15 +102,16 @@ def residual(n: int) -> Column:
 
 
 def _corr(a: str, b: str, n: int) -> Column:
-    return F.when(F.count(c(a) + c(b)).over(trailing(n)) == n, correlation(c(a), c(b), trailing(n)))
+    vx, vy = (_full("m2", x, n=n) / n for x in (a, b))
+    return F.when((vx > EPSILON) & (vy > EPSILON), _full("co", a, b, n=n) / n / F.sqrt(vx * vy))
 
 
 def _top(n: int) -> Column:
-    return _full(F.max("high"), n)
+    return _full("max", "high", n=n)
 
 
 def _bottom(n: int) -> Column:
-    return _full(F.min("low"), n)
+    return _full("min", "low", n=n)
 
 
 def _close() -> Column:
@@ -149,38 +126,46 @@ def _volume() -> Column:
 ROLLING: dict[str, Callable[[int], Column]] = {
     "ROC": lambda n: lagged("close", n, "close"),
     "MA": lambda n: safe_divide(_mean("close", n), _close()),
-    "STD": lambda n: safe_divide(_full(F.stddev_samp("close"), n), _close()),
+    "STD": lambda n: safe_divide(_deviation("close", n), _close()),
     "BETA": lambda n: safe_divide(slope(n), _close()),
     "RSQR": lambda n: r_square(n),
     "RESI": lambda n: safe_divide(residual(n), _close()),
     "MAX": lambda n: safe_divide(_top(n), _close()),
     "MIN": lambda n: safe_divide(_bottom(n), _close()),
-    "QTLU": lambda n: safe_divide(window_quantile(0.8, n), _close()),
-    "QTLD": lambda n: safe_divide(window_quantile(0.2, n), _close()),
-    "RANK": lambda n: rank_in_window(n),
+    "QTLU": lambda n: safe_divide(_full("upper", "close", n=n), _close()),
+    "QTLD": lambda n: safe_divide(_full("lower", "close", n=n), _close()),
+    "RANK": lambda n: _full("rank", "close", n=n),
     "RSV": lambda n: safe_divide(_close() - _bottom(n), _top(n) - _bottom(n)),
-    "IMAX": lambda n: safe_divide(first_max("high", n), F.lit(float(n))),
-    "IMIN": lambda n: safe_divide(first_min("low", n), F.lit(float(n))),
-    "IMXD": lambda n: safe_divide(first_max("high", n) - first_min("low", n), F.lit(float(n))),
+    "IMAX": lambda n: safe_divide(_full("first_max", "high", n=n), F.lit(float(n))),
+    "IMIN": lambda n: safe_divide(_full("first_min", "low", n=n), F.lit(float(n))),
+    "IMXD": lambda n: safe_divide(_full("first_max", "high", n=n) - _full("first_min", "low", n=n), F.lit(float(n))),
     "CORR": lambda n: _corr("close", "_lv", n),
     "CORD": lambda n: _corr("_step", "_lvstep", n),
     "CNTP": lambda n: _mean("_up", n),
     "CNTN": lambda n: _mean("_fell", n),
     "CNTD": lambda n: _mean("_up", n) - _mean("_fell", n),
-    "SUMP": lambda n: _share("_dc", 1, n),
-    "SUMN": lambda n: _share("_dc", -1, n),
-    "SUMD": lambda n: _share("_dc", 0, n),
+    "SUMP": lambda n: _share("dc", 1, n),
+    "SUMN": lambda n: _share("dc", -1, n),
+    "SUMD": lambda n: _share("dc", 0, n),
     "VMA": lambda n: safe_divide(_mean("volume", n), _volume()),
-    "VSTD": lambda n: safe_divide(_full(F.stddev_samp("volume"), n), _volume()),
-    "WVMA": lambda n: safe_divide(_full(F.stddev_samp("_moved"), n, 1), _mean("_moved", n, 1)),
-    "VSUMP": lambda n: _share("_dv", 1, n),
-    "VSUMN": lambda n: _share("_dv", -1, n),
-    "VSUMD": lambda n: _share("_dv", 0, n),
+    "VSTD": lambda n: safe_divide(_deviation("volume", n), _volume()),
+    "WVMA": lambda n: safe_divide(_deviation("_moved", n), _mean("_moved", n)),
+    "VSUMP": lambda n: _share("dv", 1, n),
+    "VSUMN": lambda n: _share("dv", -1, n),
+    "VSUMD": lambda n: _share("dv", 0, n),
 }
 
 
-#: Families that read the lists of the last bars.
-LISTED = ("QTLU", "QTLD", "RANK", "IMAX", "IMIN", "IMXD")
+#: Statistics of its window that each family reads.
+STATS: dict[str, tuple[tuple[str, ...], ...]] = {
+    "ROC": (), "MA": (("sum", "close"),), "STD": (("m2", "close"),), "BETA": (("co", "_at", "close"),), "RSQR": (("co", "_at", "close"), ("m2", "close")), "RESI": (("co", "_at", "close"), ("sum", "close")),
+    "MAX": (("max", "high"),), "MIN": (("min", "low"),), "RSV": (("max", "high"), ("min", "low")), "QTLU": (("upper", "close"),), "QTLD": (("lower", "close"),), "RANK": (("rank", "close"),),
+    "IMAX": (("first_max", "high"),), "IMIN": (("first_min", "low"),), "IMXD": (("first_max", "high"), ("first_min", "low")),
+    "CORR": (("co", "close", "_lv"), ("m2", "close"), ("m2", "_lv")), "CORD": (("co", "_step", "_lvstep"), ("m2", "_step"), ("m2", "_lvstep")),
+    "CNTP": (("sum", "_up"),), "CNTN": (("sum", "_fell"),), "CNTD": (("sum", "_up"), ("sum", "_fell")),
+    **{f"SUM{k}": (("sum", "_sizedc"), ("sum", "_gaineddc")) for k in "PND"}, **{f"VSUM{k}": (("sum", "_sizedv"), ("sum", "_gaineddv")) for k in "PND"},
+    "VMA": (("sum", "volume"),), "VSTD": (("m2", "volume"),), "WVMA": (("m2", "_moved"), ("sum", "_moved")),
+}
 
 
 def factor_names(windows: Iterable[int] = WINDOWS, families: Iterable[str] | None = None) -> list[str]:
@@ -193,6 +178,7 @@ def compute(bars: DataFrame, names: Iterable[str] | None = None, keep: Iterable[
     wanted = list(names) if names is not None else factor_names()
     shapes = candle()
     made: dict[str, Column] = {}
+    windows: dict[int, list[str]] = {}
     for name in wanted:
         family, n = name.rstrip("0123456789"), name[len(name.rstrip("0123456789")) :]
         if name in shapes:
@@ -202,12 +188,15 @@ def compute(bars: DataFrame, names: Iterable[str] | None = None, keep: Iterable[
         elif family == "VOLUME":
             made[name] = lagged("volume", int(n), "volume")
         elif family in ROLLING and n:
-            if family in LISTED and int(n) > max(WINDOWS):
-                raise ValueError(f"{name!r}: lists hold {max(WINDOWS)} bars")
+            windows.setdefault(int(n), []).append(family)
             made[name] = ROLLING[family](int(n))
         else:
             raise ValueError(f"unknown factor {name!r}")
-    return with_inputs(prepare(bars)).select(KEY, TIME, *keep, *[x.alias(n) for n, x in made.items()])
+    lags = {n: x for n, x in made.items() if n not in shapes and not any(n.startswith(f) and STATS[f] for f in STATS)}  # read other bars of the security
+    rows = with_inputs(prepare(bars).repartition(KEY)).withColumns({f"_lag_{n}": x for n, x in lags.items()})
+    made |= {n: c(f"_lag_{n}") for n in lags}
+    rows = full_windows(rows, [(*s, n) for n, families in windows.items() for s in needed(STATS, families)], "_at")
+    return rows.select(KEY, TIME, *keep, *[x.alias(n) for n, x in made.items()])
 
 
 def lag_panel(bars: DataFrame, lags: int = 60) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions import scans
 from panelweave.functions.columns import EPSILON, KEY, TIME, change, clamp, leading, ratio, security, trailing, windowed
+from panelweave.functions.rolling import named, rolling
 from panelweave.functions.scans import ema, wilder
 
 c = F.col
@@ -19,17 +20,14 @@ MOVING, VOLUME_MOVING = (5, 10, 20, 25, 30, 60), (5, 10, 20, 60)
 
 
 def with_zscores(df: DataFrame, values: dict[str, Column], window: int = 60, least: int = 20) -> DataFrame:
-    """Adds for each name how many standard deviations its value is above its trailing mean.
-
-    The windows come first and the arithmetic after, so that each window is planned once.
-    """
-    out = df.withColumns({f"_x_{n}": x for n, x in values.items()})
-    parts = {}
-    for n in values:
-        x = c(f"_x_{n}")
-        parts |= {f"_m_{n}": windowed(x, window, F.avg(x), least), f"_s_{n}": windowed(x, window, F.stddev_samp(x), least)}
-    out = out.withColumns(parts).withColumns({n: F.when(c(f"_s_{n}") > EPSILON, (c(f"_x_{n}") - c(f"_m_{n}")) / c(f"_s_{n}")) for n in values})
-    return out.drop(*[f"_{k}_{n}" for n in values for k in "xms"])
+    """Adds for each name how many standard deviations its value is above its trailing mean."""
+    own = {n: f"_x{n}" for n in values}
+    out = df.withColumns({own[n]: x for n, x in values.items()}).withColumn("_bar", F.row_number().over(security()))
+    out = rolling(out, window, [("m2", x) for x in own.values()] + [("mean", x) for x in own.values()] + [("count", x) for x in own.values()], "_bar")
+    stat = lambda kind, n: c(named((kind, own[n]), window))
+    spread = {f"_s{n}": F.when(stat("count", n) >= least, F.sqrt(stat("m2", n) / (stat("count", n) - 1))) for n in values}
+    out = out.withColumns(spread).withColumns({n: F.when(c(f"_s{n}") > EPSILON, (c(own[n]) - stat("mean", n)) / c(f"_s{n}")) for n in values})
+    return out.drop("_bar", *own.values(), *spread, *[named((k, x), window) for k in ("m2", "mean", "count") for x in own.values()])
 
 
 def score(z: Column, scale: float = 12.0, higher: bool = True) -> Column:
