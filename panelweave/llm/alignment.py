@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import saved, small_batches, table
+from panelweave.llm.common import saved, sliced, table
 
 #: Bytes of text and rows that a block gathers, and bytes that one Arrow step aligns at a time; a longer text is a step of its own.
 BLOCK_BYTES, BLOCK_ROWS, STEP_BYTES = 24 << 20, 1 << 16, 2 << 20
@@ -241,9 +241,8 @@ def _totals(block: pa.Table, known: pa.Table) -> pa.Table:
 
 def blocks(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
     """A row for each block of texts of ``docs`` (``doc_id, text``), see ``_block``; written, so that all that read it read the same."""
-    small_batches(docs.sparkSession)
     own_a, own_b = default_paths()
-    return saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks(a_path or own_a, b_path or own_b), _BLOCK))
+    return saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sliced(_blocks(a_path or own_a, b_path or own_b)), _BLOCK))
 
 
 def pair_counts(made: DataFrame) -> DataFrame:
@@ -270,7 +269,6 @@ def totals(docs: DataFrame, a_path: str | None = None, b_path: str | None = None
 
 def groups(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
     """``doc_id, n_links, groups`` of every row: the groups themselves, written as ``a1,a2|b1;a3|b2,b3``."""
-    small_batches(docs.sparkSession)
     own_a, own_b = default_paths()
     paths = (a_path or own_a, b_path or own_b)
 
@@ -279,7 +277,7 @@ def groups(docs: DataFrame, a_path: str | None = None, b_path: str | None = None
             each = align(step, *paths)[0]
             yield from pa.table([pa.array(ids, pa.int64()), each["n_links"], each["groups"]], names=["doc_id", "n_links", "groups"]).to_batches()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_links long, groups string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sliced(run), "doc_id long, n_links long, groups string")
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import Grams, partitions_for, saved, small_batches, table, words_of
+from panelweave.llm.common import Grams, partitions_for, saved, sliced, table, words_of
 
 ORDER, ALPHA = 3, 0.4
 #: Bytes of text in one block, and blocks for one partition of the count table; both bound a task's memory.
@@ -185,12 +185,11 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _asked(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, int, int]:
     """Texts dealt into blocks; a row for each block and partition with its n-grams; numbers of blocks, partitions and words."""
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sums = saved(docs.select("text").mapInArrow(_words, "n long, size long")).agg(F.sum("n"), F.sum("size")).first()
+    sums = saved(docs.select("text").mapInArrow(sliced(_words), "n long, size long")).agg(F.sum("n"), F.sum("size")).first()
     blocks = partitions_for(sums[1] or 0, BLOCK_BYTES, LEAST_BLOCKS)
     parts = partitions_for(blocks, BLOCKS_PER_PART, 1)
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")).mapInArrow(_squeeze, "doc_id long, block int, text binary")
+    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")).mapInArrow(sliced(_squeeze), "doc_id long, block int, text binary")
     dealt = dealt.repartition(blocks, "block")  # as many tasks as blocks, however many they are
     asked = dealt.groupBy("block").applyInArrow(_count(parts), "part int, block int, n int, grams binary, counts binary")
     return dealt, asked.repartition(max(parts, LEAST_BLOCKS), "part"), blocks, parts, sums[0] or 0
@@ -198,7 +197,7 @@ def _asked(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, int, int]:
 
 def count_table(docs: DataFrame) -> DataFrame:
     """``gram, n``: the hash of each n-gram of 1 to ORDER words as a signed long, and how often it is in the texts."""
-    return _asked(docs)[1].select("n", "grams", "counts").mapInArrow(_plain, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return _asked(docs)[1].select("n", "grams", "counts").mapInArrow(sliced(_plain), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def scores(docs: DataFrame) -> DataFrame:

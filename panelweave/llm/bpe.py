@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import small_batches, table, text_key
+from panelweave.llm.common import sliced, table, text_key
 
 CHUNK, OVERLAP = 32_768, 512
 #: Characters after a match that can still change it: a contraction is three characters long.
@@ -108,9 +108,9 @@ def _decode(path: str):
 
 def _encode_long(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, tkey, ids`` of each different (doc_id, text) of ``docs``."""
-    chunks = docs.mapInArrow(_cut, "doc_id long, tkey long, start long, whole boolean, text string")
+    chunks = docs.mapInArrow(sliced(_cut), "doc_id long, tkey long, start long, whole boolean, text string")
     chunks = chunks.dropDuplicates([*KEY, "start"])  # deals them over the tasks, and repeated rows go
-    found = chunks.mapInArrow(_scan, "doc_id long, tkey long, start long, head array<long>, tail array<long>")
+    found = chunks.mapInArrow(sliced(_scan), "doc_id long, tkey long, start long, head array<long>, tail array<long>")
     w = Window.partitionBy(*KEY).orderBy("start")
     met = F.array_min(F.array_intersect("head", F.lag("tail").over(w)))
     marks = (
@@ -129,7 +129,7 @@ def _encode_long(docs: DataFrame, path: str) -> DataFrame:
     # A piece is one cut, or, where the neighbours found no common boundary, the rest of the text.
     pieces = cuts.groupBy(*KEY, "piece").agg(F.array_sort(F.collect_list(F.struct("begin", "text"))).alias("cuts"))
     pieces = pieces.select(*KEY, "piece", F.array_join(F.col("cuts.text"), "").alias("text"))
-    coded = pieces.mapInArrow(_encode(path), "doc_id long, tkey long, piece long, ids binary")
+    coded = pieces.mapInArrow(sliced(_encode(path)), "doc_id long, tkey long, piece long, ids binary")
     parts = coded.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("piece", F.hex("ids").alias("ids")))).alias("parts"))
     return parts.select(*KEY, F.unhex(F.array_join(F.col("parts.ids"), "")).alias("ids"))
 
@@ -141,11 +141,10 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     ``path`` without special tokens. Null and empty texts have no ids. Repeated rows are kept, null
     ids of documents too; an empty table gives none. Only texts of over ``CHUNK`` characters move.
     """
-    small_batches(docs.sparkSession)
     path = path or default_ranks()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     is_long = F.coalesce(F.length("text") > CHUNK, F.lit(False))
-    short = docs.where(~is_long).mapInArrow(_encode(path), "doc_id long, ids binary")
+    short = docs.where(~is_long).mapInArrow(sliced(_encode(path)), "doc_id long, ids binary")
     keyed = docs.where(is_long).withColumn("tkey", text_key(F.col("text")))
     coded = _encode_long(keyed, path).select(F.col("doc_id").alias("d"), F.col("tkey").alias("t"), "ids")
     rows = keyed.select(*KEY).join(coded, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("t"))).select("doc_id", "ids")
@@ -154,7 +153,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     """``coded`` (``doc_id, ids``) plus ``decoded`` binary: the bytes of the ids, concatenated."""
-    return coded.select("doc_id", "ids").mapInArrow(_decode(path or default_ranks()), "doc_id long, ids binary, decoded binary")
+    return coded.select("doc_id", "ids").mapInArrow(sliced(_decode(path or default_ranks())), "doc_id long, ids binary, decoded binary")
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -26,13 +26,11 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from panelweave.llm.common import saved, small_batches, table
+from panelweave.llm.common import saved, sliced, table
 
 OPEN, CLOSE = "###", "</turn>"
 #: Conversations in a row of the packed text. It bounds rows only: a row refers to what earlier ones have written.
 PACK = 64
-#: Limits nothing: beginnings are shared at any depth. Kept as a name that callers set.
-DEPTH = 8
 #: Hexadecimal digits of a turn's digest in a path.
 DIGITS = 32
 #: Offsets are those of the whole written text; the parent is named by its start, -1 is none.
@@ -228,11 +226,10 @@ def _place(places: dict):
 def _written(conversations: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """The packed text; the rows that a stretch begins with, copies of nodes of earlier ones; the number of stretches."""
     spark = conversations.sparkSession
-    small_batches(spark)
     path = F.array_join(F.transform("turns", lambda t: F.substring(F.sha2(F.to_json(t), 256), 1, DIGITS)), "")
     distinct = conversations.select("whole", "turns").dropDuplicates(["whole"]).withColumn("path", path)
     ordered = distinct.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").sortWithinPartitions("path").select(F.spark_partition_id().alias("stretch"), "path", "whole", "turns")
-    own = saved(ordered.mapInArrow(_write(PACK), from_arrow_schema(WRITTEN)))
+    own = saved(ordered.mapInArrow(sliced(_write(PACK)), from_arrow_schema(WRITTEN)))
     ends = own.groupBy("stretch").agg(F.min_by("first", "pack").alias("first"), F.max_by("last", "pack").alias("last"), F.max(F.col("start") + F.length("text")).alias("size")).collect()
     places, entries = _places(ends)  # two paths for each task
     schema = from_arrow_schema(SCHEMA)
@@ -243,7 +240,7 @@ def _written(conversations: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         F.col("to").alias("stretch"), F.lit(-1).alias("pack"), F.col("node.start").alias("start"), text.alias("text"), F.array("node").alias("nodes"),
         F.array().cast(schema["attends"].dataType).alias("attends"), F.array().cast(schema["leaves"].dataType).alias("leaves"), "level",
     )
-    return own.drop("first", "last").mapInArrow(_place(places), schema), begin, max(places, default=0) + 1
+    return own.drop("first", "last").mapInArrow(sliced(_place(places)), schema), begin, max(places, default=0) + 1
 
 
 def packed(conversations: DataFrame) -> DataFrame:
@@ -298,7 +295,7 @@ def formatted(rows: DataFrame) -> DataFrame:
     named = saved(whole_conversations(rows))
     text, begin, stretches = _written(named)
     rows = text.withColumn("level", F.lit(0)).unionByName(begin).repartitionById(stretches, F.col("stretch")).sortWithinPartitions("stretch", "pack", "level")
-    digests = rows.mapInArrow(_read_back, "whole string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    digests = rows.mapInArrow(sliced(_read_back), "whole string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     return named.select("conv_id", "whole").join(digests, "whole").drop("whole")
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,9 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of a Python worker: texts reach it ``BATCH_ROWS`` at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def sliced(run):
+    """``run`` (batches to batches) on slices of ``BATCH_ROWS`` rows: what a Python worker unpacks at a time is bounded, whatever the session's batches hold."""
+
+    def on_slices(batches):
+        return run(b.slice(k, BATCH_ROWS) for b in batches for k in range(0, max(b.num_rows, 1), BATCH_ROWS))
+
+    return on_slices
 
 
 def scratch(spark: SparkSession) -> str:
@@ -37,18 +44,61 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
+#: Seconds between two collections of the driver's garbage.
+COLLECT_EVERY = 5.0
+_collected = [0.0]
+
+
+def _collect_garbage(spark: SparkSession) -> None:
+    """Shuffle files, broadcasts and buffers of what is written go only once the driver collects its garbage."""
+    if time.monotonic() - _collected[0] > COLLECT_EVERY:
+        gc.collect()
+        spark._jvm.System.gc()
+        _collected[0] = time.monotonic()
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables that ``saved`` wrote, once nothing reads them any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Paths of the stages under way, the innermost last.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def stage(spark: SparkSession):
+    """Inside it, what ``saved`` writes is removed at the end, but for the last table, whose path is put into the list that it gives."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.remove(made)
+        discard(spark, made[:-1])
+        del made[:-1]
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
-    Cuts the lineage as checkpoint() does, in a columnar and compressed form. The files go when
-    the application ends.
+    Cuts the lineage as checkpoint() does, in a columnar and compressed form. Python workers get small batches meanwhile; the
+    session's own setting holds again afterwards. The files go at the end of the ``stage``, or when the application ends.
     """
-    spark = df.sparkSession
-    path = scratch(spark)
-    df.write.parquet(path)
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    spark, setting = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, own = scratch(spark), df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(setting, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, own)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    for paths in _open[-1:]:
+        paths.append(path)
+    _collect_garbage(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -22,8 +22,8 @@ MIN_PART, MIN_OF_WORDS = 20, 1  # contaminated: 20 * n_hit >= n_words
 #: Gram sizes that hashes exist of; an item of n words is looked up by the largest that fits.
 SIZES = (1, 2, 3, 6)
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows up to which a side is broadcast; a row is at most a few hundred bytes.
-BROADCAST_ROWS = 20_000
+#: Bytes up to which a side is broadcast, as counted from its rows.
+BROADCAST_BYTES, ROW_BYTES = 4 << 20, 64
 KEY = ["doc_id", "tkey"]
 
 
@@ -76,9 +76,9 @@ def items(benchmark: DataFrame) -> DataFrame:
     return full.unionByName(short).distinct()
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint where its counted rows allow it; else Spark shuffles both sides."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame, size: int) -> DataFrame:
+    """``df`` with a broadcast hint where its counted bytes allow it; else Spark shuffles both sides."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``item_ids`` is the array of items with windows in the text, sorted as strings, each once.
     """
     windows = saved(items(benchmark))
-    size = windows.count()
+    size = windows.agg(F.sum(F.octet_length("span") + F.octet_length(F.col("item_id").cast("string")) + ROW_BYTES)).first()[0] or 0  # words have no bound of length
     lengths = {r["n_span"] for r in windows.select("n_span").distinct().collect()}  # 13 values at most
     looked_up = sorted({max(k for k in SIZES if k <= n) for n in lengths if n < WINDOW})
     hashes = _small(windows.select("hash").distinct(), size)
@@ -99,7 +99,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     counted = saved(marked.groupBy(*KEY, "n_words").agg(F.max("found").alias("found")))
 
     again = counted.where("found = 1").select(F.col("doc_id").alias("d"), F.col("tkey").alias("t"))
-    near = worded.join(_small(again, again.count()), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("t")), "left_semi")
+    near = worded.join(_small(again, ROW_BYTES * again.count()), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("t")), "left_semi")
     near = near.dropDuplicates(KEY)
     # Places where a window of the benchmark may start, by hash: for long windows and for each short length.
     places = _places(F.col("low"), WINDOW)
@@ -146,9 +146,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated."""
-    bad = overlaps(docs, benchmark).where(is_contaminated()).select(F.col("doc_id").alias("d"), F.col("tkey").alias("t"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (text_key(F.col("text")) == F.col("t"))
-    return docs.join(bad, same, "left_anti")
+    bad = overlaps(docs, benchmark).where(is_contaminated()).select(F.col("doc_id").alias("bad_id"), F.col("tkey").alias("bad_key"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_id"), text_key(F.col("text")).alias("own_key"))
+    kept = own.join(bad, F.col("own_id").eqNullSafe(F.col("bad_id")) & (F.col("own_key") == F.col("bad_key")), "left_anti")
+    return kept.select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

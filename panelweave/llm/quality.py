@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import Grams, small_batches, table, words_of
+from panelweave.llm.common import Grams, sliced, table, words_of
 
 BITS = 14
 BUCKETS = 1 << BITS
@@ -95,7 +95,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def bucket_counts(docs: DataFrame) -> np.ndarray:
     """Counts of all n-grams of all texts by bucket; the driver gets BUCKETS rows whatever the input."""
     out = np.zeros(BUCKETS, dtype=np.float64)
-    for r in docs.select("text").mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(sliced(_count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r["bucket"]] = r["n"]
     return out
 
@@ -105,7 +105,6 @@ def log_ratio(docs: DataFrame, labels: DataFrame) -> np.ndarray:
 
     The target is every document that some label calls good. Without any the ratio is 0 everywhere.
     """
-    small_batches(docs.sparkSession)
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     raw = bucket_counts(docs)
     # Labels grow with the corpus, so this is a shuffle join at any size.
@@ -140,8 +139,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     counted as often as they occur.
     """
     ratio = log_ratio(docs, labels)
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _score(ratio), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double"
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sliced(_score(ratio)), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double"
     )
     return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= THRESHOLD))
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import ROW_KEY, partitions_for, row_key, saved, small_batches, table, words_of
+from panelweave.llm.common import ROW_KEY, partitions_for, row_key, saved, sliced, table, words_of
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
 FANOUT = 16
@@ -61,9 +61,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id``, the row's key and ``fp`` (the 64 bits as a signed long) of every row of ``docs``; null texts count as empty."""
-    small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(F.col("doc_id"), F.col("text")), "text")
-    return own.mapInArrow(_fingerprints, "doc_id long, k1 long, k2 long, fp long")
+    return own.mapInArrow(sliced(_fingerprints), "doc_id long, k1 long, k2 long, fp long")
 
 
 # The index of one group. ------------------------------------------------------------------

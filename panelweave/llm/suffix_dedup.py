@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import ROW_KEY, Grams, partitions_for, row_key, saved, small_batches, table, words_of
+from panelweave.llm.common import ROW_KEY, Grams, partitions_for, row_key, saved, sliced, table, words_of
 
 WINDOW, PREFIX = 50, 8
 #: Prefix places in a window, so also the most words a window has to the left of one, plus one.
@@ -179,7 +179,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     Documents without an id neither repeat nor are repeated: no id is smaller or greater than null.
     """
     known = docs.where(F.col("doc_id").isNotNull())
-    anchors = saved(known.mapInArrow(_anchors, "doc_id long, k1 long, k2 long, at int, anchor long"))
+    anchors = saved(known.mapInArrow(sliced(_anchors), "doc_id long, k1 long, k2 long, at int, anchor long"))
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
     # Prefixes are packed into groups by running sums of their suffixes, in slices of the hash range.
     shared = saved(shared.where("lo < hi").select("anchor", "n"))
@@ -193,12 +193,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     def around(which: DataFrame) -> DataFrame:
         found = _looked_up(anchors, "anchor", which.select("anchor", "g", "n"), sum(x or 0 for x in size))
         marks = found.groupBy(*KEY).agg(F.collect_list(F.struct("at", "g")).alias("marks"))
-        return docs.join(marks.hint("merge"), KEY).select("doc_id", *KEY, "text", "marks").mapInArrow(_contexts, contexts)
+        return docs.join(marks.hint("merge"), KEY).select("doc_id", *KEY, "text", "marks").mapInArrow(sliced(_contexts), contexts)
 
     cold = around(packed.where(F.col("n") <= HOT)).groupBy("g").applyInArrow(_tree, "k1 long, k2 long, start int, stop int")
     if not size[1]:
         return cold
-    whole = around(packed.where(F.col("n") > HOT)).mapInArrow(_windows, "digest binary, doc_id long, k1 long, k2 long, start int").distinct()
+    whole = around(packed.where(F.col("n") > HOT)).mapInArrow(sliced(_windows), "digest binary, doc_id long, k1 long, k2 long, start int").distinct()
     least = whole.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     hot = _looked_up(whole, "digest", least, PLACES * size[1]).where("least < doc_id").select(*KEY, "start", (F.col("start") + WINDOW).cast("int").alias("stop"))
     return cold.unionByName(hot)
@@ -247,10 +247,9 @@ def removed(docs: DataFrame) -> DataFrame:
     WINDOW words lose none. Rows of one id are not repeats of each other; repeated rows are kept,
     each with the result of its text.
     """
-    small_batches(docs.sparkSession)
     keyed = _keyed(docs)
     full = _with_spans(keyed, repeated_spans(keyed)).select("doc_id", *KEY, "text", "spans")
-    return full.select("doc_id", "text", "spans").mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return full.select("doc_id", "text", "spans").mapInArrow(sliced(_digest), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -258,7 +257,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Texts without repeats stay as they are. A document that loses all of its words is left out.
     """
-    small_batches(docs.sparkSession)
     columns = list(docs.columns)
     keyed = _keyed(docs)
     spans = saved(repeated_spans(keyed))
@@ -266,7 +264,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     own = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), *row_key(F.col("doc_id"), F.col("text")))
     full = _with_spans(own, spans).select("row", "text", "spans")
     kind = full.schema["row"].dataType.simpleString()
-    out = full.mapInArrow(_edit, f"row {kind}, kept_text string, n_words long, n_removed long, kept_sha256 string")
+    out = full.mapInArrow(sliced(_edit), f"row {kind}, kept_text string, n_words long, n_removed long, kept_sha256 string")
     out = out.where("n_removed = 0 OR n_removed < n_words")
     return out.select(*[F.col("kept_text").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in columns])
 

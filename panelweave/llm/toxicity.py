@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import small_batches, table
+from panelweave.llm.common import sliced, table
 
 BUCKETS, DIM = 1 << 17, 4
 SHORTEST, LONGEST = 3, 6
@@ -153,10 +153,9 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of the bounded sample, trained in one task; the driver gets its logits, BUCKETS floats."""
-    small_batches(docs.sparkSession)
     rows = sample(docs, labels)
     parts = [rows.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for v, n in MOST]
-    row = parts[0].unionByName(parts[1]).select("toxic", "text").coalesce(1).mapInArrow(_train, "buckets binary, bias double").first()
+    row = parts[0].unionByName(parts[1]).select("toxic", "text").coalesce(1).mapInArrow(sliced(_train), "buckets binary, bias double").first()
     return Model(np.frombuffer(row["buckets"], dtype=np.float32), row["bias"]) if row else train([], [])
 
 
@@ -197,18 +196,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     The score is the probability of the toxic class, over the whole text. Texts without words,
     null ones too, get the probability that the softmax gives an empty bag. Repeated rows are kept.
     """
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scorer(model), "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sliced(_scorer(model)), "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that a model fitted on ``labels`` doesn't call toxic."""
-    small_batches(docs.sparkSession)
     run = _scorer(fit(docs, labels))
     columns = list(docs.columns)
     packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
     kind = packed.schema["row"].dataType.simpleString()
-    kept = packed.mapInArrow(run, f"row {kind}, score double").where("score < 0.5")
+    kept = packed.mapInArrow(sliced(run), f"row {kind}, score double").where("score < 0.5")
     return kept.select(*[F.col(f"row.`{c}`") for c in columns])
 
 

@@ -6,7 +6,7 @@ import pytest
 
 from panelweave.llm import decontaminate as dc
 
-DOCS = "doc_id long, text string, n_words string, hash int, words int"
+DOCS = "doc_id long, text string, n_words string, hash int, words int, d int, t string"
 ITEMS = "item_id long, text string, hash int"
 
 
@@ -44,14 +44,14 @@ def sources():
     return rows, items
 
 
-@pytest.mark.parametrize("broadcast", [20_000, 0])
+@pytest.mark.parametrize("broadcast", [4 << 20, 0])
 def test_equals_brute_force(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(dc, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(dc, "BROADCAST_BYTES", broadcast)
     rows, items = sources()
-    d = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], DOCS)
+    d = spark.createDataFrame([(i, t, "x", 1, 2, 3, "t") for i, t in rows], DOCS)
     b = spark.createDataFrame([(i, t, 5) for i, t in items], ITEMS)
     got = dc.decontaminate(d, b)
-    assert got.columns == ["doc_id", "text", "hash", "words", "n_words", "n_hit", "item_ids", "contaminated"]
+    assert got.columns == ["doc_id", "text", "hash", "words", "d", "t", "n_words", "n_hit", "item_ids", "contaminated"]
     assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["item_ids"]), r["contaminated"]) for r in got.collect()) == Counter((i, *expected(t, items)) for i, t in rows)
     kept = Counter((r["doc_id"], r["text"]) for r in dc.clean(d, b).collect())
     assert kept == Counter((i, t) for i, t in rows if not expected(t, items)[-1])
@@ -60,7 +60,7 @@ def test_equals_brute_force(spark, monkeypatch, broadcast):
 def test_long_items_only_and_empty_tables(spark):
     rows, items = sources()
     items = [x for x in items if len(words(x[1])) >= 13]
-    d, b = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], DOCS), spark.createDataFrame([(i, t, 5) for i, t in items], ITEMS)
+    d, b = spark.createDataFrame([(i, t, "x", 1, 2, 3, "t") for i, t in rows], DOCS), spark.createDataFrame([(i, t, 5) for i, t in items], ITEMS)
     got = dc.decontaminate(d, b).collect()
     assert Counter((r["doc_id"], r["n_hit"]) for r in got) == Counter((i, expected(t, items)[1]) for i, t in rows)
     assert dc.decontaminate(spark.createDataFrame([], DOCS), b).count() == 0

@@ -112,10 +112,9 @@ def chat_expected(rows):
     return out
 
 
-@pytest.mark.parametrize("pack,depth", [(64, 8), (3, 2), (1, 1)])
-def test_formatted_equals_brute_force(spark, monkeypatch, pack, depth):
+@pytest.mark.parametrize("pack", [64, 3, 1])
+def test_formatted_equals_brute_force(spark, monkeypatch, pack):
     monkeypatch.setattr(ct, "PACK", pack)
-    monkeypatch.setattr(ct, "DEPTH", depth)
     rng = random.Random(2)
     rows = [(None, 0, "user", "a"), (None, None, None, None), (5, 1, "user", "dup"), (5, 1, "user", "dup"), (5, 1, "assistant", "dup")]
     for conv in range(10, 60):
