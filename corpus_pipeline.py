@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.llm import bpe, decontaminate, simhash, suffix_dedup, toxicity
-from panelweave.llm.common import saved, table
+from panelweave.llm.common import discard, saved, stage, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir))
-        spark._jvm.System.gc()  # the stage before is written: Spark drops its shuffles and broadcasts once they are collected
+    docs, before = table(spark, sf_dir, "documents"), []
+    for _, step in STAGES:
+        with stage(spark) as made:  # what the stage wrote for itself goes with it
+            docs = saved(step(spark, docs, sf_dir))
+        discard(spark, before)
+        before = made
     return docs
