@@ -68,11 +68,6 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high))))
 
 
-def both(a: Column, b: Column, f) -> Column:
-    """``f(a, b)`` where both have values; ``greatest`` and ``least`` alone would skip a NULL."""
-    return F.when(a.isNotNull() & b.isNotNull(), f(a, b))
-
-
 def correlation(a: Column, b: Column, over: Window | None = None) -> Column:
     """Pearson correlation; NULL where either side hardly varies, where the built-in would raise."""
     own = (lambda c: c.over(over)) if over is not None else (lambda c: c)

@@ -206,6 +206,23 @@ def lag_panel(bars: DataFrame, lags: int = 60) -> DataFrame:
     return prepare(bars).select(KEY, TIME, *cols)
 
 
+#: The component that a factor is of, by its family or price field.
+COMPONENTS = {
+    "trend": ("MA", "ROC", "BETA", "MAX", "MIN", "RSV", "IMAX", "IMIN", "IMXD", "RANK", "QTLU", "QTLD", "OPEN", "HIGH", "LOW", "CLOSE", "VWAP"),
+    "quality": ("VMA", "WVMA", "VSUMP", "VSUMN", "VSUMD", "CORR", "CORD", "CNTP", "CNTN", "CNTD", "SUMP", "SUMN", "SUMD", "RSQR", "RESI", "KMID", "KLEN", "KMID2", "KUP", "KUP2", "KLOW", "KLOW2", "KSFT", "KSFT2", "VOLUME"),
+    "risk": ("STD", "VSTD"),
+}
+
+
+def component(name: Column) -> Column:
+    """trend, quality or risk by a factor's name, ``other`` for names of no family; NULL stays NULL."""
+    family = F.when(name.isin(*candle()), name).otherwise(F.regexp_replace(name, "[0-9]+$", ""))
+    out = F.when(name.isNull(), F.lit(None).cast("string"))
+    for part, families in COMPONENTS.items():
+        out = out.when(family.isin(*families), part)
+    return out.otherwise("other")
+
+
 def to_long(wide: DataFrame, keys: Iterable[str] = (KEY, TIME)) -> DataFrame:
     """``keys, feature_name, feature_value`` of every value that is there."""
     names = [n for n in wide.columns if n not in keys]

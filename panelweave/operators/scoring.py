@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import EPSILON, KEY, TIME, clamp, quantile, trailing, windowed
+from panelweave.functions.positions import in_order
 from panelweave.operators.indicators import score, with_zscores
 from panelweave.operators.validation import average_rank
 
@@ -112,9 +114,19 @@ def tiered(candidates: DataFrame, tiers: Iterable[Column], n: int, order: Iterab
 
 
 def compounded(daily: DataFrame, x: str, capital: float) -> DataFrame:
-    """Equity after each date of a table of one row for each date; a total loss leaves nothing."""
-    w = Window.orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0)
-    return daily.withColumn("equity", capital * F.product(1 + c(x)).over(w))
+    """``equity`` and ``log_equity`` (natural) after each date of a table of one row for each date.
+
+    The product of 1 + x is a running sum of logarithms with the number of signs and of total losses so far, so that it
+    neither under- nor overflows: the logarithm stays exact where ``equity`` itself is out of a double's range. A total
+    loss leaves 0 for good, and no logarithm; a missing x changes nothing. A debt (negative equity) has no logarithm.
+    """
+    factor = 1 + c(x)
+    sums = {"_log": F.ln(F.when(factor != 0, F.abs(factor))), "_turns": (factor < 0).cast("int"), "_lost": (factor == 0).cast("int")}
+    rows = in_order(daily, [c(TIME)], sums, position="_nth")
+    log = F.lit(math.log(capital)) + c("_log")
+    sign = F.when(c("_turns") % 2 == 0, 1.0).otherwise(-1.0)
+    rows = rows.withColumns({"equity": F.when(c("_lost") > 0, 0.0).otherwise(sign * F.exp(log)), "log_equity": F.when((c("_lost") == 0) & (c("_turns") % 2 == 0), log)})
+    return rows.drop("_nth", *sums)
 
 
 def scorecard(ic: DataFrame, spread: DataFrame, turnover: DataFrame, components: dict[str, str] | None = None) -> DataFrame:

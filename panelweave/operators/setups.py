@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import KEY, TIME, change, leading, quantile, ratio, security, trailing, windowed
+from panelweave.functions.positions import in_order
 
 c = F.col
 
@@ -200,9 +201,7 @@ def latest(df: DataFrame) -> DataFrame:
 
 
 def ranked(df: DataFrame, *order: Column, limit: int | None = None) -> DataFrame:
-    """``df`` with ``rank_position``; with ``limit`` only the first rows, which no task sorts but those.
-
-    Without it one task numbers all rows: for tables of one row for each security or date.
-    """
-    rows = df.orderBy(*order).limit(limit) if limit else df
-    return rows.withColumn("rank_position", F.row_number().over(Window.orderBy(*order)))
+    """``df`` with ``rank_position``; with ``limit`` only the first rows, which no task sorts but those."""
+    if limit:
+        return df.orderBy(*order).limit(limit).withColumn("rank_position", F.row_number().over(Window.orderBy(*order)))
+    return in_order(df, list(order), position="rank_position").withColumn("rank_position", c("rank_position").cast("int"))

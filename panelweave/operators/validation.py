@@ -76,20 +76,32 @@ def with_p_values(ic: DataFrame) -> DataFrame:
     return ic.withColumns({f"{x}_{k}": f(c(x), c("n")) for x in ("ic", "rank_ic") for k, f in (("t", t_value), ("p", p_value))})
 
 
-def moments(x: str, name: str) -> list[Column]:
-    """Mean, spread, ratio of mean to spread times root n, and share of positive rows of ``x``."""
+def moments(x: str, name: str, counted: bool = False) -> list[Column]:
+    """Mean, spread, ratio of mean to spread times root n, and share of positive rows of ``x``; with their number if ``counted``."""
     mean, std, n = F.avg(x), F.stddev_samp(x), F.count(x)
     return [
-        mean.alias(f"{name}_mean"), std.alias(f"{name}_std"),
+        mean.alias(f"{name}_mean"), std.alias(f"{name}_std"), *([n.alias(f"{name}_n")] if counted else []),
         F.when(std > EPSILON, mean / std * F.sqrt(n)).alias(f"{name}_ir"),
         (F.sum(F.when(c(x) > EPSILON, 1).otherwise(0)) / F.count("*")).alias(f"{name}_positive"),
     ]
 
 
+def with_mean_p(summary: DataFrame, *names: str) -> DataFrame:
+    """A summary by ``moments`` plus t and p of each mean; NULL where it hardly varies."""
+    return summary.withColumns({f"{n}_{k}": x for n in names for k, x in (("t", c(f"{n}_ir")), ("p", student_p(c(f"{n}_ir"), c(f"{n}_n") - 1)))})
+
+
 def summarize_ic(ic: DataFrame) -> DataFrame:
     return ic.groupBy("feature_name", "horizon").agg(F.count("*").alias("dates"), *moments("ic", "ic"), *moments("rank_ic", "rank_ic"))
 
 
+def significance(ic: DataFrame) -> DataFrame:
+    """Means of both correlations over the dates, with t and p of each."""
+    kinds = ("ic", "rank_ic")
+    out = with_mean_p(ic.groupBy("feature_name", "horizon").agg(*[x for k in kinds for x in moments(k, k, True)]), *kinds)
+    return out.select("feature_name", "horizon", *[f"{k}_{x}" for k in kinds for x in ("n", "mean", "t", "p")])
+
+
 def monthly_ic(ic: DataFrame) -> DataFrame:
     return ic.groupBy("feature_name", "horizon", F.year(TIME).alias("year"), F.month(TIME).alias("month")).agg(F.avg("ic").alias("ic"), F.avg("rank_ic").alias("rank_ic"), F.count("*").alias("dates"))
 
@@ -219,7 +231,7 @@ def fama_macbeth(frame: DataFrame, least: int = 5, dates: int = 10) -> DataFrame
     daily = frame.groupBy(*GROUP).agg(F.count("*").alias("n"), F.regr_slope("forward_return", "feature_value").alias("slope"), F.var_pop("feature_value").alias("v"))
     daily = daily.where((c("n") >= least) & (c("v") > EPSILON) & c("slope").isNotNull())
     mean, std, n = F.avg("slope"), F.stddev_samp("slope"), F.count("*")
-    return daily.groupBy("feature_name", "horizon").agg(mean.alias("slope"), F.when(std > EPSILON, mean / (std / F.sqrt(n))).alias("t"), n.alias("dates")).where(c("dates") >= dates)
+    return daily.groupBy("feature_name", "horizon").agg(mean.alias("slope"), F.when(std > EPSILON, mean / (std / F.sqrt(n))).alias("t"), n.alias("dates")).where(c("dates") >= dates).withColumn("p", student_p(c("t"), c("dates") - 1))
 
 
 def alpha_beta(frame: DataFrame, dates: int = 10) -> DataFrame:

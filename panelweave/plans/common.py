@@ -17,6 +17,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
+def past_ties(df: DataFrame, digits: int) -> DataFrame:
+    """As ``rounded``, a little above each value, so that quotients that end in a five do not hang on their last bit."""
+    return rounded(df.select(*[(F.col(f"`{c}`") + 1e-7).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes]), digits)
+
+
 def with_bars(*ctes: str) -> str:
     return "WITH " + ", ".join([BARS_SQL, *ctes])
 

@@ -153,5 +153,19 @@ def al_set(spark, sf_dir):
     return rounded(long.groupBy("feature_name").agg(F.count("*").alias("n"), F.avg(F.when(F.abs(x) < 1e6, x)).alias("mean")), 4)
 
 
-QUERIES = {"al_set": al_set, "al_candle": al_candle, "al_lag_panel": al_lag_panel, "factor_long": factor_long, **{n: _family(n) for n in FAMILIES}}
-SQL = {"al_candle": AL_CANDLE_SQL, "al_lag_panel": AL_LAG_PANEL_SQL, "factor_long": FACTOR_LONG_SQL, **{n: _family_sql(n) for n in FAMILIES}}
+def al_components(spark, sf_dir):
+    """How many values the factors of each component have, of six factors."""
+    from pyspark.sql import functions as F
+
+    long = factors.to_long(factors.compute(bars(spark, sf_dir), ["KMID2", "MA5", "STD20", "VMA20", "CLOSE1", "VOLUME2"]))
+    return long.groupBy(factors.component(F.col("feature_name")).alias("component"), "feature_name").agg(F.count("*").alias("n"))
+
+
+AL_COMPONENTS_SQL = _sql_inputs() + f""", f AS (SELECT {_div("2 * close - high - low", "high - low")} AS "KMID2", {_sql_factor("MA", 5)} AS "MA5", {_sql_factor("STD", 20)} AS "STD20", {_sql_factor("VMA", 20)} AS "VMA20", lag(close) OVER s AS "CLOSE1", lag(volume, 2) OVER s AS "VOLUME2"
+  FROM p WINDOW s AS (PARTITION BY stock_code ORDER BY trade_date), w5 AS {over(5)}, w20 AS {over(20)})
+  SELECT CASE WHEN feature_name IN ('MA5', 'CLOSE1') THEN 'trend' WHEN feature_name = 'STD20' THEN 'risk' ELSE 'quality' END AS component, feature_name, count(*) AS n
+  FROM (UNPIVOT f ON "KMID2", "MA5", "STD20", "VMA20", "CLOSE1", "VOLUME2" INTO NAME feature_name VALUE feature_value) GROUP BY ALL"""
+
+
+QUERIES = {"al_set": al_set, "al_components": al_components, "al_candle": al_candle, "al_lag_panel": al_lag_panel, "factor_long": factor_long, **{n: _family(n) for n in FAMILIES}}
+SQL = {"al_components": AL_COMPONENTS_SQL, "al_candle": AL_CANDLE_SQL, "al_lag_panel": AL_LAG_PANEL_SQL, "factor_long": FACTOR_LONG_SQL, **{n: _family_sql(n) for n in FAMILIES}}

@@ -97,6 +97,12 @@ def plans(s, d):
     return rounded(cl.distribution_actions(rows))
 
 
+def _log(s, d):
+    """A log of the orders: each was written by one of three operations."""
+    kind = F.element_at(F.array(F.lit("upsert"), F.lit("fetch"), F.lit("compact")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("log_id"), F.to_date("o_orderdate").alias("logged_at"), kind.alias("operation"), F.col("o_custkey").alias("affected"))
+
+
 QUERIES = {
     "io_read_filtered": lambda s, d: rounded(store.filtered(bars(s, d), {KEY: ["00001", "00002", "00003"], "market": None}, [KEY, TIME, "close"], "1995-01-01", "1996-12-31")),
     "io_distinct": lambda s, d: bars(s, d).select(KEY).distinct(),
@@ -106,7 +112,8 @@ QUERIES = {
     "io_upsert": lambda s, d: store.upserted(_stamped(s, d), _late(s, d), [KEY, TIME], "stamp"),
     "io_compact": lambda s, d: store.compacted(_repeated(s, d), [KEY, TIME], ["stamp"]),
     "io_change_counts": lambda s, d: store.change_counts(bars(s, d).where(F.col(TIME) < "1996-07-01"), _late(s, d), [KEY, TIME]),
-    "io_update_log": lambda s, d: store.log_row(store.change_counts(bars(s, d).where(F.col(TIME) < "1996-07-01"), _late(s, d), [KEY, TIME]), "upsert", F.lit("1998-12-01").cast("date")),
+    "io_log_row": lambda s, d: store.log_row(store.change_counts(bars(s, d).where(F.col(TIME) < "1996-07-01"), _late(s, d), [KEY, TIME]), "upsert", F.lit("1998-12-01").cast("date")),
+    "io_update_log": lambda s, d: store.update_log(_log(s, d), 50, {"operation": ["upsert", "compact"]}),
     "io_scalar": lambda s, d: rounded(store.scalar(bars(s, d), "sum(volume) / count(*)", {KEY: ["00001", "00002", "00007"]})),
     "io_incremental_plans": lambda s, d: store.incremental_plans(_registry(s, d), _by_frequency(s, d), PLANS),
     "io_frequency_coverage": lambda s, d: store.frequency_coverage(_registry(s, d), _by_frequency(s, d), PLANS),
@@ -171,7 +178,9 @@ SQL = {
     "io_upsert": with_bars() + f" SELECT stock_code, trade_date, {_R(('open', 'high', 'low'))}, CASE WHEN year(trade_date) = 1996 AND {_DAY} % 3 < 2 THEN close + 1 ELSE close END AS \"close\", volume, CASE WHEN year(trade_date) = 1996 AND {_DAY} % 3 < 2 THEN 2 ELSE {_DAY} % 3 + 1 END AS stamp FROM bars",
     "io_compact": with_bars() + f" SELECT stock_code, trade_date, {_R(('open', 'high', 'low'))}, CASE WHEN {_DAY} % 10 = 0 THEN close + 1 ELSE close END AS \"close\", volume, CASE WHEN {_DAY} % 10 = 0 THEN 2 ELSE 1 END AS stamp FROM bars",
     "io_change_counts": with_bars() + " SELECT sum(CASE WHEN trade_date >= DATE '1996-07-01' THEN 1 ELSE 0 END) AS inserted, sum(CASE WHEN trade_date < DATE '1996-07-01' THEN 1 ELSE 0 END) AS updated FROM bars WHERE year(trade_date) = 1996",
-    "io_update_log": with_bars() + " SELECT 'upsert' AS operation, DATE '1998-12-01' AS logged_at, sum(CASE WHEN trade_date >= DATE '1996-07-01' THEN 1 ELSE 0 END) AS inserted, sum(CASE WHEN trade_date < DATE '1996-07-01' THEN 1 ELSE 0 END) AS updated, count(*) AS affected FROM bars WHERE year(trade_date) = 1996",
+    "io_update_log": """SELECT o_orderkey AS log_id, CAST(o_orderdate AS DATE) AS logged_at, CASE o_orderkey % 3 WHEN 0 THEN 'upsert' ELSE 'compact' END AS operation, o_custkey AS affected FROM orders
+      WHERE o_orderkey % 3 <> 1 ORDER BY logged_at DESC, log_id DESC LIMIT 50""",
+    "io_log_row": with_bars() + " SELECT 'upsert' AS operation, DATE '1998-12-01' AS logged_at, sum(CASE WHEN trade_date >= DATE '1996-07-01' THEN 1 ELSE 0 END) AS inserted, sum(CASE WHEN trade_date < DATE '1996-07-01' THEN 1 ELSE 0 END) AS updated, count(*) AS affected FROM bars WHERE year(trade_date) = 1996",
     "io_scalar": with_bars() + " SELECT round(sum(volume) / count(*), 6) AS value FROM bars WHERE stock_code IN ('00001', '00002', '00007')",
     "io_incremental_plans": with_bars(REG, FREQUENCIES) + """, p AS (SELECT DISTINCT stock_code, frequency, start_ts, end_ts FROM reg, (VALUES ('daily', TIMESTAMP '1992-01-01', TIMESTAMP '1998-11-28'), ('60min', TIMESTAMP '1995-06-01', TIMESTAMP '1996-12-30 23:59:59'), ('5min', TIMESTAMP '1998-01-01', TIMESTAMP '1998-11-28 23:59:59')) v(frequency, start_ts, end_ts)),
       n AS (SELECT p.*, latest FROM p LEFT JOIN (SELECT stock_code, frequency, max(ts) AS latest FROM fq GROUP BY ALL) USING (stock_code, frequency))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import KEY, TIME
@@ -46,7 +49,7 @@ def persisted(s, d):
 
 def curve(s, d):
     out = sc.compounded(pf.period_returns(picks(s, d)), "period_return", CAPITAL)
-    return out.select(TIME, "picks", F.round("period_return", 6).alias("period_return"), F.round(F.log10("equity"), 5).alias("log_equity"))
+    return out.select(TIME, "picks", F.round("period_return", 6).alias("period_return"), F.round(c("log_equity") / math.log(10), 5).alias("log_equity"))
 
 
 def persisted_trades(s, d):
@@ -90,6 +93,7 @@ ROWS = SNAP + f""", fw AS ({sq._forward(False).replace("round(", "(").replace(",
     FROM sr WHERE actionable AND freshness >= 35 AND coalesce(cheap, true) AND setup_type <> 'sideways'),
   pp AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY selection DESC NULLS LAST, trend DESC NULLS LAST, quality DESC NULLS LAST, risk DESC NULLS LAST, composite DESC NULLS LAST, stock_code) AS place, count(*) OVER (PARTITION BY trade_date) AS candidates FROM el),
   pk AS (SELECT *, greatest(coalesce(selection, 0), 0) AS v, sum(greatest(coalesce(selection, 0), 0)) OVER (PARTITION BY trade_date) AS vs, count(*) OVER (PARTITION BY trade_date) AS vn FROM pp WHERE place <= {N})"""
+ROWS = re.sub(r"\b(el|sr|fw|pp|pk|sn|sg) AS \(", r"\1 AS MATERIALIZED (", ROWS)  # else each is planned anew wherever it is read
 SAVED = RANK + f""", sv AS (SELECT stock_code, 'ranking' AS signal_type, place, ranking_score FROM rp UNION ALL SELECT stock_code, 'selected', row_number() OVER (ORDER BY place), ranking_score FROM se UNION ALL SELECT stock_code, 'watchlist', row_number() OVER (ORDER BY place), ranking_score FROM wl)"""
 _mean = lambda k: f"count(*) FILTER (signal_type = '{k}') AS {k}_count, round(coalesce(avg(ranking_score) FILTER (signal_type = '{k}'), 0), 4) + 0.0 AS {k}_mean_score"
 SQL = {
@@ -103,7 +107,7 @@ SQL = {
     "pf_allocation": RANK + f""", al AS (SELECT *, greatest(coalesce(ranking_score, 0), 0) AS v, sum(greatest(coalesce(ranking_score, 0), 0)) OVER () AS vs, count(*) OVER () AS vn FROM se)
       SELECT stock_code, round(CASE WHEN vs > 1e-12 THEN v / vs ELSE 1 / vn END, 4) AS weight, round(CASE WHEN vs > 1e-12 THEN v / vs ELSE 1 / vn END * {CAPITAL}, 4) AS capital FROM al""",
     "pf_curve": ROWS + f""", pr AS (SELECT trade_date, avg(forward_return_60) AS r, count(*) AS n FROM pk GROUP BY 1)
-      SELECT trade_date, n AS picks, round(r, 6) AS period_return, round(log10({CAPITAL} * product(1 + r) OVER (ORDER BY trade_date)), 5) AS log_equity FROM pr""",
+      SELECT trade_date, n AS picks, round(r, 6) AS period_return, CASE WHEN max(CASE WHEN r <= -1 THEN 1 ELSE 0 END) OVER o = 0 THEN round(log10({CAPITAL}) + sum(CASE WHEN r > -1 THEN ln(1 + r) END) OVER o / ln(10), 5) END AS log_equity FROM pr WINDOW o AS (ORDER BY trade_date)""",
     "pf_trading_table": SNAP + f""", tt AS (SELECT *, round({_PLAIN}, 9) AS score FROM sn WHERE back IS NOT NULL)
       SELECT stock_code, CAST(row_number() OVER (ORDER BY score DESC, coalesce(composite, -1) DESC, coalesce(quality, -1) DESC, back DESC, stock_code) AS INT) AS place, round(score, 5) + 0.0 AS ranking_score FROM tt""",
     "pf_batch_review": SAVED + f" SELECT 'batch_1' AS batch_id, {', '.join(_mean(k) for k in ('ranking', 'selected', 'watchlist'))} FROM sv",

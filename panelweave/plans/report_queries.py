@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelweave.functions.columns import KEY, TIME
 from panelweave.operators import factors, indicators as ti, layers as ly, reports as rp, scorecards as wt, scoring as sc, setups as sg, validation as va
 from panelweave.plans import layer_queries as lq, score_queries as pq, validation_queries as vq
-from panelweave.plans.common import bars, over, rounded, with_bars
+from panelweave.plans.common import bars, over, past_ties, rounded, with_bars
 from panelweave.plans.indicator_queries import CTE as INDICATORS
 
 c = F.col
@@ -88,7 +88,7 @@ QUERIES = {
     "va_report_means": lambda s, d: rounded(wt.report_means(wt.validation_report(vq.features(s, d), bars(s, d), vq.HORIZONS))),
     "va_turnover_step": lambda s, d: rounded(step(s, d)),
     "va_feature_set": lambda s, d: rounded(feature_set(s, d)),
-    "rp_describe": lambda s, d: rounded(rp.describe_history(bars(s, d)), 4),
+    "rp_describe": lambda s, d: past_ties(rp.describe_history(bars(s, d)), 4),
     "rp_last_rows": lambda s, d: rp.last_rows(bars(s, d)),
     "rp_target_alignment": alignment,
     "rp_buy_points": lambda s, d: rounded(rp.buy_point_summary(rp.buy_point_scores(pq.trend_2560(s, d).select(KEY, TIME, c("strength").alias("signal_strength")), ti.with_volatility(ti.full(bars(s, d)))))),
@@ -142,7 +142,7 @@ SQL = {
       frame AS (SELECT raw.*, horizon, forward_return FROM raw JOIN rets USING (stock_code, trade_date)),
       ranked AS (SELECT *, rank() OVER (PARTITION BY feature_name, trade_date, horizon ORDER BY feature_value) + (count(*) OVER (PARTITION BY feature_name, trade_date, horizon, feature_value) - 1) / 2 AS rx, rank() OVER (PARTITION BY feature_name, trade_date, horizon ORDER BY forward_return) + (count(*) OVER (PARTITION BY feature_name, trade_date, horizon, forward_return) - 1) / 2 AS ry FROM frame),
       ic AS (SELECT feature_name, trade_date, horizon, count(*) AS n, greatest(least({vq._corr('feature_value', 'forward_return')}, 1), -1) AS ic, greatest(least({vq._corr('rx', 'ry')}, 1), -1) AS rank_ic FROM ranked GROUP BY ALL HAVING count(*) >= 5 AND min(feature_value) < max(feature_value) AND min(forward_return) < max(forward_return)) {vq.SUMMARY}""",
-    "rp_describe": with_bars() + """ SELECT stock_code, field, count(x) AS n, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS std, round(min(x), 4) AS least, round(quantile_cont(x, 0.25), 4) AS p25, round(quantile_cont(x, 0.5), 4) AS p50, round(quantile_cont(x, 0.75), 4) AS p75, round(max(x), 4) AS greatest, min(trade_date) AS first_date, max(trade_date) AS last_date
+    "rp_describe": with_bars() + """ SELECT stock_code, field, count(x) AS n, round(avg(x) + 1e-7, 4) AS mean, round(stddev_samp(x) + 1e-7, 4) AS std, round(min(x) + 1e-7, 4) AS least, round(quantile_cont(x, 0.25) + 1e-7, 4) AS p25, round(quantile_cont(x, 0.5) + 1e-7, 4) AS p50, round(quantile_cont(x, 0.75) + 1e-7, 4) AS p75, round(max(x) + 1e-7, 4) AS greatest, min(trade_date) AS first_date, max(trade_date) AS last_date
       FROM (UNPIVOT bars ON open, high, low, "close", volume INTO NAME field VALUE x) GROUP BY ALL""",
     "rp_last_rows": with_bars() + " SELECT stock_code, trade_date, " + ", ".join(f'"{x}"' for x in ("open", "high", "low", "close", "volume")) + " FROM bars QUALIFY row_number() OVER (PARTITION BY stock_code ORDER BY trade_date DESC) <= 5",
     "rp_target_alignment": INDICATORS + f""", sn AS (SELECT *, {_HIGH} AS sgn FROM i3),

@@ -95,7 +95,7 @@ QUERIES = {
     "sc_explanation": lambda s, d: rounded(sc.explanation(scores(s, d), {"MA5": 0.6, "ROC10": 0.4, "VMA20": 1.0, "KMID": 0.2}), 4),
     "sc_signals": lambda s, d: rounded(signals(s, d).select(KEY, TIME, "actionable", "tier"), 4),
     "sc_signal_summary": lambda s, d: rounded(sc.signal_summary(signals(s, d).join(sg.forward_metrics(bars(s, d)), [KEY, TIME]), "forward_return_20"), 5),
-    "sc_snapshot": lambda s, d: rounded(sg.latest(bars(s, d).withColumn("change_30", F.try_divide(c("close"), F.lag("close", 30).over(sg.security())) - 1)).select(KEY, TIME, "change_30", sc.freshness(c(TIME), F.lit("1998-12-01").cast("date")).alias("freshness"))),
+    "sc_snapshot": lambda s, d: rounded(sg.latest(bars(s, d).withColumn("change_30", F.coalesce((F.try_divide(c("close"), F.lag("close", 29).over(sg.security())) - 1) * 100, F.lit(0.0)))).select(KEY, TIME, "change_30", sc.freshness(c(TIME), F.lit("1998-12-01").cast("date")).alias("freshness"))),
     "pf_daily_picks": lambda s, d: rounded(picks(s, d).select(KEY, TIME, "place", "candidates", "weight"), 5),
     "pf_tiers": lambda s, d: rounded(tiers(s, d), 4),
     "to_trades": lambda s, d: rounded(sc.trade_outcomes(bars(s, d), entries(s, d)).select(KEY, "signal_date", "exit_date", "exit_reason", "trade_return")),
@@ -154,7 +154,7 @@ SQL = {
     "sc_signal_summary": SCORES + """, f AS (SELECT sg.*, x FROM sg JOIN (SELECT stock_code, trade_date, lead(close, 20) OVER (PARTITION BY stock_code ORDER BY trade_date) / close - 1 AS x FROM bars) USING (stock_code, trade_date))
       SELECT stock_code, round(avg(x) FILTER (actionable), 5) + 0.0 AS mean_outcome, round(count(*) FILTER (actionable AND x > 0) / nullif(count(x) FILTER (actionable), 0), 5) AS win_rate, count(x) FILTER (actionable) AS n, round(avg(x) FILTER (NOT actionable), 5) + 0.0 AS mean_other FROM f GROUP BY 1""",
     "sc_snapshot": with_bars() + """ SELECT stock_code, trade_date, round(change_30, 6) + 0.0 AS change_30, greatest(0.0, 100.0 - 4 * (DATE '1998-12-01' - trade_date)) + 0.0 AS freshness FROM (
-      SELECT stock_code, trade_date, close / lag(close, 30) OVER (PARTITION BY stock_code ORDER BY trade_date) - 1 AS change_30, row_number() OVER (PARTITION BY stock_code ORDER BY trade_date DESC) AS k FROM bars) WHERE k = 1""",
+      SELECT stock_code, trade_date, coalesce((close / lag(close, 29) OVER (PARTITION BY stock_code ORDER BY trade_date) - 1) * 100, 0) AS change_30, row_number() OVER (PARTITION BY stock_code ORDER BY trade_date DESC) AS k FROM bars) WHERE k = 1""",
     "sc_cross_section": vq.BASE + """, z AS (SELECT *, (feature_value - avg(feature_value) OVER g) / (CASE WHEN stddev_samp(feature_value) OVER g > 1e-12 THEN stddev_samp(feature_value) OVER g END) AS z FROM feats WINDOW g AS (PARTITION BY feature_name, trade_date)),
       r AS (SELECT stock_code, trade_date, round(sum(CASE WHEN z IS NOT NULL THEN least(greatest(z, -3), 3) END * CASE feature_name WHEN 'KMID' THEN 0.5 WHEN 'MA5' THEN -1.0 ELSE 0.25 END), 9) AS raw FROM z WHERE feature_name <> 'VMA20' GROUP BY ALL)
       SELECT stock_code, trade_date, round(raw, 5) + 0.0 AS raw, round((rank() OVER (PARTITION BY trade_date ORDER BY raw NULLS FIRST) + (count(*) OVER (PARTITION BY trade_date, raw) - 1) / 2) / nullif(count(raw) OVER (PARTITION BY trade_date), 0) * 100, 5) AS percentile FROM r""",

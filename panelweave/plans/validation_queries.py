@@ -44,6 +44,7 @@ QUERIES = {
     "va_ic_p_values": lambda s, d: rounded(va.with_p_values(_ic(s, d)).drop("ic_t", "rank_ic_t")),
     "va_ic_t_values": lambda s, d: rounded(va.with_p_values(_ic(s, d)).select("feature_name", TIME, "horizon", "n", "ic_t", "rank_ic_t"), 5),
     "va_ic_summary": lambda s, d: rounded(va.summarize_ic(_ic(s, d))),
+    "va_ic_significance": lambda s, d: rounded(va.significance(_ic(s, d)), 5),
     "va_ic_min_rank": lambda s, d: rounded(va.summarize_ic(va.ic_by_date(frame(s, d), rank_method="min"))),
     "va_monthly_ic": lambda s, d: rounded(va.monthly_ic(_ic(s, d))),
     "va_quantile_membership": lambda s, d: rounded(_members(s, d)),
@@ -109,7 +110,23 @@ TURN = MEMBERS + """, days AS (SELECT feature_name, trade_date, lag(trade_date)
       JOIN size p ON p.feature_name = s.feature_name AND p.bucket = s.bucket AND p.trade_date = d.prev LEFT JOIN kept k ON k.feature_name = s.feature_name AND k.bucket = s.bucket AND k.trade_date = s.trade_date)"""
 T = lambda r, n: f"CASE WHEN {n} > 2 AND abs({r}) < 1 THEN {r} * sqrt(({n} - 2) / (1 - {r} * {r})) END"
 
+
+def _p(t: str, df: str) -> str:
+    """Two-sided p of Student's t, from the finite series of its distribution with factors by the gamma function."""
+    cos2, angle = f"({df} / ({df} + ({t}) * ({t})))", f"atan(abs({t}) / sqrt({df}))"
+    even = f"sqrt(1 - {cos2}) * list_sum(list_transform(range(0, CAST({df} AS BIGINT) // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1) - 0.5 * ln(pi()) + j * ln({cos2}))))"
+    odd = f"2 / pi() * ({angle} + sqrt(1 - {cos2}) * sqrt({cos2}) * coalesce(list_sum(list_transform(range(0, (CAST({df} AS BIGINT) - 1) // 2), lambda j: exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5) + j * ln({cos2})))), 0))"
+    return f"greatest(0, 1 - CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+_mean_t = lambda x: f"CASE WHEN {x}_s > {E} THEN {x}_mean / {x}_s * sqrt({x}_n) END"
 SQL = {
+    "va_ic_significance": _ic_sql() + f""", g AS (SELECT feature_name, horizon, {", ".join(f"count({x}) AS {x}_n, avg({x}) AS {x}_mean, stddev_samp({x}) AS {x}_s" for x in ("ic", "rank_ic"))} FROM ic GROUP BY ALL),
+      t AS (SELECT *, {_mean_t("ic")} AS ic_t, {_mean_t("rank_ic")} AS rank_ic_t FROM g)
+      SELECT feature_name, horizon, {", ".join(f"{x}_n, round({x}_mean, 5) + 0.0 AS {x}_mean, round({x}_t, 5) + 0.0 AS {x}_t, round({_p(f'{x}_t', f'({x}_n - 1)')}, 5) + 0.0 AS {x}_p" for x in ("ic", "rank_ic"))} FROM t""",
+    "va_ic_p_values": _ic_sql() + f""", t AS (SELECT *, {T('ic', 'n')} AS ic_t, {T('rank_ic', 'n')} AS rank_ic_t FROM ic)
+      SELECT feature_name, trade_date, horizon, n, round(ic, 6) + 0.0 AS ic, round(rank_ic, 6) + 0.0 AS rank_ic,
+      {", ".join(f"round(CASE WHEN abs({x}) >= 1 THEN 0 WHEN n > 2 THEN {_p(f'{x}_t', '(n - 2)')} END, 6) + 0.0 AS {x}_p" for x in ("ic", "rank_ic"))} FROM t""",
     "va_forward_returns": BASE + " SELECT stock_code, trade_date, horizon, round(forward_return, 6) + 0.0 AS forward_return FROM rets",
     "va_frame": BASE + " SELECT stock_code, trade_date, feature_name, round(feature_value, 6) + 0.0 AS feature_value, horizon, round(forward_return, 6) + 0.0 AS forward_return FROM frame",
     "va_ic_by_date": _ic_sql() + " SELECT feature_name, trade_date, horizon, n, round(ic, 6) + 0.0 AS ic, round(rank_ic, 6) + 0.0 AS rank_ic FROM ic",
@@ -134,8 +151,9 @@ SQL = {
       dense_rank() OVER (PARTITION BY feature_name ORDER BY trade_date) AS nth FROM feats),
       d AS (SELECT a.feature_name, a.nth, {_corr('a.rk', 'b.rk')} AS r, count(*) AS n FROM r a JOIN r b ON a.feature_name = b.feature_name AND a.stock_code = b.stock_code AND a.nth = b.nth + 1 GROUP BY ALL HAVING count(*) >= 5)
       SELECT feature_name, round(avg(r), 6) + 0.0 AS autocorrelation, count(r) AS dates FROM d GROUP BY ALL""",
-    "va_fama_macbeth": BASE + f""", d AS (SELECT feature_name, trade_date, horizon, count(*) AS n, regr_slope(forward_return, feature_value) AS slope FROM frame GROUP BY ALL HAVING count(*) >= 5 AND var_pop(feature_value) > {E})
-      SELECT feature_name, horizon, round(avg(slope), 5) + 0.0 AS slope, round(CASE WHEN stddev_samp(slope) > {E} THEN avg(slope) / (stddev_samp(slope) / sqrt(count(*))) END, 5) + 0.0 AS t, count(*) AS dates FROM d GROUP BY ALL HAVING count(*) >= 10""",
+    "va_fama_macbeth": BASE + f""", d AS (SELECT feature_name, trade_date, horizon, count(*) AS n, regr_slope(forward_return, feature_value) AS slope FROM frame GROUP BY ALL HAVING count(*) >= 5 AND var_pop(feature_value) > {E}),
+      g AS (SELECT feature_name, horizon, avg(slope) AS m, CASE WHEN stddev_samp(slope) > {E} THEN avg(slope) / (stddev_samp(slope) / sqrt(count(*))) END AS t, count(*) AS dates FROM d GROUP BY ALL HAVING count(*) >= 10)
+      SELECT feature_name, horizon, round(m, 5) + 0.0 AS slope, round(t, 5) + 0.0 AS t, dates, round({_p('t', '(dates - 1)')}, 5) + 0.0 AS p FROM g""",
     "va_alpha_beta": BASE + f""", z AS (SELECT *, (feature_value - avg(feature_value) OVER g) / CASE WHEN stddev_samp(feature_value) OVER g > {E} THEN stddev_samp(feature_value) OVER g ELSE 1 END AS z FROM frame WINDOW g AS (PARTITION BY feature_name, trade_date, horizon)),
       d AS (SELECT feature_name, trade_date, horizon, sum(z * forward_return) / nullif(sum(abs(z)), 0) AS own, avg(forward_return) AS market FROM z GROUP BY ALL),
       f AS (SELECT feature_name, horizon, regr_slope(own, market) AS beta, regr_intercept(own, market) * 252 AS alpha, {_corr('own', 'market')} AS r, count(*) AS dates FROM d WHERE own IS NOT NULL GROUP BY ALL)
