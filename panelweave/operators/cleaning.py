@@ -177,6 +177,18 @@ def resample(ticks: DataFrame, minutes: tuple[int, ...] = (5, 15, 30, 60), marke
     ))
 
 
+def derived(ticks: DataFrame, since=None, until=None, **how) -> DataFrame:
+    """``resample`` of the dates from ``since`` to ``until``, ends included: all periods of the affected days from one scan.
+
+    No bar spans two dates, so these are the rows of a derivation without bounds; an open end has no bound. Merged by
+    ``store.upsert`` they replace what was derived from the days before their ticks changed.
+    """
+    day = F.to_date("ts")
+    for bound, keep in ((since, lambda x: day >= x), (until, lambda x: day <= x)):
+        ticks = ticks if bound is None else ticks.where(keep(F.lit(bound).cast("date")))
+    return resample(ticks, **how)
+
+
 def intraday_eligible(daily: DataFrame, least: int) -> DataFrame:
     """Securities with enough daily bars for intraday work."""
     return daily.groupBy(KEY).agg(F.count("*").alias("n")).where(c("n") >= least)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import KEY, TIME
+from panelweave.functions.positions import in_order
 from panelweave.operators.cleaning import ACTIONS, exchange_of, mapped, normalize_bars, stock_code
 from panelweave.sources.store import filtered, keep_last
 
@@ -202,7 +203,8 @@ def ranking_rows(ranked: DataFrame, chosen: DataFrame, watched: DataFrame, batch
             F.lit(kind == "selected").alias("actionable"), F.lit(batch_id).alias("batch_id"), c("place").alias("rank_position"),
         )
         rows = part if rows is None else rows.unionByName(part)
-    return rows.withColumn("rank_position", F.row_number().over(Window.partitionBy("signal_type").orderBy("rank_position")))
+    numbered = in_order(rows, [c("rank_position")], position="_nth", group=("signal_type",))
+    return numbered.withColumn("rank_position", c("_nth").cast("int")).drop("_nth")
 
 
 def upserted_registry(old: DataFrame, new: DataFrame, as_of: str = "ingest_time") -> DataFrame:

@@ -248,22 +248,20 @@ def trade_summary(trades: DataFrame, reasons: Iterable[str] = ("stop", "trailing
     )
 
 
-def _non_overlapping(key: tuple, trades):
-    trades, free, keep = trades.sort_values("signal_date"), None, []
-    for signal, exit_ in zip(trades["signal_date"], trades["exit_date"]):
-        keep.append(free is None or signal > free)
-        free = exit_ if keep[-1] else free
-    return trades[keep]
-
-
 def non_overlapping(trades: DataFrame) -> DataFrame:
-    """One position at a time for each security: a signal counts once the trade before it is over."""
-    import pandas as pd
+    """One position at a time for each security: a signal counts once the trade before it is over.
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _non_overlapping(key, rows)
-
-    return trades.groupBy(KEY).applyInPandas(run, trades.schema)
+    An ordered fold over the security's trades: its state is when the last kept trade ends, and the numbers of those kept. Of
+    signals of one date the one that ends first counts; after a trade without an end the next signal counts.
+    """
+    order = Window.partitionBy(KEY).orderBy("signal_date", F.col("exit_date").asc_nulls_last(), *[x for x in trades.columns if x not in (KEY, "signal_date", "exit_date")])
+    rows = trades.withColumn("_nth", F.row_number().over(order))
+    spans = rows.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("_nth", "signal_date", "exit_date"))).alias("_spans"))  # three values for each trade
+    kind = trades.schema["exit_date"].dataType
+    begin = F.struct(F.lit(None).cast(kind).alias("free"), F.array().cast("array<int>").alias("kept"))
+    step = lambda s, t: F.when(s["free"].isNull() | (t["signal_date"] > s["free"]), F.struct(t["exit_date"].alias("free"), F.concat(s["kept"], F.array(t["_nth"])).alias("kept"))).otherwise(s)
+    kept = spans.select(KEY, F.explode(F.aggregate("_spans", begin, step, lambda s: s["kept"])).alias("_nth"))
+    return rows.join(kept, [KEY, "_nth"], "left_semi").select(*trades.columns)
 
 
 def bullish_trend(ind: DataFrame, buffer: float = 0.03) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import KEY, TIME, change, leading, quantile, ratio, security, trailing, windowed
-from panelweave.functions.positions import in_order
+from panelweave.functions.positions import in_order, pinned, quantiles
 
 c = F.col
 
@@ -179,11 +179,15 @@ def summarize_events(events: DataFrame, metrics: DataFrame, h: int = 20) -> Data
     r, d = c(f"forward_return_{h}"), c(f"max_drawdown_{h}")
     per = events.groupBy(*keys, KEY).agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), KEY)))
     top = per.groupBy(*keys).agg(F.sum(F.when(c("rank") <= 5, c("n"))).alias("_top"), F.sum("n").alias("_all"))
-    out = events.join(metrics, [KEY, TIME], "left").groupBy(*keys).agg(
-        F.count("*").alias("events"), F.count_distinct(KEY).alias("securities"), F.avg(r).alias("mean_return"), F.percentile(r, 0.5).alias("median_return"),
-        F.percentile(r, 0.25).alias("p25_return"), F.percentile(r, 0.75).alias("p75_return"), (F.sum(F.when(r > 0, 1).otherwise(0)) / F.count(r)).alias("win_rate"),
-        F.avg(d).alias("mean_drawdown"), F.percentile(d, 0.05).alias("p5_drawdown"), F.avg(F.when(r > 0, r)).alias("mean_win"), F.avg(F.when(r <= 0, r)).alias("mean_loss"),
+    rows = events.join(metrics, [KEY, TIME], "left").select(*keys, KEY, r.alias("_r"), d.alias("_d"))
+    rows = pinned(rows)  # read once for the means and twice for quantiles
+    r, d = c("_r"), c("_d")
+    out = rows.groupBy(*keys).agg(
+        F.count("*").alias("events"), F.count_distinct(KEY).alias("securities"), F.avg(r).alias("mean_return"), (F.sum(F.when(r > 0, 1).otherwise(0)) / F.count(r)).alias("win_rate"),
+        F.avg(d).alias("mean_drawdown"), F.avg(F.when(r > 0, r)).alias("mean_win"), F.avg(F.when(r <= 0, r)).alias("mean_loss"),
     )
+    for own in (quantiles(rows, keys, "_r", {"median_return": 0.5, "p25_return": 0.25, "p75_return": 0.75}), quantiles(rows, keys, "_d", {"p5_drawdown": 0.05})):
+        out = out.join(own, keys, "left")
     return out.join(top, keys).withColumn("top5_share", c("_top") / c("_all")).drop("_top", "_all")
 
 

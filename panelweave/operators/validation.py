@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +75,55 @@ def ic_by_date(frame: DataFrame, least: int = 5, rank_method: str = "average") -
     return own.where((c("n") >= least) & c("_x") & c("_y")).select(*GROUP, "n", unit("ic"), unit("rank_ic"))
 
 
+def _correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Correlation of each column of ``a`` with ``b``; NaN where either hardly varies."""
+    a, b = a - a.mean(0), b - b.mean()
+    va, vb = np.square(a).mean(0), np.square(b).mean()
+    with np.errstate(invalid="ignore", divide="ignore"):
+        r = (a * b[:, None]).mean(0) / np.sqrt(va * vb)
+    return np.where((va > EPSILON) & (vb > EPSILON), np.clip(r, -1, 1), np.nan)
+
+
+def _cross_section(names: list[str], horizons: list[int], least: int):
+    """All factors of a date against its forward returns, as matrices: columns with values for the same securities are ranked together."""
+
+    def run(day: pa.Table) -> pa.Table:
+        x = np.column_stack([day[n].to_numpy().astype(float) for n in names])
+        parts = []
+        for h in horizons:
+            y = day[f"_ahead_{h}"].to_numpy().astype(float)
+            usable = (np.abs(x) <= LARGEST) & (np.abs(y) <= LARGEST)[:, None]
+            kinds, which = np.unique(usable, axis=1, return_inverse=True)
+            for k in range(kinds.shape[1]):
+                rows, columns = kinds[:, k], np.flatnonzero(which.reshape(-1) == k)
+                if rows.sum() < least or np.ptp(y[rows]) == 0:
+                    continue
+                columns = columns[np.ptp(x[rows][:, columns], axis=0) > 0]
+                if not len(columns):
+                    continue
+                a, b = x[rows][:, columns], y[rows]
+                made = {"feature_name": [names[i] for i in columns], "horizon": h, "n": int(rows.sum()), "ic": _correlations(a, b), "rank_ic": _correlations(pd.DataFrame(a).rank().to_numpy(), pd.Series(b).rank().to_numpy())}
+                parts.append(pd.DataFrame(made))
+        out = pd.concat(parts) if parts else pd.DataFrame({"feature_name": [], "horizon": [], "n": [], "ic": [], "rank_ic": []})
+        kind = pa.schema([("feature_name", pa.string()), ("horizon", pa.int32()), ("n", pa.int64()), ("ic", pa.float64()), ("rank_ic", pa.float64())])
+        table = pa.Table.from_pandas(out, kind, preserve_index=False)
+        return table.add_column(0, pa.field(TIME, pa.date32()), pa.array([day[TIME][0].as_py()] * len(table), pa.date32()))
+
+    return run
+
+
+def ic_of_set(wide: DataFrame, names: Iterable[str], horizons: Iterable[int], least: int = 5) -> DataFrame:
+    """``ic_by_date`` of many factors at once, from one row for each security and date with the factors and ``close``.
+
+    A date's securities are one group, whatever the number of factors and horizons: rows are dealt once by date and are
+    not multiplied by factors, and ranks of all factors come from one matrix.
+    """
+    names, horizons = list(names), list(horizons)
+    ahead = [(ratio(F.lead("close", h).over(security()), c("close")) - 1).alias(f"_ahead_{h}") for h in horizons]
+    own = wide.select(KEY, TIME, *names, *ahead).drop(KEY)
+    return own.groupBy(TIME).applyInArrow(_cross_section(names, horizons, least), f"{TIME} date, feature_name string, horizon int, n long, ic double, rank_ic double")
+
+
 def with_p_values(ic: DataFrame) -> DataFrame:
     return ic.withColumns({f"{x}_{k}": f(c(x), c("n")) for x in ("ic", "rank_ic") for k, f in (("t", t_value), ("p", p_value))})
 

@@ -103,6 +103,8 @@ def _log(s, d):
     return table(s, d, "orders").select(F.col("o_orderkey").alias("log_id"), F.to_date("o_orderdate").alias("logged_at"), kind.alias("operation"), F.col("o_custkey").alias("affected"))
 
 
+#: Two derivations that meet without a gap: together they are one without bounds.
+DERIVED_UNTIL, DERIVED_SINCE = "2024-01-15", "2024-01-16"
 QUERIES = {
     "io_read_filtered": lambda s, d: rounded(store.filtered(bars(s, d), {KEY: ["00001", "00002", "00003"], "market": None}, [KEY, TIME, "close"], "1995-01-01", "1996-12-31")),
     "io_distinct": lambda s, d: bars(s, d).select(KEY).distinct(),
@@ -132,6 +134,7 @@ QUERIES = {
     "ca_calendar": calendar,
     "ca_session_filter": lambda s, d: rounded(ticks(table(s, d, "events")).where(cl.in_session(F.col("ts"), "HK")).groupBy(KEY).agg(F.count("*").alias("n"), F.sum(F.when(cl.in_session(F.col("ts"), "CN"), 1).otherwise(0)).alias("n_cn"))),
     "ca_resample": lambda s, d: cl.resample(ticks(table(s, d, "events"))),
+    "ca_derived": lambda s, d: cl.derived(ticks(table(s, d, "events")), DERIVED_SINCE).unionByName(cl.derived(ticks(table(s, d, "events")), until=DERIVED_UNTIL)),
     "ca_drop_flat": lambda s, d: cl.drop_flat(_dirty(s, d).na.drop().drop("arrival", "frequency")),
     "ca_eligible": lambda s, d: cl.intraday_eligible(bars(s, d), 530),
 }
@@ -217,3 +220,4 @@ SQL = {
     "ca_drop_flat": DIRTY + f" SELECT stock_code, trade_date, {_R(OHLCV)} FROM dirty WHERE close IS NOT NULL AND trade_date IS NOT NULL AND NOT (volume <= 0 AND open = high AND high = low AND low = close)",
     "ca_eligible": with_bars() + " SELECT stock_code, count(*) AS n FROM bars GROUP BY 1 HAVING count(*) >= 530",
 }
+SQL["ca_derived"] = SQL["ca_resample"]

@@ -101,6 +101,7 @@ QUERIES = {
     "to_trades": lambda s, d: rounded(sc.trade_outcomes(bars(s, d), entries(s, d)).select(KEY, "signal_date", "exit_date", "exit_reason", "trade_return")),
     "to_trade_summary": lambda s, d: rounded(sc.trade_summary(trades(s, d)), 5),
     "to_non_overlapping": lambda s, d: rounded(sc.trade_summary(sc.non_overlapping(trades(s, d, sells(s, d))), REASONS), 5),
+    "to_one_position": lambda s, d: rounded(sc.non_overlapping(trades(s, d)).select(KEY, "signal_date", "exit_date", "net_return")),
     "to_strategy_trades": lambda s, d: rounded(strategy_trades(s, d).drop("net_return")),
     "to_strategy_summary": lambda s, d: rounded(sc.trade_summary(sc.non_overlapping(strategy_trades(s, d)), REASONS), 5),
     "to_price_asof": asof,
@@ -144,6 +145,9 @@ TRADES = sq.CTE + """, en AS (SELECT stock_code, trade_date FROM (SELECT *, CASE
   tn AS (SELECT *, exit / entry - 1 AS trade_return, (exit / entry) * (1 - 0.001) * (1 - 0.0003) / ((1 + 0.001) * (1 + 0.0003)) - 1 AS net_return FROM tr)"""
 _SUM = vq._ic_sql().removeprefix("WITH ")
 SQL = {
+    "to_one_position": TRADES.replace("WITH ", "WITH RECURSIVE ", 1) + """, op AS (SELECT stock_code, min(signal_date) AS signal_date FROM tn GROUP BY 1
+      UNION ALL SELECT n.stock_code, min(n.signal_date) FROM op JOIN tn o ON o.stock_code = op.stock_code AND o.signal_date = op.signal_date JOIN tn n ON n.stock_code = o.stock_code AND n.signal_date > o.exit_date GROUP BY 1)
+      SELECT stock_code, signal_date, exit_date, round(net_return, 6) + 0.0 AS net_return FROM tn JOIN op USING (stock_code, signal_date)""",
     "sc_factor_scores": SCORES + " SELECT stock_code, trade_date, " + ", ".join(f'round({n}, 4) + 0.0 AS "{n}"' for n in FACTORS) + " FROM sc",
     "sc_composite": SCORES + " SELECT stock_code, trade_date, " + ", ".join(f"round({n}, 4) + 0.0 AS {n}" for n in ("trend", "quality", "risk", "composite")) + " FROM cm",
     "sc_signals": SCORES + " SELECT stock_code, trade_date, actionable, tier FROM sg",

@@ -44,6 +44,8 @@ QUERIES = {
     "va_ic_p_values": lambda s, d: rounded(va.with_p_values(_ic(s, d)).drop("ic_t", "rank_ic_t")),
     "va_ic_t_values": lambda s, d: rounded(va.with_p_values(_ic(s, d)).select("feature_name", TIME, "horizon", "n", "ic_t", "rank_ic_t"), 5),
     "va_ic_summary": lambda s, d: rounded(va.summarize_ic(_ic(s, d))),
+    "va_ic_of_set": lambda s, d: rounded(va.summarize_ic(va.ic_of_set(factors.compute(bars(s, d), keep=("close",)), factors.factor_names(), HORIZONS)), 5),
+    "va_ic_matrix": lambda s, d: rounded(va.ic_of_set(factors.compute(bars(s, d), NAMES, keep=("close",)), NAMES, HORIZONS)),
     "va_ic_significance": lambda s, d: rounded(va.significance(_ic(s, d)), 5),
     "va_ic_min_rank": lambda s, d: rounded(va.summarize_ic(va.ic_by_date(frame(s, d), rank_method="min"))),
     "va_monthly_ic": lambda s, d: rounded(va.monthly_ic(_ic(s, d))),
@@ -162,3 +164,4 @@ SQL = {
       m AS (SELECT feature_name, horizon, {_corr('bucket', 'rk')} AS rho, count(*) AS buckets FROM r GROUP BY ALL HAVING count(*) >= 3)
       SELECT feature_name, horizon, round(rho, 6) + 0.0 AS rho, buckets, round((abs(rho) + 1) / 2, 6) AS score FROM m""",
 }
+SQL["va_ic_matrix"] = SQL["va_ic_by_date"]

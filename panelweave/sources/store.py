@@ -64,11 +64,45 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> Dat
 def _replace(spark: SparkSession, path: str, rows: DataFrame, staging: str, by: tuple[str, ...]) -> None:
     """Write ``rows`` beside the dataset, then put them in place of the partitions that they are of."""
     write(rows, staging, by=by)
+    swap(spark, path, staging, by)
+
+
+#: Empty file of a staging folder whose partitions are all in place.
+SWAPPED = "_swapped"
+
+
+def _exists(spark: SparkSession, file: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(file)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def swap(spark: SparkSession, path: str, staging: str, by: tuple[str, ...] = ("year",)) -> None:
+    """Put the partitions staged in ``staging`` in place of those of the dataset, and record that they are.
+
+    Staged partitions are whole, so this can be repeated: what an interrupted swap has replaced is replaced again by the same rows.
+    """
     spark.read.parquet(staging).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*by).parquet(path)
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{staging}/{SWAPPED}")
+    done.getFileSystem(spark._jsc.hadoopConfiguration()).create(done, True).close()
+
+
+def resume(spark: SparkSession, path: str, staging: str, by: tuple[str, ...] = ("year",)) -> bool:
+    """Finish a replacement that broke off after its rows were staged whole; says whether there was one.
+
+    One that broke off while staging has changed nothing: its folder lacks Spark's ``_SUCCESS`` and is written anew.
+    """
+    if not _exists(spark, f"{staging}/_SUCCESS") or _exists(spark, f"{staging}/{SWAPPED}"):
+        return False
+    swap(spark, path, staging, by)
+    return True
 
 
 def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], order: str, staging: str, by: tuple[str, ...] = ("year",)) -> None:
-    """Merge ``new`` into a dataset; only partitions that it has rows of are read and replaced. ``keys`` have the date."""
+    """Merge ``new`` into a dataset; only partitions that it has rows of are read and replaced. ``keys`` have the date.
+
+    Can be repeated after a failure at any point: a replacement that ``staging`` still holds is finished first.
+    """
+    resume(spark, path, staging, by)
     new = new.where(c(TIME).isNotNull()).withColumn("year", F.year(TIME))
     touched = new.select(*by).distinct()  # a row for each partition
     old = spark.read.parquet(path).join(F.broadcast(touched), list(by), "left_semi")
