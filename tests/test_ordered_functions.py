@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelweave.functions import positions, rolling, scans
-from panelweave.operators import factors, indicators as ti, scoring as sc
+from panelweave.operators import cleaning as cl, factors, indicators as ti, scoring as sc, validation as va
 from panelweave.sources import store
 
 DAY = dt.date(2000, 1, 1)
@@ -180,3 +180,83 @@ def test_update_log_and_coefficients(spark):
     assert [r["log_id"] for r in store.update_log(log, 5, {"operation": "b"}).collect()] == [6, 3, 0] and store.update_log(log, 0).count() == 0
     card = spark.createDataFrame([("a", 0.1), ("b", -0.5), ("c", 0.5), ("d", None)], "feature_name string, coefficient double")
     assert [r["feature_name"] for r in sc.select_top(card, 2).collect()] == ["b", "c"] and [r["feature_name"] for r in sc.select_top(card, 9, 0.2).collect()] == ["b", "c"]
+
+
+def test_quantiles_and_positions_of_groups(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice(["big", "big", "big", "big", None, "small"]), rng.choice([None, *range(30)])) for _ in range(700)] + [("lone", 4), ("empty", None)]
+    df = spark.createDataFrame([(g, None if x is None else float(x)) for g, x in rows], "g string, x double").repartition(5)
+    got = {r["g"]: (r["a"], r["b"], r["c"]) for r in positions.quantiles(df, ["g"], "x", {"a": 0.05, "b": 0.5, "c": 1.0}).collect()}
+    assert set(got) == {"big", None, "small", "lone"}
+    for g, found in got.items():
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        for q, f in zip((0.05, 0.5, 1.0), found):
+            at = q * (len(v) - 1)
+            lo = int(at)
+            assert f == pytest.approx(v[lo] + (v[min(lo + 1, len(v) - 1)] - v[lo]) * (at - lo))
+    places = {}
+    for r in positions.in_order(df, [F.col("x").asc_nulls_last()], {"s": F.col("x")}, group=("g",)).collect():
+        places.setdefault(r["g"], []).append((r["position"], r["x"], r["s"]))
+    for g, own in places.items():
+        own.sort()
+        assert [p for p, *_ in own] == list(range(1, len(own) + 1)) and [x for _, x, _ in own] == sorted((x for k, x in rows if k == g), key=lambda x: (x is None, x))
+        assert own[-1][2] == pytest.approx(sum(x for k, x in rows if k == g and x is not None))
+
+
+def test_one_position_at_a_time(spark):
+    day = lambda i: None if i is None else DAY + dt.timedelta(days=i)
+    rng, rows = random.Random(2), [("z", 3, None, 1.0), ("z", 5, 6, 2.0), ("z", 6, 9, 3.0), ("z", 7, 8, 4.0), ("y", 1, 1, 5.0), ("y", 1, 4, 6.0)]
+    rows += [("a", i, i + rng.randint(0, 9), float(i)) for i in sorted(rng.sample(range(400), 150))]
+    df = spark.createDataFrame([(k, day(a), day(b), x) for k, a, b, x in rows], "stock_code string, signal_date date, exit_date date, x double").repartition(3)
+    want = []
+    for k in "ayz":
+        free = None
+        for r in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2] is None, r[2] or 0)):
+            if free is None or r[1] > free:
+                want.append(r[3])
+                free = r[2]
+    assert sorted(r["x"] for r in sc.non_overlapping(df).collect()) == sorted(want) and sc.non_overlapping(df.where("false")).collect() == []
+
+
+def test_an_upsert_goes_on_where_it_broke_off(spark, tmp_path, monkeypatch):
+    path, staging, days = str(tmp_path / "set"), str(tmp_path / "staging"), [dt.date(2023, 5, 1), dt.date(2024, 5, 1)]
+    row = lambda k, d, x, stamp: (k, d, x, stamp)
+    kind = "stock_code string, trade_date date, close double, stamp int"
+    store.write(spark.createDataFrame([row("a", d, 1.0, 1) for d in days], kind), path)
+    first = spark.createDataFrame([row("a", d, 2.0, 2) for d in days], kind)
+    own = store.swap
+    monkeypatch.setattr(store, "swap", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        store.upsert(spark, path, first, ["stock_code", "trade_date"], "stamp", staging)
+    monkeypatch.setattr(store, "swap", own)
+    assert [r["close"] for r in spark.read.parquet(path).collect()] == [1.0, 1.0]
+    second = spark.createDataFrame([row("b", days[0], 5.0, 3)], kind)  # another batch comes first; what was staged is not lost
+    store.upsert(spark, path, second, ["stock_code", "trade_date"], "stamp", staging)
+    spark.catalog.refreshByPath(path)
+    assert sorted((r["stock_code"], r["trade_date"], r["close"]) for r in spark.read.parquet(path).collect()) == [("a", days[0], 2.0), ("a", days[1], 2.0), ("b", days[0], 5.0)]
+    assert store.resume(spark, path, staging) is False
+    store.upsert(spark, path, second, ["stock_code", "trade_date"], "stamp", staging)  # repeated, it changes nothing
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_factors_of_a_date_together(spark):
+    rng, rows = random.Random(1), []
+    for code in range(12):
+        for i in range(30):
+            x = rng.choice([None, 1e20, 3.0]) if rng.random() < 0.1 else round(rng.random(), 1)
+            rows.append((f"s{code}", DAY + dt.timedelta(days=i), x, rng.random() if i % 5 else 1.0, None if code > 3 else 2.0, rng.uniform(1, 2)))
+    wide = spark.createDataFrame(rows, "stock_code string, trade_date date, A double, B double, C double, close double").repartition("stock_code")
+    plain = va.ic_by_date(va.frame_of(wide, ["A", "B", "C"], [1, 3]))
+    key = lambda df: {(r["feature_name"], r["trade_date"], r["horizon"]): (r["n"], None if r["ic"] is None else round(r["ic"], 9), None if r["rank_ic"] is None else round(r["rank_ic"], 9)) for r in df.collect()}
+    want = key(plain)
+    assert key(va.ic_of_set(wide, ["A", "B", "C"], [1, 3])) == want and len(want) > 80
+
+
+def test_derivation_of_a_span_of_dates(spark):
+    rng = random.Random(4)
+    rows = [("a", dt.datetime(2024, 1, 1 + i % 9, 9 + i % 8, rng.randrange(60), rng.randrange(60)), i, rng.random(), 1.0) for i in range(900)]
+    ticks = spark.createDataFrame(rows, "stock_code string, ts timestamp, seq int, price double, qty double")
+    every = {tuple(r) for r in cl.resample(ticks).collect()}
+    some = {tuple(r) for r in cl.derived(ticks, "2024-01-03", "2024-01-05").collect()}
+    assert some and some < every and {r for r in every if 3 <= r[2].day <= 5} == some
+    assert {tuple(r) for r in cl.derived(ticks).collect()} == every
