@@ -129,6 +129,95 @@ def test_range_band_buys_keep_their_gates(panel):
             assert not b["actionable"]
 
 
+def test_range_band_buys_row_by_row(panel):
+    """Strength, risk, tier and action of every bar, from the bars and indicators alone."""
+    want = {}
+    for code, rows in panel[1].items():
+        for i in range(3, len(rows)):
+            r, p = rows[i], rows[i - 1]
+            k, d, k1, d1, v, d25 = r["stoch_k"], r["stoch_d"], p["stoch_k"], p["stoch_d"], r["volume_ratio_10"], r["distance_ma25"]
+            if None in (k, d, k1, d1, d25):
+                continue
+            last = rows[max(0, i - 4) : i + 1]
+            low = lambda own, n: min((x[n] for x in own if x[n] is not None), default=None)
+            mean = lambda own: sum(x["volume"] for x in own) / len(own) if own else None
+            half = low(rows[max(0, i - 120) : max(0, i - 14)], "low")
+            up = (r["close"] > r["open"] or (r["intraday_return"] or 0) > 0) and r["close"] >= p["close"]
+            before = mean(rows[max(0, i - 40) : max(0, i - 5)])
+            dry = r["volume"] <= p["volume"] * 0.9 or (before is not None and mean(last) <= before * 0.92) or le(v, 0.95)
+            base = half is not None and low(rows[max(0, i - 14) : i + 1], "low") >= half * 0.985 and up and (dry or (ge(v, 0.85) and le(v, 1.25)))
+            loud = half is not None and r["low"] <= half * 1.002 and up and ge(v, 2.0)
+            reclaims = up and d25 >= -0.03 and le(p["distance_ma25"], -0.06) and ge(v, 1.2)
+            special, crosses = base or loud or reclaims, k1 <= d1 and k > d
+            rising = None not in (r["ma25"], r["ma60"], r["ma25_slope"]) and r["ma25"] > r["ma60"] and r["ma25_slope"] > 0 and r["close"] >= r["ma25"] * 0.97
+            turns = 15 <= k <= 58 and (crosses or (k > k1 and k >= d))
+            anyway = special and ((0 <= k <= 62 and k >= k1) or (loud and k <= 20) or (reclaims and k >= d))
+            if not (rising or special) or min(low(last, "stoch_k"), low(last, "stoch_d")) > 40 or not (turns or anyway):
+                continue
+            lt = lambda x, y: x is not None and x < y
+            gt = lambda x, y: x is not None and x > y
+            pulled, plain = le(low(last, "distance_ma25"), 0.025) or le(low(last, "bb_position"), 0.5), not special
+            against = [
+                (not pulled, False), (plain and lt(low(last, "distance_ma25"), -0.065), False), (gt(d25, 0.075), False), (plain and lt(r["range_long_composite"], 45), lt(r["range_long_composite"], 55)),
+                (plain and lt(r["range_reversion"], 45), lt(r["range_reversion"], 55)), (plain and gt(r["range_position_20"], 0.72), gt(r["range_position_20"], 0.6)), (plain and gt(r["bb_position"], 0.72), gt(r["bb_position"], 0.58)),
+                (plain and lt(r["rsi"], 45), lt(r["rsi"], 50) or gt(r["rsi"], 67)), (plain and lt(r["distance_high_20"], -0.15), lt(r["distance_high_20"], -0.08)),
+                (lt(v, 0.82) and not ((base and dry) or loud or reclaims), (lt(v, 0.95) and not dry) or (gt(v, 1.75) and not loud)),
+            ]
+            risk = 2 + sum(2 if strong else int(soft) for strong, soft in against)
+            risk += 1 if lt(r["volatility_compression"], 40) else -1 if ge(r["volatility_compression"], 65) else 0
+            risk += lt(r["vwap_stretch"], 40) + lt(r["range_stability"], 40) + (r["close"] < p["close"]) + (r["ma10"] is not None and r["close"] < r["ma10"] * 0.995)
+            risk = max(risk + (p["ma5_10_gap"] is not None and lt(r["ma5_10_gap"], p["ma5_10_gap"])), 0)
+            strength = 5 + 4 * loud + 3 * reclaims + 3 * base + (2 if crosses else 1) + (2 if 15 <= k <= 35 else 1 if 35 < k <= 45 else 0) + (k - d >= 3)
+            strength += sum(ge(r[n], 60) for n in ("range_reversion", "volatility_compression", "vwap_stretch", "range_stability"))
+            yes = not any(strong for strong, _ in against) and risk <= 4
+            want[code, r["trade_date"]] = (strength, risk, "strong" if yes and risk <= 2 else "medium" if yes else "weak", yes)
+    got = found(st.range_band_buys(panel[0]), "strength", "risk_score", "tier", "actionable")
+    assert got == want and len(want) > 50
+
+
+def test_matrix_and_blend(panel):
+    """The matrix score and the expected score from the indicators that they are made of."""
+    seen = 0
+    for rows in panel[1].values():
+        history = {n: [r[n] for r in rows] for n in ti.MATRIX}
+
+        def zed(values, i):
+            w = [x for x in values[max(0, i - 59) : i + 1] if x is not None]
+            if len(w) < 20 or values[i] is None:
+                return None
+            m = sum(w) / len(w)
+            spread = (sum((x - m) ** 2 for x in w) / (len(w) - 1)) ** 0.5
+            return (values[i] - m) / spread if spread > 1e-12 else None
+
+        raws = []
+        for i, r in enumerate(rows):
+            z = {n: zed(history[n], i) for n in ti.MATRIX}
+            have = [z[n] * w for n, w in ti.MATRIX.items() if z[n] is not None]
+            raws.append(sum(have) if len(have) >= 10 else None)
+            assert r["matrix_raw"] == (None if raws[-1] is None else pytest.approx(raws[-1], rel=1e-6, abs=1e-6))
+            m = zed(raws, i)
+            score = None if m is None else min(max(50 + 12 * m, 0), 100)
+            assert r["matrix_score"] == (None if score is None else pytest.approx(score, rel=1e-6, abs=1e-5))
+            if score is None or r["trend_regime"] is None:
+                assert r["expected_3m_score"] is None
+                continue
+            part = lambda n, scale, w: (50 if z[n] is None else 50 + max(-2, min(2, z[n])) * scale) * w  # noqa: B023, E731
+            x = score * 0.2 + part("return_20", 12, 0.16) + part("return_60", 12, 0.16) + part("ma20_slope", 12, 0.14) + part("ma60_slope", 10, 0.12) + part("distance_high_20", 10, 0.10) + part("volume_trend", 8, 0.06) + r["trend_regime"] * 0.06
+            between = lambda n, a, b: r[n] is not None and a <= r[n] <= b  # noqa: B023, E731
+            more = lambda n, a: r[n] is not None and r[n] > a  # noqa: B023, E731
+            least = lambda n, a: r[n] is not None and r[n] >= a  # noqa: B023, E731
+            over25 = r["ma25"] is not None and r["close"] > r["ma25"]
+            x += 6 * (between("distance_ma20", -0.05, 0.02) and between("rsi", 42, 60) and r["close"] >= r["ma20"] * 0.97)
+            x += 10 * (over25 and between("distance_ma25", 0, 0.08) and least("volume_spike", 2) and more("return_20", -0.02) and more("ma25_slope", -0.005) and r["ma10"] >= r["ma25"] * 0.995 and least("distance_high_20", -0.08))
+            x += 4 * (over25 and between("distance_ma25", 0, 0.10) and least("volume_spike", 1.8) and more("return_20", -0.05) and more("ma25_slope", -0.015) and r["ma10"] >= r["ma25"] * 0.985 and least("distance_high_20", -0.12))
+            x += 8 * (least("distance_high_20", -0.03) and between("volume_ratio_10", 1.1, 2.4) and between("rsi", 52, 68)) + 8 * r["stoch_cross"]
+            x -= 12 * (r["rsi"] is not None and r["rsi"] < 40 and r["distance_ma20"] < -0.03 and r["return_20"] < 0)
+            x -= 8 * (more("rsi", 74) or more("distance_ma20", 0.12) or more("return_60", 0.45))
+            assert r["expected_3m_score"] == pytest.approx(min(max(x, 0), 100), rel=1e-6, abs=1e-5)
+            seen += 1
+    assert seen > 500
+
+
 def test_sells_take_the_stronger_of_a_date(panel):
     ind, by = panel
     bear = {k: v[0] for k, v in found(sc.high_volume_bearish_sells(ind), "strength").items()}
