@@ -1,9 +1,8 @@
-"""Moments and extremes of sliding windows in constant work for each bar.
+"""Statistics of sliding windows in one ordered pass over the bars.
 
-A security's bars are cut into blocks as long as the window. A window is then the end of one block and
-the beginning of the next: a running aggregate from the block's start and one from its end are put together.
-Nothing is ever subtracted, so no precision is lost however long the history or large its level, and
-sums of squares are merged as deviations from their own means.
+Bars come dealt by security and in the order of their dates, in Arrow batches. With the last bars of the batch before, all
+windows of a batch are views of its values, so moments are taken from their own mean (nothing is subtracted from a long
+sum) and a task holds a batch and a window, whatever the length of a history.
 """
 
 from __future__ import annotations
@@ -12,13 +11,11 @@ from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from panelweave.functions.columns import KEY, TIME
+from panelweave.functions.columns import EPSILON, KEY, TIME
 
-c = F.col
 #: A statistic: count, mean, m2 (sum of squared deviations), max or min of one column, or co (sum of products of deviations) of two.
 Stat = tuple[str, ...]
 
@@ -27,61 +24,6 @@ def named(stat: Stat, n: int) -> str:
     return "_" + "_".join((*stat, str(n)))
 
 
-def _parts(stats: Iterable[Stat], w) -> dict[str, Column]:
-    """The aggregates over ``w`` that the statistics are put together from, by name."""
-    out: dict[str, Column] = {}
-    for kind, *xs in stats:
-        both = xs[0] if len(xs) == 1 else None
-        if kind in ("max", "min"):
-            out[f"{kind}_{both}"] = getattr(F, kind)(both).over(w)
-        elif kind == "co":
-            x, y = xs  # rows count that have both
-            a, b = F.when(c(y).isNotNull(), c(x)), F.when(c(x).isNotNull(), c(y))
-            n = F.count(a).over(w)
-            out |= {f"count_{x}_{y}": n, f"meanx_{x}_{y}": F.avg(a).over(w), f"meany_{x}_{y}": F.avg(b).over(w), f"co_{x}_{y}": F.covar_pop(a, b).over(w) * n}
-        else:
-            out |= {f"count_{both}": F.count(both).over(w), f"mean_{both}": F.avg(both).over(w)}
-            if kind == "m2":
-                out[f"m2_{both}"] = F.var_pop(both).over(w) * F.count(both).over(w)
-    return out
-
-
-def rolling(df: DataFrame, n: int, stats: Iterable[Stat], position: str) -> DataFrame:
-    """``df`` plus each statistic of the last ``n`` bars under its ``named`` name, over fewer where a history begins.
-
-    ``position`` is the number of the bar in its security, from 1. Missing values are passed over; a mean, m2 or extreme of none is NULL.
-    """
-    stats = list(dict.fromkeys(stats))
-    block = Window.partitionBy(KEY, "_block")
-    at = (c(position) - 1) % n
-    rows = df.withColumn("_block", F.floor((c(position) - 1) / n))
-    first, last = block.orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0), block.orderBy(F.desc(TIME)).rowsBetween(Window.unboundedPreceding, 0)
-    ends, begins = _parts(stats, last), _parts(stats, first)
-    rows = rows.withColumns({f"_s_{p}": x for p, x in ends.items()}).withColumns({f"_p_{p}": x for p, x in begins.items()})
-    back = Window.partitionBy(KEY).orderBy(TIME)
-    rows = rows.withColumns({f"_s_{p}": F.when(at < n - 1, F.lag(f"_s_{p}", n - 1).over(back)) for p in ends})
-    zero = lambda x: F.coalesce(c(x), F.lit(0.0))
-
-    def merged(kind: str, of: str) -> Column:
-        count = "count_" + of
-        a, b = zero(f"_p_{count}"), zero(f"_s_{count}")
-        if kind == "count":
-            return a + b
-        share = F.try_divide(b, a + b)
-        if kind == "mean":
-            return F.when(a + b > 0, zero(f"_p_mean_{of}") * (1 - share) + zero(f"_s_mean_{of}") * share)
-        gap = lambda m: zero(f"_s_{m}_{of}") - zero(f"_p_{m}_{of}")
-        apart = gap("mean") * gap("mean") if kind == "m2" else gap("meanx") * gap("meany")
-        return F.when(a + b > 0, zero(f"_p_{kind}_{of}") + zero(f"_s_{kind}_{of}") + apart * share * a)
-
-    made = {}
-    for kind, *xs in stats:
-        of = "_".join(xs)
-        pick = {"max": F.greatest, "min": F.least}.get(kind)
-        made[named((kind, *xs), n)] = pick(c(f"_p_{kind}_{of}"), c(f"_s_{kind}_{of}")) if pick else merged(kind, of)
-    return rows.withColumns(made).drop("_block", *[f"_{k}_{p}" for k in "ps" for p in ends])
-
-
 def _rank(w: np.ndarray) -> np.ndarray:
     """Average rank of the newest value, as a share of the window."""
     newest = w[:, -1:]
@@ -134,5 +76,47 @@ def full_windows(df: DataFrame, wanted: Iterable[tuple], position: str) -> DataF
     return df.sortWithinPartitions(KEY, TIME).mapInArrow(run, schema)
 
 
+def _zscores(windows: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
+    """How many standard deviations the newest value is above the mean of its window, whose bars before the security's first do not count."""
+    n = windows.shape[1]
+    w = np.where(np.arange(n) < (n - at)[:, None], np.nan, windows)
+    there = ~np.isnan(w)
+    count = there.sum(1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = np.where(there, w, 0).sum(1) / count
+        spread = np.sqrt(np.square(np.where(there, w - mean[:, None], 0)).sum(1) / (count - 1))
+        return np.where((count >= least) & (spread > EPSILON), (w[:, -1] - mean) / spread, np.nan)
+
+
+def zscores(df: DataFrame, columns: Mapping[str, str], window: int, least: int, position: str, total: tuple[str, Mapping[str, float], int] | None = None) -> DataFrame:
+    """``df`` plus, by name, the z-score of each column in its last ``window`` bars of which ``least`` have a value; NULL without variation.
+
+    ``total`` (name, weights by z-score, least number of them) adds the weighted sum of the scores that are there, and as
+    ``name_z`` the z-score of that. ``df`` is in the order and dealing that a window by security leaves, which ``position`` comes from.
+    """
+    out = [*columns, *([total[0], f"{total[0]}_z"] if total else [])]
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in out)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = {n: np.full(window - 1, np.nan) for n in [*columns, "total"]}
+        for b in batches:
+            at = b[position].to_numpy(zero_copy_only=False)
+
+            def scored(name: str, values: np.ndarray) -> np.ndarray:
+                held = np.concatenate([before[name], values])  # noqa: B023
+                before[name] = held[len(held) - window + 1 :]  # noqa: B023
+                return _zscores(np.lib.stride_tricks.sliding_window_view(held, window), at, least)  # noqa: B023
+
+            made = {n: scored(n, b[x].to_numpy(zero_copy_only=False).astype(float)) for n, x in columns.items()} if len(at) else {n: np.zeros(0) for n in columns}
+            if total:
+                parts = np.column_stack([made[n] * w for n, w in total[1].items()])
+                there = ~np.isnan(parts)
+                made[total[0]] = np.where(there.sum(1) >= total[2], np.where(there, parts, 0).sum(1), np.nan)
+                made[f"{total[0]}_z"] = scored("total", made[total[0]]) if len(at) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(made[n], pa.float64(), mask=np.isnan(made[n])) for n in out)], [*b.schema.names, *out])
+
+    return df.sortWithinPartitions(KEY, TIME).mapInArrow(run, schema)
+
+
 def needed(stats: Mapping[str, Iterable[Stat]], families: Iterable[str]) -> list[Stat]:
     return list(dict.fromkeys(s for f in families for s in stats[f]))

@@ -12,22 +12,18 @@ from pyspark.sql import functions as F
 
 from panelweave.functions import scans
 from panelweave.functions.columns import EPSILON, KEY, TIME, change, clamp, leading, ratio, security, trailing, windowed
-from panelweave.functions.rolling import named, rolling
+from panelweave.functions.rolling import zscores
 from panelweave.functions.scans import ema, wilder
 
 c = F.col
 MOVING, VOLUME_MOVING = (5, 10, 20, 25, 30, 60), (5, 10, 20, 60)
 
 
-def with_zscores(df: DataFrame, values: dict[str, Column], window: int = 60, least: int = 20) -> DataFrame:
-    """Adds for each name how many standard deviations its value is above its trailing mean."""
+def with_zscores(df: DataFrame, values: dict[str, Column], window: int = 60, least: int = 20, total: tuple[str, dict[str, float], int] | None = None) -> DataFrame:
+    """Adds for each name how many standard deviations its value is above its trailing mean; and the ``total`` of ``rolling.zscores``."""
     own = {n: f"_x{n}" for n in values}
-    out = df.withColumns({own[n]: x for n, x in values.items()}).withColumn("_bar", F.row_number().over(security()))
-    out = rolling(out, window, [("m2", x) for x in own.values()] + [("mean", x) for x in own.values()] + [("count", x) for x in own.values()], "_bar")
-    stat = lambda kind, n: c(named((kind, own[n]), window))
-    spread = {f"_s{n}": F.when(stat("count", n) >= least, F.sqrt(stat("m2", n) / (stat("count", n) - 1))) for n in values}
-    out = out.withColumns(spread).withColumns({n: F.when(c(f"_s{n}") > EPSILON, (c(own[n]) - stat("mean", n)) / c(f"_s{n}")) for n in values})
-    return out.drop("_bar", *own.values(), *spread, *[named((k, x), window) for k in ("m2", "mean", "count") for x in own.values()])
+    out = df.withColumns({own[n]: x.cast("double") for n, x in values.items()}).withColumn("_bar", F.row_number().over(security()))
+    return zscores(out, own, window, least, "_bar", total).drop("_bar", *own.values())
 
 
 def score(z: Column, scale: float = 12.0, higher: bool = True) -> Column:
@@ -84,16 +80,19 @@ def windowed_indicators(bars: DataFrame) -> DataFrame:
 RANGE_SCORES = ("range_reversion", "vwap_stretch", "range_stability", "band_compression", "volatility_compression", "range_long_composite")
 
 
+def _range_inputs(whole: bool) -> dict[str, Column]:
+    return {"_revert": c("mean_reversion_5"), "_stretch": F.abs("price_vs_vwap"), "_steady": c("turnover_stability"), "_width": c("bb_width"), **({"_atr": c("atr10")} if whole else {})}
+
+
 def with_range_scores(ind: DataFrame) -> DataFrame:
     """Adds composite 0..100 scores: reversion in the range, VWAP stretch, stability, width of the band.
 
     Where ``ind`` has the recurrent ``atr10`` too, also the compression of band and ATR and the
-    composite of all of them.
+    composite of all of them. The z-scores of ``_range_inputs`` are made here unless ``ind`` has them already.
     """
     whole = "atr10" in ind.columns
-    z = with_zscores(ind, {"_revert": c("mean_reversion_5"), "_stretch": F.abs("price_vs_vwap"), "_steady": c("turnover_stability"), "_width": c("bb_width"), **({"_atr": c("atr10")} if whole else {})})
-    reversion = (1 - c("range_position_20")) * 40 + (1 - clamp(c("bb_position"), 0, 1)) * 30 + score(c("_revert")) * 0.3
-    out = z.withColumn("_reversion", reversion)
+    out = ind if "_revert" in ind.columns else with_zscores(ind, _range_inputs(whole))
+    out = out.withColumn("_reversion", (1 - c("range_position_20")) * 40 + (1 - clamp(c("bb_position"), 0, 1)) * 30 + score(c("_revert")) * 0.3)
     if whole:
         out = out.withColumn("_compression", score(c("_width"), 10.0, False) * 0.55 + score(c("_atr"), 10.0, False) * 0.45)
     out = out.withColumns({
@@ -182,8 +181,9 @@ def divergence(look_back: int = 20) -> Column:
 
 
 def complete(bars: DataFrame) -> DataFrame:
-    """What rule strategies read: all indicators, the range scores, the cost lines and divergences."""
-    return with_volatility(with_range_scores(cycle_stack(full(bars))).drop("band_compression").withColumn("divergence", divergence()))
+    """What rule strategies read: all indicators, the range scores, the cost lines and divergences; the z-scores of all come from one pass."""
+    ind = cycle_stack(with_recurrences(windowed_indicators(bars))).withColumns({"stoch_cross": stoch_cross(), "divergence": divergence()})
+    return with_volatility(with_range_scores(_with_blend(ind, _range_inputs(True))).drop("band_compression"))
 
 
 def with_volatility(ind: DataFrame) -> DataFrame:
@@ -193,12 +193,13 @@ def with_volatility(ind: DataFrame) -> DataFrame:
 
 def full(bars: DataFrame) -> DataFrame:
     """All indicators: windowed, recurrent, and the scores made of both."""
-    both = with_recurrences(windowed_indicators(bars)).withColumn("stoch_cross", stoch_cross())
-    z = with_zscores(both, {f"_z_{n}": c(n) for n in MATRIX})
-    parts = [c(f"_z_{n}") * w for n, w in MATRIX.items()]
-    have = sum(F.when(p.isNotNull(), 1).otherwise(0) for p in parts)
-    z = z.withColumn("matrix_raw", F.when(have >= 10, sum(F.coalesce(p, F.lit(0.0)) for p in parts)))
-    z = with_zscores(z, {"matrix_z": c("matrix_raw")}).withColumn("matrix_score", clamp(50 + c("matrix_z") * 12, 0, 100))
+    return _with_blend(with_recurrences(windowed_indicators(bars)).withColumn("stoch_cross", stoch_cross()))
+
+
+def _with_blend(both: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
+    """Adds the matrix score, the expected score, and the z-scores of ``more``."""
+    z = with_zscores(both, {**{f"_z_{n}": c(n) for n in MATRIX}, **(more or {})}, total=("matrix_raw", {f"_z_{n}": w for n, w in MATRIX.items()}, 10))
+    z = z.withColumnRenamed("matrix_raw_z", "matrix_z").withColumn("matrix_score", clamp(50 + c("matrix_z") * 12, 0, 100))
     part = lambda n, scale, w: F.coalesce(50 + clamp(c(f"_z_{n}"), -2, 2) * scale, F.lit(50.0)) * w
     # Shares of the blend, then what single conditions add or take.
     blend = (

@@ -92,23 +92,32 @@ def series(spark):
     return spark.createDataFrame(rows, "stock_code string, trade_date date, nth int, x double, y double, z double"), rows
 
 
-@pytest.mark.parametrize("n", [1, 7, 60])
-def test_running_aggregates_make_sliding_ones(series, n):
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_zscores_and_their_total(spark, series, batch):
     df, rows = series
-    stats = [("count", "x"), ("mean", "x"), ("m2", "x"), ("max", "x"), ("min", "x"), ("co", "x", "y")]
-    got = {(r["stock_code"], r["nth"]): r for r in rolling.rolling(df, n, stats, "nth").collect()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = {(r["stock_code"], r["nth"]): r for r in ti.with_zscores(df, {"a": F.col("x"), "b": F.col("y"), "c": F.col("z")}, 20, 8, ("t", {"a": 2.0, "c": -1.0}, 2)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+    def zed(values, i):
+        w = [x for x in values[max(0, i - 19) : i + 1] if x is not None]
+        if len(w) < 8 or values[i] is None:
+            return None
+        m = sum(w) / len(w)
+        spread = math.sqrt(sum((x - m) ** 2 for x in w) / (len(w) - 1))
+        return (values[i] - m) / spread if spread > 1e-12 else None
+
+    assert len(got) == len(rows)
     for code in "abc":
-        own = [r for r in rows if r[0] == code]
+        own, totals = [r for r in rows if r[0] == code], []
         for i in range(len(own)):
-            w = [r for r in own[max(0, i - n + 1) : i + 1] if r[3] is not None]
-            xs, ys, r = [v[3] for v in w], [v[4] for v in w], got[code, i + 1]
-            assert r[f"_count_x_{n}"] == len(xs) and r[f"_max_x_{n}"] == max(xs, default=None) and r[f"_min_x_{n}"] == min(xs, default=None)
-            if xs:
-                mx, my = sum(xs) / len(xs), sum(ys) / len(ys)
-                assert r[f"_mean_x_{n}"] == pytest.approx(mx) and r[f"_m2_x_{n}"] == pytest.approx(sum((v - mx) ** 2 for v in xs), rel=1e-7, abs=1e-6)
-                assert r[f"_co_x_y_{n}"] == pytest.approx(sum((a - mx) * (b - my) for a, b in zip(xs, ys)), rel=1e-7, abs=1e-4)
-            else:
-                assert r[f"_mean_x_{n}"] is None and r[f"_m2_x_{n}"] is None
+            want = {n: zed([r[k] for r in own], i) for n, k in (("a", 3), ("b", 4), ("c", 5))}
+            totals.append(None if None in (want["a"], want["c"]) else 2 * want["a"] - want["c"])
+            for n, x in {**want, "t": totals[-1], "t_z": zed(totals, i)}.items():
+                assert got[code, i + 1][n] == (None if x is None else pytest.approx(x, rel=1e-6, abs=1e-9)), (code, i, n)
 
 
 @pytest.mark.parametrize("batch", [4, 10_000])
