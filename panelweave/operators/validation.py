@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,30 +83,46 @@ def _correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where((va > EPSILON) & (vb > EPSILON), np.clip(r, -1, 1), np.nan)
 
 
+def _average_ranks(a: np.ndarray) -> np.ndarray:
+    """Ranks within each column, ties with their mean rank."""
+    n = len(a)
+    order, at = np.argsort(a, axis=0, kind="stable"), np.arange(n)[:, None]
+    ordered = np.take_along_axis(a, order, 0)
+    fresh = np.ones(a.shape, dtype=bool)
+    fresh[1:] = ordered[1:] != ordered[:-1]
+    first = np.maximum.accumulate(np.where(fresh, at, 0), 0)
+    last = np.minimum.accumulate(np.where(np.roll(fresh, -1, 0), at, n)[::-1], 0)[::-1]  # a run ends before the next begins; the first row is fresh
+    out = np.empty(a.shape)
+    np.put_along_axis(out, order, (first + last) / 2 + 1, 0)
+    return out
+
+
 def _cross_section(names: list[str], horizons: list[int], least: int):
     """All factors of a date against its forward returns, as matrices: columns with values for the same securities are ranked together."""
+    label = np.array(names, dtype=object)
+    kind = {"feature_name": pa.string(), "horizon": pa.int32(), "n": pa.int64(), "ic": pa.float64(), "rank_ic": pa.float64()}
 
     def run(day: pa.Table) -> pa.Table:
         x = np.column_stack([day[n].to_numpy().astype(float) for n in names])
-        parts = []
+        made: list[tuple] = []
         for h in horizons:
             y = day[f"_ahead_{h}"].to_numpy().astype(float)
             usable = (np.abs(x) <= LARGEST) & (np.abs(y) <= LARGEST)[:, None]
-            kinds, which = np.unique(usable, axis=1, return_inverse=True)
-            for k in range(kinds.shape[1]):
-                rows, columns = kinds[:, k], np.flatnonzero(which.reshape(-1) == k)
-                if rows.sum() < least or np.ptp(y[rows]) == 0:
+            together: dict[bytes, list[int]] = {}
+            for i, bits in enumerate(np.packbits(usable, axis=0).T):
+                together.setdefault(bits.tobytes(), []).append(i)
+            for columns in map(np.array, together.values()):
+                rows = usable[:, columns[0]]
+                n = int(rows.sum())
+                if n < least or np.ptp(y[rows]) == 0:
                     continue
                 columns = columns[np.ptp(x[rows][:, columns], axis=0) > 0]
-                if not len(columns):
-                    continue
-                a, b = x[rows][:, columns], y[rows]
-                made = {"feature_name": [names[i] for i in columns], "horizon": h, "n": int(rows.sum()), "ic": _correlations(a, b), "rank_ic": _correlations(pd.DataFrame(a).rank().to_numpy(), pd.Series(b).rank().to_numpy())}
-                parts.append(pd.DataFrame(made))
-        out = pd.concat(parts) if parts else pd.DataFrame({"feature_name": [], "horizon": [], "n": [], "ic": [], "rank_ic": []})
-        kind = pa.schema([("feature_name", pa.string()), ("horizon", pa.int32()), ("n", pa.int64()), ("ic", pa.float64()), ("rank_ic", pa.float64())])
-        table = pa.Table.from_pandas(out, kind, preserve_index=False)
-        return table.add_column(0, pa.field(TIME, pa.date32()), pa.array([day[TIME][0].as_py()] * len(table), pa.date32()))
+                if len(columns):
+                    a, b = x[rows][:, columns], y[rows]
+                    made.append((label[columns], np.full(len(columns), h), np.full(len(columns), n), _correlations(a, b), _correlations(_average_ranks(a), _average_ranks(b[:, None])[:, 0])))
+        parts = [np.concatenate(p) for p in zip(*made)] if made else [[]] * len(kind)
+        columns = [pa.array(p, t, mask=np.isnan(p)) if made and t == pa.float64() else pa.array(p, t) for p, t in zip(parts, kind.values())]
+        return pa.table([pa.array([day[TIME][0].as_py()] * len(parts[0]), pa.date32()), *columns], names=[TIME, *kind])
 
     return run
 
