@@ -19,6 +19,12 @@ PERIODS = {
     "d": "daily", "day": "daily", "daily": "daily", "1m": "1min", "1min": "1min", "1minute": "1min", "minute": "1min", "5m": "5min", "5min": "5min", "5minute": "5min",
     "15m": "15min", "15min": "15min", "30m": "30min", "30min": "30min", "60m": "60min", "60min": "60min", "1h": "60min", "hour": "60min", "hourly": "60min",
 }
+#: Of each adjustment: its label, what it does to prices, and whether it needs the corporate actions.
+ADJUST_PROFILES = {
+    "raw": ("不复权", "保持交易所原始价格口径，不做分红拆股价格回溯处理。", False),
+    "qfq": ("前复权", "用当前口径回溯历史价格，便于做技术分析、研究和回测连续收益。", True),
+    "hfq": ("后复权", "将历史口径映射到当时真实成交价格附近，便于核对长期涨跌幅。", True),
+}
 ACTIONS = {
     "cash_dividend": "cash_dividend", "dividend": "cash_dividend", "cash": "cash_dividend", "split": "stock_split", "stock_split": "stock_split", "reverse_split": "reverse_split",
     "bonus": "bonus_issue", "bonus_issue": "bonus_issue", "rights": "rights_issue", "rights_issue": "rights_issue", "spinoff": "spin_off", "spin_off": "spin_off", "merger": "merger",
@@ -40,6 +46,13 @@ def mapped(x: Column, names: dict[str, str], strict: bool = False, missing: str
     return F.coalesce(found, F.raise_error(F.concat(F.lit("unknown name: "), F.coalesce(x, F.lit("NULL"))))) if strict else found
 
 
+def adjust_profile(x: Column, strict: bool = False) -> Column:
+    """The adjustment that an alias names and its profile: ``adjust, label, description, needs_actions``; all NULL for unknown ones, or an error if ``strict``."""
+    name = mapped(x, ADJUST, strict, NO_ADJUST)
+    part = lambda i: F.create_map(*[F.lit(v) for k, p in ADJUST_PROFILES.items() for v in (k, p[i])])[name]
+    return F.struct(name.alias("adjust"), part(0).alias("label"), part(1).alias("description"), part(2).alias("needs_actions"))
+
+
 def stock_code(x: Column, market: str) -> Column:
     """HK: digits padded to five. CN: six digits and the exchange, from a suffix or, of codes of six digits, the first one.
 
@@ -213,16 +226,21 @@ def _per_share(text: Column, pattern: str) -> Column:
     return F.when(base > 0, _number(text, pattern, 2) / base)
 
 
-def distribution_actions(plans: DataFrame) -> DataFrame:
-    """Rows of cash dividends, bonus and rights issues read from the text of distribution plans.
+def plan_actions(text: Column) -> Column:
+    """The actions that a distribution plan tells of, up to three structs ``action, cash, ratio, price``.
 
     Plans that are cancelled, empty or NULL give none. Amounts and ratios are per share, the price of a rights issue 0 if
     it isn't named.
     """
-    text, none = F.trim(c("plan")), F.lit(None).cast("double")
+    none = F.lit(None).cast("double")
     cash = F.coalesce(_number(text, CASH[0]), _per_share(text, CASH[1]), _number(text, CASH[2]))
     bonus, rights = F.coalesce(*[_per_share(text, p) for p in BONUS]), _per_share(text, RIGHTS)
     row = lambda kind, amount, ratio, price: F.struct(F.lit(kind).alias("action"), amount.alias("cash"), ratio.alias("ratio"), price.alias("price"))
     made = F.array(row("cash_dividend", cash, none, none), row("bonus_issue", none, bonus, none), row("rights_issue", none, rights, F.coalesce(_number(text, RIGHTS_PRICE), F.lit(0.0))))
-    told = plans.where(~F.coalesce(text.rlike(CANCELLED), F.lit(True)))
-    return told.select(KEY, TIME, F.inline(F.filter(made, lambda a: F.coalesce(a["cash"], a["ratio"]) > 0)))
+    told = F.filter(made, lambda a: F.coalesce(a["cash"], a["ratio"]) > 0)
+    return F.when(~F.coalesce(text.rlike(CANCELLED), F.lit(True)), told)
+
+
+def distribution_actions(plans: DataFrame) -> DataFrame:
+    """A row for each of the ``plan_actions`` of a security's plans."""
+    return plans.select(KEY, TIME, F.inline(plan_actions(F.trim("plan"))))

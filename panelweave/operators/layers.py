@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import KEY, TIME
 from panelweave.functions.positions import in_order
-from panelweave.operators.cleaning import ACTIONS, exchange_of, mapped, normalize_bars, stock_code
-from panelweave.sources.store import filtered, keep_last
+from panelweave.operators.cleaning import ACTIONS, ADJUST, PRICES, exchange_of, mapped, normalize_bars, plan_actions, stock_code
+from panelweave.operators.factors import FACTOR_SETS, to_long
+from panelweave.sources.store import filtered, keep_last, upsert
 
 c = F.col
 
@@ -134,6 +135,64 @@ def normalize_actions(rows: DataFrame, order: Column, market: str = "HK", source
     return _kept(rows, made, LAYERS["actions"][0], order, ("event_date", "action_type"))
 
 
+def normalize_plans(rows: DataFrame, order: Column, market: str = "HK", source: str | None = None) -> DataFrame:
+    """Corporate actions read from the plan texts of a provider's distributions, with all dates and texts of their rows.
+
+    The event of an action is its ex date, or else its payment or announcement date; see ``plan_actions`` for what a text gives.
+    """
+    text = F.trim(_first(rows, ACTION_COLUMNS["plan_explain"], "string"))
+    known = [KEY, "source", *[x for n in (*DATES, "fiscal_year", "distribution_type") for x in ACTION_COLUMNS[n]]]
+    told = rows.select(*[n for n in known if n in rows.columns], text.alias("plan_explain"), order.alias("_came"), F.inline(plan_actions(text)))
+    kind = c("action")
+    made = told.withColumns({
+        "cash_dividend": c("cash"), "bonus_share_ratio": F.when(kind == "bonus_issue", c("ratio")), "rights_issue_ratio": F.when(kind == "rights_issue", c("ratio")), "rights_issue_price": c("price"),
+    })
+    return normalize_actions(made.drop("cash", "ratio", "price"), c("_came"), market, source, True)
+
+
+# What providers call the date of a bar, and the currency of a market.
+BAR_DATES = (TIME, "date", "datetime")
+CURRENCIES = {"HK": "HKD", "CN": "CNY", "US": "USD"}
+
+
+def normalize_ohlcv(
+    rows: DataFrame, order: Column, market: str = "HK", exchange: str | None = None, asset_type: str = "equity", frequency: str = "daily", adjust: str | None = "qfq", currency: str | None = None,
+    source: str | None = None, ingested: Column | None = None,
+) -> DataFrame:
+    """Clean bars with where they come from: market, exchange, kind, frequency, adjustment, currency, source and time of ingestion.
+
+    Rows without a date or any price are dropped, a missing volume is 0. Of rows of a security and date (of daily bars; else
+    time) the last by ``order`` is kept. ``ingested`` is the time of the query unless given; an unknown ``adjust`` is an error.
+    """
+    adjust = ADJUST.get("qfq" if adjust is None else adjust.strip().lower())
+    if adjust is None:
+        raise ValueError("unknown adjustment")
+    rows = rows.withColumnsRenamed({n: n.lower() for n in rows.columns if n.lower() in (KEY, *BAR_DATES, *PRICES, "volume")})
+    stamps, market = _stamps(rows, market.upper(), asset_type, frequency, adjust), market.upper()
+    made = {TIME: _first(rows, BAR_DATES, "date" if frequency == "daily" else "timestamp"), **stamps, **{p: _as(rows, p, "double") for p in PRICES}, "volume": F.coalesce(_as(rows, "volume", "double"), F.lit(0.0))}
+    made |= {
+        "exchange": F.lit(exchange.upper()) if exchange else stamps["exchange"], "source": F.lit(source or "unknown"), "currency": F.lit((currency or CURRENCIES.get(market, market)).upper()),
+        "ingest_time": F.current_timestamp() if ingested is None else ingested,
+    }
+    return _kept(rows, made, ("market", KEY, TIME, "frequency", "adjust"), order, (TIME, *PRICES))
+
+
+def factor_rows(bars: DataFrame, factor_set: str, since=None, until=None, market: str = "HK", source: str = "factor_engine", config: dict | None = None, **stamps) -> DataFrame:
+    """A factor set of the bars of a range of dates, as rows of the layer of features; values that are not finite are left out.
+
+    Windows start with the range: bars before ``since`` are not read. ``config`` has arguments of the set, as ``names``.
+    """
+    wide = FACTOR_SETS[factor_set](filtered(bars, since=since, until=until), **(config or {}))
+    long = to_long(wide).where(~F.isnan("feature_value") & (F.abs("feature_value") < float("inf")))
+    return normalize_features(long, F.lit(0), market, factor_set, source, **stamps)
+
+
+def sync_factors(spark: SparkSession, path: str, rows: DataFrame, staging: str, stamp: Column) -> None:
+    """Put the rows of a factor set into the stored layer, where they replace those of the same key with an earlier ``stamp``."""
+    new = rows.withColumn("ingest_time", stamp)
+    upsert(spark, path, new, list(LAYERS["features"][0]), "ingest_time", staging)
+
+
 def normalize_history(rows: DataFrame, names: dict[str, str], order: Column) -> DataFrame:
     """Bars of a provider whose columns are called otherwise; ``names`` has our name of each of theirs."""
     return normalize_bars(rows.withColumnsRenamed(names), order)

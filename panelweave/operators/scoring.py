@@ -129,15 +129,19 @@ def compounded(daily: DataFrame, x: str, capital: float) -> DataFrame:
     return rows.drop("_nth", *sums)
 
 
-def scorecard(ic: DataFrame, spread: DataFrame, turnover: DataFrame, components: dict[str, str] | None = None) -> DataFrame:
+def scorecard(ic: DataFrame, spread: DataFrame, turnover: DataFrame, components: dict[str, str] | None = None, decay: DataFrame | None = None) -> DataFrame:
     """One row for each feature: means over horizons, a score from them and the feature's share of the scores of its component.
 
-    ``components`` names the component of each feature; without it all are in one.
+    ``components`` names the component of each feature; without it all are in one. ``decay`` is a ``decay_summary``, whose
+    shares are averaged over horizons. Features that only some of the tables have are kept, with NULL for the rest.
     """
-    a = ic.groupBy("feature_name").agg(*[F.avg(n).alias(n) for n in ("ic_mean", "rank_ic_mean", "ic_positive", "rank_ic_positive")])
-    b = spread.groupBy("feature_name").agg(F.avg("spread_mean").alias("spread_mean"))
-    t = turnover.groupBy("feature_name").agg(F.avg("mean").alias("turnover"))
+    mean = lambda names: [F.avg(n).alias(n) for n in names]
+    a = ic.groupBy("feature_name").agg(*mean(("ic_mean", "rank_ic_mean", "ic_positive", "rank_ic_positive", "ic_ir", "rank_ic_ir")), F.count_distinct("horizon").alias("horizons"))
+    b = spread.groupBy("feature_name").agg(*mean(("spread_mean", "spread_ir", "spread_positive")))
+    t = turnover.groupBy("feature_name").agg(F.avg("mean").alias("turnover"), F.max("most").alias("turnover_most"))
     out = a.join(b, "feature_name", "full_outer").join(t, "feature_name", "full_outer")
+    if decay is not None:
+        out = out.join(decay.groupBy("feature_name").agg(*mean(("ic_decay", "rank_ic_decay", "spread_decay"))), "feature_name", "full_outer")
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     total = (
         zero(F.abs("rank_ic_mean")) * 35 + zero(F.abs("ic_mean")) * 20 + F.greatest(zero(c("spread_mean")), F.lit(0.0)) * 2000

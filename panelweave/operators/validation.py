@@ -238,6 +238,18 @@ def decay(summary: DataFrame, metric: str) -> DataFrame:
     return summary.select("feature_name", "horizon", c(metric).alias("metric"), ratio(F.abs(metric), base).alias("decay"))
 
 
+def decay_summary(ic: DataFrame, spread: DataFrame) -> DataFrame:
+    """Mean correlations and spread of each feature and horizon, and their sizes as shares of those at its shortest horizon.
+
+    From the summaries of both. A share is NULL where either side is missing or the shortest horizon has 0.
+    """
+    metrics = {"ic_mean": "ic_decay", "rank_ic_mean": "rank_ic_decay", "spread_mean": "spread_decay"}
+    both = ic.select("feature_name", "horizon", "ic_mean", "rank_ic_mean").join(spread.select("feature_name", "horizon", "spread_mean"), ["feature_name", "horizon"], "left")
+    w = Window.partitionBy("feature_name").orderBy("horizon")  # a row for each horizon
+    shares = {name: ratio(F.abs(x), F.first_value(F.abs(x)).over(w)) for x, name in metrics.items()}
+    return both.withColumns({**shares, "base_horizon": F.first_value("horizon").over(w)})
+
+
 def _pair_sums(names: list[str]):
     """Sums over a task's rows for each two columns, where both have values: counts, sums, squares and products; one row for each pair."""
     import numpy as np

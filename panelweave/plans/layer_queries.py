@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.columns import KEY, TIME, padded
 from panelweave.operators import cleaning as cl, layers as ly
+from panelweave.plans import validation_queries as vq
 from panelweave.plans.common import bars, rounded, with_bars
-from panelweave.plans.panel_queries import REG, _registry
+from panelweave.plans.panel_queries import REG, SQL as PANEL, _raw, _registry, plan_text
 from panelweave.sources.bars import pad_sql, table
 
 c = F.col
@@ -54,6 +55,28 @@ def actions(s, d):
     return ly.normalize_actions(rows, c("nth"), source="orders")
 
 
+def plan_rows(s, d):
+    """Distribution plans as a provider lists them, with dates as text, some unreadable."""
+    k, day = c("l_orderkey"), F.to_date("l_shipdate")
+    rows = table(s, d, "lineitem").select(
+        c("l_suppkey").alias(KEY), plan_text(k).alias("分红方案"), F.when(k % 4 == 0, "later").otherwise(F.date_format(day, "yyyy-MM-dd")).alias("除净日"), F.date_format(F.date_add(day, 20), "yyyy-MM-dd").alias("发放日"),
+        F.when(k % 3 == 0, F.date_format(F.date_sub(day, 15), "yyyy-MM-dd")).alias("最新公告日期"), F.year(day).cast("string").alias("财政年度"), F.when(k % 2 == 0, "final").alias("分配类型"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("nth"),
+    )
+    return ly.normalize_plans(rows, c("nth"), source="plans")
+
+
+def ohlcv(s, d):
+    return ly.normalize_ohlcv(_raw(s, d), c("seq"), adjust=" PRE ", source="desk", ingested=F.lit("1998-12-02").cast("timestamp"))
+
+
+def profiles(s, d):
+    names = [*cl.ADJUST, "other"]
+    k = c("o_orderkey")
+    alias = F.element_at(F.array(*[F.lit(f" {n.upper()} ") for n in names], F.lit(None)), (k % (len(names) + 1) + 1).cast("int"))
+    return table(s, d, "orders").select("o_orderkey", cl.adjust_profile(alias).alias("p")).select("o_orderkey", "p.*")
+
+
 def info(s, d):
     k = c("s_suppkey")
     rows = table(s, d, "supplier").select(
@@ -113,6 +136,10 @@ QUERIES = {
     "nm_universe": listed,
     "nm_history": lambda s, d: history(s, d),
     "nm_date_filter": lambda s, d: ly.date_filter(bars(s, d), "1994-01-01", "1997-06-30", 5),
+    "nm_ohlcv": ohlcv,
+    "nm_adjust_profiles": profiles,
+    "nm_plan_actions": lambda s, d: rounded(plan_rows(s, d)),
+    "nm_factor_rows": lambda s, d: rounded(ly.factor_rows(bars(s, d), "rolling158", config={"names": vq.NAMES})),
     "io_read_signals": lambda s, d: rounded(ly.read_layer(signals(s, d), "signals", {"batch_id": ["b0", "b3"], "signal_type": "buy", "strategy_name": None}, [KEY, TIME, "score", "actionable"], "1994-01-01", "1996-12-31")),
     "io_read_trades": lambda s, d: ly.read_layer(trades(s, d), "trades", {"account_id": "main", "trade_type": ["sell"]}, [KEY, TIME, "order_id", "price", "commission"], since="1996-01-01"),
     "io_read_features": lambda s, d: rounded(ly.read_layer(features(s, d), "features", {"feature_set": "shapes", "feature_name": ["range", "body"]}, [KEY, TIME, "feature_name", "feature_value"], until="1995-12-31")),
@@ -159,6 +186,21 @@ SQL = {
       close < open OR volume > 60 AS actionable, CAST(NULL AS VARCHAR) AS batch_id, CAST(NULL AS DOUBLE) AS rank_position, 'bodies' AS strategy_name, 'replay' AS source FROM bars WHERE volume >= 40 AND close <> open""",
     "io_registry_upsert": f"WITH {REG} SELECT stock_code, CASE WHEN CAST(stock_code AS BIGINT) % 4 = 0 THEN stock_name || ' new' ELSE stock_name END AS stock_name, exchange, market, CASE WHEN CAST(stock_code AS BIGINT) % 4 = 0 THEN 2 ELSE 1 END AS ingest_time FROM reg",
 }
+_PLAN = """CASE WHEN k % 7 = 0 THEN '每10股送' || (k % 5 + 1) || '股派' || (k % 90 + 10) || '.5元' WHEN k % 5 = 0 THEN '每8股供' || (k % 3 + 1) || '股，供股价为' || (k % 20) || '.25元' WHEN k % 3 = 0 THEN '每股派末期息派' || (k % 4) || '.25港元'
+  WHEN k % 3 = 1 THEN '末期股息0.' || (k % 9 + 1) || '元' ELSE '每20股转增' || (k % 6) || '股' END"""
+_TOLD = """SELECT *, 'cash_dividend' AS action_type, round(CASE WHEN k % 7 = 0 THEN (k % 90 + 10.5) / 10 WHEN k % 3 = 0 THEN k % 4 + 0.25 ELSE (k % 9 + 1) / 10 END, 6) AS cash, 0.0 AS bonus, 0.0 AS rights, 0.0 AS price FROM p WHERE k % 7 = 0 OR (k % 5 <> 0 AND k % 3 < 2)
+  UNION ALL SELECT *, 'bonus_issue', 0.0, round(CASE WHEN k % 7 = 0 THEN (k % 5 + 1) / 10 ELSE k % 6 / 20 END, 6), 0.0, 0.0 FROM p WHERE k % 7 = 0 OR (k % 5 <> 0 AND k % 3 = 2 AND k % 6 > 0)
+  UNION ALL SELECT *, 'rights_issue', 0.0, 0.0, round((k % 3 + 1) / 8, 6), k % 20 + 0.25 FROM p WHERE k % 7 <> 0 AND k % 5 = 0"""
+SQL["nm_plan_actions"] = f"""WITH p AS (SELECT {pad_sql('l_suppkey')} AS stock_code, CAST(l_shipdate AS DATE) AS day, l_orderkey AS k, row(l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS nth FROM lineitem WHERE l_orderkey % 11 <> 0 AND l_orderkey % 13 <> 0),
+  t AS ({_TOLD}), e AS (SELECT *, CASE WHEN k % 4 = 0 THEN CAST(day + 20 AS DATE) ELSE day END AS event_date FROM t)
+  SELECT event_date, CASE WHEN k % 3 = 0 THEN CAST(day - 15 AS DATE) END AS announcement_date, CASE WHEN k % 4 <> 0 THEN day END AS ex_date, CAST(NULL AS DATE) AS record_date, CAST(day + 20 AS DATE) AS payment_date, CAST(year(day) AS VARCHAR) AS fiscal_year, {_PLAN} AS plan_explain,
+    CASE WHEN k % 2 = 0 THEN 'final' END AS distribution_type, CAST(cash AS DOUBLE) AS cash_dividend, 0.0::DOUBLE AS stock_split_ratio, CAST(bonus AS DOUBLE) AS bonus_share_ratio, CAST(rights AS DOUBLE) AS rights_issue_ratio, CAST(price AS DOUBLE) AS rights_issue_price,
+    stock_code, 'HK' AS market, 'HKEX' AS exchange, 'equity' AS asset_type, action_type, 'plans' AS source FROM e {_LAST.format("stock_code, event_date, action_type", "nth")}"""
+SQL["nm_ohlcv"] = "SELECT *, 'HK' AS market, 'HKEX' AS exchange, 'equity' AS asset_type, 'daily' AS frequency, 'qfq' AS adjust, 'HKD' AS currency, 'desk' AS source, TIMESTAMP '1998-12-02' AS ingest_time FROM (" + PANEL["nm_bars"] + ")"
+SQL["nm_factor_rows"] = vq.BASE + f" SELECT stock_code, trade_date, {_ID}, 'rolling158' AS feature_set, feature_name, round(feature_value, 6) + 0.0 AS feature_value, 'factor_engine' AS source FROM feats"
+_ALIASES = [*cl.ADJUST, "other"]
+SQL["nm_adjust_profiles"] = f"""WITH a AS (SELECT o_orderkey, CASE o_orderkey % {len(_ALIASES) + 1} {" ".join(f"WHEN {i} THEN '{cl.ADJUST.get(n, '')}'" for i, n in enumerate(_ALIASES))} ELSE 'qfq' END AS alias FROM orders)
+  SELECT o_orderkey, v.* FROM a LEFT JOIN (VALUES {", ".join(f"('{k}', '{label}', '{text}', {str(needs).lower()})" for k, (label, text, needs) in cl.ADJUST_PROFILES.items())}) v(adjust, label, description, needs_actions) ON alias = v.adjust"""
 _SCAN = f"""WITH sl AS (SELECT {pad_sql('c_custkey')} AS stock_code, CASE WHEN c_custkey % 2 = 0 THEN c_name || '*' ELSE c_name END AS stock_name, CASE WHEN c_custkey % 8 = 0 THEN 'paused' ELSE 'active' END AS status,
   CASE WHEN c_custkey % 3 <> 0 THEN DATE '2024-01-01' ELSE DATE '2024-06-01' END AS added FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0)"""
 SQL["io_scan_list"] = _SCAN + " SELECT * FROM sl WHERE status = 'active'"

@@ -85,15 +85,18 @@ def names(s, d):
     )
 
 
-def plans(s, d):
-    k = F.col("l_orderkey")
+def plan_text(k):
+    """The text of a distribution plan, made from a number."""
     n = lambda x: x.cast("string")
-    text = (
+    return (
         F.when(k % 11 == 0, "不派息").when(k % 13 == 0, None).when(k % 7 == 0, F.concat(F.lit("每10股送"), n(k % 5 + 1), F.lit("股派"), n(k % 90 + 10), F.lit(".5元")))
         .when(k % 5 == 0, F.concat(F.lit("每8股供"), n(k % 3 + 1), F.lit("股，供股价为"), n(k % 20), F.lit(".25元"))).when(k % 3 == 0, F.concat(F.lit("每股派末期息"), F.lit("派"), n(k % 4), F.lit(".25港元")))
         .when(k % 3 == 1, F.concat(F.lit("末期股息0."), n(k % 9 + 1), F.lit("元"))).otherwise(F.concat(F.lit("每20股转增"), n(k % 6), F.lit("股")))
     )
-    rows = table(s, d, "lineitem").select(padded(F.col("l_suppkey")).alias(KEY), F.to_date("l_shipdate").alias(TIME), text.alias("plan"))
+
+
+def plans(s, d):
+    rows = table(s, d, "lineitem").select(padded(F.col("l_suppkey")).alias(KEY), F.to_date("l_shipdate").alias(TIME), plan_text(F.col("l_orderkey")).alias("plan"))
     return rounded(cl.distribution_actions(rows))
 
 

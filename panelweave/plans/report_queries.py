@@ -162,3 +162,12 @@ CARD = vq._ic_sql() + ", " + vq.SPREAD.removeprefix(vq.BASE + ", ") + ", " + vq.
     CASE feature_name WHEN 'VMA20' THEN 'quality' WHEN 'KMID' THEN 'risk' ELSE 'trend' END AS component FROM ca FULL JOIN cb USING (feature_name) FULL JOIN ct USING (feature_name))"""
 SQL["wt_scorecard"] = CARD + " SELECT feature_name, component, " + ", ".join(f"round({x}, 4) + 0.0 AS {x}" for x in ("ic_mean", "rank_ic_mean", "ic_positive", "rank_ic_positive", "spread_mean", "turnover", "score")) + """,
   round(CASE WHEN sum(greatest(score, 0)) OVER (PARTITION BY component) > 0 THEN greatest(score, 0) / sum(greatest(score, 0)) OVER (PARTITION BY component) END, 4) AS recommended_weight FROM cs"""
+
+_MEAN = lambda names: ", ".join(f"avg({x}) AS {x}" for x in names)
+_IR = lambda x: f"CASE WHEN stddev_samp({x}) > 1e-12 THEN avg({x}) / stddev_samp({x}) * sqrt(count({x})) END"
+_DECAYS = vq.SQL["va_decay_summary"].replace("round(abs(", "((abs(").replace(", 0), 5) AS", ", 0))) AS")  # averaged before rounding
+SQL["wt_scorecard_whole"] = CARD + f""", ir AS (SELECT feature_name, avg(a) AS ic_ir, avg(b) AS rank_ic_ir, count(*) AS horizons FROM (SELECT feature_name, horizon, {_IR("ic")} AS a, {_IR("rank_ic")} AS b FROM ic GROUP BY ALL) GROUP BY 1),
+  sp AS (SELECT feature_name, {_MEAN(("spread_ir", "spread_positive"))} FROM (SELECT feature_name, horizon, {_IR("spread")} AS spread_ir, sum(CASE WHEN spread > 1e-12 THEN 1 ELSE 0 END) / count(*) AS spread_positive FROM spread GROUP BY ALL) GROUP BY 1),
+  tm AS (SELECT feature_name, max(turnover) AS turnover_most FROM turn GROUP BY 1), dk AS (SELECT feature_name, {_MEAN(("ic_decay", "rank_ic_decay", "spread_decay"))} FROM ({_DECAYS}) GROUP BY 1)
+  SELECT feature_name, component, horizons, """ + ", ".join(f"round({x}, 4) + 0.0 AS {x}" for x in ("ic_mean", "rank_ic_mean", "ic_positive", "rank_ic_positive", "ic_ir", "rank_ic_ir", "spread_mean", "spread_ir", "spread_positive", "turnover", "turnover_most", "ic_decay", "rank_ic_decay", "spread_decay", "score")) + """,
+  round(CASE WHEN sum(greatest(score, 0)) OVER (PARTITION BY component) > 0 THEN greatest(score, 0) / sum(greatest(score, 0)) OVER (PARTITION BY component) END, 4) AS recommended_weight FROM cs JOIN ir USING (feature_name) JOIN sp USING (feature_name) JOIN tm USING (feature_name) JOIN dk USING (feature_name)"""

@@ -14,6 +14,7 @@ FACTORS = {"MA5": False, "ROC10": False, "VMA20": True, "KMID": True}
 COMPONENTS = {"trend": {"MA5": 0.6, "ROC10": 0.4}, "quality": {"VMA20": 1.0}, "risk": {"KMID": 1.0}, "validated": {}}
 FACTOR_COMPONENT = {f: n for n, w in COMPONENTS.items() for f in w}
 SHARES = {"trend": 0.5, "quality": 0.3, "risk": 0.2, "validated": 0.15}
+CARD = ("ic_mean", "rank_ic_mean", "ic_positive", "rank_ic_positive", "spread_mean", "turnover", "score")
 c = F.col
 
 
@@ -79,6 +80,17 @@ def scorecard(s, d):
     return sc.scorecard(va.summarize_ic(vq._ic(s, d)), va.summarize_long_short(va.long_short(buckets)), va.summarize_turnover(va.turnover_by_date(vq._members(s, d))), FACTOR_COMPONENT)
 
 
+def whole_scorecard(s, d):
+    ic, spread = va.summarize_ic(vq._ic(s, d)), va.summarize_long_short(va.long_short(vq._buckets(s, d)))
+    return sc.scorecard(ic, spread, va.summarize_turnover(va.turnover_by_date(vq._members(s, d))), FACTOR_COMPONENT, va.decay_summary(ic, spread))
+
+
+def top_factors(s, d):
+    """The features whose slopes over five bars are the largest."""
+    slopes = va.fama_macbeth(vq.frame(s, d)).where("horizon = 5").select("feature_name", c("slope").alias("coefficient"))
+    return sc.select_top(slopes, 3, 1e-4).withColumns({"higher_is_better": c("coefficient") > 0, "component": factors.component(c("feature_name"))})
+
+
 def trend_2560(s, d):
     return sc.trend_2560_buys(ti.with_recurrences(ti.windowed_indicators(bars(s, d))))
 
@@ -110,7 +122,9 @@ QUERIES = {
     "st_trend_2560": lambda s, d: rounded(trend_2560(s, d)),
     "st_high_volume_bearish": lambda s, d: sc.high_volume_bearish_sells(ti.windowed_indicators(bars(s, d))),
     "wt_ridge": lambda s, d: rounded(ridge(s, d)),
-    "wt_scorecard": lambda s, d: rounded(scorecard(s, d), 4),
+    "wt_scorecard": lambda s, d: rounded(scorecard(s, d).select("feature_name", "component", *CARD, "recommended_weight"), 4),
+    "wt_scorecard_whole": lambda s, d: rounded(whole_scorecard(s, d), 4),
+    "sc_top_factors": lambda s, d: rounded(top_factors(s, d), 5),
 }
 
 
@@ -177,3 +191,5 @@ SQL = {
     "st_high_volume_bearish": INDICATORS + """ SELECT stock_code, trade_date, close AS "close", 5 + CASE WHEN upper_shadow >= 0.28 THEN 1 ELSE 0 END + CASE WHEN volume_ratio_10 >= 1.8 THEN 1 ELSE 0 END + CASE WHEN distance_high_20 >= -0.01 OR bb_position >= 0.92 THEN 1 ELSE 0 END AS strength FROM i3
       WHERE (close < open OR intraday_return < 0) AND (distance_high_20 >= -0.03 OR distance_high_60 >= -0.05 OR bb_position >= 0.78 OR return_60 >= 0.18) AND (volume_ratio_10 >= 1.35 OR volume_spike >= 1.6)""",
 }
+SQL["sc_top_factors"] = vq.SQL["va_fama_macbeth"].rpartition(" SELECT feature_name, horizon, round(m, 5)")[0] + """ SELECT feature_name, round(m, 5) + 0.0 AS coefficient, m > 0 AS higher_is_better, CASE feature_name WHEN 'MA5' THEN 'trend' WHEN 'ROC10' THEN 'trend' ELSE 'quality' END AS component
+  FROM g WHERE horizon = 5 AND abs(m) >= 1e-4 ORDER BY abs(m) DESC, feature_name LIMIT 3"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from panelweave.functions.columns import TIME
 from panelweave.operators import factors, validation as va
@@ -37,6 +38,16 @@ def joined(spark, sf_dir) -> DataFrame:
     return va.validation_frame(features(spark, sf_dir), va.forward_returns(bars(spark, sf_dir), HORIZONS))
 
 
+def decays(spark, sf_dir) -> DataFrame:
+    return va.decay_summary(va.summarize_ic(_ic(spark, sf_dir)), va.summarize_long_short(va.long_short(_buckets(spark, sf_dir))))
+
+
+def bounded(spark, sf_dir) -> DataFrame:
+    """How many pairs of value and return a feature keeps when it is so large that a part of it passes the bound."""
+    large = features(spark, sf_dir).withColumn("feature_value", F.col("feature_value") * va.LARGEST)
+    return va.validation_frame(large, va.forward_returns(bars(spark, sf_dir), HORIZONS)).groupBy("feature_name", "horizon").agg(F.count("*").alias("n"), F.max(F.abs("feature_value") > va.LARGEST).alias("beyond"))
+
+
 QUERIES = {
     "va_forward_returns": lambda s, d: rounded(va.forward_returns(bars(s, d), HORIZONS)),
     "va_frame": lambda s, d: rounded(joined(s, d)),
@@ -58,6 +69,8 @@ QUERIES = {
     "va_turnover": lambda s, d: rounded(va.turnover_by_date(_members(s, d))),
     "va_turnover_summary": lambda s, d: rounded(va.summarize_turnover(va.turnover_by_date(_members(s, d)))),
     "va_decay": lambda s, d: rounded(va.decay(va.summarize_ic(_ic(s, d)), "rank_ic_mean"), 5),
+    "va_decay_summary": lambda s, d: rounded(decays(s, d), 5),
+    "va_bounded": lambda s, d: bounded(s, d),
     "va_factor_correlation": lambda s, d: rounded(va.factor_correlation(features(s, d))),
     "va_rank_autocorrelation": lambda s, d: rounded(va.rank_autocorrelation(features(s, d))),
     "va_fama_macbeth": lambda s, d: rounded(va.fama_macbeth(frame(s, d)), 5),
@@ -164,4 +177,9 @@ SQL = {
       m AS (SELECT feature_name, horizon, {_corr('bucket', 'rk')} AS rho, count(*) AS buckets FROM r GROUP BY ALL HAVING count(*) >= 3)
       SELECT feature_name, horizon, round(rho, 6) + 0.0 AS rho, buckets, round((abs(rho) + 1) / 2, 6) AS score FROM m""",
 }
+_share = lambda x: f"round(abs({x}) / nullif(first_value(abs({x})) OVER w, 0), 5) AS"
+SQL["va_decay_summary"] = _ic_sql() + ", " + SPREAD.removeprefix(BASE + ", ") + f""", m AS (SELECT feature_name, horizon, avg(ic) AS ic_mean, avg(rank_ic) AS rank_ic_mean FROM ic GROUP BY ALL), sm AS (SELECT feature_name, horizon, avg(spread) AS spread_mean FROM spread GROUP BY ALL)
+  SELECT feature_name, horizon, round(ic_mean, 5) + 0.0 AS ic_mean, round(rank_ic_mean, 5) + 0.0 AS rank_ic_mean, round(spread_mean, 5) + 0.0 AS spread_mean, {_share('ic_mean')} ic_decay, {_share('rank_ic_mean')} rank_ic_decay, {_share('spread_mean')} spread_decay, first_value(horizon) OVER w AS base_horizon
+  FROM m LEFT JOIN sm USING (feature_name, horizon) WINDOW w AS (PARTITION BY feature_name ORDER BY horizon)"""
+SQL["va_bounded"] = BASE + " SELECT feature_name, horizon, count(*) AS n, false AS beyond FROM frame WHERE abs(feature_value * 1e150) <= 1e150 GROUP BY ALL"
 SQL["va_ic_matrix"] = SQL["va_ic_by_date"]
