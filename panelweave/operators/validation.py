@@ -74,17 +74,18 @@ def ic_by_date(frame: DataFrame, least: int = 5, rank_method: str = "average") -
     return own.where((c("n") >= least) & c("_x") & c("_y")).select(*GROUP, "n", unit("ic"), unit("rank_ic"))
 
 
-def _correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Correlation of each column of ``a`` with ``b``; NaN where either hardly varies."""
-    a, b = a - a.mean(0), b - b.mean()
-    va, vb = np.square(a).mean(0), np.square(b).mean()
+def _correlations(a: np.ndarray, b: np.ndarray, usable: np.ndarray) -> np.ndarray:
+    """Correlation of each two columns of ``a`` and ``b`` over their usable rows; NaN where either hardly varies."""
+    n = usable.sum(0)
+    a, b = (np.where(usable, m - np.where(usable, m, 0.0).sum(0) / n, 0.0) for m in (a, b))
+    va, vb = np.square(a).sum(0) / n, np.square(b).sum(0) / n
     with np.errstate(invalid="ignore", divide="ignore"):
-        r = (a * b[:, None]).mean(0) / np.sqrt(va * vb)
+        r = (a * b).sum(0) / n / np.sqrt(va * vb)
     return np.where((va > EPSILON) & (vb > EPSILON), np.clip(r, -1, 1), np.nan)
 
 
 def _average_ranks(a: np.ndarray) -> np.ndarray:
-    """Ranks within each column, ties with their mean rank."""
+    """Ranks within each column, ties with their mean rank; NaN comes last."""
     n = len(a)
     order, at = np.argsort(a, axis=0, kind="stable"), np.arange(n)[:, None]
     ordered = np.take_along_axis(a, order, 0)
@@ -98,31 +99,41 @@ def _average_ranks(a: np.ndarray) -> np.ndarray:
 
 
 def _cross_section(names: list[str], horizons: list[int], least: int):
-    """All factors of a date against its forward returns, as matrices: columns with values for the same securities are ranked together."""
-    label = np.array(names, dtype=object)
-    kind = {"feature_name": pa.string(), "horizon": pa.int32(), "n": pa.int64(), "ic": pa.float64(), "rank_ic": pa.float64()}
+    """All factors of a date against all its forward returns, as matrices with a column for each factor and horizon."""
+    label, ahead = np.array(names * len(horizons), dtype=object), np.repeat(np.array(horizons, dtype="int32"), len(names))
 
     def run(day: pa.Table) -> pa.Table:
-        x = np.column_stack([day[n].to_numpy().astype(float) for n in names])
-        made: list[tuple] = []
-        for h in horizons:
-            y = day[f"_ahead_{h}"].to_numpy().astype(float)
-            usable = (np.abs(x) <= LARGEST) & (np.abs(y) <= LARGEST)[:, None]
-            together: dict[bytes, list[int]] = {}
-            for i, bits in enumerate(np.packbits(usable, axis=0).T):
-                together.setdefault(bits.tobytes(), []).append(i)
-            for columns in map(np.array, together.values()):
-                rows = usable[:, columns[0]]
-                n = int(rows.sum())
-                if n < least or np.ptp(y[rows]) == 0:
-                    continue
-                columns = columns[np.ptp(x[rows][:, columns], axis=0) > 0]
-                if len(columns):
-                    a, b = x[rows][:, columns], y[rows]
-                    made.append((label[columns], np.full(len(columns), h), np.full(len(columns), n), _correlations(a, b), _correlations(_average_ranks(a), _average_ranks(b[:, None])[:, 0])))
-        parts = [np.concatenate(p) for p in zip(*made)] if made else [[]] * len(kind)
-        columns = [pa.array(p, t, mask=np.isnan(p)) if made and t == pa.float64() else pa.array(p, t) for p, t in zip(parts, kind.values())]
-        return pa.table([pa.array([day[TIME][0].as_py()] * len(parts[0]), pa.date32()), *columns], names=[TIME, *kind])
+        matrix = lambda columns: np.column_stack([day[n].to_numpy().astype(float) for n in columns])
+        x, y = np.tile(matrix(names), len(horizons)), np.repeat(matrix([f"_ahead_{h}" for h in horizons]), len(names), 1)
+        usable = (np.abs(x) <= LARGEST) & (np.abs(y) <= LARGEST)
+        varies = lambda m: np.where(usable, m, -np.inf).max(0) > np.where(usable, m, np.inf).min(0)
+        kept = (usable.sum(0) >= least) & varies(x) & varies(y)
+        usable = usable[:, kept]
+        x, y = np.where(usable, x[:, kept], np.nan), np.where(usable, y[:, kept], np.nan)
+        ic, rank_ic = _correlations(x, y, usable), _correlations(_average_ranks(x), _average_ranks(y), usable)
+        number = lambda v: pa.array(v, pa.float64(), mask=np.isnan(v))
+        columns = [pa.array(label[kept], pa.string()), pa.array(ahead[kept]), pa.array(usable.sum(0).astype("int64")), number(ic), number(rank_ic)]
+        return pa.table([pa.array([day[TIME][0].as_py()] * int(kept.sum()), pa.date32()), *columns], names=[TIME, "feature_name", "horizon", "n", "ic", "rank_ic"])
+
+    return run
+
+
+def _by_date(work):
+    """``work`` on each date of batches sorted by date; a date may go on over batches, the last one of a batch waits for the next."""
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            day = rows[TIME].combine_chunks().cast(pa.int32()).fill_null(np.iinfo("int32").min).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(day)) + 1)]
+            whole = [work(rows.slice(i, j - i)) for i, j in zip(edges, edges[1:])]
+            rest = rows.slice(edges[-1])
+            if whole:
+                yield from pa.concat_tables(whole).combine_chunks().to_batches()
+        if rest is not None and rest.num_rows:
+            yield from work(rest).to_batches()
 
     return run
 
@@ -135,8 +146,8 @@ def ic_of_set(wide: DataFrame, names: Iterable[str], horizons: Iterable[int], le
     """
     names, horizons = list(names), list(horizons)
     ahead = [(ratio(F.lead("close", h).over(security()), c("close")) - 1).alias(f"_ahead_{h}") for h in horizons]
-    own = wide.select(KEY, TIME, *names, *ahead).drop(KEY)
-    return own.groupBy(TIME).applyInArrow(_cross_section(names, horizons, least), f"{TIME} date, feature_name string, horizon int, n long, ic double, rank_ic double")
+    own = wide.select(KEY, TIME, *names, *ahead).drop(KEY).repartition(TIME).sortWithinPartitions(TIME)
+    return own.mapInArrow(_by_date(_cross_section(names, horizons, least)), f"{TIME} date, feature_name string, horizon int, n long, ic double, rank_ic double")
 
 
 def with_p_values(ic: DataFrame) -> DataFrame:

@@ -248,7 +248,8 @@ def test_an_upsert_goes_on_where_it_broke_off(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(path).count() == 3
 
 
-def test_factors_of_a_date_together(spark):
+@pytest.mark.parametrize("batch", [1, 7, 10_000])  # a date goes on over several batches, or a batch has many dates
+def test_factors_of_a_date_together(spark, batch):
     rng, rows = random.Random(1), []
     for code in range(12):
         for i in range(30):
@@ -258,7 +259,14 @@ def test_factors_of_a_date_together(spark):
     plain = va.ic_by_date(va.frame_of(wide, ["A", "B", "C"], [1, 3]))
     key = lambda df: {(r["feature_name"], r["trade_date"], r["horizon"]): (r["n"], None if r["ic"] is None else round(r["ic"], 9), None if r["rank_ic"] is None else round(r["rank_ic"], 9)) for r in df.collect()}
     want = key(plain)
-    assert key(va.ic_of_set(wide, ["A", "B", "C"], [1, 3])) == want and len(want) > 80
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(batch))
+    try:
+        assert key(va.ic_of_set(wide, ["A", "B", "C"], [1, 3])) == want and len(want) > 80
+        assert va.ic_of_set(wide.limit(0), ["A", "B", "C"], [1, 3]).count() == 0
+    finally:
+        spark.conf.set(setting, before)
 
 
 def test_derivation_of_a_span_of_dates(spark):
