@@ -132,15 +132,21 @@ def security_coverage(long: DataFrame) -> DataFrame:
     return long.groupBy(KEY).agg(F.count_distinct("feature_name").alias("features"), F.count("*").alias("values"), F.min(TIME).alias("first_date"), F.max(TIME).alias("last_date"))
 
 
-def validation_report(long: DataFrame, bars: DataFrame, horizons: Iterable[int], q: int = 5, least: int = 5) -> dict[str, DataFrame]:
+def validation_report(long: DataFrame, bars: DataFrame, horizons: Iterable[int], q: int = 5, least: int = 5, dated: DataFrame | None = None, names: Iterable[str] = ()) -> dict[str, DataFrame]:
     """All tables of a validation, from features and bars; the joined frame is planned once and shared.
 
+    With ``dated`` (``validation.by_dates`` of the features ``names``) correlations, buckets and turnover are made of that, in one exchange of
+    a row for each security and date instead of one for each feature and horizon of it.
     Each table is a DataFrame; who needs several caches or saves ``frame`` and ``members`` first.
     """
     returns = va.forward_returns(bars, horizons)
     frame, members = va.validation_frame(long, returns), va.quantile_membership(long, q, least)
     ic, buckets = va.ic_by_date(frame, least), va.quantile_returns(members, returns, q, least)
-    spread, turnover = va.long_short(buckets), va.turnover_by_date(members)
+    turnover = va.turnover_by_date(members)
+    if dated is not None:
+        names, horizons = list(names), list(horizons)
+        ic, buckets, turnover = va.ic_of_set(dated, names, horizons, least), va.quantile_returns_of_set(dated, names, horizons, q, least), va.turnover_of_set(va.buckets_of_set(dated, names, q, least), names)
+    spread = va.long_short(buckets)
     quantiles, summary = va.summarize_quantiles(buckets), va.summarize_ic(ic)
     return {
         "frame": frame, "members": members, "ic": ic, "ic_summary": summary, "monthly_ic": va.monthly_ic(ic), "quantile_returns": buckets, "quantile_summary": quantiles, "long_short": spread,

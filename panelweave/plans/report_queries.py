@@ -21,12 +21,13 @@ def ridge_rows(s):
     return s.createDataFrame([(n, x) for n, x in RIDGE.items()], "feature_name string, coefficient double")
 
 
-def monotone(s, d):
-    return va.monotonicity(va.summarize_quantiles(vq._buckets(s, d)))
+def monotone(s, d, rows=None):
+    return va.monotonicity(va.summarize_quantiles(vq._buckets(s, d, rows)))
 
 
 def validation_scores(s, d):
-    return wt.validation_scores(ridge_rows(s), va.summarize_ic(vq._ic(s, d)), va.fama_macbeth(vq.frame(s, d)), monotone(s, d))
+    rows = vq.dated(s, d)
+    return wt.validation_scores(ridge_rows(s), va.summarize_ic(vq._ic(s, d, rows)), vq._slopes(s, d, rows), monotone(s, d, rows))
 
 
 def card(s, d):
@@ -85,7 +86,7 @@ QUERIES = {
     "sc_strategy_snapshot": lambda s, d: rounded(snapshot(s, d).drop("close"), 4),
     "va_coverage": lambda s, d: rounded(wt.coverage(vq.features(s, d))),
     "va_security_coverage": lambda s, d: wt.security_coverage(vq.features(s, d)),
-    "va_report_means": lambda s, d: rounded(wt.report_means(wt.validation_report(vq.features(s, d), bars(s, d), vq.HORIZONS))),
+    "va_report_means": lambda s, d: rounded(wt.report_means(wt.validation_report(vq.features(s, d), bars(s, d), vq.HORIZONS, dated=vq.dated(s, d), names=vq.NAMES))),
     "va_turnover_step": lambda s, d: rounded(step(s, d)),
     "va_feature_set": lambda s, d: rounded(feature_set(s, d)),
     "rp_describe": lambda s, d: past_ties(rp.describe_history(bars(s, d)), 4),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.columns import TIME
 from panelweave.operators import factors, validation as va
-from panelweave.plans.common import bars, over, rounded, with_bars
+from panelweave.plans.common import bars, over, rounded, tasks, with_bars
 
 NAMES, HORIZONS = ("KMID", "MA5", "ROC10", "VMA20"), (1, 5, 20)
 E = "1e-12"
@@ -21,16 +21,29 @@ def frame(spark, sf_dir) -> DataFrame:
     return va.frame_of(factors.compute(bars(spark, sf_dir), NAMES, keep=("close",)), NAMES, HORIZONS)
 
 
-def _ic(spark, sf_dir) -> DataFrame:
-    return va.ic_by_date(frame(spark, sf_dir))
+def dated(spark, sf_dir, names=NAMES) -> DataFrame:
+    """Features and returns of all dates, dealt by date once for all that is made of them."""
+    return va.by_dates(factors.compute(bars(spark, sf_dir), names, also=va.returns_ahead(HORIZONS)), names, HORIZONS, tasks(spark, sf_dir))
+
+
+def _ic(spark, sf_dir, rows=None, rank_method="average") -> DataFrame:
+    return va.ic_of_set(rows or dated(spark, sf_dir), NAMES, HORIZONS, rank_method=rank_method)
+
+
+def _slopes(spark, sf_dir, rows=None) -> DataFrame:
+    return va.mean_slopes(va.slopes_of_set(rows or dated(spark, sf_dir), NAMES, HORIZONS))
+
+
+def _turnover(spark, sf_dir, rows=None) -> DataFrame:
+    return va.turnover_of_set(va.buckets_of_set(rows or dated(spark, sf_dir), NAMES), NAMES, tasks(spark, sf_dir))
 
 
 def _members(spark, sf_dir) -> DataFrame:
     return va.quantile_membership(features(spark, sf_dir))
 
 
-def _buckets(spark, sf_dir) -> DataFrame:
-    return va.quantile_returns(_members(spark, sf_dir), va.forward_returns(bars(spark, sf_dir), HORIZONS))
+def _buckets(spark, sf_dir, rows=None) -> DataFrame:
+    return va.quantile_returns_of_set(rows or dated(spark, sf_dir), NAMES, HORIZONS)
 
 
 def joined(spark, sf_dir) -> DataFrame:
@@ -39,7 +52,8 @@ def joined(spark, sf_dir) -> DataFrame:
 
 
 def decays(spark, sf_dir) -> DataFrame:
-    return va.decay_summary(va.summarize_ic(_ic(spark, sf_dir)), va.summarize_long_short(va.long_short(_buckets(spark, sf_dir))))
+    rows = dated(spark, sf_dir)
+    return va.decay_summary(va.summarize_ic(_ic(spark, sf_dir, rows)), va.summarize_long_short(va.long_short(_buckets(spark, sf_dir, rows))))
 
 
 def bounded(spark, sf_dir) -> DataFrame:
@@ -55,10 +69,10 @@ QUERIES = {
     "va_ic_p_values": lambda s, d: rounded(va.with_p_values(_ic(s, d)).drop("ic_t", "rank_ic_t")),
     "va_ic_t_values": lambda s, d: rounded(va.with_p_values(_ic(s, d)).select("feature_name", TIME, "horizon", "n", "ic_t", "rank_ic_t"), 5),
     "va_ic_summary": lambda s, d: rounded(va.summarize_ic(_ic(s, d))),
-    "va_ic_of_set": lambda s, d: rounded(va.summarize_ic(va.ic_of_set(factors.compute(bars(s, d), keep=("close",)), factors.factor_names(), HORIZONS)), 5),
-    "va_ic_matrix": lambda s, d: rounded(va.ic_of_set(factors.compute(bars(s, d), NAMES, keep=("close",)), NAMES, HORIZONS)),
+    "va_ic_of_set": lambda s, d: rounded(va.summarize_ic(va.ic_of_set(dated(s, d, factors.factor_names()), factors.factor_names(), HORIZONS)), 5),
+    "va_ic_matrix": lambda s, d: rounded(_ic(s, d)),
     "va_ic_significance": lambda s, d: rounded(va.significance(_ic(s, d)), 5),
-    "va_ic_min_rank": lambda s, d: rounded(va.summarize_ic(va.ic_by_date(frame(s, d), rank_method="min"))),
+    "va_ic_min_rank": lambda s, d: rounded(va.summarize_ic(_ic(s, d, rank_method="min"))),
     "va_monthly_ic": lambda s, d: rounded(va.monthly_ic(_ic(s, d))),
     "va_quantile_membership": lambda s, d: rounded(_members(s, d)),
     "va_quantile_share": lambda s, d: rounded(va.quantile_membership(features(s, d), 3, bucket_method="share")),
@@ -66,14 +80,14 @@ QUERIES = {
     "va_quantile_summary": lambda s, d: rounded(va.summarize_quantiles(_buckets(s, d))),
     "va_long_short": lambda s, d: rounded(va.long_short(_buckets(s, d))),
     "va_long_short_summary": lambda s, d: rounded(va.summarize_long_short(va.long_short(_buckets(s, d)))),
-    "va_turnover": lambda s, d: rounded(va.turnover_by_date(_members(s, d))),
-    "va_turnover_summary": lambda s, d: rounded(va.summarize_turnover(va.turnover_by_date(_members(s, d)))),
+    "va_turnover": lambda s, d: rounded(_turnover(s, d)),
+    "va_turnover_summary": lambda s, d: rounded(va.summarize_turnover(_turnover(s, d))),
     "va_decay": lambda s, d: rounded(va.decay(va.summarize_ic(_ic(s, d)), "rank_ic_mean"), 5),
     "va_decay_summary": lambda s, d: rounded(decays(s, d), 5),
     "va_bounded": lambda s, d: bounded(s, d),
     "va_factor_correlation": lambda s, d: rounded(va.factor_correlation(features(s, d))),
     "va_rank_autocorrelation": lambda s, d: rounded(va.rank_autocorrelation(features(s, d))),
-    "va_fama_macbeth": lambda s, d: rounded(va.fama_macbeth(frame(s, d)), 5),
+    "va_fama_macbeth": lambda s, d: rounded(_slopes(s, d), 5),
     "va_alpha_beta": lambda s, d: rounded(va.alpha_beta(frame(s, d)), 5),
     "va_monotonicity": lambda s, d: rounded(va.monotonicity(va.summarize_quantiles(_buckets(s, d)))),
 }

@@ -299,3 +299,36 @@ def test_disorder_across_a_gap_and_off_hours(spark):
     ticks = [("a", ts(9, 29), 1, 9.0, 1.0), ("a", ts(11, 59), 2, 10.0, 1.0), ("a", ts(12, 0), 3, 11.0, 1.0), ("a", ts(12, 0, 0, 5), 4, 99.0, 1.0), ("a", ts(13, 0), 5, 12.0, 0.0), ("a", ts(13, 30), 6, 13.0, 2.0)]
     got = {r["end_ts"]: (r["open"], r["close"], r["volume"]) for r in cl.resample(spark.createDataFrame(ticks, "stock_code string, ts timestamp, seq int, price double, qty double"), (60,)).collect()}
     assert got == {ts(12, 0): (10.0, 11.0, 2.0), ts(14, 0): (13.0, 13.0, 2.0)}
+
+
+def test_dates_of_wide_rows_move_each_bar_once(spark):
+    """Correlations, buckets and turnover from one table by date equal those of the long frame, without rows for each feature and horizon in an exchange."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from panelweave.operators import validation as va
+
+    rng = random.Random(3)
+    day = lambda d: f"2020-01-{d + 1:02d}"
+    data = [(f"s{k:02d}", day(d), rng.choice([1.0, 2.0, rng.random()]), rng.random() if d % 7 or k > 2 else None, 1 + rng.random()) for k in range(14) for d in range(20) if rng.random() < (0.2 if d == 9 else 0.9)]
+    wide = spark.createDataFrame(data, "stock_code string, d string, A double, B double, close double").select("stock_code", F.to_date("d").alias("trade_date"), "A", "B", "close")
+    names, horizons = ["A", "B"], [1, 3]
+    long = wide.unpivot(["stock_code", "trade_date"], names, "feature_name", "feature_value").where("feature_value IS NOT NULL")
+    frame, members, dated = va.frame_of(wide, names, horizons), va.quantile_membership(long), va.by_dates(wide, names, horizons, 3)
+    pairs = [
+        (va.ic_by_date(frame, rank_method="min"), va.ic_of_set(dated, names, horizons, rank_method="min")), (va.quantile_returns(members, va.forward_returns(wide, horizons)), va.quantile_returns_of_set(dated, names, horizons)),
+        (va.turnover_by_date(members), va.turnover_of_set(va.buckets_of_set(dated, names), names, 2)), (va.fama_macbeth(frame, dates=3), va.mean_slopes(va.slopes_of_set(dated, names, horizons), dates=3)),
+    ]
+    for want, got in pairs:
+        rows = [sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in t.select(*want.columns).collect()) for t in (want, got)]
+        assert rows[0] == rows[1] and rows[0]
+
+
+def test_bars_keep_the_dealing_that_windows_need(spark):
+    """One exchange and one sort serve bars and all windows by security, however many there are."""
+    from panelweave.operators import indicators as ti
+    from panelweave.plans.common import bars
+
+    plan = ti.windowed_indicators(bars(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Sort [") == 1
