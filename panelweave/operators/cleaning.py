@@ -100,7 +100,10 @@ ISSUES = {"missing_required_values": "error", "duplicate_trade_date": "error", "
 
 
 def quality(rows: DataFrame, arrival: str, by: tuple[str, ...] = (KEY,)) -> DataFrame:
-    """Counts of each issue for each security, or each value of ``by``, with totals; ``arrival`` is the column of input order."""
+    """Counts of each issue for each security, or each value of ``by``, with totals; ``arrival`` is the column of input order.
+
+    Rows that arrived as one count in the order of their dates, so that the counts do not hang on how ties fall.
+    """
     needed = (TIME, *PRICES, "volume")
     missing = F.lit(False)
     for n in needed:
@@ -108,7 +111,7 @@ def quality(rows: DataFrame, arrival: str, by: tuple[str, ...] = (KEY,)) -> Data
     flat = (c("open") == c("high")) & (c("high") == c("low")) & (c("low") == c("close"))
     bad = (c("high") < F.greatest("open", "close", "low")) | (c("low") > F.least("open", "close", "high")) | (c("low") > c("high"))
     count = lambda x: F.sum(F.when(x, 1).otherwise(0)).cast("long")
-    before = F.max(TIME).over(Window.partitionBy(*by).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1))
+    before = F.max(TIME).over(Window.partitionBy(*by).orderBy(arrival, TIME).rowsBetween(Window.unboundedPreceding, -1))
     back = c(TIME).isNull() | F.coalesce(before > c(TIME), F.lit(False))  # dates with gaps are not in order
     out = rows.withColumn("_back", back).groupBy(*by).agg(
         F.count("*").alias("n_rows"), count(missing).alias("missing_required_values"),

@@ -163,7 +163,7 @@ _ISSUE = {
 def _qa(by: str, where: str = "true") -> str:
     return (
         DIRTY + f", qa AS (SELECT {by}, count(*) AS n_rows, " + ", ".join(f"CAST({x} AS BIGINT) AS {n}" for n, x in _ISSUE.items())
-        + f" FROM (SELECT *, max(trade_date) OVER (PARTITION BY {by} ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM dirty WHERE {where}) GROUP BY {by})"
+        + f" FROM (SELECT *, max(trade_date) OVER (PARTITION BY {by} ORDER BY arrival, trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM dirty WHERE {where}) GROUP BY {by})"
     )
 
 

@@ -332,3 +332,15 @@ def test_bars_keep_the_dealing_that_windows_need(spark):
 
     plan = ti.windowed_indicators(bars(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and plan.count("Sort [") == 1
+
+
+def test_quality_does_not_hang_on_ties_of_arrival(spark):
+    """Rows that arrived as one count in the order of their dates, whichever comes first in the table."""
+    from pyspark.sql import functions as F
+
+    from panelweave.operators import cleaning as cl
+
+    data = [("a", "2020-02-10", 5), ("a", "2020-01-01", 5), ("a", "2020-03-01", 9)]
+    for rows in (data, data[::-1], [data[1], data[0], data[2]]):
+        df = spark.createDataFrame(rows, "stock_code string, d string, arrival int").coalesce(1).select("stock_code", F.to_date("d").alias("trade_date"), *[F.lit(1.0).alias(n) for n in ("open", "high", "low", "close", "volume")], "arrival")
+        assert cl.quality(df, "arrival").select("non_monotonic_trade_date").collect()[0][0] == 0
