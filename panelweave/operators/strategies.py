@@ -43,19 +43,32 @@ def bullish(buffer: float) -> str:
 
 
 def _lagged(ind: DataFrame, *names: str, back: int = 1) -> DataFrame:
-    return ind.withColumns({f"{n}_{k}": F.lag(n, k).over(security()) for n in names for k in range(1, back + 1)})
+    return _made(ind, {f"{n}_{k}": F.lag(n, k).over(security()) for n in names for k in range(1, back + 1)})
+
+
+def _made(ind: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``ind`` with those of the columns that it lacks."""
+    return ind.withColumns({n: x for n, x in columns.items() if n not in ind.columns})
+
+
+def impulse_inputs(ind: DataFrame) -> DataFrame:
+    return _lagged(ind, "ema5", "ema13", "ema34")
 
 
 def impulse_buys(ind: DataFrame) -> DataFrame:
     """Cost lines of 5, 13 and 34 bars one above the other, two of them rising at least, and the price not below the first."""
-    rows = _lagged(ind, "ema5", "ema13", "ema34").withColumn("_rising", _cases("ema5 > ema5_1: 1", "ema13 > ema13_1: 1", "ema34 >= ema34_1: 1"))
+    rows = impulse_inputs(ind).withColumn("_rising", _cases("ema5 > ema5_1: 1", "ema13 > ema13_1: 1", "ema34 >= ema34_1: 1"))
     rows = rows.where("ema5 > ema13 AND ema13 > ema34 AND _rising >= 2 AND close >= ema5 * 0.995 AND NOT coalesce(ma25 <= ma60, false)")
     return buy_signals(rows, "bullish_impulse_cyc", _cases("_rising = 3 AND close >= ema5: 8; true: 7"), 0.94, 0.07, 5)
 
 
+def pullback_inputs(ind: DataFrame) -> DataFrame:
+    return _lagged(_lagged(ind, "stoch_k", "stoch_d", back=2), "divergence", "close")
+
+
 def pullback_buys(ind: DataFrame) -> DataFrame:
     """In a rising trend the stochastic turns up from a low, with a divergence of MACD or near the average of 25 bars."""
-    rows = _lagged(_lagged(ind, "stoch_k", "stoch_d", back=2), "divergence", "close").where("close_1 IS NOT NULL AND stoch_k IS NOT NULL AND stoch_d IS NOT NULL")
+    rows = pullback_inputs(ind).where("close_1 IS NOT NULL AND stoch_k IS NOT NULL AND stoch_d IS NOT NULL")
     crossed = "(stoch_k_1 <= stoch_d_1 AND stoch_k > stoch_d OR stoch_k_2 <= stoch_d_2 AND stoch_k_1 > stoch_d_1 OR stoch_k > stoch_k_1 AND stoch_k >= stoch_d)"
     rows = rows.withColumn("_diverges", F.expr("divergence OR coalesce(divergence_1, false)"))
     rows = rows.where(f"{bullish(0.05)} AND least(stoch_k, stoch_d, stoch_k_1, stoch_d_1, stoch_k_2) <= 30 AND {crossed} AND (_diverges OR distance_ma25 <= 0.03)")
@@ -80,10 +93,14 @@ BOTTOM_RISK = (
 NEEDED = ("open", "high", "low", "close", "volume", "volume_ratio_10", "volume_spike", "rsi", "distance_ma25", "distance_high_20", "bb_position", "range_position_20", "macd_gap")
 
 
+def bottom_volume_inputs(ind: DataFrame) -> DataFrame:
+    before = lambda n: F.min("low").over(security().rowsBetween(-n, -1))
+    return _made(_lagged(ind, "volume", "close"), {"low_before_20": before(20), "low_before_60": before(60)})
+
+
 def bottom_volume_buys(ind: DataFrame) -> DataFrame:
     """A rising bar on heavy volume at a low of 20 or 60 bars after a fall, with first signs of repair."""
-    before = lambda n: F.min("low").over(security().rowsBetween(-n, -1))
-    rows = _lagged(ind, "volume", "close").withColumns({"low_before_20": before(20), "low_before_60": before(60), "place": F.expr("(close - low) / nullif(high - low, 0)")})
+    rows = bottom_volume_inputs(ind).withColumn("place", F.expr("(close - low) / nullif(high - low, 0)"))
     rows = rows.where("low_before_20 IS NOT NULL AND " + " AND ".join(f"{n} IS NOT NULL" for n in NEEDED) + " AND " + " AND ".join(f"({rule})" for rule in BOTTOM.values()))
     rows = rows.withColumn("_risk", 2 + _cases(*BOTTOM_RISK))
     tier = F.when(c("_risk") <= 3, "strong").when(c("_risk") <= 5, "medium").otherwise("weak")
@@ -121,18 +138,21 @@ def _flags(rows: DataFrame, flags: dict[str, str]) -> DataFrame:
     return rows.withColumns({n: F.expr(f"coalesce({rule}, false)") for n, rule in flags.items()})
 
 
-def range_band_buys(ind: DataFrame) -> DataFrame:
-    """Low buys in a range: the stochastic turns up from a low in a rising trend, or at a base, a new low or a reclaimed average.
-
-    Each sign against the buy adds risk, the strong ones also take away that it can be acted on.
-    """
+def range_band_inputs(ind: DataFrame) -> DataFrame:
     w = lambda a, b: security().rowsBetween(a, b)
     least = lambda n, a, b: F.min(n).over(w(a, b))
-    rows = _lagged(ind, "close", "volume", "stoch_k", "stoch_d", "distance_ma25", "ma5_10_gap").withColumns({
+    return _made(_lagged(ind, "close", "volume", "stoch_k", "stoch_d", "distance_ma25", "ma5_10_gap"), {
         "_nth": F.row_number().over(security()), "base_low": least("low", -14, 0), "half_year_low": least("low", -120, -15), "volume_mean_5": F.avg("volume").over(w(-4, 0)), "volume_mean_before": F.avg("volume").over(w(-40, -6)),
         "least_stoch": F.least(least("stoch_k", -4, 0), least("stoch_d", -4, 0)), "least_distance": least("distance_ma25", -4, 0), "least_bb": least("bb_position", -4, 0),
     })
-    rows = _flags(_flags(rows, BAND_FLAGS), BAND_REVERSALS)
+
+
+def range_band_buys(ind: DataFrame) -> DataFrame:
+    """Low buys in a range: the stochastic turns up from a low in a rising trend, or at a base, a new low or a reclaimed average.
+
+    Each sign against the buy adds risk, the strong ones also take away that it can be acted on.
+    """
+    rows = _flags(_flags(range_band_inputs(ind), BAND_FLAGS), BAND_REVERSALS)
     rows = _flags(rows, {"_special": "_base OR _loud OR _reclaims", "_crosses": "stoch_k_1 <= stoch_d_1 AND stoch_k > stoch_d", "_pulled": "least_distance <= 0.025 OR least_bb <= 0.50"})
     turns = "stoch_k BETWEEN 15 AND 58 AND (_crosses OR stoch_k > stoch_k_1 AND stoch_k >= stoch_d)"
     anyway = "_special AND (stoch_k BETWEEN 0 AND 62 AND stoch_k >= stoch_k_1 OR _loud AND stoch_k <= 20 OR _reclaims AND stoch_k >= stoch_d)"

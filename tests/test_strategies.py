@@ -327,3 +327,31 @@ def test_buy_point_scores(spark, panel):
             q = r["volatility"] / (sum(vol) / len(vol))
             want += 15 if q < 0.7 else 10 if q < 1 else 5
         assert score == want + min(strength[code, day] * 3, 15)
+
+
+def test_strategies_deal_the_bars_once(spark):
+    """What a strategy reads of other bars is there before the z-scores, so that wide rows are neither dealt nor sorted again."""
+    from panelweave.plans.common import bars
+
+    for buys, inputs in ((st.impulse_buys, st.impulse_inputs), (st.pullback_buys, st.pullback_inputs), (st.bottom_volume_buys, st.bottom_volume_inputs), (st.range_band_buys, st.range_band_inputs)):
+        plan = buys(ti.complete(bars(spark, "/root/testdata/sf0.001"), inputs))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1, buys
+
+
+def test_windows_joined_from_halves_are_exact():
+    import numpy as np
+
+    from panelweave.functions.rolling import _moments
+
+    rng = np.random.default_rng(5)
+    at = np.concatenate([np.arange(1, n + 1) for n in (3, 150, 61, 1, 90)])
+    x = 1e6 + rng.random(len(at))
+    x[rng.random(len(at)) < 0.2] = np.nan
+    x[100:180] = 7.7
+    for window in (1, 13, 60):
+        n, mean, m2 = _moments(x, at, window)
+        for i in range(len(x)):
+            own = x[i + 1 - min(window, at[i]) : i + 1]
+            own = own[~np.isnan(own)]
+            assert n[i] == len(own)
+            assert not len(own) or (mean[i] == pytest.approx(own.mean(), rel=1e-12) and m2[i] == pytest.approx(np.square(own - own.mean()).sum(), rel=1e-6, abs=1e-12))
