@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,3 +75,21 @@ def averages(df: DataFrame, wanted: dict[str, Average]) -> DataFrame:
     out = out.withColumns(carried)
     made = {n: F.when(c("_there") & (c("_nth") >= a.start), c(f"_s_{n}") + F.coalesce(c(f"_e_{n}"), F.lit(0.0)) * F.pow(F.lit(1 - a.weight), c("_k") + 1)) for n, a in wanted.items()}
     return out.withColumns(made).drop("_chunk", "_k", *[f"_{k}_{n}" for n in wanted for k in "se"])
+
+
+def followed(state: dict[str, float], name: str, x: np.ndarray, nth: np.ndarray, a: Average) -> np.ndarray:
+    """The average ``a`` of ``x`` over consecutive bars, numbered in their security; ``state`` carries its value on to the next batch.
+
+    Each bar's step is an affine map of the value before, and maps of 2, 4, 8, ... bars are composed from halves.
+    """
+    keep = 1 - a.weight
+    held = np.where(nth == 1, 0.0, np.where(nth <= a.start, 1.0, keep))
+    value = np.where(nth > a.start, a.weight * x, np.where(nth >= a.first, x / a.n, 0.0))
+    size = 1
+    while size < len(x):
+        value[size:] += held[size:] * value[:-size]
+        held[size:] *= held[:-size]
+        size *= 2
+    value = value + held * state.get(name, 0.0)
+    state[name] = float(value[-1])
+    return np.where(nth >= a.start, value, np.nan)

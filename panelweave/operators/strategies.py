@@ -6,10 +6,14 @@ fulfils no condition. Conditions of one ``CASE`` exclude each other, the first t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.functions.columns import KEY, TIME, security
+from panelweave.functions.columns import KEY, TIME
+from panelweave.functions.passes import BAR, Bars, in_turn, made
 from panelweave.operators.scoring import bearish_strength
 
 c = F.col
@@ -42,17 +46,25 @@ def bullish(buffer: float) -> str:
     return f"(ma25 > ma60 AND ma25_slope > 0 AND close >= ma25 * {1 - buffer})"
 
 
-def _lagged(ind: DataFrame, *names: str, back: int = 1) -> DataFrame:
-    return _made(ind, {f"{n}_{k}": F.lag(n, k).over(security()) for n in names for k in range(1, back + 1)})
+def _inputs(ind: DataFrame, lags: dict[str, int], more: dict[str, Callable[[Bars], np.ndarray]] | None = None, fields: tuple[str, ...] = (), back: int = 0) -> DataFrame:
+    """``ind`` with those columns that it lacks: fields of as many bars before as ``lags`` says, and ``more``, from one ordered pass."""
+    kinds = dict(ind.dtypes)
+    wanted = {f"{n}_{k}": (n, k) for n, most in lags.items() for k in range(1, most + 1) if f"{n}_{k}" not in kinds}
+    more = {n: x for n, x in (more or {}).items() if n not in kinds}
+    if not wanted and not more:
+        return ind
+    flags = {n for n in lags if kinds[n] == "boolean"}  # before the first bar a flag is off
 
+    def work(b: Bars) -> dict[str, np.ndarray]:
+        return {name: b.back(b[n], k) == 1 if n in flags else b.back(b[n], k) for name, (n, k) in wanted.items()} | {n: x(b) for n, x in more.items()}
 
-def _made(ind: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """``ind`` with those of the columns that it lacks."""
-    return ind.withColumns({n: x for n, x in columns.items() if n not in ind.columns})
+    types = {name: "boolean" if n in flags else "double" for name, (n, _) in wanted.items()} | {n: "int" if n == "_nth" else "double" for n in more}
+    out = made(in_turn(ind), dict.fromkeys((*lags, *fields)), work, types, back=max(back, *lags.values()))
+    return out if BAR in ind.columns else out.drop(BAR)
 
 
 def impulse_inputs(ind: DataFrame) -> DataFrame:
-    return _lagged(ind, "ema5", "ema13", "ema34")
+    return _inputs(ind, {"ema5": 1, "ema13": 1, "ema34": 1})
 
 
 def impulse_buys(ind: DataFrame) -> DataFrame:
@@ -63,7 +75,7 @@ def impulse_buys(ind: DataFrame) -> DataFrame:
 
 
 def pullback_inputs(ind: DataFrame) -> DataFrame:
-    return _lagged(_lagged(ind, "stoch_k", "stoch_d", back=2), "divergence", "close")
+    return _inputs(ind, {"stoch_k": 2, "stoch_d": 2, "divergence": 1, "close": 1})
 
 
 def pullback_buys(ind: DataFrame) -> DataFrame:
@@ -94,8 +106,8 @@ NEEDED = ("open", "high", "low", "close", "volume", "volume_ratio_10", "volume_s
 
 
 def bottom_volume_inputs(ind: DataFrame) -> DataFrame:
-    before = lambda n: F.min("low").over(security().rowsBetween(-n, -1))
-    return _made(_lagged(ind, "volume", "close"), {"low_before_20": before(20), "low_before_60": before(60)})
+    before = {f"low_before_{n}": lambda b, n=n: b.back(b.lowest(b["low"], n), 1) for n in (20, 60)}
+    return _inputs(ind, {"volume": 1, "close": 1}, before, ("low",), 61)
 
 
 def bottom_volume_buys(ind: DataFrame) -> DataFrame:
@@ -139,12 +151,12 @@ def _flags(rows: DataFrame, flags: dict[str, str]) -> DataFrame:
 
 
 def range_band_inputs(ind: DataFrame) -> DataFrame:
-    w = lambda a, b: security().rowsBetween(a, b)
-    least = lambda n, a, b: F.min(n).over(w(a, b))
-    return _made(_lagged(ind, "close", "volume", "stoch_k", "stoch_d", "distance_ma25", "ma5_10_gap"), {
-        "_nth": F.row_number().over(security()), "base_low": least("low", -14, 0), "half_year_low": least("low", -120, -15), "volume_mean_5": F.avg("volume").over(w(-4, 0)), "volume_mean_before": F.avg("volume").over(w(-40, -6)),
-        "least_stoch": F.least(least("stoch_k", -4, 0), least("stoch_d", -4, 0)), "least_distance": least("distance_ma25", -4, 0), "least_bb": least("bb_position", -4, 0),
-    })
+    more = {
+        "_nth": lambda b: b.at.astype("int32"), "base_low": lambda b: b.lowest(b["low"], 15), "half_year_low": lambda b: b.back(b.lowest(b["low"], 106), 15), "volume_mean_5": lambda b: b.mean(b["volume"], 5),
+        "volume_mean_before": lambda b: b.back(b.mean(b["volume"], 35), 6), "least_stoch": lambda b: np.fmin(b.lowest(b["stoch_k"], 5), b.lowest(b["stoch_d"], 5)),
+        "least_distance": lambda b: b.lowest(b["distance_ma25"], 5), "least_bb": lambda b: b.lowest(b["bb_position"], 5),
+    }
+    return _inputs(ind, dict.fromkeys(("close", "volume", "stoch_k", "stoch_d", "distance_ma25", "ma5_10_gap"), 1), more, ("low", "bb_position"), 121)
 
 
 def range_band_buys(ind: DataFrame) -> DataFrame:

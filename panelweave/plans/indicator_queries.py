@@ -26,8 +26,8 @@ GROUPS = {
 }
 QUERIES = {
     **{n: _part(*cols) for n, cols in GROUPS.items()},
-    "ti_range_scores": lambda s, d: rounded(ti.range_scores(ti.windowed_indicators(bars(s, d))), 4),
-    "ti_range_composite": lambda s, d: rounded(ti.range_scores(ti.windowed_indicators(ti.with_recurrences(bars(s, d)))), 4),
+    "ti_range_scores": lambda s, d: rounded(ti.range_scores(ti.windowed_indicators(bars(s, d), turn=True)), 4),
+    "ti_range_composite": lambda s, d: rounded(ti.range_scores(ti.windowed_indicators(ti.with_recurrences(bars(s, d), read_back=True), turn=True)), 4),
     "ti_recurrences": lambda s, d: rounded(ti.recurrences(bars(s, d)), 3),
     "ti_ema": lambda s, d: rounded(ti.recurrences(bars(s, d)).select(KEY, TIME, "ema12", "ema26", "macd"), 4),
     "ti_expected_score": lambda s, d: rounded(ti.full(bars(s, d)).select(KEY, TIME, "matrix_raw", "matrix_score", "expected_3m_score")),
