@@ -73,3 +73,11 @@ def test_rules_fit_a_method_that_is_compiled(spark):
 
     bars(spark, "/root/testdata/sf0.001")
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_scores_and_signals_deal_the_bars_once(spark):
+    """Scores and their trailing limits go on in the order that factors came in."""
+    from panelweave.plans import score_queries as pq
+
+    plan = pq.signals(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
