@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import KEY, TIME
+from panelweave.functions.positions import pinned
 from panelweave.operators import factors, indicators as ti, layers as ly, reports as rp, scorecards as wt, scoring as sc, setups as sg, validation as va
 from panelweave.plans import layer_queries as lq, score_queries as pq, validation_queries as vq
 from panelweave.plans.common import bars, over, past_ties, rounded, with_bars
@@ -58,7 +59,7 @@ def feature_set(s, d):
 
 
 def suite(s, d):
-    t = pq.trades(s, d)
+    t = pinned(pq.trades(s, d).select(KEY, "signal_date", "net_return"))  # read for each strategy
     return {"breakouts": t, "recent": t.where("signal_date >= DATE '1996-01-01'")}
 
 
