@@ -7,7 +7,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from panelweave.operators import factors, validation as va
+from panelweave.operators import factors, scoring as sc, setups as sg, validation as va
+from panelweave.plans import score_queries as pq
 
 BAR = "stock_code string, trade_date date, open double, high double, low double, close double, volume double"
 
@@ -49,3 +50,29 @@ def test_correlations_by_ranges_of_dates(spark, monkeypatch):
 
 def rows_of(df, keys):
     return sorted((tuple(None if r[k] is None else round(r[k], 9) + 0.0 if isinstance(r[k], float) else r[k] for k in keys) for r in df.collect()), key=lambda r: r[:3])
+
+
+def test_outcomes_of_every_bar_equal_joined_trades(spark):
+    bars = panel(spark, days=90)
+    bars = bars.withColumn("open", F.when(F.dayofmonth("trade_date") != 13, F.col("open"))).withColumn("close", F.when(F.dayofmonth("trade_date") != 17, F.col("close"))).cache()
+    sells = bars.where("volume = 0").select("stock_code", "trade_date")
+    keys = ("stock_code", "signal_date", "entry_date", "entry", "exit_date", "exit", "exit_reason", "trade_return")
+    reasons = set()
+    for kw, sold in (({}, None), ({"horizon": 3}, "_sell"), ({"stop": 0.05, "trail": 0.97, "gain": 0.02, "horizon": 30}, "_sell")):
+        want = sc.trade_outcomes(bars, bars.select("stock_code", "trade_date"), sells=sells if sold else None, **kw)
+        got = sc.taken(sc.with_outcomes(bars.withColumn("_sell", F.col("volume") == 0), sell=sold, **kw))
+        assert got.columns == want.columns and rows_of(got, keys) == rows_of(want, keys)
+        reasons |= {r["exit_reason"] for r in got.select("exit_reason").distinct().collect()}
+    assert reasons == {"held", "stop", "trailing", "time", "strategy_sell"}
+
+
+def test_first_events_of_zones(spark):
+    events = panel(spark).where("volume >= 600").select("stock_code", "trade_date", F.lit("r").alias("recipe"), F.when(F.col("volume") > 600, "a").otherwise("b").alias("setup_type"), F.col("close").alias("setup_score"))
+    keys = ("stock_code", "trade_date", "setup_type", "setup_score")
+    for cooldown in (0, 3, 20):
+        assert rows_of(sg.zone_starts(events, cooldown), keys) == rows_of(sg.merge_zones(events, cooldown, "first"), keys)
+
+
+def test_trades_need_one_dealing_of_bars(spark):
+    plan = pq.QUERIES["to_non_overlapping"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan and "sequence(" not in plan
