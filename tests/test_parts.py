@@ -76,3 +76,11 @@ def test_first_events_of_zones(spark):
 def test_trades_need_one_dealing_of_bars(spark):
     plan = pq.QUERIES["to_non_overlapping"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 1 and "Join" not in plan and "sequence(" not in plan
+
+
+def test_events_do_not_write_the_rules_into_a_condition(spark):
+    """A condition that reads a recipe's type is not moved below the rules, where each of them would be written out at every place that reads it."""
+    scored = sg.with_recipes(sg.setup_features(panel(spark)))
+    plan = sg.setup_events(scored, recipes=("range_breakout",))._jdf.queryExecution().optimizedPlan().toString()
+    conditions = [line for line in plan.splitlines() if "Filter" in line]
+    assert conditions and not any("CASE WHEN" in line for line in conditions)
