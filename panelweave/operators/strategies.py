@@ -67,6 +67,15 @@ def impulse_inputs(ind: DataFrame) -> DataFrame:
     return _inputs(ind, {"ema5": 1, "ema13": 1, "ema34": 1})
 
 
+#: What ``impulse_buys`` reads of a bar and, by name, of the one before; and a condition without which there is no buy.
+IMPULSE = ("ema5", "ema13", "ema34", "ma25", "ma60", "atr14", *(n for n in CONTEXT if n not in ("matrix_score", "expected_3m_score", "volatility_10")))
+IMPULSE_BEFORE = {f"{n}_1": ("double", lambda b, n=n: b.back(b[n], 1)) for n in ("ema5", "ema13", "ema34")}
+
+
+def impulse_stack(b: Bars) -> np.ndarray:
+    return (b["ema5"] > b["ema13"]) & (b["ema13"] > b["ema34"])
+
+
 def impulse_buys(ind: DataFrame) -> DataFrame:
     """Cost lines of 5, 13 and 34 bars one above the other, two of them rising at least, and the price not below the first."""
     rows = impulse_inputs(ind).withColumn("_rising", _cases("ema5 > ema5_1: 1", "ema13 > ema13_1: 1", "ema34 >= ema34_1: 1"))

@@ -7,8 +7,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from panelweave.operators import factors, scoring as sc, setups as sg, validation as va
-from panelweave.plans import score_queries as pq
+from panelweave.operators import factors, indicators as ti, scoring as sc, setups as sg, strategies as st, validation as va
+from panelweave.plans import score_queries as pq, strategy_queries as stq
 
 BAR = "stock_code string, trade_date date, open double, high double, low double, close double, volume double"
 
@@ -84,3 +84,26 @@ def test_events_do_not_write_the_rules_into_a_condition(spark):
     plan = sg.setup_events(scored, recipes=("range_breakout",))._jdf.queryExecution().optimizedPlan().toString()
     conditions = [line for line in plan.splitlines() if "Filter" in line]
     assert conditions and not any("CASE WHEN" in line for line in conditions)
+
+
+def test_impulse_buys_send_each_bar_to_python_once(spark):
+    plan = stq.QUERIES["st_impulse"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_one_pass_for_bars_that_are_asked_for(spark, monkeypatch):
+    """Indicators, scores and fields of bars before, of some bars only and wherever batches are cut, against separate passes over all columns."""
+    bars = panel(spark, codes=5)
+    rows = ti.unscored(bars)
+    want = ti.with_zscores(rows, {f"_z_{n}": F.col(n) for n in ti.MATRIX}, total=("matrix_raw", {f"_z_{n}": w for n, w in ti.MATRIX.items()}, 10)).withColumn("ema5_1", F.lag("ema5").over(factors.security()))
+    keys = ("stock_code", "trade_date", "matrix_raw", "matrix_raw_z", "_z_ma20_slope", "ema5_1", "atr10", "forward_return_60", "stoch_cross")
+    want = rows_of(want.where("ema5 > ema13 AND ema13 > ema34"), keys)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("13", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = ti.at_once(bars, ("atr10", "forward_return_60", *ti.SCORED), st.IMPULSE_BEFORE, scores=True, only=st.impulse_stack).withColumn("stoch_cross", ti.stoch_cross()).withColumnRenamed("matrix_z", "matrix_raw_z")
+            got = rows_of(got, keys)
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+        assert [repr(r) for r in got] == [repr(r) for r in want] and any(r[3] is not None for r in got)
