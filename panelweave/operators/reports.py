@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,14 +67,41 @@ def buy_point_scores(signals: DataFrame, ind: DataFrame) -> DataFrame:
     w = Window.partitionBy(KEY).orderBy(F.desc(TIME))
     calm = ind.withColumn("_age", F.row_number().over(w)).where("_age <= 50").groupBy(KEY).agg(F.avg("volatility").alias("_calm"))
     rows = signals.select(KEY, TIME, "signal_strength").join(ind, [KEY, TIME]).join(calm, KEY)
-    ratio = F.when(c("atr14").isNotNull(), c("volatility") / F.when(c("_calm") != 0, c("_calm")))
-    points = (
+    return rows.select(KEY, TIME, "close", "signal_strength", (_moment() + _calmness(_own_volatility(), c("_calm"))).cast("double").alias("score"))
+
+
+def _moment() -> Column:
+    """Points for all but the volatility."""
+    return (
         _steps(c("stoch_k"), (10, 20), (20, 15), (30, 10)) + _steps(c("rsi"), (25, 15), (35, 10), (45, 5))
         + _steps((c("close") - c("bb_lower")) / c("close"), (0.05, 15), (0.02, 10), (0.0, 5), above=True)
-        + F.when(ratio.isNull(), 0).otherwise(F.when(ratio < 0.7, 15).when(ratio < 1.0, 10).otherwise(5))
         + _steps(c("cyc"), (20, 10), (40, 5)) + _steps(F.coalesce(c("volume_ratio_10"), F.lit(1.0)), (0.8, 10), (1.5, 5)) + F.least(c("signal_strength") * 3, F.lit(15))
     )
-    return rows.select(KEY, TIME, "close", "signal_strength", points.cast("double").alias("score"))
+
+
+def _own_volatility() -> Column:
+    return F.when(c("atr14").isNotNull(), c("volatility"))
+
+
+def _calmness(own: Column, calm: Column) -> Column:
+    ratio = own / F.when(calm != 0, calm)
+    return F.when(ratio.isNull(), 0).otherwise(F.when(ratio < 0.7, 15).when(ratio < 1.0, 10).otherwise(5))
+
+
+#: Indicators that the score reads, and the mark of the last 50 bars of each security.
+BUY_POINT = ("stoch_k", "rsi", "bb_lower", "atr14", "atr20", "cyc", "volume_ratio_10")
+LATE = {"_late": ("boolean", lambda b: b.last - np.arange(len(b.at)) < 50)}
+
+
+def marked_buy_points(rows: DataFrame) -> DataFrame:
+    """``buy_point_scores`` from one table with ``signal_strength`` (NULL without a signal), ``volatility``, ``BUY_POINT`` and ``LATE``.
+
+    It needs the signals and the late bars, no others; these are dealt once by security, with what the score still lacks alone.
+    """
+    own = rows.where(c(KEY).isNotNull() & (c("signal_strength").isNotNull() | c("_late")))
+    own = own.select(KEY, TIME, "close", "signal_strength", _moment().alias("_points"), _own_volatility().alias("_own"), F.when(c("_late"), c("volatility")).alias("_last"))
+    scored = own.withColumn("_calm", F.avg("_last").over(Window.partitionBy(KEY))).where(c("signal_strength").isNotNull() & c(TIME).isNotNull())
+    return scored.select(KEY, TIME, "close", "signal_strength", (c("_points") + _calmness(c("_own"), c("_calm"))).cast("double").alias("score"))
 
 
 def buy_point_summary(scored: DataFrame) -> DataFrame:

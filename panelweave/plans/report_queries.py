@@ -26,6 +26,13 @@ def monotone(s, d, rows=None):
     return va.monotonicity(va.summarize_quantiles(vq._buckets(s, d, rows)))
 
 
+def buy_points(s, d):
+    """Scores of the buys of the trend strategy; these and the volatility of a security's last bars come from one pass."""
+    near = sc.TREND_NEAR | rp.LATE
+    rows = ti.at_once(bars(s, d), (*sc.TREND, *rp.BUY_POINT), near, only=lambda b: sc.rising(b) | near["_late"][1](b))
+    return rp.marked_buy_points(rows.withColumnRenamed("atr20", "volatility").withColumn("signal_strength", F.when(sc.trend_2560(), sc.trend_strength())))
+
+
 def validation_scores(s, d):
     rows = vq.dated(s, d)
     return wt.validation_scores(ridge_rows(s), va.summarize_ic(vq._ic(s, d, rows)), vq._slopes(s, d, rows), monotone(s, d, rows))
@@ -93,7 +100,7 @@ QUERIES = {
     "rp_describe": lambda s, d: past_ties(rp.describe_history(bars(s, d)), 4),
     "rp_last_rows": lambda s, d: rp.last_rows(bars(s, d)),
     "rp_target_alignment": alignment,
-    "rp_buy_points": lambda s, d: rounded(rp.buy_point_summary(rp.buy_point_scores(pq.trend_2560(s, d).select(KEY, TIME, c("strength").alias("signal_strength")), ti.with_volatility(ti.full(bars(s, d)))))),
+    "rp_buy_points": lambda s, d: rounded(rp.buy_point_summary(buy_points(s, d))),
     "st_compare": lambda s, d: rounded(rp.compare_strategies(suite(s, d)), 4),
     "st_return_matrix": lambda s, d: rounded(rp.return_matrix(suite(s, d)), 5),
     "st_rankings": lambda s, d: rounded(rp.strategy_rankings(suite(s, d)), 5),

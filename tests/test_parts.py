@@ -7,8 +7,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from panelweave.operators import factors, indicators as ti, scoring as sc, setups as sg, strategies as st, validation as va
-from panelweave.plans import score_queries as pq, strategy_queries as stq
+from panelweave.operators import factors, indicators as ti, reports as rp, scoring as sc, setups as sg, strategies as st, validation as va
+from panelweave.plans import report_queries as rq, score_queries as pq, strategy_queries as stq
 
 BAR = "stock_code string, trade_date date, open double, high double, low double, close double, volume double"
 
@@ -107,3 +107,17 @@ def test_one_pass_for_bars_that_are_asked_for(spark, monkeypatch):
         finally:
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
         assert [repr(r) for r in got] == [repr(r) for r in want] and any(r[3] is not None for r in got)
+
+
+def test_buy_points_of_one_pass_equal_joined_ones(spark, monkeypatch):
+    """Scores of signals and the late bars' volatility from one table of bars, against indicators that are made again for each and joined."""
+    bars = panel(spark)
+    monkeypatch.setattr(rq, "bars", lambda s, d: bars)
+    signals = sc.trend_2560_buys(ti.unscored(bars))
+    want = rp.buy_point_scores(signals.withColumnRenamed("strength", "signal_strength"), ti.with_volatility(ti.full(bars)))
+    keys = ("stock_code", "trade_date", "close", "signal_strength", "score")
+    assert len({r[0] for r in rows_of(want, keys)}) > 3
+    assert rows_of(rq.buy_points(spark, ""), keys) == rows_of(want, keys)
+    monkeypatch.undo()
+    plan = rq.buy_points(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and plan.count("MapInArrow") == 1 and "Join" not in plan
