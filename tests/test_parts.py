@@ -5,8 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from panelweave.functions import rolling
 from panelweave.operators import factors, indicators as ti, reports as rp, scoring as sc, setups as sg, strategies as st, validation as va
 from panelweave.plans import report_queries as rq, score_queries as pq, strategy_queries as stq
 
@@ -121,3 +123,47 @@ def test_buy_points_of_one_pass_equal_joined_ones(spark, monkeypatch):
     monkeypatch.undo()
     plan = rq.buy_points(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 1 and plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+def test_packed_factors_equal_columns_to_the_last_bit(spark):
+    """The whole set and returns as one binary column, from arrays, against Spark's columns; correlations of both are the same."""
+    bars, horizons, names = panel(spark), (1, 5, 20), factors.factor_names()
+    only, ahead = F.col("trade_date") >= F.lit("2024-03-01").cast("date"), va.returns_ahead(horizons)
+    wide, narrow = (factors.compute(bars, names, also=ahead, only=only, pack=pack) for pack in (False, True))
+    assert narrow.columns == ["stock_code", "trade_date", rolling.PACKED]
+    columns = [*names, *ahead]
+    want = {(r["stock_code"], r["trade_date"]): [np.nan if r[n] is None else r[n] for n in columns] for r in wide.collect()}
+    got = narrow.toArrow()
+    keys, values = list(zip(got["stock_code"].to_pylist(), got["trade_date"].to_pylist())), rolling.unpacked(got[rolling.PACKED], len(columns))
+    assert sorted(keys) == sorted(want) and np.isnan(values).any() and not np.isnan(values).all(0).any()
+    np.testing.assert_array_equal(values, np.array([want[k] for k in keys]))
+    of = lambda rows: [repr(r) for r in rows_of(va.ic_of_set(va.by_dates(rows, names, horizons, 2), names, horizons), ("feature_name", "trade_date", "horizon", "n", "ic", "rank_ic"))]
+    assert of(narrow) == of(wide)
+
+
+def test_correlations_of_a_date_are_those_of_each_pair():
+    """Missing values, absurd ones, ties and constant columns, against a plain loop."""
+    import pandas as pd
+    import pyarrow as pa
+
+    rng, names, seen = np.random.default_rng(4), [f"f{k}" for k in range(9)], 0
+    for trial in range(40):
+        m = int(rng.integers(4, 40))
+        data = {n: rng.integers(0, rng.integers(1, 30), m).astype(float) for n in [*names, "_ahead_1", "_ahead_5"]}
+        for n, x in data.items():
+            if trial % 3 and rng.random() < 0.6:
+                x[rng.random(m) < rng.random()] = np.nan
+        data["f0"][0] = 1e200
+        day = pa.table({"trade_date": pa.array([dt.date(2024, 1, 1)] * m), **{n: pa.array(x, mask=np.isnan(x)) for n, x in data.items()}})
+        got = {(r["feature_name"], r["horizon"]): r for r in va._cross_section(names, [1, 5], 5, "average")(day).to_pylist()}
+        for n in names:
+            for h in (1, 5):
+                x, y = pd.Series(data[n]), pd.Series(data[f"_ahead_{h}"])
+                there = (x.abs() <= va.LARGEST) & (y.abs() <= va.LARGEST)
+                x, y = x[there], y[there]
+                if len(x) < 5 or x.nunique() < 2 or y.nunique() < 2:
+                    assert (n, h) not in got
+                    continue
+                r, seen = got[n, h], seen + 1
+                assert r["n"] == len(x) and abs(r["ic"] - np.corrcoef(x, y)[0, 1]) < 1e-9 and abs(r["rank_ic"] - np.corrcoef(x.rank(), y.rank())[0, 1]) < 1e-9
+    assert seen > 300
